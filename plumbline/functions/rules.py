@@ -23,40 +23,32 @@ def is_categorical(distinct: Column, non_null: Column, max_length: Column, s: Se
 
 def status(s: Settings) -> Column:
     """The verdict on a measurement. A skipped one is unverifiable or empty, whatever its numbers say."""
-    c = F.col
-    unverifiable = F.lit("unverifiable")
-
-    def yes(condition: Column) -> Column:
-        return F.when(condition, "confirmed").otherwise("rejected")
-
-    relationship = (
-        F.when(c("hit").isNull(), unverifiable)
-        .when(c("hit") >= s.join_confirmed, "confirmed")
-        .when(c("hit") >= s.join_broken, "broken")
-        .otherwise("rejected")
-    )
-    dead = (
-        F.when(c("populated") == 0, "confirmed")
-        .when(c("row_count").isNull() & c("age_days").isNull(), unverifiable)
-        .otherwise(yes(F.coalesce(c("row_count") == 0, F.lit(False)) | F.coalesce(c("age_days") > s.stale_after_days, F.lit(False))))
-    )
-    inconsistent = F.when(c("collisions").isNull(), unverifiable).otherwise(yes(c("collisions") > 0))
-    share = F.greatest(c("overlap"), F.coalesce(c("overlap_reverse"), F.lit(0.0)))
-    duplicate = (
-        F.when(c("same_definition").isNotNull(), yes(c("same_definition") == 1))
-        .when(c("overlap").isNull(), unverifiable)
-        .otherwise(yes(share >= s.duplicate_overlap))
-    )
-    missing_key = F.when(c("has_primary_key").isNull(), unverifiable).otherwise(yes(c("has_primary_key") == 0))
-    return (
-        F.when(c("skipped").isNotNull(), F.when(c("empty"), "empty").otherwise(unverifiable))
-        .when(c("kind") == "relationship", relationship)
-        .when(c("kind") == "dead_table", dead)
-        .when(c("kind") == "inconsistent_values", inconsistent)
-        .when(c("kind") == "duplicate_entity", duplicate)
-        .when(c("kind") == "missing_key", missing_key)
-        .otherwise(unverifiable)
-    )
+    return F.expr(f"""CASE
+        WHEN skipped IS NOT NULL THEN if(empty, 'empty', 'unverifiable')
+        WHEN kind = 'relationship' THEN CASE
+            WHEN hit IS NULL THEN 'unverifiable'
+            WHEN hit >= {s.join_confirmed}D THEN 'confirmed'
+            WHEN hit >= {s.join_broken}D THEN 'broken'
+            ELSE 'rejected' END
+        WHEN kind = 'dead_table' THEN CASE
+            WHEN populated = 0 THEN 'confirmed'
+            WHEN row_count IS NULL AND age_days IS NULL THEN 'unverifiable'
+            WHEN row_count = 0 OR age_days > {s.stale_after_days}D THEN 'confirmed'
+            ELSE 'rejected' END
+        WHEN kind = 'inconsistent_values' THEN CASE
+            WHEN collisions IS NULL THEN 'unverifiable'
+            WHEN collisions > 0 THEN 'confirmed'
+            ELSE 'rejected' END
+        WHEN kind = 'duplicate_entity' THEN CASE
+            WHEN same_definition IS NOT NULL THEN if(same_definition = 1, 'confirmed', 'rejected')
+            WHEN overlap IS NULL THEN 'unverifiable'
+            WHEN greatest(overlap, overlap_reverse) >= {s.duplicate_overlap}D THEN 'confirmed'
+            ELSE 'rejected' END
+        WHEN kind = 'missing_key' THEN CASE
+            WHEN has_primary_key IS NULL THEN 'unverifiable'
+            WHEN has_primary_key = 0 THEN 'confirmed'
+            ELSE 'rejected' END
+        ELSE 'unverifiable' END""")
 
 
 def change_class(

@@ -14,7 +14,7 @@ from plumbline.operators.profile import table_profile
 from plumbline.operators.sampling import Scan
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog, Relation, _union
-from plumbline.sources.sizes import row_counts
+from plumbline.sources.sizes import bytes_setting, estimated_bytes, row_counts
 from plumbline.sources.small import small_table
 
 # Above this many claims into large targets, one join per kind of comparison replaces one join per claim.
@@ -64,18 +64,9 @@ def relationships_of(claims: DataFrame) -> list[Relationship]:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """
-    Whether the optimizer's own size estimate is within the session's broadcast threshold.
-
-    Unknown counts as too large, so nothing is broadcast on a guess.
-    """
-    spark = df.sparkSession
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        bytes_allowed = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit))
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= bytes_allowed
-    except Exception:
-        return False
+    """Whether the optimizer's own size estimate is within the session's broadcast threshold; unknown is too large."""
+    size = estimated_bytes(df)
+    return size is not None and size <= bytes_setting(df.sparkSession, "spark.sql.autoBroadcastJoinThreshold")
 
 
 # ---- counting ----

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline import schema as S
 from plumbline.functions.rules import is_categorical
@@ -13,8 +14,12 @@ from plumbline.functions.values import as_text, cell, compact, compact_length
 from plumbline.operators.sampling import Scan, row_hash
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog, Relation, _union
+from plumbline.sources.sizes import bytes_setting, estimated_bytes
 from plumbline.sources.small import small_table
 
+# A table below this size is read in one go whatever the number of cores.
+SPLIT_FROM_BYTES = 1 << 20
+
 COLUMNS_LISTED = S.fields(
     "cid int, table string, ordinal int, column string, type string, nullable boolean, family string, shown boolean, unmeasured string"
 )
@@ -26,23 +31,50 @@ def null_rate(non_null: Column, rows: Column) -> Column:
 
 def _cells(scan: Scan, relation: Relation, columns: list[tuple[int, str]]) -> list[DataFrame]:
     """
-    Distinct values of a relation's columns before the shuffle, as (cid, v, y): the column, the value as text (or the
-    short stand-in of a long one) and its year.
+    The cells of a relation's columns before the shuffle, as (cid, l, d, v, y): the column, the value and its year.
 
-    The table is read once for all of them; only a column whose collation decides equality is read by itself.
+    An integer travels as ``l``, a double as ``d`` and anything else as text ``v``, a long text as its stand-in, so that
+    numbers are turned into text once per distinct value and not once per row. A large table is read once for all columns;
+    one too small to fill the cluster with a task per split is read by column, each column's bytes still once. A column
+    whose collation decides equality is always read by itself.
     """
     df = scan(relation)
+    no_long, no_double, no_text = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
 
     def one(cid: int, name: str) -> list[Column]:
-        dt = relation.type_of(name)
-        text = as_text(cell(name), dt)
-        year = F.year(cell(name)) if S.family(dt) == S.TIME else F.lit(None).cast("int")
-        return [F.lit(cid).alias("cid"), (text if S.keeps_own_equality(dt) else compact(text)).alias("v"), year.alias("y")]
+        dt, c = relation.type_of(name), cell(name)
+        year = F.year(c) if S.family(dt) == S.TIME else F.lit(None).cast("int")
+        if S.is_integer(dt):
+            value = c.cast("bigint"), no_double, no_text
+        elif isinstance(dt, T.DoubleType):
+            # Grouping takes -0.0 for 0.0, which read differently.
+            value = F.when(c == 0, F.when(c.cast("string") == "-0.0", F.lit(1).cast("bigint"))), c, no_text
+        else:
+            text = as_text(c, dt)
+            value = no_long, no_double, text if S.keeps_own_equality(dt) else compact(text)
+        return [x.alias(a) for x, a in zip((F.lit(cid), *value, year), ("cid", "l", "d", "v", "y"), strict=True)]
 
     plain = [one(cid, c) for cid, c in columns if not S.keeps_own_equality(relation.type_of(c))]
     own = [one(cid, c) for cid, c in columns if S.keeps_own_equality(relation.type_of(c))]
-    frames = [df.select(F.inline(F.array(*[F.struct(*p) for p in plain])))] if plain else []
-    return frames + [df.select(*p).groupBy("cid", "v").agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y")).withColumn("v", F.col("v").cast("string")) for p in own]
+    if len(plain) > 1 and _worth_splitting(df):
+        frames = [df.select(*p) for p in plain]
+    else:
+        frames = [df.select(F.inline(F.array(*[F.struct(*p) for p in plain])))] if plain else []
+    return frames + [_counted(df.select(*p)).withColumn("v", F.col("v").cast("string")) for p in own]
+
+
+def _worth_splitting(df: DataFrame) -> bool:
+    """Whether a scan is more than a moment's work and yet has fewer splits than the cluster has cores."""
+    size = estimated_bytes(df)
+    if size is None:
+        return False
+    spark = df.sparkSession
+    full = bytes_setting(spark, "spark.sql.files.maxPartitionBytes") * spark.sparkContext.defaultParallelism
+    return SPLIT_FROM_BYTES <= size < full
+
+
+def _counted(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("cid", "l", "d", "v").agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y"))
 
 
 def _distinct_values(scan: Scan, wanted: dict[str, list[tuple[int, str]]]) -> DataFrame:
@@ -51,8 +83,9 @@ def _distinct_values(scan: Scan, wanted: dict[str, list[tuple[int, str]]]) -> Da
     for table, columns in wanted.items():
         for frame in _cells(scan, scan.catalog[table], columns):
             (grouped if "n" in frame.columns else raw).append(frame)
-    counted = [_union(raw).groupBy("cid", "v").agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y"))] if raw else []
-    return _union(counted + grouped)
+    counted = _union(([_counted(_union(raw))] if raw else []) + grouped)
+    number = "if(d IS NULL, cast(l AS string), if(l IS NULL, cast(d AS string), '-0.0'))"
+    return counted.selectExpr("cid", f"coalesce(v, {number}) AS v", "n", "y")
 
 
 def _listed(catalog: Catalog, only: set[tuple[str, str]] | None) -> list[tuple]:

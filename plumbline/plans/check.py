@@ -21,7 +21,7 @@ from plumbline.operators.verdicts import decide
 from plumbline.plans.run import measure
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog
-from plumbline.sources.small import small_table
+from plumbline.sources.small import kept, small_table
 from plumbline.sources.snapshot import Snapshot
 
 
@@ -55,7 +55,7 @@ def remeasure(catalog: Catalog, snapshot: Snapshot, settings: Settings) -> DataF
 
 
 def check(catalog: Catalog, snapshot: Snapshot, settings: Settings) -> CheckReport:
-    """A snapshot against the catalog now."""
+    """A snapshot against the catalog now, measured once here."""
     after = remeasure(catalog, snapshot, settings)
     relations, columns, keys = catalog.relations_df(), catalog.columns_df(), catalog.keys_df()
     names = relationship_names(snapshot.relationships).unionByName(suspicion_names(snapshot.suspicions))
@@ -64,7 +64,7 @@ def check(catalog: Catalog, snapshot: Snapshot, settings: Settings) -> CheckRepo
     missing = missing_names(names, (snapshot.relations, snapshot.columns), (relations, columns), unmeasured)
     own = small_table(catalog.spark, settings.measured_with(), "name string, value double")
     return CheckReport(
-        changes=classify_changes(snapshot.verdicts, after, missing, settings),
+        changes=kept(classify_changes(snapshot.verdicts, after, missing, settings)),
         relations=schema_diff(snapshot.relations, relations),
         settings=settings_diff(snapshot.settings, own),
         schema_changed=schema_fingerprint(relations, columns, keys).first()["fingerprint"] != snapshot.fingerprint,

@@ -16,7 +16,7 @@ from plumbline.operators.verdicts import decide
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog
 from plumbline.sources.sizes import row_counts
-from plumbline.sources.small import small_table
+from plumbline.sources.small import kept, small_table
 from plumbline.sources.snapshot import Snapshot
 
 
@@ -69,16 +69,16 @@ def measure_join(catalog: Catalog, from_table: str, from_column: str, to_table:
 
 
 def snapshot_of(catalog: Catalog, relationships: DataFrame, suspicions: DataFrame, verdicts: DataFrame, settings: Settings) -> Snapshot:
-    """What a run leaves for a later one to compare with. The claims are those of ``prepared``."""
+    """What a run leaves for a later one to compare with, measured once here. The claims are those of ``prepared``."""
     relations, columns, keys = catalog.relations_df(), catalog.columns_df(), catalog.keys_df()
     return Snapshot(
         settings=small_table(catalog.spark, settings.measured_with(), "name string, value double"),
         relations=relations,
         columns=columns,
         keys=keys,
-        relationships=relationships,
-        suspicions=suspicions,
-        verdicts=verdicts,
+        relationships=kept(relationships),
+        suspicions=kept(suspicions),
+        verdicts=kept(verdicts),
         fingerprint=schema_fingerprint(relations, columns, keys).first()["fingerprint"],
     )
 

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog, Relation, _union
 from plumbline.sources.small import small_table
 
-SIZES = "table string, rows bigint, source string"
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate; None where there is no plan to ask, as in a remote session."""
+    if not hasattr(df, "_jdf"):
+        return None
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def bytes_setting(spark: SparkSession, name: str) -> int:
+    """A session setting such as 10MB, in bytes."""
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
 
 
 def row_counts(catalog: Catalog, names: list[str] | None = None) -> DataFrame:

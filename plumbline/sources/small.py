@@ -20,3 +20,12 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str | T.StructTy
     arrow = to_arrow_schema(struct)
     columns = [pa.array([row[i] for row in rows], type=f.type) for i, f in enumerate(arrow)]
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), struct)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """
+    What a run found about its claims, taken once: one row per claim, as a snapshot or a report holds them.
+
+    Never for rows of a table. Later steps read the result and do not measure it again.
+    """
+    return small_table(df.sparkSession, [tuple(row) for row in df.collect()], df.schema)

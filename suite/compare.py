@@ -59,7 +59,7 @@ def main(sf_dir: str, *names: str) -> int:
 
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").config("spark.log.level", "ERROR").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").config("spark.log.level", "ERROR").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     con, failed = connect(sf_dir), 0
     for name in names or QUERIES:

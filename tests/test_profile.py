@@ -84,6 +84,14 @@ def test_every_type_is_profiled(spark):
     assert (got["c", "v"]["distinct"], got["c", "v"]["non_null"], got["c", "v"]["rows"]) == (2, 3, 4)
 
 
+def test_doubles_are_told_apart_as_they_read(spark):
+    df = spark.sql("SELECT cast(v AS double) AS v FROM VALUES ('0.0'), ('-0.0'), ('NaN'), ('NaN'), ('Infinity'), ('1e7'), (null), ('0.0') AS t(v)")
+    cat = Catalog(spark, [Relation("t", df)])
+    got = profiled(cat)["t", "v"]
+    assert (got["distinct"], got["non_null"], got["rows"], got["max_length"]) == (5, 7, 8, 8)
+    assert value_lists(cat, S, [("t", "v")]).first()["values"] == ["-0.0", "0.0", "1.0E7", "Infinity", "NaN"]
+
+
 def test_partitioning_does_not_move_a_profile(spark):
     cat = polymorph(spark)
     moved = cat.replace(**{r.name: r.df.repartition(17) for r in cat.relations})
