@@ -23,11 +23,6 @@ LONG_FORM_ABOVE = 40
 # At most this many targets are broadcast into one scan.
 PROBES_PER_SCAN = 16
 
-_RELATIONSHIP_COLUMNS = (
-    "claim_id", "position", "kind", "total", "hits", "orphans", "hit", "nulls", "orphans_above", "orphans_below",
-    "candidates", "also_fits", "skipped", "empty",
-)
-
 
 @dataclass(frozen=True)
 class Relationship:
@@ -351,20 +346,22 @@ def measure_relationships(
     """
     spark = catalog.spark
     named = [(i, _spelled(catalog, r)) for i, r in enumerate(claims)]
-    reasons = {i: _unknown(catalog, r) for i, r in named}
+    reasons = {i: _unknown(catalog, r) or _unread(catalog, r) for i, r in named}
     known = [(i, r) for i, r in named if reasons[i] is None]
-    never = {i for i, r in known if not (catalog[r.from_table].populated and catalog[r.to_table].populated)}
-    unread = {i: _unread(catalog, r) for i, r in known}
-    run = [(i, r) for i, r in known if i not in never and unread[i] is None and (conditions or r.when_column is None)]
+    filled = [(i, r) for i, r in known if catalog[r.from_table].populated and catalog[r.to_table].populated]
+    run = [(i, r) for i, r in filled if conditions or r.when_column is None]
     scan = Scan.of(catalog, settings, [r.from_table for _, r in run])
+    worth = {i for i, r in run if _worth_weighing(catalog, r)}
 
-    rows = [
-        (i, r.claim_id, r.from_table, r.to_table, r.from_column, r.when_column, reasons[i] or unread.get(i), i in never)
-        for i, r in named
-    ]
-    asked = small_table(spark, 
-        rows, "position int, claim_id string, from_table string, to_table string, from_column string, when_column string, reason string, never boolean"
-    )
+    rows = []
+    for i, r in named:
+        never = [reasons[i] is None and not catalog[t].populated for t in (r.from_table, r.to_table)]
+        rows.append((i, r.claim_id, r.from_table, r.to_table, r.from_column, r.when_column, reasons[i], *never, i in worth))
+    asked = small_table(
+        spark, rows,
+        "position int, claim_id string, from_table string, to_table string, from_column string, when_column string, reason string,"
+        " never_from boolean, never_to boolean, worth boolean",
+    )
     if run:
         ran = small_table(spark, [(i, places_orphans(catalog, r)) for i, r in run], "claim int, placed boolean")
         counts = ran.join(F.broadcast(_counts(scan, run, long_form)), "claim", "left").selectExpr(
@@ -378,9 +375,9 @@ def measure_relationships(
         counts = small_table(spark, [], "claim int, total bigint, nulls bigint, hits bigint, orphans_above bigint, orphans_below bigint, lo bigint, hi bigint")
     counts = counts.selectExpr("claim", *_NUMBERS, "lo", "hi")
 
-    sizes = row_counts(catalog, sorted({t for _, r in run for t in (r.from_table, r.to_table)}))
-    from_rows = sizes.select(F.col("table").alias("from_table"), F.col("rows").alias("from_rows"))
-    to_rows = sizes.select(F.col("table").alias("to_table"), F.col("rows").alias("to_rows"))
+    sizes = row_counts(catalog, sorted({t for _, r in known for t in (r.from_table, r.to_table)}))
+    from_rows = sizes.selectExpr("table AS from_table", "rows AS from_rows")
+    to_rows = sizes.selectExpr("table AS to_table", "rows AS to_rows")
     joined = (
         asked.join(F.broadcast(counts), asked["position"] == counts["claim"], "left")
         .join(F.broadcast(from_rows), "from_table", "left")
@@ -389,28 +386,44 @@ def measure_relationships(
     discriminators = {(r.from_table, r.when_column) for _, r in run if r.when_column is not None}
     if discriminators:
         seen = table_profile(catalog, settings, discriminators, scan)
-        few = (F.col("distinct") <= settings.categorical_max_distinct) & (F.col("max_length") <= settings.categorical_max_value_length)
-        allowed = seen.select(F.col("table").alias("from_table"), F.col("column").alias("when_column"), (F.col("visible") & few).alias("allowed"))
+        allowed = seen.selectExpr(
+            "table AS from_table", "column AS when_column",
+            f"visible AND distinct <= {settings.categorical_max_distinct} AND max_length <= {settings.categorical_max_value_length} AS allowed",
+        )
         joined = joined.join(F.broadcast(allowed), ["from_table", "when_column"], "left")
     else:
         joined = joined.withColumn("allowed", F.lit(False))
 
-    no_condition = F.col("when_column").isNull() | F.coalesce("allowed", F.lit(False))
-    not_categorical = F.concat("from_table", F.lit("."), "when_column", F.lit(" is not categorical, so no condition on it is measured"))
-    no_rows = (F.col("from_rows") == 0) | (F.col("to_rows") == 0)
-    skipped = (
-        F.when(F.col("reason").isNotNull(), F.col("reason"))
-        .when(F.col("never"), S.NEVER_REFRESHED)
-        .when(F.col("from_rows") == 0, S.NO_SOURCE_ROWS)
-        .when(F.col("to_rows") == 0, S.NO_TARGET_ROWS)
-        .when(~no_condition, not_categorical)
-        .when(F.col("total") == 0, S.NO_SOURCE_ROWS)
-    )
-    is_empty = F.col("reason").isNull() & (F.col("never") | F.coalesce(no_rows, F.lit(False)) | (no_condition & F.coalesce(F.col("total") == 0, F.lit(False))))
-    told = no_condition & ~F.coalesce(no_rows, F.lit(False)) & F.col("reason").isNull()
-    numbers = {c: F.when(told, F.col(c)) for c in ("total", "nulls", "hits", "orphans", "hit", "orphans_above", "orphans_below", "lo", "hi")}
-    measured = joined.withColumns({**numbers, "skipped": skipped, "empty": is_empty, "kind": F.lit("relationship")})
-    return _weighed(catalog, measured, named, {i for i, _ in run}, settings)
+    free = "(when_column IS NULL OR coalesce(allowed, false))"
+    no_rows = "(coalesce(from_rows = 0, false) OR coalesce(to_rows = 0, false))"
+    numbers = ("total", "nulls", "hits", "orphans", "hit", "orphans_above", "orphans_below")
+    measured = joined.selectExpr(
+        "claim_id", "position", "'relationship' AS kind", "from_table", "from_column", "to_table", "lo", "hi", "worth",
+        *[f"if(reason IS NULL AND {free} AND NOT {no_rows}, {c}, null) AS {c}" for c in numbers],
+        f"""CASE WHEN reason IS NOT NULL THEN reason
+                 WHEN never_from THEN '{S.NEVER_REFRESHED}'
+                 WHEN from_rows = 0 THEN '{S.NO_SOURCE_ROWS}'
+                 WHEN never_to THEN '{S.NEVER_REFRESHED}'
+                 WHEN to_rows = 0 THEN '{S.NO_TARGET_ROWS}'
+                 WHEN NOT {free} THEN concat(from_table, '.', when_column, ' is not categorical, so no condition on it is measured')
+                 WHEN total = 0 THEN '{S.NO_SOURCE_ROWS}' END AS skipped""",
+        f"reason IS NULL AND (never_from OR never_to OR {no_rows} OR ({free} AND coalesce(total = 0, false))) AS empty",
+    )
+    if worth:
+        weighed = weak_evidence(measured, dense_keys(catalog, settings))
+        judged = f"worth AND skipped IS NULL AND hit >= {settings.join_confirmed}D"
+        weights = [f"if({judged}, {c}, null) AS {c}" for c in ("candidates", "also_fits")]
+    else:
+        weighed, weights = measured, ["cast(null AS bigint) AS candidates", "cast(null AS bigint) AS also_fits"]
+    known_columns = ("claim_id", "position", "kind", *numbers, "skipped", "empty")
+    complete = weighed.selectExpr(*known_columns, *weights)
+    return complete.selectExpr(*[c if c in complete.columns else f"cast(null AS {t}) AS {c}" for c, t in S.MEASUREMENT_TYPES.items()])
+
+
+def _worth_weighing(catalog: Catalog, r: Relationship) -> bool:
+    """A join a coincidence could confirm: inferred, from an integer, and declared by no key."""
+    declared = (r.from_table, r.from_column, r.to_table, r.to_column) in catalog.foreign
+    return r.basis == "inferred" and catalog[r.from_table].is_integer(r.from_column) and not declared
 
 
 def _spelled(catalog: Catalog, r: Relationship) -> Relationship:
@@ -454,37 +467,12 @@ def weak_evidence(measured: DataFrame, dense: DataFrame) -> DataFrame:
 
     The keys, at most ``weak_evidence_max_candidates``, reach every row as one array, so ranges are compared without a join.
     """
-    key = F.struct(F.col("table").alias("t"), F.col("column").alias("c"), F.col("lo").alias("lo"), F.col("hi").alias("hi"))
-    keys = F.coalesce(dense.agg(F.collect_list(key)).scalar(), F.array())
-
-    def other(k: Column) -> Column:
-        own = (k["t"] == F.col("from_table")) & (k["c"] == F.col("from_column"))
-        return (k["t"] != F.col("to_table")) & ~own
-
-    def fits(k: Column) -> Column:
-        return (k["lo"] <= F.col("lo")) & (k["hi"] >= F.col("hi"))
-
-    compared = F.filter("__keys", other)
-    return (
-        measured.withColumn("__keys", keys)
-        .withColumn("__keys", compared)
-        .withColumn("candidates", F.when(F.size("__keys") > 0, F.size("__keys").cast("bigint")))
-        .withColumn("also_fits", F.when(F.size("__keys") > 0, F.size(F.filter("__keys", fits)).cast("bigint")))
-        .drop("__keys")
-    )
-
-
-def _weighed(catalog: Catalog, measured: DataFrame, named: list[tuple[int, Relationship]], run: set[int], settings: Settings) -> DataFrame:
-    """Adds candidates and also_fits to confirmed inferred integer joins that no key declares; drops the value range."""
-    worth = [
-        i for i, r in named
-        if i in run and r.basis == "inferred" and catalog[r.from_table].is_integer(r.from_column)
-        and (r.from_table, r.from_column, r.to_table, r.to_column) not in catalog.foreign
-    ]
-    out = [F.col(c) if c in _RELATIONSHIP_COLUMNS else F.lit(None).cast(t).alias(c) for c, t in S.MEASUREMENT_TYPES.items()]
-    nothing = F.lit(None).cast("bigint")
-    if not worth:
-        return measured.withColumns({"candidates": nothing, "also_fits": nothing}).select(*out)
-    judged = F.col("position").isin(worth) & F.col("skipped").isNull() & (F.col("hit") >= settings.join_confirmed)
-    weighed = weak_evidence(measured, dense_keys(catalog, settings))
-    return weighed.withColumns({c: F.when(judged, F.col(c)) for c in ("candidates", "also_fits")}).select(*out)
+    fields = "struct(table AS t, column AS c, lo AS lo, hi AS hi)"
+    keys = dense.selectExpr(f"{fields} AS k").agg(F.collect_list("k")).scalar()
+    other = "k.t <> to_table AND NOT (k.t = from_table AND k.c = from_column)"
+    compared = measured.withColumn("__keys", keys).selectExpr("*", f"filter(__keys, k -> {other}) AS __others")
+    return compared.selectExpr(
+        "*",
+        "cast(nullif(size(__others), 0) AS bigint) AS candidates",
+        "if(size(__others) > 0, cast(size(filter(__others, k -> k.lo <= lo AND k.hi >= hi)) AS bigint), null) AS also_fits",
+    ).drop("__keys", "__others")

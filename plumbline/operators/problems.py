@@ -224,12 +224,12 @@ def measure_suspicions(catalog: Catalog, suspicions: list[Suspicion], settings:
         (i, Suspicion(s.kind, tuple(r.name if (r := catalog.find(t)) else t for t in s.tables), s.column, s.detail))
         for i, s in enumerate(suspicions)
     ]
-    rows, dead, values, pairs = [], set(), [], []
+    rows, dead, values, pairs, needing = [], set(), [], [], set()
     for i, s in named:
         why = _why_not(catalog, s)
         a, b = catalog.find(s.tables[0]), catalog.find(s.tables[1]) if len(s.tables) > 1 else None
         populated = same = has_key = None
-        never, needs_rows = False, False
+        never_first, never_second, needs_rows = False, False, False
         if why is None and s.kind == "dead_table":
             populated = None if a.populated else 0
             if a.populated:
@@ -240,18 +240,19 @@ def measure_suspicions(catalog: Catalog, suspicions: list[Suspicion], settings:
             same = int(a.definition is not None and a.definition == b.definition)
         elif why is None and s.kind in ("inconsistent_values", "duplicate_entity"):
             measured = [a] if s.kind == "inconsistent_values" else [a, b]
-            never, needs_rows = any(not r.populated for r in measured), True
-            if not never:
+            never_first, never_second, needs_rows = not a.populated, not measured[-1].populated, True
+            needing |= {r.name for r in measured}
+            if not (never_first or never_second):
                 values += [(i, a.name, s.column)] if s.kind == "inconsistent_values" else []
                 pairs += [(i, a, b)] if s.kind == "duplicate_entity" else []
         over = s.tables[0] if len(s.tables) > 1 else None
         second = s.tables[1] if s.kind == "duplicate_entity" and len(s.tables) > 1 else None
-        rows.append((i, s.claim_id, s.kind, over, s.tables[0], second, why, never, needs_rows, populated, same, has_key))
+        rows.append((i, s.claim_id, s.kind, over, s.tables[0], second, why, never_first, never_second, needs_rows, populated, same, has_key))
 
     asked = small_table(
         spark, rows,
-        "position int, claim_id string, kind string, over string, table string, second string, reason string, never boolean,"
-        " needs_rows boolean, populated int, same_definition int, has_primary_key int",
+        "position int, claim_id string, kind string, over string, table string, second string, reason string, never_first boolean,"
+        " never_second boolean, needs_rows boolean, populated int, same_definition int, has_primary_key int",
     )
     involved = sorted(dead | {t for _, t, _ in values} | {r.name for _, a, b in pairs for r in (a, b)})
     scan = Scan.of(catalog, settings, involved)
@@ -263,7 +264,7 @@ def measure_suspicions(catalog: Catalog, suspicions: list[Suspicion], settings:
         overlaps = _union([duplicate_overlap(scan, a, b, _shared(a, b)).select(F.lit(i).alias("position"), "*") for i, a, b in pairs])
     else:
         overlaps = small_table(spark, [], "position int, " + ", ".join(f"{c} {S.NUMBERS[c]}" for c in _OVERLAP))
-    sizes = row_counts(catalog, sorted({t for _, t, _ in values} | {r.name for _, a, b in pairs for r in (a, b)}))
+    sizes = row_counts(catalog, sorted(needing))
     joined = (
         asked.join(F.broadcast(counted), "table", "left")
         .join(F.broadcast(checked), "position", "left")
@@ -277,20 +278,21 @@ def measure_suspicions(catalog: Catalog, suspicions: list[Suspicion], settings:
     flagged = joined.selectExpr(
         "*",
         f"""CASE WHEN reason IS NOT NULL THEN reason
-                 WHEN never THEN '{S.NEVER_REFRESHED}'
+                 WHEN never_first THEN '{S.NEVER_REFRESHED}'
                  WHEN needs_rows AND first_rows = 0 THEN '{S.NO_SOURCE_ROWS}'
+                 WHEN never_second THEN '{S.NEVER_REFRESHED}'
                  WHEN needs_rows AND second_rows = 0 THEN '{S.NO_TARGET_ROWS}'
                  WHEN {nothing_found} THEN '{S.NO_SOURCE_ROWS}'
                  WHEN {many} THEN concat('not categorical: ', distinct_values, ' distinct values') END AS skipped""",
-        f"reason IS NULL AND (never OR ({no_rows}) OR {nothing_found}) AS empty",
+        f"reason IS NULL AND (never_first OR never_second OR ({no_rows}) OR {nothing_found}) AS empty",
         f"NOT ({no_rows}) AS told",
     )
     by_kind = {**dict.fromkeys(("exact", *_DEAD), "dead_table"), **dict.fromkeys(_VALUES, "inconsistent_values"), **dict.fromkeys(_OVERLAP, "duplicate_entity")}
     known = {*by_kind, "populated", "same_definition", "has_primary_key", "claim_id", "position", "kind", "over", "skipped", "empty"}
-    out = flagged.withColumns({c: F.expr(f"if(told AND reason IS NULL AND kind = '{k}', {c}, null)") for c, k in by_kind.items()})
-    measured = out.select(*[F.col(c).cast(t).alias(c) if c in known else F.lit(None).cast(t).alias(c) for c, t in S.MEASUREMENT_TYPES.items()])
-    any_number = F.coalesce(*[F.col(c).cast("double") for c in S.NUMBERS]).isNotNull()
-    return measured.withColumn("over", F.when(any_number, F.col("over")))
+    numbers = {c: f"if(told AND reason IS NULL AND kind = '{k}', {c}, null)" for c, k in by_kind.items()}
+    any_number = ", ".join(f"cast({numbers.get(c, c)} AS double)" for c in S.NUMBERS if c in known)
+    told = {**{c: c for c in known}, **numbers, "over": f"if(coalesce({any_number}) IS NOT NULL, over, null)"}
+    return flagged.selectExpr(*[f"cast({told.get(c, 'null')} AS {t}) AS {c}" for c, t in S.MEASUREMENT_TYPES.items()])
 
 
 def _dead_numbers(catalog: Catalog, tables: list[str], scan: Scan, settings: Settings) -> DataFrame:

@@ -197,3 +197,13 @@ def test_a_probed_claim_reads_only_its_columns(spark):
     assert "ReadSchema: struct<l_linenumber:int,l_returnflag:string>" in plan
     assert "ExistenceJoin" in plan
     assert frame.first()["total"] == spark.read.parquet(f"{base}/lineitem.parquet").where(F.col("l_returnflag") == "R").count()
+
+
+def test_an_empty_source_is_told_before_a_target_that_was_never_filled(spark, measured):
+    cat = shop(spark)
+    claims = [Relationship("cars", "id", "order_totals", "orders"), Relationship("orders", "id", "order_totals", "orders")]
+    got = measured(cat, claims)
+    assert [got[c.claim_id]["skipped"] for c in claims] == [
+        "no non-null rows to test",
+        "a materialized view that has never been refreshed cannot be read",
+    ]
