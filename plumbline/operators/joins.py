@@ -20,6 +20,10 @@ from plumbline.sources.small import small_table
 # Above this many claims into large targets, one join per kind of comparison replaces one join per claim.
 LONG_FORM_ABOVE = 40
 
+# A from-value on more than one in this many rows is hot; its orphan rows are spread over this many buckets.
+HOT_SHARE = 1000
+HOT_SPREAD = 100_000
+
 # At most this many targets are broadcast into one scan.
 PROBES_PER_SCAN = 16
 
@@ -233,12 +237,34 @@ def orphan_rows(catalog: Catalog, r: Relationship) -> DataFrame:
     """
     The from-rows without a match, whole, for the caller alone.
 
-    An anti join: a small target is broadcast, and a large one's hot partitions are split by adaptive execution.
+    A small target is broadcast and nothing is shuffled. Against a large one the few values that each hold a share of
+    1 / HOT_SHARE of the rows are counted and looked up first; there are at most HOT_SHARE of them, so their answer is
+    broadcast, their matched rows are dropped where they are read and their orphans are spread over all partitions.
+    The other rows meet the target by value, none of which is large.
     """
     frm, on = catalog[r.from_table], _condition(catalog[r.from_table], r)
     df = frm.df if on is None else frm.df.where(on)
+    target = _target(catalog, r)
     keyed = df.where(cell(r.from_column).isNotNull()).withColumn("__k", _key(frm, r.from_column, comparison(catalog, r)))
-    return keyed.join(_target(catalog, r), F.col("__k") == F.col("t"), "left_anti").drop("__k")
+    if fits_broadcast(target):
+        return keyed.join(target, F.col("__k") == F.col("t"), "left_anti").drop("__k")
+    rows = keyed.agg(F.count(F.lit(1))).scalar()
+    hot = keyed.groupBy("__k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_SHARE >= rows)
+    keys = target.where("t IS NOT NULL").distinct()
+    answer = hot.join(keys, F.col("__k") == F.col("t"), "left").selectExpr("__k AS __hot", "t IS NULL AS __orphan")
+    known = keyed.join(F.broadcast(answer), F.col("__k") == F.col("__hot"), "left").where("coalesce(__orphan, true)")
+    spread = F.pmod(F.xxhash64(*[cell(c) for c in frm.struct.names if _hashable(frm.type_of(c))]), F.lit(HOT_SPREAD))
+    placed = known.withColumns({
+        "__at": F.when(F.col("__hot").isNull(), F.lit(0).cast("bigint")).otherwise(spread),
+        "__cold": F.when(F.col("__hot").isNull(), F.col("__k")),
+    })
+    # Always 0, but not a constant: the planner would drop a constant from the keys the rows are partitioned by.
+    met = keys.selectExpr("t", "pmod(xxhash64(t), 1L) AS t_at")
+    return placed.join(met, F.expr("__cold = t AND __at = t_at"), "left_anti").drop("__k", "__hot", "__orphan", "__at", "__cold")
+
+
+def _hashable(dt: T.DataType) -> bool:
+    return "map<" not in dt.simpleString() and not isinstance(dt, T.VariantType)
 
 
 def join_hit_rate_by_branch(catalog: Catalog, r: Relationship, discriminator: str, settings: Settings | None = None) -> DataFrame:

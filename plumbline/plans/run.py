@@ -84,7 +84,8 @@ def snapshot_of(catalog: Catalog, relationships: DataFrame, suspicions: DataFram
 
 
 def reports(catalog: Catalog, relationships: DataFrame, suspicions: DataFrame, verdicts: DataFrame, settings: Settings) -> DataFrame:
-    """(table, report) of every relation of the catalog."""
+    """(table, report) of every relation of the catalog. The verdicts are measured once, for joins and problems alike."""
+    relationships, suspicions, verdicts = kept(relationships), kept(suspicions), kept(verdicts)
     categorical = listed_columns(table_profile(catalog, settings), "categorical")
     lists = value_lists(catalog, settings, categorical)
     return table_reports(catalog.relations_df(), row_counts(catalog), catalog.keys_df(), relationships, suspicions, verdicts, lists)

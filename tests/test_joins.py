@@ -164,7 +164,27 @@ def test_orphans_and_a_hot_key(spark, measured):
         hits = sum(1 for v in values if v < 20_000 and v % 2 == 0)
         above = sum(1 for v in values if v > 19_998)
         assert numbers(row, "total", "nulls", "hits", "orphans_above", "orphans_below") == [20_000, 10_000, hits, above, 0]
-        assert orphan_rows(cat, claim).count() == 20_000 - hits
+        orphans = orphan_rows(cat, claim)
+        assert orphans.columns == ["k", "payload"]
+        wanted = sorted((7 if i % 3 == 0 else i, i) for i in range(30_000) if i % 3 == 0 or (i % 3 == 2 and not (i < 20_000 and i % 2 == 0)))
+        assert len(wanted) == 20_000 - hits
+        assert sorted(map(tuple, orphans.collect())) == wanted
+
+
+def test_hot_rows_are_returned_or_dropped_without_one_task_holding_them(spark, monkeypatch):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
+    facts = spark.range(20_000).selectExpr("CASE id % 3 WHEN 0 THEN 7 WHEN 1 THEN 8 ELSE id END AS k", "id AS payload")
+    cat = Catalog(spark, [Relation("facts", facts), Relation("keys", spark.range(0, 20_000, 2).toDF("id"))])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        orphans = orphan_rows(cat, Relationship("facts", "k", "keys", "id"))
+        by_task = [r["n"] for r in orphans.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    wanted = sum(1 for i in range(20_000) if i % 3 == 0 or (i % 3 == 2 and i % 2))
+    assert sum(by_task) == wanted and len(by_task) == 8 and max(by_task) < wanted / 6
 
 
 def test_branches(spark):
