@@ -125,13 +125,15 @@ def _probed(scan: Scan, claims: list[tuple[int, Relationship]], ends: dict) -> D
     frm = scan.catalog[claims[0][1].from_table]
     keys = [(i, _key(frm, r.from_column, comparison(scan.catalog, r)), _condition(frm, r)) for i, r in claims]
     values = scan(frm).select(*[(k if on is None else F.when(on, k)).alias(f"k{i}") for i, k, on in keys], *[on.alias(f"on{i}") for i, _, on in keys if on is not None])
-    found = {f"hit{i}": _target(scan.catalog, r).where(F.col("t") == F.col(f"k{i}").outer()).exists() for i, r in claims}
-    probed = values.select("*", *[hit.alias(name) for name, hit in found.items()])
+    probed = values
+    for i, r in claims:
+        keys = _target(scan.catalog, r).where("t IS NOT NULL").distinct().withColumnRenamed("t", f"t{i}")
+        probed = probed.join(F.broadcast(keys), F.col(f"k{i}") == F.col(f"t{i}"), "left")
     counts, rows = [], []
     for i, r in claims:
         rowcount = "count(1)" if r.when_column is None else f"count_if(on{i})"
         whole = frm.is_integer(r.from_column)
-        counts += [f"count(k{i}) AS total{i}", f"{rowcount} - count(k{i}) AS nulls{i}", f"count_if(hit{i}) AS hits{i}"]
+        counts += [f"count(k{i}) AS total{i}", f"{rowcount} - count(k{i}) AS nulls{i}", f"count(t{i}) AS hits{i}"]
         counts += [f"min(try_cast(k{i} AS bigint)) AS lo{i}", f"max(try_cast(k{i} AS bigint)) AS hi{i}"] if whole else [f"cast(null AS bigint) AS lo{i}", f"cast(null AS bigint) AS hi{i}"]
         placed = (r.to_table, r.to_column) in ends
         counts += [] if placed else [f"cast(null AS bigint) AS above{i}", f"cast(null AS bigint) AS below{i}"]

@@ -215,7 +215,7 @@ def test_a_probed_claim_reads_only_its_columns(spark):
     frame = joins.join_hit_rate(cat, Relationship("lineitem", "l_linenumber", "nation", "n_nationkey", "l_returnflag", "R"))
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_linenumber:int,l_returnflag:string>" in plan
-    assert "ExistenceJoin" in plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert frame.first()["total"] == spark.read.parquet(f"{base}/lineitem.parquet").where(F.col("l_returnflag") == "R").count()
 
 
