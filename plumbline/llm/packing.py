@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,8 +23,9 @@ from plumbline.llm.common import keep, slices, texts_of
 
 CAPACITY = 2048
 END_ID = 0
-FILLINGS = 6
-SEARCH_NODES = 20_000
+FILLINGS = 4
+TRIES_PER_FILLING = 8
+SEARCH_NODES = 3_000
 RANK_GROUP_ROWS = 2_000
 
 Pattern = tuple[int, dict[int, int]]  # sequences that look so, pieces of each length in one
@@ -120,6 +122,7 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
 def fillings(counts: dict[int, int], room: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
     """Undominated fillings of the room, least waste first; larger pieces first among equals."""
     lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
+    smaller = [-x for x in lengths]
     within = (1 << (room + 1)) - 1
     sums = [1] * (len(lengths) + 1)  # bit s of sums[i]: lengths[i:] can add up to s
     for i in range(len(lengths) - 1, -1, -1):
@@ -136,8 +139,9 @@ def fillings(counts: dict[int, int], room: int, most: int = FILLINGS) -> list[tu
             if not any(_dominates(a, chosen) for a in found):
                 found.append(chosen)
             return
+        i = max(i, bisect_left(smaller, -target))
         while i < len(lengths) and len(found) < wanted:
-            if lengths[i] <= target and sums[i] >> target & 1:
+            if sums[i] >> target & 1:
                 for k in range(min(counts[lengths[i]], target // lengths[i]), 0, -1):
                     if sums[i + 1] >> (target - k * lengths[i]) & 1:
                         add(i + 1, target - k * lengths[i], chosen + (lengths[i],) * k)
@@ -147,7 +151,7 @@ def fillings(counts: dict[int, int], room: int, most: int = FILLINGS) -> list[tu
                 return
             i += 1
 
-    budget = [50 * most]
+    budget = [TRIES_PER_FILLING * most]
 
     def tries() -> int:
         budget[0] -= 1
@@ -157,7 +161,7 @@ def fillings(counts: dict[int, int], room: int, most: int = FILLINGS) -> list[tu
     while reach and len(found) < most:
         best = reach.bit_length() - 1
         wanted = min(most, len(found) + max(1, most // 2))
-        budget[0] = 50 * most
+        budget[0] = TRIES_PER_FILLING * most
         add(0, best, ())
         reach ^= 1 << best
         if best == room and found and len(found[0]) == 1:

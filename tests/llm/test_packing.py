@@ -41,9 +41,9 @@ def fewest(items, capacity):
 
 def test_small_packings_are_the_fewest():
     rng = random.Random(1)
-    for _ in range(60):
+    for _ in range(40):
         capacity = rng.choice([10, 17, 30])
-        items = [rng.randint(1, capacity) for _ in range(rng.randint(1, 9))]
+        items = [rng.randint(1, capacity) for _ in range(rng.randint(1, 8))]
         counts = Counter(items)
         check_patterns(packing.best_fit(counts, capacity), counts, capacity)
         found = packing.complete(counts, capacity)
@@ -56,7 +56,7 @@ def test_many_pieces(sizes):
     rng = random.Random(2)
     counts = Counter(rng.randint(*sizes) for _ in range(20_000))
     counts[2048] += 5
-    found = packing.complete(counts, nodes=3000)
+    found = packing.complete(counts, nodes=400)
     check_patterns(found, counts, 2048)
     assert sequences(found) <= sequences(packing.best_fit(counts))
 
