@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import neardup, packing, substrings
+from plumbline.llm import decontaminate, neardup, packing, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.is_contaminated().alias("contaminated"),
+    )
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -33,9 +41,37 @@ def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_simhash_neardup": op9_simhash_neardup,
 }
 
-ORACLES: dict[str, str] = {}
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op3_decontamination": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), i AS (
+            SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS v FROM benchmark
+        ), iw AS (
+            SELECT DISTINCT item, least(13, len(v)) AS n, array_to_string(v[k : k + least(13, len(v)) - 1], ' ') AS s
+            FROM (SELECT item, v, unnest(range(1, greatest(1, len(v) - 12) + 1)) AS k FROM i WHERE len(v) > 0) AS t
+        ), ns AS (
+            SELECT DISTINCT n FROM iw
+        ), dw AS (
+            SELECT r, k, n, array_to_string(w[k : k + n - 1], ' ') AS s
+            FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d CROSS JOIN ns WHERE len(w) >= n) AS t
+        ), m AS (
+            SELECT dw.r, dw.k, dw.n, iw.item FROM dw JOIN iw ON dw.n = iw.n AND dw.s = iw.s
+        ), h AS (
+            SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM m) AS t GROUP BY r
+        ), g AS (
+            SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM m) AS t GROUP BY r
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN g ON g.r = d.r
+    """,
+}
