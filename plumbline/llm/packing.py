@@ -25,7 +25,8 @@ CAPACITY = 2048
 END_ID = 0
 FILLINGS = 4
 TRIES_PER_FILLING = 8
-SEARCH_NODES = 3_000
+LONG_FILLING = 16  # pieces beyond which a filling is not compared with others
+SEARCH_NODES = 6_000
 RANK_GROUP_ROWS = 2_000
 
 Pattern = tuple[int, dict[int, int]]  # sequences that look so, pieces of each length in one
@@ -136,7 +137,7 @@ def fillings(counts: dict[int, int], room: int, most: int = FILLINGS) -> list[tu
 
     def add(i: int, target: int, chosen: tuple[int, ...]) -> None:
         if target == 0:
-            if not any(_dominates(a, chosen) for a in found):
+            if len(chosen) > LONG_FILLING or not any(_dominates(a, chosen) for a in found):
                 found.append(chosen)
             return
         i = max(i, bisect_left(smaller, -target))
@@ -158,7 +159,9 @@ def fillings(counts: dict[int, int], room: int, most: int = FILLINGS) -> list[tu
         return budget[0]
 
     reach = sums[0]
-    while reach and len(found) < most:
+    for _ in range(most):  # that many different wastes at most
+        if not reach or len(found) >= most:
+            break
         best = reach.bit_length() - 1
         wanted = min(most, len(found) + max(1, most // 2))
         budget[0] = TRIES_PER_FILLING * most
@@ -186,16 +189,17 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEAR
         left[largest] += 1
         return iter([(largest, *x) for x in options])
 
-    def waste() -> int:
-        return sum(n * (capacity - sum(x * k for x, k in p.items())) for n, p in path)
+    def waste(n: int, pattern: dict[int, int]) -> int:
+        return n * (capacity - sum(x * k for x, k in pattern.items()))
 
-    stack = [choices()]
+    stack, wasted = [choices()], 0
     while stack and nodes > 0 and used > least:
         option = next(stack[-1], None)
         if option is None:
             stack.pop()
             if path:
                 n, pattern = path.pop()
+                wasted -= waste(n, pattern)
                 for x, k in pattern.items():
                     left[x] = left.get(x, 0) + n * k
             continue
@@ -203,11 +207,12 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEAR
         pattern = dict(Counter(option))
         n = min(left[x] // k for x, k in pattern.items())
         path.append((n, pattern))
+        wasted += waste(n, pattern)
         for x, k in pattern.items():
             left[x] -= n * k
             if not left[x]:
                 del left[x]
-        if waste() > (used - 1) * capacity - total:
+        if wasted > (used - 1) * capacity - total:
             stack.append(iter(()))
         elif left:
             stack.append(choices())
