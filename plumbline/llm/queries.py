@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, neardup, packing, substrings
+from plumbline.llm import decontaminate, neardup, packing, private, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,16 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op8_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and base_sha256 are of the plain spans, spans is of all."""
+    found = private.find_identifiers(_table(spark, sf_dir, "documents"))
+    plain = F.filter("spans", lambda s: s["plain"])
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter(plain, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in private.KINDS]
+    added = F.size(F.filter("spans", lambda s: ~s["plain"])).cast("long")
+    return found.select("doc_id", *counts, F.sha2(written(plain), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), added.alias("n_disguised"))
+
+
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -44,6 +54,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_pii_deobfuscation": op8_pii_deobfuscation,
     "op9_simhash_neardup": op9_simhash_neardup,
 }
 
