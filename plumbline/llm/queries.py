@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, neardup, packing, private, substrings
+from plumbline.llm import decontaminate, language, neardup, packing, private, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), train=~held_out("doc_id", 4, 2))
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
 def tokenizer_files() -> tuple[str, str]:
     """Ranks and word pattern of the public byte-level BPE with 50,257 ids. Its file for the tokenizers library has the same ids."""
     import public_tokenizers
@@ -19,6 +24,16 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def held_out(doc_id: str, folds: int, fold: int) -> Column:
+    """Whether the checksum of the id as text falls into the fold that is not learned from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(_table(spark, sf_dir, "documents"), train=~held_out("doc_id", 5, 0))
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -51,11 +66,13 @@ def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_pii_deobfuscation": op8_pii_deobfuscation,
     "op9_simhash_neardup": op9_simhash_neardup,
+    "op10_toxicity": op10_toxicity,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
