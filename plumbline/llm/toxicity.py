@@ -140,7 +140,7 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_
         features = Features()
         for part in slices(batches):
             z = np.array([weights[features.of(t)].sum() for t in texts_of(part.column(1))]) + bias
-            p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            p = np.where(z < -700, 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 700))))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return rows.mapInArrow(scored, f"doc_id {kind}, score double, predicted int")
