@@ -59,7 +59,8 @@ def op8_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = private.find_identifiers(_table(spark, sf_dir, "documents"))
     plain = F.filter("spans", lambda s: s["plain"])
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter(plain, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in private.KINDS]
+    number = lambda kind: F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [number(kind) for kind in private.KINDS]
     added = F.size(F.filter("spans", lambda s: ~s["plain"])).cast("long")
     return found.select("doc_id", *counts, F.sha2(written(plain), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), added.alias("n_disguised"))
 
