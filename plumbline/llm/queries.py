@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, neardup, packing, private, substrings, topk, toxicity
+from plumbline.llm import decontaminate, language, neardup, packing, private, revisits, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,35 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def captures_of_pages(pages: DataFrame) -> DataFrame:
+    """Each page as captures of one URL over time: a full response, and three revisits that write the URL in another way, one of them from
+    before the response. Validators come from the page; every seventh page has changed them before its last revisit, every fifth has no
+    entity tag."""
+    page, tag = F.col("page_id"), F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    changed, untagged = page % 7 == 0, page % 5 == 0
+    spelled = [F.col("url"), F.concat("url", F.lit("#again")), F.regexp_replace("url", "^http", "HTTP"), F.col("url")]
+
+    def capture(n: int) -> Column:
+        last = F.lit(n == 2)
+        etag = F.when(~untagged, F.when(changed & last, F.lit('"new"')).otherwise(F.concat(F.lit("W/" * (n == 1)), tag)))
+        modified = F.when(page % 10 != 0, F.when(changed & last, F.lit("changed")).otherwise(F.concat(F.lit("day "), F.pmod(page, F.lit(28)).cast("string"))))
+        fields = [("Date", F.concat(F.lit(f"at {n} of "), page.cast("string"))), ("Content-Type" if n == 0 else "X-Cache", F.lit("text/html" if n == 0 else "hit")), ("ETag", etag)]
+        headers = F.array(*[F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in fields])
+        when = page * 10 + (-1 if n == 3 else n)
+        return F.struct(
+            (page * 4 + n).alias("record_id"), spelled[n].alias("url"), when.alias("at"), F.lit(revisits.REVISIT if n else revisits.RESPONSE).alias("kind"),
+            etag.alias("etag"), modified.alias("last_modified"), headers.alias("headers"),
+        )
+
+    return pages.select(F.explode(F.array(*[capture(n) for n in range(4)])).alias("c")).select("c.*")
+
+
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(captures_of_pages(_table(spark, sf_dir, "pages")))
+    written = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit("="), F.coalesce(h["value"], F.lit("")))), ";")
+    return found.select("record_id", "canonical", F.col("at").alias("captured_at"), "status", "response_id", written.alias("merged_headers"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -74,6 +103,7 @@ QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
+    "op4_warc_revisits": op4_warc_revisits,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_pii_deobfuscation": op8_pii_deobfuscation,
@@ -99,6 +129,40 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op4_warc_revisits": r"""
+        WITH p AS (
+            SELECT page_id, url, '"' || md5(html) || '"' AS tag, n FROM pages CROSS JOIN (SELECT unnest(range(0, 4)) AS n) AS t
+        ), raw AS (
+            SELECT page_id * 4 + n AS record_id, page_id * 10 + CASE WHEN n = 3 THEN -1 ELSE n END AS captured_at, n, page_id,
+                CASE n WHEN 1 THEN url || '#again' WHEN 2 THEN regexp_replace(url, '^http', 'HTTP') ELSE url END AS url,
+                CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 7 = 0 AND n = 2 THEN '"new"' WHEN n = 1 THEN 'W/' || tag ELSE tag END AS etag,
+                CASE WHEN page_id % 10 = 0 THEN NULL WHEN page_id % 7 = 0 AND n = 2 THEN 'changed' ELSE 'day ' || CAST(page_id % 28 AS VARCHAR) END AS last_modified,
+                'at ' || CAST(n AS VARCHAR) || ' of ' || CAST(page_id AS VARCHAR) AS date
+            FROM p
+        ), parts AS (
+            SELECT *, lower(regexp_extract(url, '^([A-Za-z]+)://([^/?#:]+)([^?#]*)(\?([^#]*))?', 1)) AS scheme,
+                lower(regexp_extract(url, '^([A-Za-z]+)://([^/?#:]+)([^?#]*)(\?([^#]*))?', 2)) AS host,
+                regexp_replace(regexp_extract(url, '^([A-Za-z]+)://([^/?#:]+)([^?#]*)(\?([^#]*))?', 3), '/+$', '') AS path,
+                regexp_extract(url, '^([A-Za-z]+)://([^/?#:]+)([^?#]*)(\?([^#]*))?', 5) AS query
+            FROM raw
+        ), c AS (
+            SELECT *, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END
+                || CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(query, '&')), '&') END AS canonical
+            FROM parts
+        ), j AS (
+            SELECT v.*, r.record_id AS rid, r.etag AS r_etag, r.last_modified AS r_modified, r.page_id AS r_page,
+                row_number() OVER (PARTITION BY v.record_id ORDER BY r.captured_at DESC, r.record_id DESC) AS k
+            FROM c AS v LEFT JOIN c AS r ON r.n = 0 AND r.canonical = v.canonical AND (r.captured_at < v.captured_at OR r.captured_at = v.captured_at AND r.record_id < v.record_id)
+            WHERE v.n > 0
+        ), s AS (
+            SELECT *, coalesce(regexp_replace(etag, '^W/', '') = regexp_replace(r_etag, '^W/', ''), last_modified = r_modified) AS same FROM j WHERE k = 1
+        )
+        SELECT record_id, canonical, captured_at,
+            CASE WHEN rid IS NULL THEN 'no_earlier_response' WHEN same THEN 'resolved' WHEN same IS NULL THEN 'no_validator' ELSE 'validator_mismatch' END AS status,
+            CASE WHEN same THEN rid END AS response_id,
+            CASE WHEN same THEN 'content-type=text/html;date=' || date || ';etag=' || coalesce(etag, '') END AS merged_headers
+        FROM s
+    """,
     "op3_decontamination": rf"""
         WITH d AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
