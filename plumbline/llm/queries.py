@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, neardup, packing, private, revisits, substrings, topk, toxicity
+from plumbline.llm import decontaminate, language, lines, neardup, packing, private, revisits, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.remove_similar_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), with_counts=True)
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), *tokenizer_files())
 
@@ -105,6 +110,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_warc_revisits": op4_warc_revisits,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_pii_deobfuscation": op8_pii_deobfuscation,
     "op9_simhash_neardup": op9_simhash_neardup,
@@ -114,6 +120,37 @@ QUERIES = {
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op6_line_dedup": r"""
+        WITH a AS (
+            SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+        ), l AS (
+            SELECT doc_id, text, unnest(range(1, len(ls) + 1)) AS ln, unnest(ls) AS line FROM a
+        ), w AS (
+            SELECT doc_id, text, ln, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \t\r\f\x0B]+'), lambda x: x <> ''))) AS s FROM l
+        ), f AS (
+            SELECT s, min(doc_id * 1000000 + ln) AS o FROM w WHERE len(s) > 0 GROUP BY s
+        ), e AS (
+            SELECT s, o, len(s) AS n, unnest(s) AS t FROM f
+        ), c AS (
+            SELECT t, count(*) AS c FROM e GROUP BY t
+        ), p AS (
+            SELECT e.s, e.o, e.n, e.t, row_number() OVER (PARTITION BY e.o ORDER BY c.c, e.t) AS k FROM e JOIN c ON c.t = e.t
+        ), q AS (
+            SELECT * FROM p WHERE k <= n - CAST(ceil(n * 4 / 5) AS BIGINT) + 1
+        ), m AS (
+            SELECT DISTINCT x.o, x.s AS xs, y.s AS ys FROM q AS x JOIN q AS y ON x.t = y.t AND x.o > y.o AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n
+        ), r AS (
+            SELECT DISTINCT o FROM m WHERE 5 * len(list_intersect(xs, ys)) >= 4 * (len(xs) + len(ys) - len(list_intersect(xs, ys)))
+        ), g AS (
+            SELECT w.doc_id, w.text, w.ln, w.line, f.o IS NOT NULL AND (f.o <> w.doc_id * 1000000 + w.ln OR r.o IS NOT NULL) AS gone
+            FROM w LEFT JOIN f ON f.s = w.s LEFT JOIN r ON r.o = f.o
+        ), d AS (
+            SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+                sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY ln), '')) AS kept_sha256
+            FROM g GROUP BY doc_id
+        )
+        SELECT a.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, kept_sha256 FROM a LEFT JOIN d ON d.doc_id = a.doc_id
+    """,
     "op1_exact_topk": """
         WITH c AS (
             SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings WHERE embedding IS NOT NULL
