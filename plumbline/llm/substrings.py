@@ -34,27 +34,24 @@ FOUND = "t1 long, t2 long, chunk long, at array<int>"
 
 
 class WordHashes:
-    """Two 64-bit hashes of each word, computed once per word while the cache lasts."""
+    """Two 64-bit hashes of each word, computed once per word while the cache lasts. The table doubles when it is full."""
 
     def __init__(self):
         self.place: dict[bytes, int] = {}
-        self.first: list[int] = []
-        self.second: list[int] = []
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        try:
-            at = [self.place[w] for w in words]
-        except KeyError:
-            if len(self.place) > MOST_CACHED_WORDS:
-                self.__init__()
-            for w in set(words).difference(self.place):
-                h = xxh3_128_intdigest(w)
-                self.place[w] = len(self.first)
-                self.first.append(h & 0xFFFFFFFFFFFFFFFF)
-                self.second.append(h >> 64)
-            at = [self.place[w] for w in words]
-            self.arrays = np.array(self.first, np.uint64), np.array(self.second, np.uint64)
-        return self.arrays[0][at], self.arrays[1][at]
+        self.table = np.zeros((2, 1 << 12), np.uint64)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        new = set(words).difference(self.place)
+        if new and len(self.place) + len(new) > MOST_CACHED_WORDS:
+            self.__init__()
+            new = set(words)
+        for w in new:
+            at = self.place[w] = len(self.place)
+            if at == self.table.shape[1]:
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+            h = xxh3_128_intdigest(w)
+            self.table[0, at], self.table[1, at] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
+        return self.table[:, [self.place[w] for w in words]]
 
 
 class Rolling:
