@@ -26,11 +26,10 @@ COVER = (3, 6, 7, 12, 14)  # its differences modulo 21 are 0 to 20
 CHUNK_WORDS = 2_000_000
 BUCKET_BYTES = 16_000_000
 LEAST_BUCKETS = 12
-MERGE_GROUPS = 64
 BASE = 0x9E3779B97F4A7C15
 
 ENTRIES = "bucket int, hash binary, pos binary, doc binary, alone binary, texts binary"
-FOUND = "t1 long, t2 long, chunk long, at array<int>"
+FOUND = "part int, t1 binary, t2 binary, pos binary"
 
 
 class WordHashes:
@@ -137,8 +136,15 @@ class _Chunk:
         self.clear()
 
 
-def _repeated(width: int) -> Callable[[pa.Table], pa.Table]:
-    """Of a bucket's entries, the places whose hash another entry has or that were not alone in their chunk, once for each text."""
+def _distinct(t1: np.ndarray, t2: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each place once, ordered by text and position."""
+    order, starts = _groups([t1, t2, pos])
+    return tuple(x[order[starts]] for x in (t1, t2, pos))
+
+
+def _repeated(width: int, parts: int) -> Callable[[pa.Table], pa.Table]:
+    """Of a bucket's entries, the places whose hash another entry has or that were not alone in their chunk, once for each text. They leave
+    in a row for each part of the texts."""
 
     def of(table: pa.Table) -> pa.Table:
         keys, pos, text, alone = [[] for _ in range(width)], [], [], []
@@ -154,26 +160,31 @@ def _repeated(width: int) -> Callable[[pa.Table], pa.Table]:
         order, starts = _groups(keys)
         sizes = np.diff(np.append(starts, len(order)))
         use = order[np.repeat(sizes > 1, sizes) | ~alone[order]]
-        t1, t2, pos = text[use, 0], text[use, 1], pos[use]
-        by_text = np.lexsort([pos, t2, t1])
-        t1, t2, pos = t1[by_text], t2[by_text], pos[by_text].astype(np.int32)
-        new = np.ones(len(pos), bool)
-        new[1:] = (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])
-        heads = np.flatnonzero(new)
-        offsets = np.append(heads, len(pos)).astype(np.int32)
-        at = pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos))
-        bucket = np.full(len(heads), table.column("bucket")[0].as_py(), np.int64)
-        return pa.Table.from_arrays([pa.array(t1[heads]), pa.array(t2[heads]), pa.array(bucket), at], ["t1", "t2", "chunk", "at"])
+        t1, t2, pos = _distinct(text[use, 0], text[use, 1], pos[use])
+        part = (t1 % parts).astype(np.int32)
+        by_part = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[by_part], np.arange(parts + 1))
+        out = [(i, *[x[by_part[bounds[i] : bounds[i + 1]]].tobytes() for x in (t1, t2, pos)]) for i in range(parts) if bounds[i] < bounds[i + 1]]
+        return pa.table({name: pa.array([r[i] for r in out], kind) for i, (name, kind) in enumerate([("part", pa.int32()), ("t1", pa.binary()), ("t2", pa.binary()), ("pos", pa.binary())])})
 
     return of
 
 
-def _by_text(entries: DataFrame, width: int) -> DataFrame:
-    """t1, t2, at: all repeated places of a text. Places meet in two steps, so that no group gathers from all buckets at once."""
-    found = entries.groupBy("bucket").applyInArrow(_repeated(width), FOUND)
-    merged = F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")
-    parts = found.groupBy("t1", "t2", F.pmod("chunk", F.lit(MERGE_GROUPS)).alias("part")).agg(merged)
-    return parts.groupBy("t1", "t2").agg(merged)
+def _merged(table: pa.Table) -> pa.Table:
+    """t1, t2, at: all places of each text."""
+    t1, t2, pos = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("t1", np.int64), ("t2", np.int64), ("pos", np.uint32)))
+    t1, t2, pos = _distinct(t1, t2, pos)
+    new = np.ones(len(pos), bool)
+    new[1:] = (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])
+    heads = np.flatnonzero(new)
+    at = pa.ListArray.from_arrays(pa.array(np.append(heads, len(pos)).astype(np.int32)), pa.array(pos.astype(np.int32)))
+    return pa.Table.from_arrays([pa.array(t1[heads]), pa.array(t2[heads]), at], ["t1", "t2", "at"])
+
+
+def _by_text(entries: DataFrame, width: int, parts: int) -> DataFrame:
+    """t1, t2, at: all repeated places of a text. Buckets answer to as many parts of the texts as there are buckets."""
+    found = entries.groupBy("bucket").applyInArrow(_repeated(width, parts), FOUND)
+    return found.groupBy("part").applyInArrow(_merged, "t1 long, t2 long, at array<int>")
 
 
 def _anchor_entries(texts: DataFrame, window: int, buckets: int, chunk_words: int) -> DataFrame:
@@ -260,12 +271,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError(f"a window has at least {PERIOD} words")
     rows = with_text_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     words = total(rows, _words("text"))
-    anchors = _anchor_entries(rows, window, _bucket_count(words * len(COVER) / PERIOD, 1), chunk_words)
-    near = keep(_by_text(anchors, 1), "repeated-anchors")
+    buckets = _bucket_count(words * len(COVER) / PERIOD, 1)
+    near = keep(_by_text(_anchor_entries(rows, window, buckets, chunk_words), 1, buckets), "repeated-anchors")
     # Rows of one text stay rows of their own here, because each is a second place for the windows of the others.
     near_rows = keep(rows.join(near, ["t1", "t2"]).select("t1", "t2", "text", "at"), "texts-with-repeats")
-    windows = _window_entries(near_rows, window, _bucket_count(total(near_rows, F.size("at").cast("long")) * PERIOD / len(COVER), 2), chunk_words)
-    starts = _by_text(windows, 2).withColumnRenamed("at", "starts")
+    buckets = _bucket_count(total(near_rows, F.size("at").cast("long")) * PERIOD / len(COVER), 2)
+    starts = _by_text(_window_entries(near_rows, window, buckets, chunk_words), 2, buckets).withColumnRenamed("at", "starts")
     finished = near_rows.drop("at").join(starts, ["t1", "t2"]).select("t1", "t2", "text", "starts")
     changed = finished.mapInArrow(_kept(window), "t1 long, t2 long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     whole = rows.withColumn("starts", F.lit(None).cast("array<int>"))
