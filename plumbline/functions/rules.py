@@ -51,6 +51,15 @@ def status(s: Settings) -> Column:
         ELSE 'unverifiable' END""")
 
 
+# How bad a status is, where a claim's statuses can be compared at all.
+JOIN_RANKS = {"confirmed": 0, "broken": 1, "rejected": 2}
+SUSPICION_RANKS = {"rejected": 0, "confirmed": 1}
+
+
+def _rank(status: Column, ranks: dict[str, int]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])[status]
+
+
 def change_class(
     is_relationship: Column,
     before: Column,
@@ -60,20 +69,17 @@ def change_class(
     missing: Column,
     tolerance: float,
 ) -> Column:
-    """What happened to a claim between two runs, by the first rule that applies."""
-    moved = F.coalesce(F.abs(hit_after - hit_before), F.lit(0.0))
-    drifted = (moved > 0) & (moved + F.lit(_EPSILON) >= tolerance)
-    move = F.concat(before, F.lit(">"), after)
-    worse = F.when(is_relationship, move.isin("confirmed>broken", "confirmed>rejected", "broken>rejected")).otherwise(
-        move == "rejected>confirmed"
-    )
-    better = F.when(is_relationship, move == "broken>confirmed").otherwise(move == "confirmed>rejected")
-    return (
-        F.when(missing.isNotNull(), "stale")
-        .when((before == after) & drifted, "drift")
-        .when(before == after, "unchanged")
-        .when(worse, "regression")
-        .when(better, "improved")
-        .when((before == "unverifiable") | (after == "unverifiable"), "not measured")
-        .otherwise("changed")
-    )
+    """
+    What happened to a claim between two runs.
+
+    A status of a higher rank than before is a regression. Only a fall from rank 1 to 0 is an improvement: a rejected join
+    that holds now was another claim then. Statuses without a rank are changed or, where nothing was measured, not compared.
+    """
+    old, new = (F.when(is_relationship, _rank(s, JOIN_RANKS)).otherwise(_rank(s, SUSPICION_RANKS)) for s in (before, after))
+    step = F.abs(hit_after - hit_before)
+    drifts = F.coalesce((step > 0) & (step + F.lit(_EPSILON) >= tolerance), F.lit(False))
+    unmeasured = F.lit("unverifiable").isin(before, after)
+    compared = F.when(new > old, "regression").when((old == 1) & (new == 0), "improved")
+    moved = F.coalesce(compared, F.when(unmeasured, "not measured").otherwise("changed"))
+    stayed = F.when(drifts, "drift").otherwise("unchanged")
+    return F.when(missing.isNotNull(), "stale").otherwise(F.when(before == after, stayed).otherwise(moved))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def percent(share: Column) -> Column:
-    return F.format_string("%.1f%%", share * 100)
+    return F.when(share.isNotNull(), F.format_string("%.1f%%", share * 100))
 
 
 def number(value: Column) -> Column:
@@ -24,12 +27,21 @@ def plural(count: Column, noun: str) -> Column:
     return F.when(count == 1, F.lit(noun)).otherwise(F.lit(noun + "s"))
 
 
+# What an escape string writes for a character that would not stay on the line, or would be read as an escape.
+_ESCAPES = {"\\": "\\\\", "\n": "\\n", "\r": "\\r"}
+
+
 def sql_literal(text: Column) -> Column:
-    """A value as SQL writes a string, on one line: quotes doubled, a line break escaped in E'' form."""
-    quoted = F.replace(text, F.lit("'"), F.lit("''"))
-    escaped = F.replace(F.replace(F.replace(quoted, F.lit("\\"), F.lit("\\\\")), F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
-    broken = text.contains("\n") | text.contains("\r")
-    return F.when(broken, F.concat(F.lit("E'"), escaped, F.lit("'"))).otherwise(F.concat(F.lit("'"), quoted, F.lit("'")))
+    """The text as a quoted SQL string. One that holds line breaks is an escape string, so that it takes a single line."""
+    plain = F.regexp_replace(text, "(')", "$1$1")
+    escaped = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), _ESCAPES.items(), plain)
+    return F.when(text.rlike("[\r\n]"), F.concat(F.lit("E'"), escaped, F.lit("'"))).otherwise(F.concat(F.lit("'"), plain, F.lit("'")))
+
+
+def filled(template: str, parts: dict[str, Column]) -> Column:
+    """The template with the text of each part in place of its name in braces."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[(parts[piece] if i % 2 else F.lit(piece)) for i, piece in enumerate(pieces) if piece])
 
 
 def listed(parts: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.sources.catalog import HOME_SCHEMA
 
 # A claim's columns that the catalog's spelling replaces.
 _TABLE_COLUMNS = ("from_table", "to_table")
@@ -98,8 +97,3 @@ def dedupe_suspicions(suspicions: DataFrame) -> DataFrame:
             F.concat_ws("; ", F.sort_array(F.collect_set("detail"))).alias("detail"),
         )
     )
-
-
-def schema_qualified(name: str, schema: str) -> str:
-    """A relation's name as it is shown: bare in the home schema."""
-    return name if schema == HOME_SCHEMA else f"{schema}.{name}"

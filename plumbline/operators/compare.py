@@ -37,7 +37,7 @@ def schema_fingerprint(relations: DataFrame, columns: DataFrame, keys: DataFrame
     """
     none = F.lit("")
     lines = [
-        relations.select("name", F.to_json(F.struct(F.lit("r").alias("a"), "kind", F.coalesce("definition", none).alias("d"), "populated", "partitions")).alias("line")),
+        relations.select("name", F.to_json(F.struct(F.lit("r").alias("a"), "kind", F.coalesce("definition", none).alias("d"), "populated", F.col("partitions").isNotNull().alias("partitioned"))).alias("line")),
         columns.select(F.col("table").alias("name"), F.to_json(F.struct(F.lit("c").alias("a"), "ordinal", "column", "type", "nullable")).alias("line")),
         keys.select(F.col("table").alias("name"), F.to_json(F.struct(F.lit("k").alias("a"), "kind", "ordinal", "column", F.coalesce("ref_table", none).alias("t"), F.coalesce("ref_column", none).alias("c"))).alias("line")),
     ]

@@ -33,14 +33,16 @@ class CheckReport:
     schema_changed: bool
 
 
+# Settings that decide which columns are categorical, and the direction in which more columns are.
+_SHOWS_MORE = {"categorical_max_distinct": 1, "categorical_max_value_length": 1, "categorical_min_rows_per_value": -1}
+
+
 def wider(measuring: Settings, own: Settings) -> bool:
-    """Whether a snapshot's settings would call columns categorical that this run's would not."""
-    return (
-        (measuring.sampled and (not own.sampled or measuring.sample_rows < own.sample_rows))
-        or measuring.categorical_max_distinct > own.categorical_max_distinct
-        or measuring.categorical_max_value_length > own.categorical_max_value_length
-        or measuring.categorical_min_rows_per_value < own.categorical_min_rows_per_value
-    )
+    """Whether columns may be categorical under a snapshot's settings that are not under this run's."""
+    steps = {name: direction * (getattr(measuring, name) - getattr(own, name)) for name, direction in _SHOWS_MORE.items()}
+    # Fewer rows can make a column look categorical; a whole table is as many rows as there are.
+    rows = [s.sample_rows if s.sampled else float("inf") for s in (measuring, own)]
+    return rows[0] < rows[1] or max(steps.values()) > 0
 
 
 def remeasure(catalog: Catalog, snapshot: Snapshot, settings: Settings) -> DataFrame:

@@ -65,7 +65,7 @@ def measure_join(catalog: Catalog, from_table: str, from_column: str, to_table:
     claim = Relationship(*names, *(when or (None, None)), basis)
     verdict = decide(measure_relationships(catalog, [claim], settings), settings)
     known = {f: F.lit(getattr(claim, f)).cast("string") for f in ("from_table", "from_column", "to_table", "to_column", "when_column", "when_equals", "basis")}
-    return verdict.withColumns(known).withColumn("line", join_sentence())
+    return verdict.withColumns(known).withColumn("line", join_sentence(settings.sampled))
 
 
 def snapshot_of(catalog: Catalog, relationships: DataFrame, suspicions: DataFrame, verdicts: DataFrame, settings: Settings) -> Snapshot:
@@ -88,4 +88,4 @@ def reports(catalog: Catalog, relationships: DataFrame, suspicions: DataFrame, v
     relationships, suspicions, verdicts = kept(relationships), kept(suspicions), kept(verdicts)
     categorical = listed_columns(table_profile(catalog, settings), "categorical")
     lists = value_lists(catalog, settings, categorical)
-    return table_reports(catalog.relations_df(), row_counts(catalog), catalog.keys_df(), relationships, suspicions, verdicts, lists)
+    return table_reports(catalog.relations_df(), row_counts(catalog), catalog.keys_df(), relationships, suspicions, verdicts, lists, settings.sampled)

@@ -140,7 +140,6 @@ MEASUREMENTS = fields(", ".join(f"{name} {kind}" for name, kind in MEASUREMENT_T
 
 # Fixed values.
 STATUSES = ["confirmed", "broken", "rejected", "unverifiable", "empty"]
-SUSPICION_KINDS = ["duplicate_entity", "dead_table", "inconsistent_values", "missing_key", "other"]
 CHANGE_CLASSES = ["regression", "stale", "drift", "improved", "changed", "not measured", "unchanged"]
 NO_SOURCE_ROWS = "no non-null rows to test"
 NO_TARGET_ROWS = "no rows to match against"

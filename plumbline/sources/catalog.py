@@ -46,9 +46,9 @@ class Relation:
         return self.df is not None or self.unread is not None
 
     @property
-    def spellings(self) -> tuple[str, str]:
-        qualified = self.name if self.name.startswith(f"{self.schema}.") else f"{self.schema}.{self.name}"
-        return self.name, qualified
+    def names(self) -> list[str]:
+        """How a claim may call it: bare, or after its schema."""
+        return [self.name] if self.name.startswith(self.schema + ".") else [self.name, f"{self.schema}.{self.name}"]
 
     def has(self, column: str | None) -> bool:
         return column in self.struct.names
@@ -76,6 +76,10 @@ class Catalog:
         self.spark = spark
         self.relations = sorted(relations, key=lambda r: (r.schema, r.name))
         self._by_name = {r.name: r for r in self.relations}
+        # Of two relations with one name the first in order has it.
+        called = [(name, r) for r in reversed(self.relations) for name in r.names]
+        self._called = dict(called)
+        self._called_in_any_case = {name.lower(): r for name, r in called}
         self.keys = [tuple(k) for k in keys]
         self.reveal = frozenset(reveal)
 
@@ -108,15 +112,9 @@ class Catalog:
         return self._by_name[name]
 
     def find(self, name: str | None) -> Relation | None:
-        """The relation a claim names, by name or schema-qualified name: exactly first, then regardless of case."""
-        if name is None:
-            return None
-        wanted = name.strip()
-        for same in (lambda s: s == wanted, lambda s: s.lower() == wanted.lower()):
-            for r in self.relations:
-                if any(same(s) for s in r.spellings):
-                    return r
-        return None
+        """The relation that a claim calls by this name; the case of letters counts only between two that differ in it alone."""
+        asked = (name or "").strip()
+        return self._called.get(asked) or self._called_in_any_case.get(asked.lower())
 
     # ---- declared keys ----
 
@@ -138,7 +136,7 @@ class Catalog:
     def shown_regardless(self, relation: Relation, column: str) -> bool:
         """A declared key column that is not text, or one revealed by name."""
         key = column in self.primary.get(relation.name, ()) or any(f[:2] == (relation.name, column) for f in self.foreign)
-        revealed = any(f"{spelling}.{column}" in self.reveal for spelling in relation.spellings)
+        revealed = any(f"{called}.{column}" in self.reveal for called in relation.names)
         return revealed or (key and S.family(relation.type_of(column)) != S.TEXT)
 
     # ---- as DataFrames ----

@@ -199,15 +199,15 @@ SPOT = (
 )
 INFERRED = "CASE WHEN basis = 'stated' THEN '' ELSE ' (inferred)' END"
 EDGE = "ft || '.' || fc || ' -> ' || tt || '.' || tc || coalesce(' when ' || wc || ' = ''' || replace(we, '''', '''''') || '''', '')"
-NULLS = f"CASE WHEN nulls > 0 THEN ' ' || nulls || ' sampled rows (' || {PCT.format('(nulls / (total + nulls))')} || ') have no ' || fc || '; an inner join drops them too.' ELSE '' END"
+NULLS = f"CASE WHEN nulls > 0 THEN ' ' || nulls || ' rows (' || {PCT.format('(nulls / (total + nulls))')} || ') have no ' || fc || '; an inner join drops them too.' ELSE '' END"
 WHY = "CASE WHEN skipped IS NOT NULL THEN 'not measured: ' || skipped ELSE status END"
 SENTENCE = f"""CASE
-  WHEN status = 'confirmed' AND also_fits > 0 THEN {EDGE} || ': confirmed on weak evidence, ' || {HIT} || ' of ' || total || ' sampled rows match, but the same values would also match ' || also_fits
+  WHEN status = 'confirmed' AND also_fits > 0 THEN {EDGE} || ': confirmed on weak evidence, ' || {HIT} || ' of ' || total || ' rows match, but the same values would also match ' || also_fits
     || ' other ' || CASE WHEN also_fits = 1 THEN 'key' ELSE 'keys' END || ', so the match alone does not prove this join (inferred).' || {NULLS}
-  WHEN status = 'confirmed' THEN {EDGE} || ': confirmed, ' || {HIT} || ' of ' || total || ' sampled rows match' || {INFERRED} || '.' || {NULLS}
-  WHEN status = 'broken' THEN '**BROKEN** ' || {EDGE} || ': ' || {HIT} || ' match (' || hits || ' of ' || total || ' sampled), ' || orphans || ' orphans' || {SPOT} || {INFERRED}
+  WHEN status = 'confirmed' THEN {EDGE} || ': confirmed, ' || {HIT} || ' of ' || total || ' rows match' || {INFERRED} || '.' || {NULLS}
+  WHEN status = 'broken' THEN '**BROKEN** ' || {EDGE} || ': ' || {HIT} || ' match (' || hits || ' of ' || total || ' rows), ' || orphans || ' orphans' || {SPOT} || {INFERRED}
     || '. An inner join drops the orphans: use LEFT JOIN, or filter them on purpose.' || {NULLS}
-  WHEN status = 'rejected' THEN {EDGE} || ': rejected, ' || {HIT} || ' of ' || total || ' sampled rows match: these columns do not relate; find the right key.'
+  WHEN status = 'rejected' THEN {EDGE} || ': rejected, ' || {HIT} || ' of ' || total || ' rows match: these columns do not relate; find the right key.'
   ELSE {EDGE} || ' (' || CASE WHEN basis = 'stated' THEN '' ELSE 'inferred, ' END || {WHY} || ')' END"""
 JOIN_LINES = f"SELECT claim_id, ft AS from_table, tt AS to_table, status, {SENTENCE} AS line FROM ({measured(CLAIMS)}) v"
 ORACLES["join_lines"] = JOIN_LINES
@@ -384,7 +384,7 @@ count(*) AS claims FROM ({ALL}) v GROUP BY 1, 2"""
 ORACLES["empty_reasons"] = f"""
 WITH r AS (SELECT skipped AS reason, count(*) AS claims FROM ({ALL}) v WHERE status = 'empty' GROUP BY 1),
 k AS (SELECT *, row_number() OVER (ORDER BY claims DESC, reason) AS rank FROM r)
-SELECT least(rank, 4)::INT AS rank, CASE WHEN least(rank, 4) = 4 THEN 'for ' || count(*) || ' other reasons' ELSE min(reason) END AS reason, sum(claims)::BIGINT AS claims FROM k GROUP BY least(rank, 4)"""
+SELECT rank::INT AS rank, reason, claims FROM k"""
 ORACLES["has_findings"] = f"SELECT bool_or(CASE WHEN type = 'relationship' THEN status = 'broken' ELSE status = 'confirmed' END) AS has_findings FROM ({ALL}) v"
 ORACLES["relation_kinds"] = f"SELECT 'table' AS kind, count(*) AS relations, 0::BIGINT AS partitioned, sum(rows)::BIGINT AS rows FROM ({SIZES}) s"
 
@@ -448,8 +448,7 @@ WITH items AS (SELECT class, 0 AS o, claim_id AS name, {SIDE.format("before", "h
     CASE WHEN missing IS NULL THEN skipped END AS reason FROM ({MOVED}) c WHERE class <> 'unchanged'
   UNION ALL SELECT 'stale', 1, 'labels', NULL, 'in the context, not in the database', NULL UNION ALL SELECT 'stale', 1, 'vip', NULL, 'in the database, not in the context', NULL),
 ranked AS (SELECT *, row_number() OVER (ORDER BY list_position({CLASSES}, class), o, name) AS position FROM items)
-SELECT position::INT AS position, class, name, before, after, reason FROM ranked WHERE position <= 50
-UNION ALL SELECT 51, NULL, 'and ' || (count(*) - 50) || ' more', NULL, NULL, NULL FROM ranked HAVING count(*) > 50"""
+SELECT position::INT AS position, class, name, before, after, reason FROM ranked"""
 ORACLES["relations_moved"] = f"SELECT 'labels' AS name, 'before' AS found_in, count(*) AS rows FROM labels UNION ALL SELECT 'vip', 'now', count(*) FROM ({LATER_CUSTOMER}) v"
 
 
