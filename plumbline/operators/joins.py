@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +15,8 @@ from plumbline.operators.profile import table_profile
 from plumbline.operators.sampling import Scan
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog, Relation, _union
-from plumbline.sources.sizes import bytes_setting, estimated_bytes, row_counts
-from plumbline.sources.small import small_table
-
-# Above this many claims into large targets, one join per kind of comparison replaces one join per claim.
-LONG_FORM_ABOVE = 40
+from plumbline.sources.sizes import bytes_setting, estimated_bytes, is_bare_scan, row_counts
+from plumbline.sources.small import kept, small_table
 
 # A from-value on more than one in this many rows is hot; its orphan rows are spread over this many buckets.
 HOT_SHARE = 1000
@@ -63,9 +61,27 @@ def relationships_of(claims: DataFrame) -> list[Relationship]:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the optimizer's own size estimate is within the session's broadcast threshold; unknown is too large."""
+    """
+    Whether a plain scan's size is within the session's broadcast threshold; unknown is too large.
+
+    Of anything but a plain scan the estimate can be far too low, so its joins carry no hint and Spark decides by the size it finds.
+    """
     size = estimated_bytes(df)
-    return size is not None and size <= bytes_setting(df.sparkSession, "spark.sql.autoBroadcastJoinThreshold")
+    return size is not None and is_bare_scan(df) and size <= bytes_setting(df.sparkSession, "spark.sql.autoBroadcastJoinThreshold")
+
+
+def _batches(claims: list[tuple[int, Relationship]], targets: dict[tuple, int], limit: int) -> list[list[tuple[int, Relationship]]]:
+    """Claims of one from-table in turns: at most PROBES_PER_SCAN targets, whose sizes together stay within the limit."""
+    out: list[list[tuple[int, Relationship]]] = []
+    room = 0
+    for i, r in claims:
+        size = targets[r.to_table, r.to_column]
+        if not out or len(out[-1]) == PROBES_PER_SCAN or size > room:
+            out.append([])
+            room = limit
+        out[-1].append((i, r))
+        room -= size
+    return out
 
 
 # ---- counting ----
@@ -102,18 +118,17 @@ def _target(catalog: Catalog, r: Relationship) -> DataFrame:
 
 def _ends(catalog: Catalog, claims: list[tuple[int, Relationship]]) -> dict[tuple[str, str], tuple[Column, Column]]:
     """
-    The lowest and highest key of every target whose orphans are placed, as columns any plan can use.
+    The lowest and highest key of every target whose orphans are placed, as constants any plan can use.
 
-    One aggregation over all targets, whose single row reaches the plans as a scalar subquery that Spark runs once.
+    One aggregation over all targets; a row of two numbers per target is all that is fetched.
     """
     targets = list(dict.fromkeys((r.to_table, r.to_column) for _, r in claims if places_orphans(catalog, r)))
     if not targets:
         return {}
     values = _union([catalog[t].df.select(F.lit(i).alias("i"), cell(c).cast("bigint").alias("v")) for i, (t, c) in enumerate(targets)])
-    ends = values.groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    fields = [f"max(if(i = {i}, {end}, null)) AS {end}{i}" for i in range(len(targets)) for end in ("lo", "hi")]
-    row = ends.selectExpr("*").agg(*[F.expr(f) for f in fields]).select(F.struct("*")).scalar()
-    return {t: (row.getField(f"lo{i}"), row.getField(f"hi{i}")) for i, t in enumerate(targets)}
+    found = {row["i"]: row for row in values.groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    ends = {t: (found[i]["lo"], found[i]["hi"]) if i in found else (None, None) for i, t in enumerate(targets)}
+    return {t: tuple(F.lit(end).cast("bigint") for end in both) for t, both in ends.items()}
 
 
 def _probed(scan: Scan, claims: list[tuple[int, Relationship]], ends: dict) -> DataFrame:
@@ -124,7 +139,10 @@ def _probed(scan: Scan, claims: list[tuple[int, Relationship]], ends: dict) -> D
     """
     frm = scan.catalog[claims[0][1].from_table]
     keys = [(i, _key(frm, r.from_column, comparison(scan.catalog, r)), _condition(frm, r)) for i, r in claims]
-    values = scan(frm).select(*[(k if on is None else F.when(on, k)).alias(f"k{i}") for i, k, on in keys], *[on.alias(f"on{i}") for i, _, on in keys if on is not None])
+    df = scan(frm)
+    if all(on is not None for _, _, on in keys):
+        df = df.where(reduce(lambda a, b: a | b, [on for _, _, on in keys]))
+    values = df.select(*[(k if on is None else F.when(on, k)).alias(f"k{i}") for i, k, on in keys], *[on.alias(f"on{i}") for i, _, on in keys if on is not None])
     probed = values
     for i, r in claims:
         keys = _target(scan.catalog, r).where("t IS NOT NULL").distinct().withColumnRenamed("t", f"t{i}")
@@ -188,14 +206,17 @@ def _counts(scan: Scan, claims: list[tuple[int, Relationship]], long_form: bool
     One row of counts per claim: total, nulls, hits, orphans above and below where placed, lowest and highest value.
 
     A claim whose target fits a broadcast is probed in the scan of its from-table, together with the others of that
-    table. The rest join one by one, or all at once when there are very many; ``long_form`` forces all at once.
+    table. The others join all at once, from two on; ``long_form`` forces that for every claim.
     """
     fits: dict[tuple, bool] = {}
+    size: dict[tuple, int] = {}
 
     def small(r: Relationship) -> bool:
         target = (r.to_table, r.to_column, str(comparison(scan.catalog, r)))
         if target not in fits:
-            fits[target] = fits_broadcast(_target(scan.catalog, r))
+            keys = _target(scan.catalog, r)
+            fits[target] = fits_broadcast(keys)
+            size[target[:2]] = max(size.get(target[:2], 0), estimated_bytes(keys) or 0) if fits[target] else 0
         return fits[target]
 
     probed: dict[str, list[tuple[int, Relationship]]] = {}
@@ -206,9 +227,10 @@ def _counts(scan: Scan, claims: list[tuple[int, Relationship]], long_form: bool
         else:
             large.append((i, r))
     ends = _ends(scan.catalog, claims)
-    frames = [_probed(scan, some[at : at + PROBES_PER_SCAN], ends) for some in probed.values() for at in range(0, len(some), PROBES_PER_SCAN)]
+    limit = bytes_setting(scan.catalog.spark, "spark.sql.autoBroadcastJoinThreshold")
+    frames = [_probed(scan, some, ends) for claims_of in probed.values() for some in _batches(claims_of, size, limit)]
     if large:
-        at_once = len(large) > LONG_FORM_ABOVE if long_form is None else long_form
+        at_once = len(large) > 1 if long_form is None else long_form
         frames.append(_summed(_long_form(scan, large, ends) if at_once else _union([_grouped(scan, i, r, ends) for i, r in large])))
     return _union(frames)
 
@@ -249,7 +271,7 @@ def orphan_rows(catalog: Catalog, r: Relationship) -> DataFrame:
     target = _target(catalog, r)
     keyed = df.where(cell(r.from_column).isNotNull()).withColumn("__k", _key(frm, r.from_column, comparison(catalog, r)))
     if fits_broadcast(target):
-        return keyed.join(target, F.col("__k") == F.col("t"), "left_anti").drop("__k")
+        return keyed.join(F.broadcast(target), F.col("__k") == F.col("t"), "left_anti").drop("__k")
     rows = keyed.agg(F.count(F.lit(1))).scalar()
     hot = keyed.groupBy("__k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_SHARE >= rows)
     keys = target.where("t IS NOT NULL").distinct()
@@ -269,14 +291,23 @@ def _hashable(dt: T.DataType) -> bool:
     return "map<" not in dt.simpleString() and not isinstance(dt, T.VariantType)
 
 
+def _may_condition(settings: Settings) -> str:
+    """Which rows of a profile are columns that conditions may name."""
+    return f"visible AND distinct <= {settings.categorical_max_distinct} AND max_length <= {settings.categorical_max_value_length}"
+
+
 def join_hit_rate_by_branch(catalog: Catalog, r: Relationship, discriminator: str, settings: Settings | None = None) -> DataFrame:
     """
     A join's numbers for every value of a discriminator in one plan, the values as text.
 
-    Meant for a categorical column: its few values multiply the distinct keys, not the rows.
+    For a visible categorical column alone, whose few values multiply the distinct keys and not the rows. Of any other
+    column no value may be told, so there are no rows.
     """
-    scan = Scan.of(catalog, settings or Settings(), [r.from_table])
+    settings = settings or Settings()
+    scan = Scan.of(catalog, settings, [r.from_table])
     frm = catalog[r.from_table]
+    if table_profile(catalog, settings, [(r.from_table, discriminator)], scan).where(_may_condition(settings)).isEmpty():
+        return small_table(catalog.spark, [], "branch string, total bigint, nulls bigint, hits bigint, orphans bigint, hit double")
     branch = as_text(cell(discriminator), frm.type_of(discriminator)).alias("claim")
     source = scan(frm).select(branch, _key(frm, r.from_column, comparison(catalog, r)).alias("k"))
     keys = _target(catalog, r).where("t IS NOT NULL").distinct()
@@ -367,10 +398,11 @@ def measure_relationships(
     catalog: Catalog, claims: list[Relationship], settings: Settings, conditions: bool = True, long_form: bool | None = None
 ) -> DataFrame:
     """
-    A measurement per claim, in the order given. One lazy plan: the counts of all claims are summed in one shuffle.
+    A measurement per claim, in the order given. The counts of all claims are summed in one shuffle and fetched, a row per
+    claim: only if one of them could be a coincidence are the keys of other tables read to weigh it.
 
     ``conditions`` off leaves every conditioned claim unverifiable. ``long_form`` forces one way of joining; by default
-    the number of claims decides.
+    claims into small targets are probed and the others joined at once.
     """
     spark = catalog.spark
     named = [(i, _spelled(catalog, r)) for i, r in enumerate(claims)]
@@ -401,7 +433,8 @@ def measure_relationships(
         )
     else:
         counts = small_table(spark, [], "claim int, total bigint, nulls bigint, hits bigint, orphans_above bigint, orphans_below bigint, lo bigint, hi bigint")
-    counts = counts.selectExpr("claim", *_NUMBERS, "lo", "hi")
+    counts = kept(counts.selectExpr("claim", *_NUMBERS, "lo", "hi"))
+    strong = {row["claim"] for row in counts.where(F.col("hit") >= settings.join_confirmed).select("claim").collect()}
 
     sizes = row_counts(catalog, sorted({t for _, r in known for t in (r.from_table, r.to_table)}))
     from_rows = sizes.selectExpr("table AS from_table", "rows AS from_rows")
@@ -416,7 +449,7 @@ def measure_relationships(
         seen = table_profile(catalog, settings, discriminators, scan)
         allowed = seen.selectExpr(
             "table AS from_table", "column AS when_column",
-            f"visible AND distinct <= {settings.categorical_max_distinct} AND max_length <= {settings.categorical_max_value_length} AS allowed",
+            f"{_may_condition(settings)} AS allowed",
         )
         joined = joined.join(F.broadcast(allowed), ["from_table", "when_column"], "left")
     else:
@@ -437,7 +470,7 @@ def measure_relationships(
                  WHEN total = 0 THEN '{S.NO_SOURCE_ROWS}' END AS skipped""",
         f"reason IS NULL AND (never_from OR never_to OR {no_rows} OR ({free} AND coalesce(total = 0, false))) AS empty",
     )
-    if worth:
+    if worth & strong:
         weighed = weak_evidence(measured, dense_keys(catalog, settings))
         judged = f"worth AND skipped IS NULL AND hit >= {settings.join_confirmed}D"
         weights = [f"if({judged}, {c}, null) AS {c}" for c in ("candidates", "also_fits")]
@@ -449,9 +482,9 @@ def measure_relationships(
 
 
 def _worth_weighing(catalog: Catalog, r: Relationship) -> bool:
-    """A join a coincidence could confirm: inferred, from an integer, and declared by no key."""
-    declared = (r.from_table, r.from_column, r.to_table, r.to_column) in catalog.foreign
-    return r.basis == "inferred" and catalog[r.from_table].is_integer(r.from_column) and not declared
+    """Whether integers of another range would tell: not for a claim that a key or its author vouches for."""
+    vouched = r.basis != "inferred" or (r.from_table, r.from_column, r.to_table, r.to_column) in catalog.foreign
+    return not vouched and catalog[r.from_table].is_integer(r.from_column)
 
 
 def _spelled(catalog: Catalog, r: Relationship) -> Relationship:
@@ -467,8 +500,8 @@ def dense_keys(catalog: Catalog, settings: Settings) -> DataFrame:
     """
     Integer single-column keys whose rows fill enough of their range, as (position, table, column, rows, lo, hi).
 
-    The first ``weak_evidence_max_candidates`` keys that hold rows are judged, in catalog order. The span is a decimal,
-    which holds any bigint key's. One partial row per task and key is shuffled.
+    Every key that holds rows is judged, or the first ``weak_evidence_max_candidates`` in catalog order where that is set.
+    The span is a decimal, which holds any bigint key's. One partial row per task and key is shuffled.
     """
     keys = [
         (i, r, catalog.primary[r.name][0])
@@ -481,7 +514,9 @@ def dense_keys(catalog: Catalog, settings: Settings) -> DataFrame:
     values = _union([r.df.select(F.lit(i).alias("position"), cell(c).cast("bigint").alias("v")) for i, r, c in keys])
     ends = values.groupBy("position").agg(F.count(F.lit(1)).alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     names = small_table(catalog.spark, [(i, r.name, c) for i, r, c in keys], "position int, table string, column string")
-    first = ends.where(F.col("lo").isNotNull()).orderBy("position").limit(settings.weak_evidence_max_candidates)
+    first = ends.where(F.col("lo").isNotNull())
+    if settings.weak_evidence_max_candidates is not None:
+        first = first.orderBy("position").limit(settings.weak_evidence_max_candidates)
     big = T.DecimalType(20, 0)
     span = F.col("hi").cast(big) - F.col("lo").cast(big) + F.lit(1)
     filled = F.col("rows").cast("double") >= F.lit(settings.dense_key_share) * span.cast("double")
@@ -493,7 +528,7 @@ def weak_evidence(measured: DataFrame, dense: DataFrame) -> DataFrame:
     Adds two numbers to rows with (from_table, from_column, to_table, lo, hi): with how many dense keys each was compared,
     and how many of those have lo and hi within their range. Both are null where no key was there to compare.
 
-    The keys, at most ``weak_evidence_max_candidates``, reach every row as one array, so ranges are compared without a join.
+    The keys, at most one per table, reach every row as one array, so ranges are compared without a join.
     """
     fields = "struct(table AS t, column AS c, lo AS lo, hi AS hi)"
     keys = dense.selectExpr(f"{fields} AS k").agg(F.collect_list("k")).scalar()

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from plumbline import schema as S
 from plumbline.functions.values import as_text, canonical, cell, compact, group_key
+from plumbline.operators.profile import listed_columns, table_profile
 from plumbline.operators.sampling import Scan
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog, Relation, _union
@@ -81,20 +82,21 @@ def dead_table(catalog: Catalog, tables: list[str], settings: Settings) -> DataF
 # ---- inconsistent values ----
 
 
-def _spellings(scan: Scan, columns: list[tuple[int, str, str]]) -> DataFrame:
+def _spellings(scan: Scan, columns: list[tuple[int, str, str]], told: bool = False) -> DataFrame:
     """
-    Distinct (i, canonical, value) of the numbered columns, both as short stand-ins.
+    Distinct (i, canonical, value) of the numbered columns, both as short stand-ins unless they are ``told``.
 
     One shuffle for all columns; a column whose collation decides equality is deduplicated by itself first.
     """
     frames = []
+    short = (lambda text: text) if told else compact
     for i, table, column in columns:
         relation = scan.catalog[table]
         text = as_text(cell(column), relation.type_of(column)).alias("v")
         values = scan(relation).select(text)
         if S.keeps_own_equality(relation.type_of(column)):
             values = values.distinct().select(F.col("v").cast("string").alias("v"))
-        frames.append(values.where("v IS NOT NULL").select(F.lit(i).alias("i"), compact(canonical(F.col("v"))).alias("form"), compact(F.col("v")).alias("v")))
+        frames.append(values.where("v IS NOT NULL").select(F.lit(i).alias("i"), short(canonical(F.col("v"))).alias("form"), short(F.col("v")).alias("v")))
     return _union(frames).distinct()
 
 
@@ -107,14 +109,16 @@ def inconsistent_values(scan: Scan, columns: list[tuple[int, str, str]]) -> Data
 
 def inconsistent_groups(catalog: Catalog, columns: list[tuple[str, str]], settings: Settings) -> DataFrame:
     """
-    The spellings behind each collision, sorted. For categorical columns alone, whose values may be shown and are few.
+    The spellings behind each collision, sorted. For categorical columns alone, whose values may be shown and are few: any
+    other column asked for gives no rows.
     """
     scan = Scan.of(catalog, settings, [t for t, _ in columns])
     out = "table string, column string, canonical string, spellings array<string>"
+    columns = listed_columns(table_profile(catalog, settings, columns, scan), "categorical") if columns else []
     if not columns:
         return small_table(catalog.spark, [], out)
     listed = small_table(catalog.spark, [(i, *c) for i, c in enumerate(columns)], "i int, table string, column string")
-    groups = _spellings(scan, [(i, *c) for i, c in enumerate(columns)]).groupBy("i", "form").agg(F.sort_array(F.collect_list("v")).alias("spellings"))
+    groups = _spellings(scan, [(i, *c) for i, c in enumerate(columns)], told=True).groupBy("i", "form").agg(F.sort_array(F.collect_list("v")).alias("spellings"))
     return groups.where(F.size("spellings") > 1).join(F.broadcast(listed), "i").selectExpr("table", "column", "form AS canonical", "spellings")
 
 

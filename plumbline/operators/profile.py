@@ -14,10 +14,10 @@ from plumbline.functions.values import as_text, cell, compact, compact_length
 from plumbline.operators.sampling import Scan, row_hash
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog, Relation, _union
-from plumbline.sources.sizes import bytes_setting, estimated_bytes
-from plumbline.sources.small import small_table
+from plumbline.sources.sizes import bytes_setting, estimated_bytes, is_bare_scan, pilot_row_estimate, row_counts
+from plumbline.sources.small import kept, small_table
 
-# A table below this size is read in one go whatever the number of cores.
+# A file scan below this size is read in one go whatever the number of cores.
 SPLIT_FROM_BYTES = 1 << 20
 
 COLUMNS_LISTED = S.fields(
@@ -29,11 +29,12 @@ def null_rate(non_null: Column, rows: Column) -> Column:
     return F.when(rows == 0, 0.0).otherwise(1 - non_null / rows)
 
 
-def _cells(scan: Scan, relation: Relation, columns: list[tuple[int, str]]) -> list[DataFrame]:
+def _cells(scan: Scan, relation: Relation, columns: list[tuple[int, str]], told: bool) -> list[DataFrame]:
     """
     The cells of a relation's columns before the shuffle, as (cid, l, d, v, y): the column, the value and its year.
 
-    An integer travels as ``l``, a double as ``d`` and anything else as text ``v``, a long text as its stand-in, so that
+    An integer travels as ``l``, a double as ``d`` and anything else as text ``v``, a long text as its stand-in unless the
+    values are ``told``, so that
     numbers are turned into text once per distinct value and not once per row. A large table is read once for all columns;
     one too small to fill the cluster with a task per split is read by column, each column's bytes still once. A column
     whose collation decides equality is always read by itself.
@@ -51,7 +52,7 @@ def _cells(scan: Scan, relation: Relation, columns: list[tuple[int, str]]) -> li
             value = F.when(c == 0, F.when(c.cast("string") == "-0.0", F.lit(1).cast("bigint"))), c, no_text
         else:
             text = as_text(c, dt)
-            value = no_long, no_double, text if S.keeps_own_equality(dt) else compact(text)
+            value = no_long, no_double, text if told or S.keeps_own_equality(dt) else compact(text)
         return [x.alias(a) for x, a in zip((F.lit(cid), *value, year), ("cid", "l", "d", "v", "y"), strict=True)]
 
     plain = [one(cid, c) for cid, c in columns if not S.keeps_own_equality(relation.type_of(c))]
@@ -66,7 +67,7 @@ def _cells(scan: Scan, relation: Relation, columns: list[tuple[int, str]]) -> li
 def _worth_splitting(df: DataFrame) -> bool:
     """Whether a scan is more than a moment's work and yet has fewer splits than the cluster has cores."""
     size = estimated_bytes(df)
-    if size is None:
+    if size is None or not is_bare_scan(df):  # a view would be computed once for each column
         return False
     spark = df.sparkSession
     full = bytes_setting(spark, "spark.sql.files.maxPartitionBytes") * spark.sparkContext.defaultParallelism
@@ -77,11 +78,15 @@ def _counted(cells: DataFrame) -> DataFrame:
     return cells.groupBy("cid", "l", "d", "v").agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y"))
 
 
-def _distinct_values(scan: Scan, wanted: dict[str, list[tuple[int, str]]]) -> DataFrame:
-    """(cid, v, n, y) of every wanted column of every table, in one shuffle: repeated values collapse before it."""
+def _distinct_values(scan: Scan, wanted: dict[str, list[tuple[int, str]]], told: bool = False) -> DataFrame:
+    """
+    (cid, v, n, y) of every wanted column of every table, in one shuffle: repeated values collapse before it.
+
+    ``v`` is the value itself where values are ``told``, else a stand-in of a long text, which only counts and lengths may come from.
+    """
     raw, grouped = [], []
     for table, columns in wanted.items():
-        for frame in _cells(scan, scan.catalog[table], columns):
+        for frame in _cells(scan, scan.catalog[table], columns, told):
             (grouped if "n" in frame.columns else raw).append(frame)
     counted = _union(([_counted(_union(raw))] if raw else []) + grouped)
     number = "if(d IS NULL, cast(l AS string), if(l IS NULL, cast(d AS string), '-0.0'))"
@@ -144,11 +149,27 @@ def table_profile(catalog: Catalog, settings: Settings, only: Iterable[tuple[str
     )
 
 
-def describe_table(profile: DataFrame, table: str) -> DataFrame:
-    """One table of a profile, and only what may be told about its columns."""
-    return profile.where(F.col("table") == table).select(
-        "ordinal", "column", "type", "nullable", "null_rate", "distinct", "max_length", "visible", "year_min", "year_max", "unmeasured"
-    )
+def describe_table(catalog: Catalog, table: str, settings: Settings) -> DataFrame:
+    """
+    A row per column of one table, with what may be told of it: the table's kind, size and keys, the column's type, nulls,
+    distinct values, and the values of a categorical one. No longest value, no years, and no value of any other column.
+    """
+    some = catalog.only([table])
+    relation, scan = some[table], Scan.of(some, settings)
+    profile = kept(table_profile(some, settings, scan=scan))
+    values = value_lists(some, settings, listed_columns(profile, "categorical"), scan).select("column", "values")
+    sizes = pilot_row_estimate(relation, settings) if settings.sampled and relation.df is not None else row_counts(some).withColumn("source", F.lit("count"))
+    facts = some.relations_df().select("name", "kind", "populated", "partitions").join(sizes.withColumnRenamed("table", "name"), "name", "left")
+    foreign = ", ".join(f"{c} -> {rt}.{rc}" for t, c, rt, rc in sorted(catalog.foreign) if t == table)
+    facts = facts.select("kind", "populated", "partitions", F.col("rows").alias("row_estimate"), F.col("source").alias("estimate_source"))
+    columns = profile.drop("rows", "non_null", "family", "max_length", "categorical", "visible", "year_min", "year_max", "table")
+    measured = F.col("unmeasured").isNull()
+    told = columns.join(F.broadcast(values), "column", "left").withColumns({c: F.when(measured, F.col(c)) for c in ("null_rate", "distinct")})
+    keys = {"primary_key": ", ".join(catalog.primary.get(table, ())), "foreign_keys": foreign}
+    placed = told.withColumn("table", F.lit(table)).join(F.broadcast(facts.withColumn("table", F.lit(table))), "table")
+    return placed.select(
+        "table", *facts.columns, *[F.lit(v).alias(k) for k, v in keys.items()], "ordinal", "column", "type", "nullable", "null_rate", "distinct", "values", "unmeasured"
+    )
 
 
 def listed_columns(profile: DataFrame, flag: str) -> list[tuple[str, str]]:
@@ -174,7 +195,7 @@ def value_lists(catalog: Catalog, settings: Settings, columns: list[tuple[str, s
     for cid, (table, column) in enumerate(columns):
         wanted.setdefault(table, []).append((cid, column))
     listed = small_table(catalog.spark, [(i, t, c) for i, (t, c) in enumerate(columns)], "cid int, table string, column string")
-    lists = _distinct_values(scan, wanted).where("v IS NOT NULL").groupBy("cid").agg(F.sort_array(F.collect_list("v")).alias("values"))
+    lists = _distinct_values(scan, wanted, told=True).where("v IS NOT NULL").groupBy("cid").agg(F.sort_array(F.collect_list("v")).alias("values"))
     return lists.join(F.broadcast(listed), "cid").select("table", "column", "values")
 
 

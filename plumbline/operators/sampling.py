@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.values import as_text, cell
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog, Relation
-from plumbline.sources.sizes import from_files, pilot_files, sizes
+from plumbline.sources.sizes import sizes
 
 _BUCKETS = 16**8
+SLOT_DIGITS = 3
 
 
 def row_hash(identity: list[Column], seed: int) -> Column:
@@ -41,8 +42,16 @@ def repeatable_sample(df: DataFrame, share: float, seed: int, key: list[str] | N
 
 
 def sample_cap(df: DataFrame, cap: int, seed: int, key: list[str] | None = None) -> DataFrame:
-    """At most ``cap`` rows, the ones of lowest hash, for a sample sized from an estimate that was far too low."""
-    return df.orderBy(row_hash(_identity(df, key), seed)).limit(cap)
+    """
+    At most ``cap`` rows, the ones of lowest hash, for a sample sized from an estimate that was far too low.
+
+    Rows of the lowest hashes are counted by their first digits; only those in slots up to the one that holds row number ``cap`` are sorted.
+    """
+    hashed = df.withColumn("__h", row_hash(_identity(df, key), seed))
+    slots = hashed.groupBy(F.substring("__h", 1, SLOT_DIGITS).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = slots.withColumn("before", before).where(F.col("before") < cap).agg(F.max("slot")).scalar()
+    return hashed.where(F.substring("__h", 1, SLOT_DIGITS) <= last).orderBy("__h").limit(cap).drop("__h")
 
 
 def sample_or_first(df: DataFrame, sample: DataFrame, rows: int) -> DataFrame:
@@ -53,39 +62,46 @@ def sample_or_first(df: DataFrame, sample: DataFrame, rows: int) -> DataFrame:
 
 def sampled_size(estimate: int | None, sample: DataFrame, settings: Settings, random: bool) -> DataFrame:
     """
-    The size once a sample was read, one row (rows, is_count).
+    One row (rows, is_count): the size of a table of which ``sample`` was read.
 
-    A random sample leaves the estimate as it is. A plain one that came back short counted the whole; one that filled up
-    proves at least that many, so a lower or missing estimate becomes -1.
+    Rows read at random say nothing of the size. Rows read from the start count the table if they end before the limit;
+    if they do not, the table has at least as many, and an estimate of fewer is none (-1).
     """
-    n = F.count(F.lit(1))
-    known = F.lit(-1 if estimate is None else estimate)
-    stands = F.lit(random) | ((n >= settings.sample_rows) & (known >= n))
-    rows = F.when(stands, known).when(n < settings.sample_rows, n).otherwise(F.lit(-1))
-    return sample.agg(rows.cast("bigint").alias("rows"), (~stands & (n < settings.sample_rows)).alias("is_count"))
+    guess = -1 if estimate is None else estimate
+    read = F.count(F.lit(1))
+    if random:
+        return sample.agg(F.lit(guess).cast("bigint").alias("rows"), F.lit(False).alias("is_count"))
+    ended = read < settings.sample_rows
+    possible = F.when(read <= guess, guess).otherwise(-1)
+    return sample.agg(F.when(ended, read).otherwise(possible).cast("bigint").alias("rows"), ended.alias("is_count"))
 
 
 def bounded_scan(relation: Relation, rows: int, settings: Settings, key: list[str] | None = None) -> DataFrame:
-    """The whole relation when it has at most ``sample_rows`` rows, else a repeatable sample of about that many."""
+    """
+    The whole relation when it has at most ``sample_rows`` rows, else a repeatable sample of about that many from all its files.
+
+    The sample is counted once. One above ``sample_rows * sample_oversample``, since the size was estimated too low, is
+    thinned by the same hash; where it is empty the first rows of the relation stand in.
+    """
     df = relation.df
     if rows <= settings.sample_rows:
         return df
     share = settings.sample_rows / rows
-    if relation.files is not None:
-        paths, read_bytes, all_bytes, files = pilot_files(relation, settings)
-        if len(paths) < files:  # very many files: read a seeded pick of them, and a larger share of each
-            picked = df.where(from_files(paths))
-            return repeatable_sample(picked, min(1.0, share * all_bytes / max(read_bytes, 1)), settings.sample_seed, key)
-    return repeatable_sample(df, share, settings.sample_seed, key)
+    sample, cap = repeatable_sample(df, share, settings.sample_seed, key), settings.sample_rows * settings.sample_oversample
+    found = sample.count()
+    if found == 0:
+        return df.limit(settings.sample_rows)
+    return sample if found <= cap else repeatable_sample(df, share * cap / found, settings.sample_seed, key)
 
 
 @dataclass(frozen=True)
 class Scan:
-    """How the measured side of every operator is read: whole, or through one sample per relation."""
+    """How the measured side of every operator is read: whole, or through one sample per relation, made once."""
 
     catalog: Catalog
     settings: Settings
     rows: dict[str, int] | None = None
+    samples: dict[str, DataFrame] = field(default_factory=dict, compare=False)
 
     @classmethod
     def of(cls, catalog: Catalog, settings: Settings, names: list[str] | None = None) -> Scan:
@@ -97,5 +113,7 @@ class Scan:
     def __call__(self, relation: Relation) -> DataFrame:
         if not self.is_sampled(relation):
             return relation.df
-        s, rows, key = self.settings, self.rows[relation.name], list(self.catalog.primary.get(relation.name, ()))
-        return bounded_scan(relation, rows, s, key or None)
+        if relation.name not in self.samples:
+            key = list(self.catalog.primary.get(relation.name, ()))
+            self.samples[relation.name] = bounded_scan(relation, self.rows[relation.name], self.settings, key or None)
+        return self.samples[relation.name]

@@ -45,7 +45,7 @@ class Settings:
     join_confirmed: float = 0.95
     join_broken: float = 0.5
     dense_key_share: float = 0.9
-    weak_evidence_max_candidates: int = 50
+    weak_evidence_max_candidates: int | None = None
     stale_after_days: float = 90
     duplicate_overlap: float = 0.7
     check_hit_rate_tolerance: float = 0.01
@@ -54,6 +54,8 @@ class Settings:
     def __post_init__(self) -> None:
         for name, (low, high, whole) in RANGES.items():
             value = getattr(self, name)
+            if value is None and name == "weak_evidence_max_candidates":  # no limit
+                continue
             if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value):
                 raise ValueError(f"{name}: not a number")
             if value < low:
@@ -72,7 +74,7 @@ class Settings:
     def measured_with(self) -> list[tuple[str, float]]:
         """The (name, value) rows a snapshot keeps. ``sampled`` is 0 or 1."""
         values = asdict(self)
-        return [("sampled", float(self.sampled))] + [(name, float(values[name])) for name in MEASURED_WITH]
+        return [("sampled", float(self.sampled))] + [(name, float(values[name])) for name in MEASURED_WITH if values[name] is not None]
 
     def with_measured(self, rows: dict[str, float]) -> Settings:
         """This run's settings with a snapshot's in place of those a measurement depends on."""

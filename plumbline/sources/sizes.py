@@ -17,6 +17,16 @@ def estimated_bytes(df: DataFrame) -> int | None:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def is_bare_scan(df: DataFrame) -> bool:
+    """Whether the rows come as they lie in files or memory: only then is the size estimate that of what is read."""
+    if not hasattr(df, "_jdf"):
+        return False
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.nodeName() in ("LogicalRelation", "LocalRelation") or plan.nodeName().startswith("Relation")
+
+
 def bytes_setting(spark: SparkSession, name: str) -> int:
     """A session setting such as 10MB, in bytes."""
     return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))

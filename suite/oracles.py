@@ -253,12 +253,11 @@ SELECT *, categorical OR keyed AS visible FROM (SELECT *, CASE WHEN rows = 0 THE
 
 HEAD = '"table", ordinal::INT AS ordinal, "column", true AS nullable, family, rows, non_null, null_rate, "distinct"'
 ORACLES["profile_all"] = f"SELECT {HEAD} FROM ({profiled()}) p"
-ORACLES["profile_orders"] = f"SELECT {HEAD}, max_length, categorical, visible FROM ({profiled(['orders'])}) p WHERE k <> 'd'"
+ORACLES["profile_orders"] = f"SELECT {HEAD}, max_length, categorical, visible FROM ({profiled(['orders'])}) p"
 ORACLES["profile_text_lengths"] = f"""SELECT "table", "column", "distinct", coalesce(max_length, 0) AS max_length FROM ({profiled()}) p WHERE family = 'text'"""
 ORACLES["profile_customer_categorical"] = f"""SELECT "column", "distinct" FROM ({profiled(['customer'])}) p WHERE categorical"""
-ORACLES["visibility_all"] = f"""SELECT "table", "column", coalesce(categorical, false) AS categorical, coalesce(visible, keyed) AS visible FROM ({profiled()}) p WHERE k <> 'd'"""
+ORACLES["visibility_all"] = f"""SELECT "table", "column", coalesce(categorical, false) AS categorical, coalesce(visible, keyed) AS visible FROM ({profiled()}) p"""
 ORACLES["year_ranges"] = f"""SELECT "table", "column", y0::INT AS year_min, y1::INT AS year_max FROM ({profiled()}) p WHERE NOT visible AND y0 IS NOT NULL"""
-ORACLES["describe_part"] = f"""SELECT ordinal::INT AS ordinal, "column", true AS nullable, null_rate, "distinct", max_length, visible FROM ({profiled(['part'])}) p WHERE k <> 'd'"""
 
 
 def value_lists(tables=None, item="v", env=None) -> str:
@@ -270,6 +269,10 @@ def value_lists(tables=None, item="v", env=None) -> str:
     return f"SELECT * FROM ({' UNION ALL '.join(rows)}) l WHERE values IS NOT NULL"
 
 
+ORACLES["describe_part"] = f"""
+SELECT 'part' AS "table", 'table' AS kind, true AS populated, NULL::BIGINT AS partitions, rows AS row_estimate, 'count' AS estimate_source, 'p_partkey' AS primary_key, '' AS foreign_keys,
+  p.ordinal::INT AS ordinal, p."column" AS "column", CASE k WHEN 'b' THEN 'bigint' WHEN 'i' THEN 'int' WHEN 'd' THEN 'double' ELSE 'string' END AS type, true AS nullable, null_rate, "distinct", l.values, NULL::VARCHAR AS unmeasured
+FROM ({profiled(['part'])}) p LEFT JOIN ({value_lists(['part'])}) l ON l."column" = p."column\""""
 ORACLES["value_lists_lineitem"] = f'SELECT "column", values FROM ({value_lists(["lineitem"])}) l'
 ORACLES["redacted_sample_customer"] = """
 SELECT c_custkey::VARCHAR AS c_custkey, '[hidden]' AS c_name, c_nationkey::VARCHAR AS c_nationkey, '[hidden]' AS c_acctbal, c_mktsegment FROM customer
@@ -283,8 +286,8 @@ ORACLES["row_counts"] = SIZES
 # Every table of the test data is one file, so the pilot reads it all.
 ORACLES["pilot_estimate"] = """SELECT 'lineitem' AS "table", count(*) AS rows, 'pilot' AS source FROM lineitem"""
 ORACLES["partition_estimate"] = """
-WITH parts AS (SELECT l_returnflag AS tab, CASE WHEN l_linestatus = 'F' THEN count(*) END AS rows, sum(trunc(l_quantity)::BIGINT) AS bytes
-  FROM lineitem GROUP BY l_returnflag, l_linestatus),
+WITH parts AS (SELECT lang AS tab, CASE WHEN right(source, 1) < '5' THEN count(*) END AS rows, sum(strlen(text))::BIGINT AS bytes
+  FROM documents GROUP BY lang, source),
 p AS (SELECT tab, count(*) AS n, count(rows) AS known, coalesce(sum(rows), 0) AS r, coalesce(sum(bytes) FILTER (WHERE rows IS NOT NULL), 0) AS kb, sum(bytes) AS ab FROM parts GROUP BY tab)
 SELECT tab AS "table", (CASE WHEN n = known THEN r WHEN kb > 0 THEN round(r + (ab - kb) * (r / kb)) ELSE -1 END)::BIGINT AS rows,
   CASE WHEN n = known OR kb > 0 THEN 'partitions' END AS source FROM p"""

@@ -118,7 +118,7 @@ def profile_all(spark, sf):
 
 @query
 def profile_orders(spark, sf):
-    return profile.table_profile(catalog(spark, sf).only(["orders"]), SETTINGS).where("type <> 'double'").select(*PROFILE, "max_length", "categorical", "visible")
+    return profile.table_profile(catalog(spark, sf).only(["orders"]), SETTINGS).select(*PROFILE, "max_length", "categorical", "visible")
 
 
 @query
@@ -133,7 +133,7 @@ def profile_customer_categorical(spark, sf):
 
 @query
 def visibility_all(spark, sf):
-    return profile.table_profile(catalog(spark, sf), SETTINGS).where("type <> 'double'").select("table", "column", "categorical", "visible")
+    return profile.table_profile(catalog(spark, sf), SETTINGS).select("table", "column", "categorical", "visible")
 
 
 @query
@@ -143,8 +143,7 @@ def year_ranges(spark, sf):
 
 @query
 def describe_part(spark, sf):
-    cat = catalog(spark, sf)
-    return profile.describe_table(profile.table_profile(cat.only(["part"]), SETTINGS), "part").where("type <> 'double'").drop("type", "unmeasured", "year_min", "year_max")
+    return profile.describe_table(catalog(spark, sf), "part", SETTINGS).withColumn("values", F.array_join("values", ", "))
 
 
 def _value_lists(cat, tables):
@@ -181,10 +180,10 @@ def pilot_estimate(spark, sf):
 @query
 def partition_estimate(spark, sf):
     parts = (
-        catalog(spark, sf)["lineitem"].df.groupBy("l_returnflag", "l_linestatus")
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("l_quantity").cast("bigint")).alias("bytes"))
+        catalog(spark, sf)["documents"].df.groupBy("lang", "source")
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).cast("bigint").alias("bytes"))
     )
-    known = parts.selectExpr("l_returnflag AS table", "if(l_linestatus = 'F', rows, null) AS rows", "bytes")
+    known = parts.selectExpr("lang AS table", "if(right(source, 1) < '5', rows, null) AS rows", "bytes")
     return sizes.partition_estimate(known)
 
 

@@ -194,6 +194,31 @@ def test_branches(spark):
     assert got["post"]["total"] == 300 and got["post"]["hits"] == sum(1 for i in range(1, 301) if 1 + i % 100 <= 40)
 
 
+def test_a_hidden_discriminator_tells_nothing(spark):
+    cat = shop(spark)
+    assert joins.join_hit_rate_by_branch(cat, Relationship("orders", "customer_id", "customers", "id"), "id").count() == 0
+    assert joins.join_hit_rate_by_branch(cat, Relationship("vehicles", "customer_id", "customers", "id"), "customer_id").count() == 0
+
+
+def test_what_may_grow_is_not_broadcast(spark):
+    few = spark.createDataFrame([(i,) for i in range(10)], "i long")
+    grown = few.selectExpr("explode(sequence(i, i + 1000000)) AS id")
+    assert joins.fits_broadcast(spark.read.parquet("/root/testdata/sf0.001/nation.parquet").select("n_nationkey"))
+    assert not joins.fits_broadcast(grown) and not joins.fits_broadcast(few.groupBy("i").count())
+
+
+def test_only_a_join_that_may_be_a_coincidence_reads_other_keys(spark):
+    cat = Catalog.from_parquet(spark, "/root/testdata/sf0.001", ["part", "customer", "nation", "orders"], [(t, "p", 0, c, None, None) for t, c in (("part", "p_partkey"), ("customer", "c_custkey"), ("nation", "n_nationkey"), ("orders", "o_orderkey"))])
+    frame = measure_relationships(cat, [Relationship("part", "p_partkey", "customer", "c_custkey")], Settings())
+    assert {f.rsplit("/", 1)[-1] for f in frame.inputFiles()} <= {"part.parquet", "customer.parquet"}
+
+
+def test_conditions_of_all_claims_of_a_scan_reach_it(spark):
+    cat = Catalog.from_parquet(spark, "/root/testdata/sf0.001", ["events", "supplier"], [("supplier", "p", 0, "s_suppkey", None, None)])
+    plan = joins.join_hit_rate(cat, Relationship("events", "user_id", "supplier", "s_suppkey", "event_type", "click"))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(event_type,click)" in plan
+
+
 def test_a_large_target_shuffles_counts_and_joins_without_a_second_exchange(spark, monkeypatch):
     monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
     a, b = spark.range(1000).selectExpr("id % 10 AS k"), spark.range(5).selectExpr("id AS t")

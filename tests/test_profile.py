@@ -8,6 +8,7 @@ from plumbline import Catalog, Relation, Settings
 from plumbline.functions.rules import is_categorical
 from plumbline.operators.joins import Relationship, measure_relationships
 from plumbline.operators.profile import describe_table, listed_columns, redacted_sample, table_profile, value_lists
+from plumbline.operators.problems import inconsistent_groups
 from plumbline.operators.sampling import Scan, bounded_scan, repeatable_sample, sample_cap, sample_or_first, sampled_size
 from plumbline.sources.sizes import partition_estimate, pilot_row_estimate, row_counts
 
@@ -43,8 +44,10 @@ def test_shop(spark):
     assert (got["events", "happened_on"]["year_min"], got["events", "happened_on"]["year_max"]) == (None, None)  # a key, so shown
     assert got["cars", "make"]["rows"] == 0 and got["cars", "make"]["null_rate"] == 0
     assert got["order_totals", "orders"]["unmeasured"] == "a materialized view that has never been refreshed cannot be read"
-    described = {r["column"]: r.asDict() for r in describe_table(table_profile(cat, S), "customers").collect()}
-    assert "rows" not in described["id"] and described["country"]["distinct"] == 4
+    described = {r["column"]: r.asDict() for r in describe_table(cat, "customers", S).collect()}
+    assert described["country"]["distinct"] == 4 and described["id"]["row_estimate"] == 250 and described["id"]["primary_key"] == "id"
+    assert not {"max_length", "year_min", "year_max"} & set(described["id"]) and CANARY not in str(described)
+    assert len(described["country"]["values"]) == 4 and described["address"]["values"] is None
 
 
 def test_value_lists_and_samples_hold_no_hidden_value(spark):
@@ -123,6 +126,30 @@ def test_a_sample_is_the_same_however_the_data_lies(spark, tmp_path):
     assert sample_or_first(df, df.where("id < 3"), 10).count() == 3
 
 
+def test_long_categorical_values_are_told_as_they_are(spark):
+    long = [c * 71 for c in "abc"]
+    df = spark.createDataFrame([(v,) for v in long] * 3 + [(long[0].upper(),)] * 2, "v string")
+    cat, s = Catalog(spark, [Relation("t", df)]), Settings(categorical_max_value_length=100)
+    assert value_lists(cat, s, [("t", "v")]).first()["values"] == [long[0].upper(), *long]
+    assert [tuple(r) for r in inconsistent_groups(cat, [("t", "v")], s).collect()] == [("t", "v", long[0], [long[0].upper(), long[0]])]
+    assert inconsistent_groups(cat, [("t", "v")], S).count() == 0
+
+
+def test_a_sample_of_a_wrong_estimate(spark):
+    df = spark.range(20_000).toDF("id")
+    s = Settings(sampled=True, sample_rows=100, sample_rows_shown=1, sample_oversample=3)
+    assert 200 < bounded_scan(Relation("t", df), 1_000, s, ["id"]).count() <= 400
+    assert bounded_scan(Relation("t", df), 10**9, s, ["id"]).count() == 100
+    with_sizes = Scan(Catalog(spark, [Relation("t", df)]), s, {"t": 20_000})
+    assert with_sizes(with_sizes.catalog["t"]) is with_sizes(with_sizes.catalog["t"])
+
+
+def test_a_view_is_computed_once(spark):
+    df = spark.range(1_000_000).groupBy((F.col("id") % 1000).alias("k")).agg(*[F.max(F.col("id") + i).alias(f"c{i}") for i in range(6)])
+    plan = table_profile(Catalog(spark, [Relation("v", df)]), S)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1
+
+
 def test_sizes_after_a_sample(spark):
     s = Settings(sample_rows=10, sample_rows_shown=1)
 
