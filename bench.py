@@ -29,6 +29,10 @@ HEADLINE = [
     "inconsistent_values_docs",
     "duplicate_overlap_documents",
     "suspicions_all",
+    "remeasure_moved",
+    "join_lines",
+    "table_reports",
+    "profile_orders_sampled",
 ]
 RUNS = 2
 

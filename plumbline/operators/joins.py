@@ -22,6 +22,9 @@ from plumbline.sources.small import kept, small_table
 HOT_SHARE = 1000
 HOT_SPREAD = 100_000
 
+# With more from-tables than this their keys are stacked and meet all targets in one join, so that the plan stays small.
+SCANS_OF_THEIR_OWN = 12
+
 # At most this many targets are broadcast into one scan.
 PROBES_PER_SCAN = 16
 
@@ -226,6 +229,8 @@ def _counts(scan: Scan, claims: list[tuple[int, Relationship]], long_form: bool
             probed.setdefault(r.from_table, []).append((i, r))
         else:
             large.append((i, r))
+    if len(probed) > SCANS_OF_THEIR_OWN:
+        large, probed = claims, {}
     ends = _ends(scan.catalog, claims)
     limit = bytes_setting(scan.catalog.spark, "spark.sql.autoBroadcastJoinThreshold")
     frames = [_probed(scan, some, ends) for claims_of in probed.values() for some in _batches(claims_of, size, limit)]

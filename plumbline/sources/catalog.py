@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from functools import cached_property
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,6 +140,11 @@ class Catalog:
         revealed = any(f"{called}.{column}" in self.reveal for called in relation.names)
         return revealed or (key and S.family(relation.type_of(column)) != S.TEXT)
 
+    def unknown_reveals(self) -> list[str]:
+        """The names to be revealed that are no column's: a slip in one would leave its column hidden without a word."""
+        known = {f"{called}.{column}" for r in self.relations for called in r.names for column in r.struct.names}
+        return sorted(self.reveal - known)
+
     # ---- as DataFrames ----
 
     def keys_df(self) -> DataFrame:
@@ -187,7 +193,14 @@ def _open_parquet(spark: SparkSession, path: str, name: str) -> Relation:
         df = spark.read.parquet(path)
     except Exception as e:  # the words of the error can hold a value or a path, so only its kind is kept
         return Relation(name, None, unread=f"could not be read ({type(e).__name__})")
-    return Relation(name, df, files=path)
+    return Relation(name, df, partition_columns=_partition_columns(df), files=path)
+
+
+def _partition_columns(df: DataFrame) -> tuple[str, ...]:
+    """The columns that a dataset's folders are named by, read off the place of one file."""
+    folders = next(iter(df.inputFiles()), "").split("/")[:-1]
+    named = [unquote(folder.partition("=")[0]) for folder in folders if "=" in folder]
+    return tuple(c for c in named if c in df.columns)
 
 
 def _open_table(spark: SparkSession, database: str, table) -> Relation:

@@ -298,6 +298,11 @@ ORACLES["sample_cap_lineitem"] = "SELECT o_orderkey FROM orders ORDER BY substr(
 ORACLES["sample_fallback_size"] = "SELECT CASE WHEN count(*) < 500 THEN count(*) ELSE -1 END AS rows, count(*) < 500 AS is_count FROM (SELECT * FROM orders LIMIT 500) s"
 ORACLES["join_on_sample_lineitem"] = f"SELECT {RATES} FROM ({counts(Relationship('lineitem', 'l_partkey', 'customer', 'c_custkey'), {'lineitem': SAMPLE})}) m"
 
+_ORDERS_SAMPLE = """SELECT * FROM orders WHERE substr(md5('1|' || o_orderkey::VARCHAR), 1, 8)
+  < (SELECT CASE WHEN count(*) <= 1000 THEN 'g' ELSE printf('%08x', floor(1000.0::DOUBLE / count(*) * 4294967296)::BIGINT) END FROM orders)"""
+ORACLES["profile_orders_sampled"] = f"SELECT {HEAD} FROM ({profiled(['orders'], {'orders': _ORDERS_SAMPLE})}) p"
+ORACLES["claims_sampled"] = f"SELECT {VERDICT} FROM ({measured([ORDERS_CUSTOMER], {'orders': _ORDERS_SAMPLE})}) v"
+
 
 # ---- problems ----
 
@@ -344,6 +349,8 @@ def problem(s: Suspicion, env=None, gone=None) -> str:
         return spread(s, sql, "distinct_values canonical_forms collisions", skipped, "n = 0 OR distinct_values = 0")
     if s.kind == "duplicate_entity":
         a, b = s.tables
+        if any(x in gone and gone[x] is None for x in (a, b)):
+            return spread(s, "SELECT 1", "", lit(f"needs two known tables, got {a}, {b}"))
         shared = [c for _, c in COLUMNS[a] if c in {x for _, x in COLUMNS[b]}]
         cols = ", ".join(shared)
         sql = f"""SELECT *, matched / total AS overlap, matched AS matched_reverse, matched / total_reverse AS overlap_reverse FROM (SELECT
