@@ -28,6 +28,12 @@ def verdict_summary(verdicts: DataFrame) -> DataFrame:
     )
 
 
+def broken_joins(verdicts: DataFrame) -> DataFrame:
+    """(rank, claim_id, hit, orphans) of every broken join, the worst first."""
+    broken = verdicts.where("kind = 'relationship' AND status = 'broken'")
+    return broken.select(F.row_number().over(Window.orderBy("hit", "claim_id")).alias("rank"), "claim_id", "hit", "orphans")
+
+
 def empty_reasons(verdicts: DataFrame) -> DataFrame:
     """(rank, reason, claims): why claims were empty, the most frequent reason first. All reasons are told; there are few."""
     counted = verdicts.where("status = 'empty'").groupBy(F.coalesce("skipped", F.lit("no reason given")).alias("reason")).agg(F.count(F.lit(1)).alias("claims"))

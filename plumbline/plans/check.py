@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.operators.compare import (
     classify_changes,
@@ -71,3 +72,10 @@ def check(catalog: Catalog, snapshot: Snapshot, settings: Settings) -> CheckRepo
         settings=settings_diff(snapshot.settings, own),
         schema_changed=schema_fingerprint(relations, columns, keys).first()["fingerprint"] != snapshot.fingerprint,
     )
+
+
+def notes(report: CheckReport) -> DataFrame:
+    """(note, name, before, now): what a reader of the changes should know, a row per setting that differs and one if the schema does."""
+    schema = small_table(report.settings.sparkSession, [("schema changed",)] if report.schema_changed else [], "note string")
+    nothing = {"name": F.lit(None).cast("string"), **{c: F.lit(None).cast("double") for c in ("before", "now")}}
+    return report.settings.select(F.lit("setting differs").alias("note"), "name", "before", "now").unionByName(schema.withColumns(nothing))

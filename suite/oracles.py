@@ -395,6 +395,7 @@ ORACLES["empty_reasons"] = f"""
 WITH r AS (SELECT skipped AS reason, count(*) AS claims FROM ({ALL}) v WHERE status = 'empty' GROUP BY 1),
 k AS (SELECT *, row_number() OVER (ORDER BY claims DESC, reason) AS rank FROM r)
 SELECT rank::INT AS rank, reason, claims FROM k"""
+ORACLES["broken_joins"] = f"SELECT row_number() OVER (ORDER BY hit, claim_id)::INT AS rank, claim_id, hit, orphans FROM ({measured(CLAIMS)}) v WHERE status = 'broken'"
 ORACLES["has_findings"] = f"SELECT bool_or(CASE WHEN type = 'relationship' THEN status = 'broken' ELSE status = 'confirmed' END) AS has_findings FROM ({ALL}) v"
 ORACLES["relation_kinds"] = f"SELECT 'table' AS kind, count(*) AS relations, 0::BIGINT AS partitioned, sum(rows)::BIGINT AS rows FROM ({SIZES}) s"
 

@@ -308,6 +308,11 @@ def verdict_summary(spark, sf):
     return verdicts.verdict_summary(_all_verdicts(catalog(spark, sf)))
 
 
+@query
+def broken_joins(spark, sf):
+    return verdicts.broken_joins(_all_verdicts(catalog(spark, sf)))
+
+
 @query
 def empty_reasons(spark, sf):
     return verdicts.empty_reasons(_all_verdicts(catalog(spark, sf)))

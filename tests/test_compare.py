@@ -11,7 +11,7 @@ from plumbline.operators.compare import change_tally, gate, schema_fingerprint
 from plumbline.operators.joins import Relationship
 from plumbline.operators.problems import Suspicion
 from plumbline.operators.report import change_rows, join_lines, problem_lines
-from plumbline.plans.check import check, wider
+from plumbline.plans.check import CheckReport, check, notes, wider
 from plumbline.plans.run import measure_join, prepared, relationships_df, reports, snapshot_of, suspicions_df, verify
 from plumbline.sources.snapshot import invalid_settings, read_snapshot, write_snapshot, write_table_reports
 
@@ -246,6 +246,12 @@ def test_every_change_is_listed(spark):
     assert [r["name"][-2:] for r in got] == ["59", *[f"{i:02}" for i in range(59)]] and got[0]["before"] == "broken 60.0%"
 
 
+def test_notes_of_a_check(spark):
+    settings = spark.createDataFrame([("join_broken", 0.5, 0.6)], "name string, before double, now double")
+    told = [sorted(tuple(r) for r in notes(CheckReport(None, None, settings, changed)).collect()) for changed in (True, False)]
+    assert told == [[("schema changed", None, None, None), ("setting differs", "join_broken", 0.5, 0.6)], [("setting differs", "join_broken", 0.5, 0.6)]]
+
+
 def test_text_helpers(spark):
     def of(column):
         return spark.range(1).select(column).first()[0]
