@@ -3,32 +3,39 @@
 Lines of equal words collapse to their first. The words of the others are ordered by rarity: by the count of their hash's cell in a table of
 2 ** CELL_BITS cells over all lines, which any corpus fills and whose size no corpus changes; then by hash. Two sets with Jaccard similarity
 t share a word among the first few of either; for sizes a and b they need overlap o = ceil(t / (1 + t) * (a + b)), so it is among the first
-a - o + 1 and b - o + 1. A set meets first only the earliest set with the word. Most lines of a large group of near copies are decided by
-that, one row each, and only the others meet all sets that share a word. A bitmap of each set bounds the overlap before words are compared.
+a - o + 1 and b - o + 1. A set meets first only the earliest one with the same LEAD_WORDS rarest words. Most lines of a large group of near
+copies are decided by that, one row each, and only the others meet all sets that share a word. A bitmap of each set bounds the overlap before
+words are compared.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import keep
 
 SIMILARITY = (4, 5)  # numerator and denominator
-CELL_BITS = 20
+CELL_BITS = 18
 COUNT_BITS = 22
-BLANKS = "[ \\t\\r\\f\\x0B]+"
+LEAD_WORDS = 3
+OTHER_BLANKS = "\t\r\f\x0b"
+
+
+def _blanks_as_spaces(text: Column) -> Column:
+    """Most texts have no blanks but spaces, and finding that out costs less than replacing."""
+    return F.when(text.rlike(f"[{OTHER_BLANKS}]"), F.translate(text, OTHER_BLANKS, " " * len(OTHER_BLANKS))).otherwise(text)
 
 
 def words_of(line: Column) -> Column:
-    """Distinct words in lower case, split at blanks."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), BLANKS)), "")
+    """Distinct words of a line whose blanks are spaces."""
+    return F.array_remove(F.array_distinct(F.split(line, " ")), "")
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """d, t, ln: the document's place in the order, a hash of its text, the line's number; k1, k2: hashes of its n words; words, space-joined."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    rows = rows.where(F.col("text").isNotNull()).select("d", "t", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    rows = rows.where(F.col("text").isNotNull()).select("d", "t", F.posexplode(F.split(_blanks_as_spaces(F.lower("text")), "\n")).alias("ln", "line"))
     rows = rows.select("d", "t", "ln", words_of(F.col("line")).alias("w"))
     return rows.select("d", "t", "ln", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"), F.size("w").alias("n"), F.array_join("w", " ").alias("words"))
 
@@ -54,10 +61,6 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     return rows.select("id", "d", "ln", "n", bits.alias("bits"), first.alias("prefix"))
 
 
-def _entries(prefixes: DataFrame) -> DataFrame:
-    return prefixes.select("id", "d", "ln", "n", "bits", F.posexplode("prefix").alias("p", "key"))
-
-
 def _overlap(a: str, b: str) -> str:
     high, low = SIMILARITY
     return f"(({high} * ({a}.n + {b}.n) + {high + low - 1}) div {high + low})"
@@ -82,13 +85,17 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def similar_to_earlier(sets: DataFrame) -> DataFrame:
     """id of each set (id, d, ln, n, words) that has a similar one with smaller (d, ln)."""
     prefixes = keep(_prefixes(sets), "prefixes")
-    entry = F.struct("d", "ln", "id", "n", "p", "bits")
-    led = _entries(prefixes).select("key", entry.alias("e"), F.min(entry).over(Window.partitionBy("key")).alias("lead"))
-    later = F.expr("(e.d, e.ln) > (lead.d, lead.ln)")
-    led = led.where(later & _possible("e", "lead")).select(F.col("e.id").alias("later"), F.col("lead.id").alias("earlier"))
+    rarest = prefixes.select("id", "d", "ln", F.xxhash64(F.slice("prefix", 1, LEAD_WORDS)).alias("rarest"))
+    leads = rarest.groupBy("rarest").agg(F.min(F.struct("d", "ln", "id")).alias("lead"))
+    led = rarest.join(leads, "rarest").where("(d, ln) > (lead.d, lead.ln)").select(F.col("id").alias("later"), F.col("lead.id").alias("earlier"))
     decided = keep(_verified(led, sets), "similar-to-leads")
-    x, y = _entries(prefixes.join(decided, "id", "left_anti")).alias("x"), _entries(prefixes).alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr("(x.d, x.ln) > (y.d, y.ln)") & _possible("x", "y"))
+
+    marked = prefixes.join(decided.withColumn("decided", F.lit(True)), "id", "left").withColumn("decided", F.coalesce("decided", F.lit(False)))
+    entries = marked.select("id", "d", "ln", "n", "bits", "decided", F.posexplode("prefix").alias("p", "key"))
+    x, y = entries.alias("x"), entries.alias("y")
+    # Both sides are one exchange: what holds for x alone is written so that it stays in the join.
+    later = F.expr("(x.d, x.ln) > (y.d, y.ln) AND (NOT x.decided OR x.n + y.n < 0)")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & later & _possible("x", "y"))
     rest = _verified(met.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier")), sets)
     return decided.unionByName(rest)
 
