@@ -77,9 +77,10 @@ def _possible(a: str, b: str) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of later, earlier: the later ones that are similar enough, each once."""
-    x, y = (sets.select(F.col("id").alias(f"{s}_id"), F.col("n"), F.split("words", " ").alias("w")).alias(s) for s in ("x", "y"))
-    both = pairs.distinct().join(x, F.col("later") == F.col("x.x_id")).join(y, F.col("earlier") == F.col("y.y_id"))
-    return both.where(F.size(F.array_intersect("x.w", "y.w")) >= F.expr(_overlap("x", "y"))).select(F.col("later").alias("id")).distinct()
+    x, y = (sets.select("id", "n", "words").alias(s) for s in ("x", "y"))
+    both = pairs.distinct().join(x, F.col("later") == F.col("x.id")).join(y, F.col("earlier") == F.col("y.id"))
+    shared = F.array_intersect(F.split("x.words", " "), F.split("y.words", " "))
+    return both.where(F.size(shared) >= F.expr(_overlap("x", "y"))).select(F.col("later").alias("id")).distinct()
 
 
 def similar_to_earlier(sets: DataFrame) -> DataFrame:
@@ -90,11 +91,12 @@ def similar_to_earlier(sets: DataFrame) -> DataFrame:
     led = rarest.join(leads, "rarest").where("(d, ln) > (lead.d, lead.ln)").select(F.col("id").alias("later"), F.col("lead.id").alias("earlier"))
     decided = keep(_verified(led, sets), "similar-to-leads")
 
-    marked = prefixes.join(decided.withColumn("decided", F.lit(True)), "id", "left").withColumn("decided", F.coalesce("decided", F.lit(False)))
-    entries = marked.select("id", "d", "ln", "n", "bits", "decided", F.posexplode("prefix").alias("p", "key"))
+    # 1 for a set that is still to be decided. Both sides of the join then read the same columns, so that they share one exchange.
+    known = decided.select(F.col("id").alias("known"))
+    marked = prefixes.join(known, F.col("id") == F.col("known"), "left").withColumn("open", F.when(F.col("known").isNull(), 1).otherwise(0))
+    entries = marked.select("id", "d", "ln", "n", "bits", "open", F.posexplode("prefix").alias("p", "key"))
     x, y = entries.alias("x"), entries.alias("y")
-    # Both sides are one exchange: what holds for x alone is written so that it stays in the join.
-    later = F.expr("(x.d, x.ln) > (y.d, y.ln) AND (NOT x.decided OR x.n + y.n < 0)")
+    later = F.expr("(x.d, x.ln) > (y.d, y.ln) AND x.open + y.open > y.open")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & later & _possible("x", "y"))
     rest = _verified(met.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier")), sets)
     return decided.unionByName(rest)
