@@ -34,6 +34,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that keep() wrote, once nothing that is still to run reads them."""
+    for table in tables:
+        spark = table.sparkSession
+        own = f"/{spark.sparkContext.applicationId}/"
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if own in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_text_key(docs: DataFrame, text: str = "text", first: str = "t1", second: str = "t2") -> DataFrame:
     """Two independent 64-bit hashes of the text. Rows of equal text share them; they are never null."""
     return docs.withColumns({first: F.xxhash64(F.lit(1), F.col(text)), second: F.xxhash64(F.lit(2), F.col(text))})

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import keep
+from plumbline.llm.common import forget, keep
 
 SIMILARITY = (4, 5)  # numerator and denominator
 CELL_BITS = 18
@@ -99,7 +99,9 @@ def similar_to_earlier(sets: DataFrame) -> DataFrame:
     later = F.expr("(x.d, x.ln) > (y.d, y.ln) AND x.open + y.open > y.open")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & later & _possible("x", "y"))
     rest = _verified(met.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier")), sets)
-    return decided.unionByName(rest)
+    similar = keep(decided.unionByName(rest), "similar-sets")
+    forget(prefixes, decided)
+    return similar
 
 
 def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_counts: bool = False) -> DataFrame:
@@ -110,13 +112,17 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     one number in rows with one id are not earlier than each other, so repeated rows get equal texts. A null text stays null and has no
     lines; a text that loses all its lines is empty. An empty table stays empty.
     """
-    lines = keep(_lines(docs, doc_id, text), "lines")
-    first = lines.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("d", "ln", "n", "words")).alias("f")).select("k1", "k2", "f.*")
+    whole = keep(_lines(docs, doc_id, text), "lines")
+    first = whole.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("d", "ln", "n", "words")).alias("f")).select("k1", "k2", "f.*")
     sets = keep(first.withColumn("id", F.monotonically_increasing_id()), "line-sets")
-    similar = keep(similar_to_earlier(sets.select("id", "d", "ln", "n", "words")), "similar-lines")
+    lines = keep(whole.select("d", "t", "ln", "k1", "k2"), "line-keys")
+    forget(whole)
+    similar = similar_to_earlier(sets.select("id", "d", "ln", "n", "words"))
 
     firsts = sets.join(similar.withColumn("similar", F.lit(True)), "id", "left").select("k1", "k2", F.struct("d", "ln").alias("first"), F.coalesce("similar", F.lit(False)).alias("similar"))
-    marked = lines.select("d", "t", "ln", "k1", "k2").join(firsts, ["k1", "k2"], "left")
+    firsts = keep(firsts, "first-lines")
+    forget(sets, similar)
+    marked = lines.join(firsts, ["k1", "k2"], "left")
     gone = F.coalesce(F.col("similar") | (F.struct("d", "ln") != F.col("first")), F.lit(False))
     # A bit for each line, in order, 64 to a cell: a text of very many lines finds each by its place.
     cells = marked.select("d", "t", "ln", gone.alias("gone")).groupBy("d", "t", F.expr("ln div 64").alias("cell"))
