@@ -34,15 +34,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables that keep() wrote, once nothing that is still to run reads them."""
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Ends a step: deletes tables that keep() wrote and nothing that is still to run reads, and lets Spark remove the shuffle files of
+    finished jobs, which otherwise stay until the driver happens to collect its garbage."""
+    own = f"/{spark.sparkContext.applicationId}/"
     for table in tables:
-        spark = table.sparkSession
-        own = f"/{spark.sparkContext.applicationId}/"
         for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
             if own in folder:
                 path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
 
 
 def with_text_key(docs: DataFrame, text: str = "text", first: str = "t1", second: str = "t2") -> DataFrame:

@@ -85,11 +85,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def similar_to_earlier(sets: DataFrame) -> DataFrame:
     """id of each set (id, d, ln, n, words) that has a similar one with smaller (d, ln)."""
+    spark = sets.sparkSession
     prefixes = keep(_prefixes(sets), "prefixes")
+    forget(spark)
     rarest = prefixes.select("id", "d", "ln", F.xxhash64(F.slice("prefix", 1, LEAD_WORDS)).alias("rarest"))
     leads = rarest.groupBy("rarest").agg(F.min(F.struct("d", "ln", "id")).alias("lead"))
     led = rarest.join(leads, "rarest").where("(d, ln) > (lead.d, lead.ln)").select(F.col("id").alias("later"), F.col("lead.id").alias("earlier"))
     decided = keep(_verified(led, sets), "similar-to-leads")
+    forget(spark)
 
     # 1 for a set that is still to be decided. Both sides of the join then read the same columns, so that they share one exchange.
     known = decided.select(F.col("id").alias("known"))
@@ -98,9 +101,10 @@ def similar_to_earlier(sets: DataFrame) -> DataFrame:
     x, y = entries.alias("x"), entries.alias("y")
     later = F.expr("(x.d, x.ln) > (y.d, y.ln) AND x.open + y.open > y.open")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & later & _possible("x", "y"))
-    rest = _verified(met.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier")), sets)
-    similar = keep(decided.unionByName(rest), "similar-sets")
-    forget(prefixes, decided)
+    pairs = keep(met.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier")), "candidates")
+    forget(spark, prefixes)
+    similar = keep(decided.unionByName(_verified(pairs, sets)), "similar-sets")
+    forget(spark, decided, pairs)
     return similar
 
 
@@ -116,12 +120,12 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     first = whole.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("d", "ln", "n", "words")).alias("f")).select("k1", "k2", "f.*")
     sets = keep(first.withColumn("id", F.monotonically_increasing_id()), "line-sets")
     lines = keep(whole.select("d", "t", "ln", "k1", "k2"), "line-keys")
-    forget(whole)
+    forget(docs.sparkSession, whole)
     similar = similar_to_earlier(sets.select("id", "d", "ln", "n", "words"))
 
     firsts = sets.join(similar.withColumn("similar", F.lit(True)), "id", "left").select("k1", "k2", F.struct("d", "ln").alias("first"), F.coalesce("similar", F.lit(False)).alias("similar"))
     firsts = keep(firsts, "first-lines")
-    forget(sets, similar)
+    forget(docs.sparkSession, sets, similar)
     marked = lines.join(firsts, ["k1", "k2"], "left")
     gone = F.coalesce(F.col("similar") | (F.struct("d", "ln") != F.col("first")), F.lit(False))
     # A bit for each line, in order, 64 to a cell: a text of very many lines finds each by its place.
