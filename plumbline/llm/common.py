@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +17,7 @@ from xxhash import xxh3_128_intdigest
 TEXT_SLICE = 512
 MOST_FILTER_BITS = 1 << 27
 MOST_CACHED_WORDS = 1 << 19
+CLEANING_SECONDS = 0.5
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +46,10 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
             if own in folder:
                 path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first turn frees lets go of more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(CLEANING_SECONDS)
 
 
 def with_text_key(docs: DataFrame, text: str = "text", first: str = "t1", second: str = "t2") -> DataFrame:

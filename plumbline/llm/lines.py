@@ -37,7 +37,8 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
     rows = rows.where(F.col("text").isNotNull()).select("d", "t", F.posexplode(F.split(_blanks_as_spaces(F.lower("text")), "\n")).alias("ln", "line"))
     rows = rows.select("d", "t", "ln", words_of(F.col("line")).alias("w"))
-    return rows.select("d", "t", "ln", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"), F.size("w").alias("n"), F.array_join("w", " ").alias("words"))
+    rows = rows.select("d", "t", "ln", F.size("w").alias("n"), F.array_join("w", " ").alias("words"))
+    return rows.select("d", "t", "ln", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), "n", "words")
 
 
 def _cell_counts(sets: DataFrame) -> Column:
