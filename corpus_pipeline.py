@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, language, lines, neardup, packing
-from plumbline.llm.common import keep, with_text_key
+from plumbline.llm.common import forget, keep, with_text_key
 from plumbline.llm.queries import held_out, tokenizer_files
 
 # Nearer than this the two likeliest languages of a text cannot be told apart.
@@ -57,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        before, docs = docs, keep(stage(spark, docs, sf_dir), name)
+        forget(spark, before)  # of the tables written here; the input stays
     return STAGES[-1][1](spark, docs, sf_dir)
