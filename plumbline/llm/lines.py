@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import forget, keep
 
 SIMILARITY = (4, 5)  # numerator and denominator
-CELL_BITS = 18
+CELL_BITS = 20
 COUNT_BITS = 22
 LEAD_WORDS = 3
 OTHER_BLANKS = "\t\r\f\x0b"
@@ -52,14 +52,15 @@ def _cell_counts(sets: DataFrame) -> Column:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """id, d, ln, n, bits, prefix: the set's size, a bitmap of its words, and its rarest words as numbers that are ordered by rarity."""
+    """id, d, ln, n, low, high, prefix: the set's size, a bitmap of its words in two halves, and its rarest words as numbers that are ordered
+    by rarity."""
     rows = sets.withColumn("cells", _cell_counts(sets)).withColumn("w", F.split("words", " "))
     word = f"shiftleft(cast(cells[cast(pmod(xxhash64(x), {1 << CELL_BITS}) as int)] as bigint), {63 - COUNT_BITS}) | (xxhash64(x) & {(1 << 63 - COUNT_BITS) - 1})"
     rows = rows.select("id", "d", "ln", "n", F.expr(f"sort_array(transform(w, x -> {word}))").alias("codes"))
-    bits = F.expr("aggregate(codes, 0L, (a, c) -> a | shiftleft(1L, cast(c & 63 as int)))")
+    half = lambda of: F.expr(f"aggregate(codes, 0L, (a, c) -> if((c & 64) = {of}, a | shiftleft(1L, cast(c & 63 as int)), a))")
     high, low = SIMILARITY
     first = F.expr(f"slice(codes, 1, n - (({high} * n + {low - 1}) div {low}) + 1)")
-    return rows.select("id", "d", "ln", "n", bits.alias("bits"), first.alias("prefix"))
+    return rows.select("id", "d", "ln", "n", half(0).alias("low"), half(64).alias("high"), first.alias("prefix"))
 
 
 def _overlap(a: str, b: str) -> str:
@@ -72,7 +73,7 @@ def _possible(a: str, b: str) -> Column:
     o, (high, low) = _overlap(a, b), SIMILARITY
     return F.expr(
         f"{low} * {a}.n >= {high} * {b}.n AND {low} * {b}.n >= {high} * {a}.n AND {a}.p < {a}.n - {o} + 1 AND {b}.p < {b}.n - {o} + 1"
-        f" AND least({a}.n - {a}.p, {b}.n - {b}.p) + least({a}.p, {b}.p) >= {o} AND {a}.n + {b}.n - bit_count({a}.bits ^ {b}.bits) >= 2 * {o}"
+        f" AND least({a}.n - {a}.p, {b}.n - {b}.p) + least({a}.p, {b}.p) >= {o} AND {a}.n + {b}.n - bit_count({a}.low ^ {b}.low) - bit_count({a}.high ^ {b}.high) >= 2 * {o}"
     )
 
 
@@ -98,7 +99,7 @@ def similar_to_earlier(sets: DataFrame) -> DataFrame:
     # 1 for a set that is still to be decided. Both sides of the join then read the same columns, so that they share one exchange.
     known = decided.select(F.col("id").alias("known"))
     marked = prefixes.join(known, F.col("id") == F.col("known"), "left").withColumn("open", F.when(F.col("known").isNull(), 1).otherwise(0))
-    entries = marked.select("id", "d", "ln", "n", "bits", "open", F.posexplode("prefix").alias("p", "key"))
+    entries = marked.select("id", "d", "ln", "n", "low", "high", "open", F.posexplode("prefix").alias("p", "key"))
     x, y = entries.alias("x"), entries.alias("y")
     later = F.expr("(x.d, x.ln) > (y.d, y.ln) AND x.open + y.open > y.open")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & later & _possible("x", "y"))
