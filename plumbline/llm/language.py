@@ -79,6 +79,33 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _steps(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about STEP bytes; a longer text is a run of its own."""
+    first = 0
+    while first < len(at) - 1:
+        last = first + 1
+        if at[last] - at[first] < STEP:
+            last = max(last, int(np.searchsorted(at, at[first] + STEP, "right")) - 1)
+        yield first, last
+        first = last
+
+
+def ngrams(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """first, last, buckets, numbers: the buckets of one order of the texts from first to last, text after text, and how many each text has.
+    Every n-gram lies within one text. A text of more than STEP bytes comes in parts."""
+    for first, last in _steps(at):
+        ends = at[first + 1 : last + 1] - at[first]
+        for a in range(at[first], at[last], STEP):
+            for order, b in zip(ORDERS, buckets_of(data[a : min(a + STEP + ORDERS[-1] - 1, at[last])]), strict=False):
+                b = b[:STEP]
+                if last == first + 1:
+                    yield first, last, b, np.array([len(b)])
+                    continue
+                over = (ends[:-1, None] - np.arange(1, order)).ravel()  # these reach into the next text
+                b = np.delete(b, over[(over >= 0) & (over < len(b))])
+                yield first, last, b, np.maximum(np.diff(at[first : last + 1]) - order + 1, 0)
+
+
 def count_ngrams(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """lang, counts: how often each bucket occurs in the texts of a language, as an array of longs; a row per language and task."""
 
@@ -89,10 +116,11 @@ def count_ngrams(docs: DataFrame, text: str, lang: str) -> DataFrame:
             data, at = _bytes(part.column(0))
             for name in set(names):
                 mine = counts.setdefault(name, np.zeros(1 << BUCKET_BITS, np.int64))
-                own = np.concatenate([data[at[i] : at[i + 1]] for i in np.flatnonzero(names == name)])
-                for a in range(0, len(own), STEP):
-                    for b in buckets_of(own[a : a + STEP]):
-                        mine += np.bincount(b, minlength=1 << BUCKET_BITS)
+                of_name = np.flatnonzero(names == name)
+                own = np.concatenate([data[at[i] : at[i + 1]] for i in of_name])
+                own_at = np.append(0, np.cumsum(np.diff(at)[of_name]))
+                for _, _, b, _ in ngrams(own, own_at):
+                    mine += np.bincount(b, minlength=1 << BUCKET_BITS)
         names = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([c.tobytes() for c in counts.values()], pa.binary())], ["lang", "counts"])
 
@@ -119,31 +147,13 @@ class Model:
     def margins(self, texts: pa.Array) -> np.ndarray:
         """Texts x bits: the mean log-odds of an n-gram."""
         data, at = _bytes(texts)
-        sums, n = np.zeros((len(texts), self.bits.shape[1])), np.zeros(len(texts))
-        for first, last in _steps(at):
-            if last == first + 1:
-                for a in range(at[first], at[last], STEP):
-                    for b in buckets_of(data[a : min(a + STEP + ORDERS[-1] - 1, at[last])]):
-                        sums[first] += self.bits[b].sum(axis=0, dtype=np.float64)
-                        n[first] += len(b)
-                continue
-            own, starts = data[at[first] : at[last]], at[first:last] - at[first]
-            for b in buckets_of(own):  # the last n-grams of a text reach into the space and first letters of the next
-                here = np.minimum(starts, len(b) - 1)
-                sums[first:last] += np.add.reduceat(self.bits[b], here, axis=0)
-                n[first:last] += np.diff(np.append(here, len(b)))
-        return sums / np.maximum(n, 1)[:, None]
-
-
-def _steps(at: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about STEP bytes; a longer text is a run of its own."""
-    first = 0
-    while first < len(at) - 1:
-        last = first + 1
-        if at[last] - at[first] < STEP:
-            last = max(last, int(np.searchsorted(at, at[first] + STEP, "right")) - 1)
-        yield first, last
-        first = last
+        sums, total = np.zeros((len(texts), self.bits.shape[1])), np.zeros(len(texts))
+        for first, last, b, n in ngrams(data, at):
+            some = np.flatnonzero(n)
+            if len(some):
+                sums[first + some] += np.add.reduceat(self.bits[b], (np.cumsum(n) - n)[some], axis=0, dtype=np.float64)
+            total[first:last] += n
+        return sums / np.maximum(total, 1)[:, None]
 
 
 def bit_weights(margins: DataFrame, model: Model, lang: str = "lang") -> np.ndarray:

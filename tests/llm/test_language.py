@@ -53,3 +53,36 @@ def test_edge_cases(spark):
     assert {r["lang_pred"] for r in language.identify(docs, F.lit(False)).collect()} == {"und"}
     assert {r["lang_pred"] for r in language.identify(docs, F.col("lang") == "en").where("doc_id < 3").collect()} == {"en"}
     assert language.identify(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_a_score_is_made_from_its_text_alone(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = language.Model(["a", "b", "c"], rng.integers(0, 9, (3, 1 << language.BUCKET_BITS)))
+    texts = ["", "x", "ab", "é", "abc", "ab", "", "日本", "a b", None, "hello there", "ab", "word " * 300, "x"]
+    texts += ["".join(rng.choice(list("abcé "), rng.integers(0, 13))) for _ in range(300)]
+    alone = np.concatenate([model.margins(pa.array([t], pa.string())) for t in texts])
+    plain = {t: sum((model.bits[b].sum(axis=0, dtype=float) for b in language.buckets_of(np.frombuffer(f" {t}".encode(), np.uint8))), np.zeros(3)) for t in texts[1:9]}
+    lengths = {t: sum(max(0, len(f" {t}".encode()) - order + 1) for order in language.ORDERS) for t in plain}
+    for i in range(1, 9):
+        assert np.allclose(alone[i], plain[texts[i]] / max(1, lengths[texts[i]]))
+    for step in (language.STEP, 400, 5):
+        monkeypatch.setattr(language, "STEP", step)
+        whole = np.concatenate([model.margins(pa.array([t], pa.string())) for t in texts])
+        assert np.allclose(whole, alone)
+        for order in (range(len(texts)), rng.permutation(len(texts))):
+            together = model.margins(pa.array([texts[i] for i in order], pa.string()))
+            assert np.array_equal(together, whole[list(order)])
+
+
+def test_training_counts_do_not_depend_on_order_or_batches(spark):
+    rng = np.random.default_rng(2)
+    rows = [("".join(rng.choice(list("abcé "), rng.integers(0, 13))), "ab"[i % 2]) for i in range(400)]
+
+    def counted(docs):
+        return {r["lang"]: np.frombuffer(r["counts"], np.int64).tolist() for r in language.count_ngrams(docs, "text", "lang").collect()}
+
+    one = counted(spark.createDataFrame(rows, "text string, lang string").coalesce(1))
+    many = counted(spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "text string, lang string").repartition(7))
+    assert one == many
+    for lang in "ab":
+        assert sum(one[lang]) == sum(max(0, len(f" {t}".encode()) - order + 1) for t, name in rows if name == lang for order in language.ORDERS)
