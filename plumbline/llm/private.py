@@ -49,16 +49,18 @@ def _wide() -> dict[str, str]:
 CHARACTERS = _wide() | LOOKALIKES | dict.fromkeys(UNSEEN, "")
 _open, _close = r"[\[({<]", r"[\])}>]"
 _word = "|".join([*DIGIT_WORDS, *SIGN_WORDS])
-DISGUISE = re.compile(
+_forms = (
     rf"(?P<at>\s*{_open}\s*(?:at|@)\s*{_close}\s*|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+))"
     rf"|(?P<dot>\s*{_open}\s*(?:dot|\.)\s*{_close}\s*|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9]))"
     rf"|(?P<word>\b(?:{_word})\b(?:[\s-]+(?=(?:{_word})\b))?)"
-    rf"|(?P<char>[{''.join(map(re.escape, CHARACTERS))}])",
-    re.IGNORECASE,
 )
-# What a text must hold to be worth rewriting.
-TRIGGERS = re.compile(rf"{_open}\s*(?:at|dot|@|\.)\s*{_close}|\sdot\s|\b(?:{'|'.join(DIGIT_WORDS)})[\s-]+(?:{_word})\b", re.IGNORECASE)
-TRIGGER_CHARACTERS = re.compile(f"[{''.join(map(re.escape, CHARACTERS))}]")
+FORMS = re.compile(_forms, re.IGNORECASE)
+DISGUISE = re.compile(rf"{_forms}|(?P<char>[{''.join(map(re.escape, CHARACTERS))}])", re.IGNORECASE)
+# A text without one of these and without CHARACTERS holds nothing that FORMS matches, so rewriting leaves it as it is.
+TRIGGERS = re.compile(rf"{_open}\s*(?:at|dot|@|\.)\s*{_close}|\sdot\s|\b(?:{_word})\b", re.IGNORECASE)
+TRIGGER_CHARACTERS = frozenset(CHARACTERS)
+# Letters that IGNORECASE takes for an ASCII one and lower() does not turn into it.
+_FOLDED = str.maketrans("ſıİ", "sii")
 
 Span = tuple[str, int, int]
 
@@ -99,6 +101,10 @@ def plain_spans(text: str) -> list[Span]:
     return out
 
 
+def _has_characters(text: str) -> bool:
+    return not text.isascii() and not TRIGGER_CHARACTERS.isdisjoint(text)
+
+
 def rewrite(text: str) -> tuple[str, list[int], list[int]]:
     """The text without disguises, and for each character of it where its source starts and ends."""
     out, starts, ends, done = [], [], [], 0
@@ -108,7 +114,7 @@ def rewrite(text: str) -> tuple[str, list[int], list[int]]:
         starts.extend([a] * len(written))
         ends.extend([b] * len(written))
 
-    for m in DISGUISE.finditer(text):
+    for m in (DISGUISE if _has_characters(text) else FORMS).finditer(text):
         a, b = m.span()
         out.append(text[done:a])
         starts.extend(range(done, a))
@@ -117,7 +123,7 @@ def rewrite(text: str) -> tuple[str, list[int], list[int]]:
         if kind == "char":
             write(CHARACTERS.get(m[0], m[0]), a, b)
         elif kind == "word":
-            word = re.split(r"[\s-]", m[0].lower(), maxsplit=1)[0]
+            word = re.split(r"[\s-]", m[0].translate(_FOLDED).lower(), maxsplit=1)[0]
             write((DIGIT_WORDS | SIGN_WORDS)[word], a, a + len(word))
         else:
             write("@" if kind == "at" else ".", a, b)
@@ -129,7 +135,7 @@ def rewrite(text: str) -> tuple[str, list[int], list[int]]:
 
 
 def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
-    if not TRIGGERS.search(text) and (text.isascii() or not TRIGGER_CHARACTERS.search(text)):
+    if not TRIGGERS.search(text) and not _has_characters(text):
         return []
     seen, starts, ends = rewrite(text)
     added = []

@@ -74,3 +74,36 @@ def test_frame(spark):
     rows = sorted(private.find_identifiers(docs).collect(), key=repr)
     assert [len(r["spans"]) for r in rows if r["doc_id"] == 1] == [2, 2] and len(rows) == 4
     assert private.find_identifiers(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("card 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"),
+        ("host 10.0.0.one is up", "ip", "10.0.0.one"),
+        ("host one.two.three.four is up", "ip", "one.two.three.four"),
+        ("call +one 415 555 0100 now", "phone", "+one 415 555 0100"),
+        ("call plus one 415 555 0100 now", "phone", "plus one 415 555 0100"),
+        ("host 10.0.0.ſix or 10.0.0.fıve, fİve ſeven", "ip", "10.0.0.ſix"),
+    ],
+)
+def test_a_lone_word_is_looked_at(text, kind, source):
+    added = [(k, text[a:b]) for k, a, b in private.disguised_spans(text, private.plain_spans(text))]
+    assert (kind, source) in added
+    other = text + " | two three [at]"
+    assert [(k, other[a:b]) for k, a, b in private.disguised_spans(other, private.plain_spans(other))] == added
+
+
+def test_gate_and_transducer_agree():
+    rng = random.Random(3)
+    pieces = [*private.DIGIT_WORDS, *private.SIGN_WORDS, "One", "ſix", "at", "dot", "Dot", "[", "]", "(", "}", "<", "@", ".", " ", " ", "\n", "-", "+", "1", "415", "10.0.0", "4111 1111 1111 111", "x", "é", "а", "Һ", "１", "​", "_"]
+    found = 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
+        plain = private.plain_spans(text)
+        seen, starts, ends = private.rewrite(text)
+        every = [(k, starts[a], ends[b - 1], seen[a:b]) for k, a, b in private.plain_spans(seen)]
+        every = [(k, a, b) for k, a, b, shown in every if shown != text[a:b] and not any(k == q and a < y and x < b for q, x, y in plain)]
+        assert private.disguised_spans(text, plain) == every, text
+        found += len(every)
+    assert found > 50
