@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, language, lines, neardup, packing
 from plumbline.llm.common import forget, keep, with_text_key
-from plumbline.llm.queries import held_out, tokenizer_files
+from plumbline.llm.queries import SPECIAL_TOKENS, held_out, tokenizer_files
 
 # Nearer than this the two likeliest languages of a text cannot be told apart.
 REJECT_MARGIN = 0.01
@@ -39,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences."""
-    return packing.pack_documents(docs, *tokenizer_files())
+    return packing.pack_documents(docs, *tokenizer_files(), special=SPECIAL_TOKENS)
 
 
 STAGES = [

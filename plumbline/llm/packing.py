@@ -13,6 +13,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +33,24 @@ RANK_GROUP_ROWS = 2_000
 Pattern = tuple[int, dict[int, int]]  # sequences that look so, pieces of each length in one
 
 
-def tokenizer(ranks_path: str, pattern: str):
-    """The byte-level BPE whose ranks are in the file. Strings of special tokens in a text are ordinary text."""
+def tokenizer(ranks_path: str, pattern: str, special: dict[str, int] | None = None):
+    """The byte-level BPE whose ranks are in the file, and the strings that become one id wherever they stand in a text."""
     import tiktoken
 
     with open(ranks_path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {})
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(
+    docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, special: dict[str, int] | None = None
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the token ids of each row's text with end_id, cut where longer than capacity; only the first
-    piece of a cut document may be shorter. A null or empty text is end_id alone."""
+    piece of a cut document may be shorter. A null or empty text is end_id alone. Strings of special become one id each; without it they are
+    ordinary text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(ranks_path, pattern).encode_ordinary
+        encode = partial(tokenizer(ranks_path, pattern, special).encode, allowed_special="all")
         for part in slices(batches):
             out = []
             for doc, text_ in zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True):
@@ -270,6 +274,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, nodes: int = SEARCH_NODES, ra
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, special: dict[str, int] | None = None
+) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Other columns of docs are not read."""
-    return pack(pieces(docs, ranks_path, pattern, doc_id, text, capacity), capacity)
+    return pack(pieces(docs, ranks_path, pattern, doc_id, text, capacity, special=special), capacity)

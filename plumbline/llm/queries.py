@@ -24,6 +24,10 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+# The added token of that vocabulary's file for the tokenizers library, which finds it in any text.
+SPECIAL_TOKENS = {"<|endoftext|>": 50256}
+
+
 def held_out(doc_id: str, folds: int, fold: int) -> Column:
     """Whether the checksum of the id as text falls into the fold that is not learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
@@ -85,7 +89,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), *tokenizer_files())
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), *tokenizer_files(), special=SPECIAL_TOKENS)
 
 
 def op8_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,3 +96,26 @@ def test_empty_and_repeated_rows(spark):
     same = spark.createDataFrame([(None, "a b")] * 50, "doc_id long, text string")
     rows = packing.pack(packing.pieces(same, *tokenizer_files()), rank_group_rows=7).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 50 and len({r["sequence_id"] for r in rows}) == 1
+
+
+def test_queries_have_the_ids_of_the_library_as_it_comes(spark, tmp_path):
+    import corpus_pipeline
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    from plumbline.llm.queries import op7_best_fit_packing
+
+    rng = random.Random(5)
+    parts = ["the", "Übung", "\n", " ", "  ", "<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endof", "text|>", "'s", "日本"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice([1, 3, 40, 4000]))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    hf = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    ids = {i: [*hf.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    for found in (op7_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.best_fit_packing(spark, docs, str(tmp_path))):
+        seen = Counter()
+        for r in found.collect():
+            part = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
+            assert r["ids_crc32"] == zlib.crc32(part.tobytes())
+            seen[r["doc_id"]] += r["length"]
+        assert seen == Counter({i: len(x) for i, x in ids.items()})
