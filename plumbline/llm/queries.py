@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, lines, neardup, packing, private, revisits, substrings, topk, toxicity
+from plumbline.llm import decontaminate, language, lines, neardup, packing, periods, private, revisits, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +108,33 @@ def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def planted_text(doc_id: Column, text: Column) -> Column:
+    """The text, every tenth with a stretch of words repeated to its end, as the id's checksum says."""
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n, h = F.size(words), F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+    at = (g % n).cast("int")
+    period = (1 + F.floor((n - at) / (3 + g % 8))).cast("int")
+    turns = F.ceil((n - at) / period).cast("int")
+    repeated = F.slice(F.flatten(F.array_repeat(F.slice(words, at + 1, period), turns)), F.lit(1), n - at)
+    planted = F.array_join(F.concat(F.slice(words, F.lit(1), at), repeated), " ")
+    return F.when((h % 10 == 0) & text.isNotNull() & (n > 0), planted).otherwise(text).alias("text")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", planted_text(F.col("doc_id"), F.col("text")))
+    found = periods.find_runs(docs)
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    fullest = F.aggregate("runs", none, lambda best, run: F.when(best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"]), run).otherwise(best))
+    told = F.transform("runs", lambda run: F.concat_ws(",", run["start"], run["length"], run["period"]))
+    lines = F.array_join(F.transform(told, lambda line: F.concat(line, F.lit("\n"))), "")
+    return found.withColumn("best", fullest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_language_id": op2_language_id,
@@ -119,6 +146,7 @@ QUERIES = {
     "op8_pii_deobfuscation": op8_pii_deobfuscation,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
