@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, lines, neardup, packing, periods, private, revisits, substrings, topk, toxicity
+from plumbline.llm import conversations, decontaminate, language, lines, neardup, packing, periods, private, revisits, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,6 +135,26 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Turns with faults, one in five by the checksum of its place: gone, emptied, without its sentence ends, told twice, given to the user."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = turns.select("conv_id", "turn", known("role").alias("role"), known("text").alias("text"))
+    rows = rows.withColumn("fault", F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn"))) % 20).where("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    found = conversations.whole(conversations.repair(damaged_turns(turns))).withColumnRenamed("conv_id", "c")
+    every = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return every.select("conv_id", *counts, text("audit").alias("audit"), F.sha2(text("repaired_text"), 256).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_language_id": op2_language_id,
@@ -147,6 +167,7 @@ QUERIES = {
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
