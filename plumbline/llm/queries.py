@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import conversations, decontaminate, language, lines, neardup, packing, periods, private, revisits, substrings, topk, toxicity
+from plumbline.llm import conversations, decontaminate, katz, language, lines, neardup, packing, periods, private, revisits, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,6 +135,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = katz.score(_table(spark, sf_dir, "documents"), train=~held_out("doc_id", 7, 2))
+    return found.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def damaged_turns(turns: DataFrame) -> DataFrame:
     """Turns with faults, one in five by the checksum of its place: gone, emptied, without its sentence ends, told twice, given to the user."""
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -167,6 +172,7 @@ QUERIES = {
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_katz_scoring": op12_katz_scoring,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
