@@ -30,7 +30,7 @@ from plumbline.llm.common import keep, slices, texts_of, total
 
 ORDER = 2
 MOST_DISCOUNTED = 5
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 9 << 18
 BUCKET_BYTES = 1 << 21  # of packed tokens, for each bucket
 LEAST_BUCKETS = 32
 
@@ -39,8 +39,9 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 BEGIN, END = (np.uint64(xxh3_64_intdigest(mark)) for mark in (b" <", b" >"))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
-ASKED = "level int, bucket int, block bigint, keys binary, x binary, y binary"
-TOLD = "level int, bucket int, block bigint, x binary, y binary, stats array<bigint>"
+COUNTS, WEIGHTS = "counts", "weights"
+ASKED = "level int, bucket int, block bigint, keys binary, x binary, y binary, z binary"
+TOLD = "what string, level int, bucket int, block bigint, x binary, y binary, stats array<bigint>"
 
 
 # ---- packing ----
@@ -59,6 +60,7 @@ def unpack(b: bytes, kind: type) -> np.ndarray:
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
+    """Best where the numbers are in order; any are given back."""
     return pack(np.diff(keys, prepend=np.zeros(1, np.uint64)))
 
 
@@ -106,7 +108,7 @@ class Grams:
     """The different n-grams of a block by order: where each token's is, what comes before its last word and after its first, and its hash."""
 
     def __init__(self, block: dict, order: int):
-        words, tokens, lengths = unpack(block["words"], np.uint64), unpack(block["tokens"], np.int32).astype(np.int64), unpack(block["lengths"], np.int32).astype(np.int64)
+        words, tokens, lengths = unpack_sorted(block["words"]), unpack(block["tokens"], np.int32).astype(np.int64), unpack(block["lengths"], np.int32).astype(np.int64)
         self.train = np.repeat(np.frombuffer(block["train"], np.bool_), lengths + 1)
         starts = np.cumsum(lengths + 1) - (lengths + 1)
         stream = np.insert(tokens, starts - np.arange(len(starts)), len(words))  # each text begins with a mark
@@ -140,21 +142,18 @@ def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], np.searchsorted(keys[order], np.array(edges, np.uint64)), [len(keys)]])
 
 
-def questions(level: int, block: int, keys: np.ndarray, buckets: int, x: np.ndarray, y: np.ndarray | None) -> Iterator[dict]:
+def questions(level: int, block: int, keys: np.ndarray, buckets: int, *values: np.ndarray) -> Iterator[dict]:
+    """A row for each bucket: its keys in order, with up to three values of each."""
     order, edges = by_bucket(keys, buckets)
     for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
         some = order[edges[b] : edges[b + 1]]
-        yield {"level": level, "bucket": b, "block": block, "keys": pack_sorted(keys[some]), "x": pack(x[some]), "y": None if y is None else pack(y[some])}
+        yield {"level": level, "bucket": b, "block": block, "keys": pack_sorted(keys[some])} | {c: pack(v[some]) for c, v in zip("xyz", values, strict=False)}
 
 
-def answered(rows: list[dict], level: int, keys: np.ndarray, kinds: tuple[type, type]) -> list[np.ndarray]:
-    """What the buckets say, in the order of the keys."""
-    mine = sorted((r for r in rows if r["level"] == level), key=lambda r: r["bucket"])
-    out = [np.empty(len(keys), kind) for kind in kinds]
-    order = np.argsort(keys, kind="stable")
-    for values, name, kind in zip(out, "xy", kinds, strict=False):
-        values[order] = np.concatenate([unpack(r[name], kind) for r in mine])
-    return out
+def answered(told: list[dict], what: str, level: int, column: str, kind: type) -> np.ndarray:
+    """What the buckets say to a block, in the order of the hashes asked for."""
+    rows = sorted((r for r in told if (r["what"], r["level"]) == (what, level)), key=lambda r: r["bucket"])
+    return np.concatenate([np.empty(0, kind), *(unpack(r[column], kind) for r in rows)])
 
 
 def counted(rows: list[dict]) -> list[dict]:
@@ -169,22 +168,25 @@ def counted(rows: list[dict]) -> list[dict]:
     events = sums[(sums > 0) & (different != BEGIN)]
     stats = [int(events.sum()), len(events), *np.bincount(events[events <= MOST_DISCOUNTED + 1], minlength=MOST_DISCOUNTED + 2)[1:].tolist()]
     edges = np.cumsum([0, *map(len, keys)])
-    cut = lambda a, i: a[edges[i] : edges[i + 1]]
-    return [
-        {"level": r["level"], "bucket": r["bucket"], "block": r["block"], "x": pack(sums[cut(at, i)]), "y": pack(cut(owned, i)), "stats": stats if i == 0 else None} for i, r in enumerate(rows)
-    ]
+    each = [(r, slice(edges[i], edges[i + 1])) for i, r in enumerate(rows)]
+    return [_answer(COUNTS, r, sums[at[own]], owned[own], stats if own.start == 0 else None) for r, own in each]
 
 
 def weighed(rows: list[dict]) -> list[dict]:
-    """Of one bucket of histories: what is left over what the shorter model gives to the words not seen after it. Negative where nothing was
-    left and one is set aside."""
+    """Of one bucket of histories: whether nothing was left of each, so that one is set aside; and where the asking block needs it, what is left
+    over what the shorter model gives to the words not seen after it."""
     rows = sorted(rows, key=lambda r: r["block"])
-    keys = [unpack_sorted(r["keys"]) for r in rows]
+    keys, needed = [unpack_sorted(r["keys"]) for r in rows], [unpack(r["z"], np.bool_) for r in rows]
     different, at = np.unique(np.concatenate(keys), return_inverse=True)
     left, lower = (np.bincount(at, np.concatenate([unpack(r[c], np.float64) for r in rows]), len(different)) for c in "xy")
-    weight = np.where(left > 0, left, -1.0) / np.maximum(1 - lower, 1e-300)
+    weight = np.where(left > 0, left, 1.0) / np.maximum(1 - lower, 1e-300)
     edges = np.cumsum([0, *map(len, keys)])
-    return [{"level": r["level"], "bucket": r["bucket"], "block": r["block"], "x": pack(weight[at[edges[i] : edges[i + 1]]]), "y": None, "stats": None} for i, r in enumerate(rows)]
+    each = [(r, at[edges[i] : edges[i + 1]], need) for i, (r, need) in enumerate(zip(rows, needed, strict=True))]
+    return [_answer(WEIGHTS, r, left[own] <= 0, weight[own[need]], None) for r, own, need in each]
+
+
+def _answer(what: str, asked: dict, x: np.ndarray, y: np.ndarray, stats: list[int] | None) -> dict:
+    return {"what": what, "level": asked["level"], "bucket": asked["bucket"], "block": asked["block"], "x": pack(x), "y": pack(y), "stats": stats}
 
 
 class Block:
@@ -196,35 +198,43 @@ class Block:
         g, first = self.grams, orders[0]
         self.counts, self.owned = [None], [None]
         for m in g.orders():
-            counts, owned = answered([r for r in told if r["y"] is not None], m, g.keys[m], (np.int64, np.bool_))
+            order = np.argsort(g.keys[m], kind="stable")
+            counts, owned = np.empty(len(order), np.int64), np.empty(len(order), np.bool_)
+            counts[order], owned[order] = answered(told, COUNTS, m, "x", np.int64), answered(told, COUNTS, m, "y", np.bool_)
             self.counts.append(counts)
             self.owned.append(owned)
         c, times = self.counts[1], first.tokens + (first.left <= 0)
         self.p = [None, np.where(c > 0, c - first.left_of(c), first.left if first.left > 0 else 1.0) / times]
 
-    def histories(self, m: int) -> np.ndarray:
-        """The (m - 1)-grams that are histories of order m."""
-        return np.unique(self.grams.history[m])
-
-    def shares(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each history of order m: its hash, what its discounts leave, and what the shorter model gives to the words seen after it; both
-        over the n-grams that belong to this block."""
+    def histories(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """The (m - 1)-grams that are histories of order m, by their hashes, and of which the block needs the weight: a word follows that the
+        corpus does not have there."""
+        g = self.grams
+        which = np.unique(g.history[m])
+        which = which[np.argsort(g.keys[m - 1][which], kind="stable")]
+        need = np.zeros(len(g.keys[m - 1]), np.bool_)
+        need[g.history[m][self.counts[m] == 0]] = True
+        return which, need[which]
+
+    def shares(self, m: int) -> tuple[np.ndarray, ...]:
+        """For each history of order m: its hash, what its discounts leave, and what the shorter model gives to the words seen after it, both
+        over the n-grams that belong to this block; whether its weight is needed."""
         g, own = self.grams, self.owned[m] & (self.counts[m] > 0)
-        which, n = self.histories(m), len(g.keys[m - 1])
+        (which, need), n = self.histories(m), len(g.keys[m - 1])
         left = np.bincount(g.history[m][own], self.orders[m - 1].left_of(self.counts[m][own]), n)
         lower = np.bincount(g.history[m][own], self.p[m - 1][g.shorter[m][own]], n)
-        return g.keys[m - 1][which], left[which], lower[which]
+        return g.keys[m - 1][which], left[which], lower[which], need
 
     def extend(self, m: int) -> None:
         """The probabilities of order m, from the weights of its histories."""
-        g, which = self.grams, self.histories(m)
-        weight = np.ones(len(g.keys[m - 1]))
-        weight[which] = answered([r for r in self.told if r["y"] is None], m, g.keys[m - 1][which], (np.float64,))[0]
-        seen = self.counts[m - 1].astype(np.float64)
-        times = seen + (weight < 0)
-        backoff = np.where(seen > 0, np.abs(weight) / np.maximum(times, 1), 1.0)
+        g, (which, need), n = self.grams, self.histories(m), len(self.grams.keys[m - 1])
+        aside, weight = np.zeros(n, np.bool_), np.ones(n)
+        aside[which], weight[which[need]] = answered(self.told, WEIGHTS, m, "x", np.bool_), answered(self.told, WEIGHTS, m, "y", np.float64)
+        seen = self.counts[m - 1]
+        times = np.maximum(seen + aside, 1).astype(np.float64)
+        backoff = np.where(seen > 0, weight / times, 1.0)
         c, h = self.counts[m], g.history[m]
-        direct = (c - self.orders[m - 1].left_of(c)) / np.maximum(times[h], 1)
+        direct = (c - self.orders[m - 1].left_of(c)) / times[h]
         self.p.append(np.where(c > 0, direct, backoff[h] * self.p[m - 1][g.shorter[m]]))
 
     def scores(self) -> tuple[np.ndarray, ...]:
@@ -258,10 +268,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
     def written() -> pa.RecordBatch:
         codes, n = np.concatenate(tokens), len(known)
         rank = np.empty(n, np.int32)  # frequent words get small numbers, which pack well
-        order = np.argsort(-np.bincount(codes, minlength=n), kind="stable")
-        rank[order] = np.arange(n, dtype=np.int32)
         hashes = np.fromiter((END if w is None else xxh3_64_intdigest(w) for w in known), np.uint64, n)
-        row = {"block": block, "ids": ids, "train": np.array(train, np.bool_).tobytes(), "lengths": pack(np.array(lengths, np.int32)), "tokens": pack(rank[codes]), "words": pack(hashes[order])}
+        order = np.lexsort((hashes, -np.bincount(codes, minlength=n)))  # equally frequent ones by hash
+        rank[order] = np.arange(n, dtype=np.int32)
+        row = {"block": block, "ids": ids, "train": np.array(train, np.bool_).tobytes(), "lengths": pack(np.array(lengths, np.int32)), "tokens": pack(rank[codes]), "words": pack_sorted(hashes[order])}
         return pa.RecordBatch.from_pylist([row], schema)
 
     for batch in slices(batches):
@@ -320,7 +330,7 @@ def score(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text"
             for block in batch.to_pylist():
                 g = Grams(block, order)
                 for m in g.orders():
-                    yield pa.RecordBatch.from_pylist(list(questions(m, block["block"], g.keys[m], buckets, g.counts[m].astype(np.int64), None)), asked)
+                    yield pa.RecordBatch.from_pylist(list(questions(m, block["block"], g.keys[m], buckets, g.counts[m].astype(np.int64))), asked)
 
     told = keep(_each(blocks.mapInArrow(ask, ASKED), TOLD, counted), "counts")
     sums = told.where("stats IS NOT NULL").select("level", F.posexplode("stats").alias("i", "n")).groupBy("level", "i").agg(F.sum("n").alias("n")).collect()
@@ -332,8 +342,8 @@ def score(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text"
         def shared(block: Block, _: dict, m: int = m) -> Iterator[dict]:
             for shorter in range(2, m):
                 block.extend(shorter)
-            keys, left, lower = block.shares(m)
-            yield from questions(m, block.number, keys, buckets, left, lower)
+            keys, *values = block.shares(m)
+            yield from questions(m, block.number, keys, buckets, *values)
 
         shares = _met(blocks, told, ASKED, orders, shared)
         told = told.unionByName(keep(_each(shares, TOLD, weighed), "weights"))
