@@ -3,7 +3,7 @@
 The roles of a conversation are read by an LR automaton of the role grammar. Besides keeping a turn there are weighted edits: delete it, give it
 another role, insert a turn. All parses are followed together on a graph-structured stack: a node is an LR state at a place of the input, an
 edge goes to the node below and carries the cheapest (cost, edits) made since, the edits as initials. Where two parses reach the same stack top
-over the same node they are merged by the lesser pair. Of two edit strings over the same turns at the same cost neither begins the other, since
+over equal stacks they are merged by the lesser pair, so a node has an edge for each stack that can be below it and no more. Of two edit strings over the same turns at the same cost neither begins the other, since
 what is left over could only be insertions, which cost; so the lesser string stays the lesser whatever follows, and merging loses nothing.
 
 Turns are dealt by ranges of (conversation, turn), so a long conversation is spread over several tasks. What lies whole in one task is parsed
@@ -95,6 +95,7 @@ class Automaton:
                     for t in ROLES:
                         to = self.goto.get((node.state, t))
                         changed |= to is not None and _add(front, to, node, (INSERT, "I"))
+        _merged_tops(front)
 
     def step(self, front: dict[int, Node], turn: Turn, edits: bool = True) -> dict[int, Node]:
         """The stacks after one turn and its further copies."""
@@ -116,7 +117,7 @@ class Automaton:
                             _add(after, to, node, (REROLE + more, "R"))
                     for below, (cost, made) in node.edges.items():
                         _add(after, node.state, below, (cost + DELETE, made + "D"))
-            front, after = after, {}
+            front, after = _merged_tops(after), {}
         else:
             copies += 1
         if not copies:
@@ -125,7 +126,7 @@ class Automaton:
         for node in front.values():
             for below, (cost, made) in node.edges.items():
                 _add(after, node.state, below, (cost + DELETE * copies, made + "D" * copies))
-        return after
+        return _merged_tops(after)
 
     def parse(self, stack: Stack, turns: tuple[Turn, ...], edits: bool = True) -> dict[Stack, Weight]:
         """The cheapest edits that lead from one stack to each other over some turns."""
@@ -139,7 +140,7 @@ class Automaton:
         out: dict[Stack, Weight] = {}
         for top in front.values():
             if self.shifts[top.state]:
-                for states, weight in top.whole():
+                for states, weight in top.whole().items():
                     if states not in out or weight < out[states]:
                         out[states] = weight
         return out
@@ -161,10 +162,10 @@ class Automaton:
 class Node:
     """An LR state at a place of the input, with the nodes below and what was done since."""
 
-    __slots__ = ("state", "edges")
+    __slots__ = ("state", "edges", "known")
 
     def __init__(self, state: int, edges: dict[Node | None, Weight]):
-        self.state, self.edges = state, edges
+        self.state, self.edges, self.known = state, edges, None
 
     def paths(self, n: int) -> Iterator[tuple[Node, Weight]]:
         if n == 0:
@@ -175,13 +176,29 @@ class Node:
                 for base, (c, m) in below.paths(n - 1):
                     yield base, (c + cost, m + made)
 
-    def whole(self) -> Iterator[tuple[Stack, Weight]]:
-        for below, (cost, made) in self.edges.items():
-            if below is None:
-                yield (self.state,), (cost, made)
-            else:
-                for states, (c, m) in below.whole():
-                    yield (*states, self.state), (c + cost, m + made)
+    def whole(self) -> dict[Stack, Weight]:
+        """The stacks that end here with the cheapest edits of each. To be asked once the place is done with."""
+        if self.known is None:
+            self.known = {}
+            for below, (cost, made) in self.edges.items():
+                for states, (c, m) in [((), (0, ""))] if below is None else below.whole().items():
+                    stack, weight = (*states, self.state), (c + cost, m + made)
+                    if stack not in self.known or weight < self.known[stack]:
+                        self.known[stack] = weight
+        return self.known
+
+
+def _merged_tops(front: dict[int, Node]) -> dict[int, Node]:
+    """Of edges to nodes with the same stack below, only the cheapest from the bottom up; the nodes below are done with."""
+    for node in front.values():
+        best: dict[Stack, tuple[Weight, Node | None]] = {}
+        for below, (cost, made) in node.edges.items():
+            for states, (c, m) in [((), (0, ""))] if below is None else below.whole().items():
+                weight = (c + cost, m + made)
+                if states not in best or weight < best[states][0]:
+                    best[states] = weight, below
+        node.edges = {below: node.edges[below] for _, below in best.values()}
+    return front
 
 
 def _add(front: dict[int, Node], state: int, below: Node | None, weight: Weight) -> bool:
