@@ -12,6 +12,20 @@ from plumbline.schema import keeps_own_equality
 RAW_TEXT_CHARS = 64
 
 
+# Integers are kept as bits of words of so many.
+WORD = 64
+
+
+def word_of(key: Column) -> Column:
+    """The word of neighbours that an integer is in."""
+    return F.shiftright(key, WORD.bit_length() - 1)
+
+
+def bit_of(key: Column) -> Column:
+    """The integer's bit of its word."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), key.bitwiseAND(F.lit(WORD - 1)).cast("int"))
+
+
 def cell(name: str) -> Column:
     """A column by its exact name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -30,9 +44,7 @@ def compact(text: Column) -> Column:
     some 70 bytes a row and not the texts.
     """
     length = F.char_length(text)
-    return F.when(length <= RAW_TEXT_CHARS, text).when(
-        length > RAW_TEXT_CHARS, F.concat(F.sha2(text.cast("binary"), 256), F.lit(":"), length.cast("string"))
-    )
+    return F.when(length <= RAW_TEXT_CHARS, text).when(length > RAW_TEXT_CHARS, F.concat(F.sha2(text.cast("binary"), 256), F.lit(":"), length.cast("string")))
 
 
 def compact_length(compacted: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,23 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import schema as S
-from plumbline.functions.values import as_text, cell, match_key
+from plumbline.functions.values import RAW_TEXT_CHARS, WORD, as_text, bit_of, cell, match_key, word_of
 from plumbline.operators.profile import table_profile
 from plumbline.operators.sampling import Scan
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog, Relation, _union
-from plumbline.sources.sizes import bytes_setting, estimated_bytes, is_bare_scan, row_counts
-from plumbline.sources.small import kept, small_table
+from plumbline.sources.sizes import bytes_setting, extents, row_counts
+from plumbline.sources.small import small_table
 
 # A from-value on more than one in this many rows is hot; its orphan rows are spread over this many buckets.
 HOT_SHARE = 1000
 HOT_SPREAD = 100_000
 
-# With more from-tables than this their keys are stacked and meet all targets in one join, so that the plan stays small.
-SCANS_OF_THEIR_OWN = 12
+# Memory of a broadcast row beside a text, and the longest text a key can be.
+ROW_BYTES = 96
+TEXT_BYTES = 4 * RAW_TEXT_CHARS
 
-# At most this many targets are broadcast into one scan.
-PROBES_PER_SCAN = 16
+# Up to so many orphan values are broadcast to where their rows are read.
+FEW_ORPHANS = 10_000
 
 
 @dataclass(frozen=True)
@@ -63,30 +65,6 @@ def relationships_of(claims: DataFrame) -> list[Relationship]:
     return sorted((Relationship(**r.asDict()) for r in rows), key=lambda r: (-r.confidence, r.claim_id))
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """
-    Whether a plain scan's size is within the session's broadcast threshold; unknown is too large.
-
-    Of anything but a plain scan the estimate can be far too low, so its joins carry no hint and Spark decides by the size it finds.
-    """
-    size = estimated_bytes(df)
-    return size is not None and is_bare_scan(df) and size <= bytes_setting(df.sparkSession, "spark.sql.autoBroadcastJoinThreshold")
-
-
-def _batches(claims: list[tuple[int, Relationship]], targets: dict[tuple, int], limit: int) -> list[list[tuple[int, Relationship]]]:
-    """Claims of one from-table in turns: at most PROBES_PER_SCAN targets, whose sizes together stay within the limit."""
-    out: list[list[tuple[int, Relationship]]] = []
-    room = 0
-    for i, r in claims:
-        size = targets[r.to_table, r.to_column]
-        if not out or len(out[-1]) == PROBES_PER_SCAN or size > room:
-            out.append([])
-            room = limit
-        out[-1].append((i, r))
-        room -= size
-    return out
-
-
 # ---- counting ----
 
 
@@ -119,125 +97,166 @@ def _target(catalog: Catalog, r: Relationship) -> DataFrame:
     return catalog[r.to_table].df.select(_key(catalog[r.to_table], r.to_column, comparison(catalog, r)).alias("t"))
 
 
-def _ends(catalog: Catalog, claims: list[tuple[int, Relationship]]) -> dict[tuple[str, str], tuple[Column, Column]]:
-    """
-    The lowest and highest key of every target whose orphans are placed, as constants any plan can use.
+# A claim as plans see it: its number and what is claimed.
+Asked = list[tuple[int, Relationship]]
+Target = tuple[str, str]
+
+
+def _words(catalog: Catalog, targets: Iterable[Target]) -> dict[str, set[str]]:
+    """The columns whose extent tells how large the target side can be and where its orphans lie."""
+    out: dict[str, set[str]] = {}
+    for table, column in targets:
+        out.setdefault(table, set()).update([column] if catalog[table].is_integer(column) else [])
+    return out
 
-    One aggregation over all targets; a row of two numbers per target is all that is fetched.
-    """
-    targets = list(dict.fromkeys((r.to_table, r.to_column) for _, r in claims if places_orphans(catalog, r)))
-    if not targets:
-        return {}
-    values = _union([catalog[t].df.select(F.lit(i).alias("i"), cell(c).cast("bigint").alias("v")) for i, (t, c) in enumerate(targets)])
-    found = {row["i"]: row for row in values.groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
-    ends = {t: (found[i]["lo"], found[i]["hi"]) if i in found else (None, None) for i, t in enumerate(targets)}
-    return {t: tuple(F.lit(end).cast("bigint") for end in both) for t, both in ends.items()}
 
+def _ends(catalog: Catalog, claims: Asked) -> dict[Target, tuple[int | None, int | None]]:
+    """The lowest and highest key of every target whose orphans are placed, as constants any plan can use."""
+    placed = {(r.to_table, r.to_column) for _, r in claims if places_orphans(catalog, r)}
+    found = extents(catalog, _words(catalog, placed), views=True)
+    return {(table, column): found[table].ends[column] for table, column in placed}
 
-def _probed(scan: Scan, claims: list[tuple[int, Relationship]], ends: dict) -> DataFrame:
+
+def side_bytes(catalog: Catalog, target: Target, common: T.DataType | None) -> int | None:
     """
-    Claims of one from-table into targets small enough to broadcast: one scan, each value looked up where it is read.
+    The most memory a target's keys can take on the other side of a join, from counts that its files keep; None where
+    nothing bounds it, as for a view, or for a type whose values can be of any length.
 
-    Nothing is shuffled but one row of counts per task. Comes back as one row per claim.
+    Distinct integers are WORD to a row where they lie close, so both the rows and the range bound them.
     """
-    frm = scan.catalog[claims[0][1].from_table]
-    keys = [(i, _key(frm, r.from_column, comparison(scan.catalog, r)), _condition(frm, r)) for i, r in claims]
-    df = scan(frm)
-    if all(on is not None for _, _, on in keys):
-        df = df.where(reduce(lambda a, b: a | b, [on for _, _, on in keys]))
-    values = df.select(*[(k if on is None else F.when(on, k)).alias(f"k{i}") for i, k, on in keys], *[on.alias(f"on{i}") for i, _, on in keys if on is not None])
-    probed = values
-    for i, r in claims:
-        keys = _target(scan.catalog, r).where("t IS NOT NULL").distinct().withColumnRenamed("t", f"t{i}")
-        probed = probed.join(F.broadcast(keys), F.col(f"k{i}") == F.col(f"t{i}"), "left")
-    counts, rows = [], []
-    for i, r in claims:
-        rowcount = "count(1)" if r.when_column is None else f"count_if(on{i})"
-        whole = frm.is_integer(r.from_column)
-        counts += [f"count(k{i}) AS total{i}", f"{rowcount} - count(k{i}) AS nulls{i}", f"count(t{i}) AS hits{i}"]
-        counts += [f"min(try_cast(k{i} AS bigint)) AS lo{i}", f"max(try_cast(k{i} AS bigint)) AS hi{i}"] if whole else [f"cast(null AS bigint) AS lo{i}", f"cast(null AS bigint) AS hi{i}"]
-        placed = (r.to_table, r.to_column) in ends
-        counts += [] if placed else [f"cast(null AS bigint) AS above{i}", f"cast(null AS bigint) AS below{i}"]
-        rows.append(f"struct({i} AS claim, total{i} AS total, nulls{i} AS nulls, hits{i} AS hits, above{i} AS orphans_above, below{i} AS orphans_below, lo{i} AS lo, hi{i} AS hi)")
-    placing = []
-    for i, r in claims:
-        if (r.to_table, r.to_column) in ends:
-            lo, hi = ends[(r.to_table, r.to_column)]
-            placing += [F.count_if(F.col(f"k{i}") > hi).alias(f"above{i}"), F.count_if(F.col(f"k{i}") < lo).alias(f"below{i}")]
-    return probed.agg(*[F.expr(c) for c in counts], *placing).selectExpr(f"inline(array({', '.join(rows)}))")
+    if common is not None and not isinstance(common, (T.StringType, T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+        return None
+    if common is not None and S.keeps_own_equality(common):
+        return None
+    extent = extents(catalog, _words(catalog, [target])).get(target[0])
+    if extent is None:
+        return None
+    if isinstance(common, T.LongType):
+        lo, hi = extent.ends[target[1]]
+        return 0 if lo is None else min(extent.rows, hi // WORD - lo // WORD + 1) * ROW_BYTES
+    return extent.rows * (ROW_BYTES + (TEXT_BYTES if common is None or isinstance(common, T.StringType) else 0))
+
+
+def broadcast_targets(catalog: Catalog, targets: dict[Target, T.DataType | None]) -> set[Target]:
+    """The targets, smallest first, that certainly stay within the session's broadcast threshold together."""
+    room = bytes_setting(catalog.spark, "spark.sql.autoBroadcastJoinThreshold")
+    extents(catalog, _words(catalog, targets))  # of all at once
+    known = [(size, t) for t, common in targets.items() if (size := side_bytes(catalog, t, common)) is not None]
+    out = set()
+    for size, target in sorted(known):
+        room -= size
+        if room >= 0:
+            out.add(target)
+    return out
 
 
-def _grouped(scan: Scan, i: int, r: Relationship, ends: dict) -> DataFrame:
+def _stacked(relation: Relation, df: DataFrame, rows: list[tuple[list[Column], Column | None]]) -> DataFrame:
+    """The rows of cells wanted of each row, from one read; a conditioned one only where its condition holds."""
+    conditions = [on for _, on in rows if on is not None]
+    if len(conditions) == len(rows):
+        df = df.where(reduce(lambda a, b: a | b, conditions))  # reaches the scan
+    if len(rows) == 1:
+        return df.select(*rows[0][0])
+    stack = F.array(*[F.struct(*cells) if on is None else F.when(on, F.struct(*cells)) for cells, on in rows])
+    return df.select(F.inline(F.array_compact(stack) if conditions else stack))
+
+
+def _keys_of(catalog: Catalog, common: T.DataType | None, targets: dict[Target, int]) -> DataFrame:
     """
-    One claim into a large target, as (claim, k, n, hit, above, below, value): n rows hold the value k.
+    The distinct keys of all targets as one relation, every table read once: (to, t), or for integers (to, word, bits).
 
-    Equal from-values are counted first, before and after one shuffle by value, and joined with the target's distinct
-    values, which are partitioned by the same value: no second shuffle, and a value on a third of all rows arrives as
-    one row per task.
+    An integer is a bit of a word of WORD neighbours, so close keys are one row and one shuffled record for each WORD of
+    them, and scattered ones no more than a row each.
     """
-    frm, common = scan.catalog[r.from_table], comparison(scan.catalog, r)
-    df, on = scan(frm), _condition(frm, r)
-    source = (df if on is None else df.where(on)).select(_key(frm, r.from_column, common).alias("k"))
-    keys = _target(scan.catalog, r).where("t IS NOT NULL").distinct()
-    pairs = source.groupBy("k").agg(F.count(F.lit(1)).alias("n")).join(keys, F.col("k") == F.col("t"), "left")
-    nothing = F.lit(None).cast("bigint")
-    lo, hi = ends.get((r.to_table, r.to_column), (None, None))
-    n = F.col("n")
-    return pairs.select(
-        F.lit(i).alias("claim"), F.expr("k IS NOT NULL AS present"), "n", F.expr("t IS NOT NULL AS hit"),
-        (nothing if hi is None else F.when(F.col("k") > hi, n).otherwise(0)).alias("above"),
-        (nothing if lo is None else F.when(F.col("k") < lo, n).otherwise(0)).alias("below"),
-        (F.expr("try_cast(k AS bigint)") if frm.is_integer(r.from_column) else nothing).alias("value"),
-    )
+    columns: dict[str, list[tuple[list[Column], None]]] = {}
+    for (table, column), i in targets.items():
+        columns.setdefault(table, []).append(([F.lit(i).alias("to"), _key(catalog[table], column, common).alias("t")], None))
+    keys = _union([_stacked(catalog[t], catalog[t].df, rows) for t, rows in columns.items()]).where("t IS NOT NULL")
+    if not isinstance(common, T.LongType):
+        return keys.distinct()
+    return keys.select("to", word_of(F.col("t")).alias("word"), bit_of(F.col("t")).alias("bit")).groupBy("to", "word").agg(F.bit_or("bit").alias("bits"))
 
 
-def _summed(pairs: DataFrame) -> DataFrame:
-    """One row per claim from rows of (claim, present, n, hit, above, below, value)."""
-    return pairs.groupBy("claim").agg(
-        F.expr("coalesce(sum(if(present, n, 0)), 0) AS total"),
-        F.expr("coalesce(sum(if(present, 0, n)), 0) AS nulls"),
-        F.expr("coalesce(sum(if(hit, n, 0)), 0) AS hits"),
-        F.expr("sum(above) AS orphans_above"),
-        F.expr("sum(below) AS orphans_below"),
-        F.expr("min(value) AS lo"),
-        F.expr("max(value) AS hi"),
-    )
+def _looked_up(rows: DataFrame, keys: DataFrame, common: T.DataType | None, how: str = "left") -> DataFrame:
+    """Rows with (target, key) and whether the target holds the key, as ``hit``; with ``how`` left_anti those it does not hold."""
+    if isinstance(common, T.LongType):
+        same, found = (F.col("target") == F.col("to")) & (word_of(F.col("key")) == F.col("word")), F.col("bits").bitwiseAND(bit_of(F.col("key"))) != 0
+    else:
+        same, found = (F.col("target") == F.col("to")) & (F.col("key") == F.col("t")), F.col("t").isNotNull()
+    if how == "left_anti":
+        return rows.join(keys, same & found, how)
+    return rows.join(keys, same, how).withColumn("hit", F.coalesce(found, F.lit(False)))
 
 
-def _counts(scan: Scan, claims: list[tuple[int, Relationship]], long_form: bool | None = None) -> DataFrame:
+def _counts(scan: Scan, claims: Asked, spread: bool | None = None) -> DataFrame:
     """
     One row of counts per claim: total, nulls, hits, orphans above and below where placed, lowest and highest value.
 
-    A claim whose target fits a broadcast is probed in the scan of its from-table, together with the others of that
-    table. The others join all at once, from two on; ``long_form`` forces that for every claim.
+    All claims of one kind of comparison are one join: the claimed columns of each from-table, read once and stacked as
+    (claim, target, key), are looked up in the distinct keys of all targets. Keys that certainly fit are broadcast and
+    nothing is shuffled but a row of counts per task. The others meet the from-values by key, after equal values of one
+    source have been counted, so that a value on a third of all rows crosses as one row per task. ``spread`` forces one
+    of the two ways on all targets.
     """
-    fits: dict[tuple, bool] = {}
-    size: dict[tuple, int] = {}
-
-    def small(r: Relationship) -> bool:
-        target = (r.to_table, r.to_column, str(comparison(scan.catalog, r)))
-        if target not in fits:
-            keys = _target(scan.catalog, r)
-            fits[target] = fits_broadcast(keys)
-            size[target[:2]] = max(size.get(target[:2], 0), estimated_bytes(keys) or 0) if fits[target] else 0
-        return fits[target]
-
-    probed: dict[str, list[tuple[int, Relationship]]] = {}
-    large = []
+    catalog, ends = scan.catalog, _ends(scan.catalog, claims)
+    kinds: dict[T.DataType | None, Asked] = {}
+    for i, r in claims:
+        kinds.setdefault(comparison(catalog, r), []).append((i, r))
+    targets = {(r.to_table, r.to_column): common for common, group in kinds.items() for _, r in group}
+    fits = broadcast_targets(catalog, targets) if spread is None else set() if spread else set(targets)
+    frames = []
+    for common, group in kinds.items():
+        for way, wanted in ((_read_claims, True), (_counted_sources, False)):
+            some = [(i, r) for i, r in group if ((r.to_table, r.to_column) in fits) == wanted]
+            if some:
+                numbers = {t: n for n, t in enumerate(dict.fromkeys((r.to_table, r.to_column) for _, r in some))}
+                keys = _keys_of(catalog, common, numbers)
+                met = _looked_up(way(scan, common, some, numbers, ends), F.broadcast(keys) if wanted else keys, common)
+                frames.append(_as_counts(met, common))
+    # No row of a claim counts anything here, but every claim has one.
+    none = small_table(catalog.spark, [(i, (r.to_table, r.to_column) in ends) for i, r in claims], "claim int, placed boolean")
+    frames.append(none.selectExpr("claim", "false AS present", "0L AS n", "false AS hit", "0L AS above", "0L AS below", "cast(null AS bigint) AS value", "placed"))
+    return _union(frames).groupBy("claim").agg(
+        F.expr("sum(if(present, n, 0)) AS total"), F.expr("sum(if(present, 0, n)) AS nulls"), F.expr("sum(if(hit, n, 0)) AS hits"),
+        F.expr("if(any(placed), sum(above), null) AS orphans_above"), F.expr("if(any(placed), sum(below), null) AS orphans_below"),
+        F.expr("min(value) AS lo"), F.expr("max(value) AS hi"),
+    )
+
+
+def _as_counts(met: DataFrame, common: T.DataType | None) -> DataFrame:
+    """(claim, present, n, hit, above, below, value, placed) as all kinds of comparison have it."""
+    whole = "key" if isinstance(common, T.LongType) else "try_cast(key AS bigint)" if common is None or isinstance(common, (T.NumericType, T.StringType)) else "cast(null AS bigint)"
+    beyond = ["if(key > high, n, 0L) AS above", "if(key < low, n, 0L) AS below"] if isinstance(common, T.LongType) else ["0L AS above", "0L AS below"]
+    return met.selectExpr("claim", "key IS NOT NULL AS present", "n", "hit", *beyond, f"{whole} AS value", "cast(null AS boolean) AS placed")
+
+
+def _placing(ends: dict, r: Relationship) -> list[Column]:
+    lo, hi = ends.get((r.to_table, r.to_column), (None, None))
+    return [F.lit(lo).cast("bigint").alias("low"), F.lit(hi).cast("bigint").alias("high")]
+
+
+def _read_claims(scan: Scan, common: T.DataType | None, claims: Asked, targets: dict[Target, int], ends: dict) -> DataFrame:
+    """(claim, target, key, low, high, n): a row for each row and claim of a from-table, in one read of it."""
+    tables: dict[str, list[tuple[list[Column], Column | None]]] = {}
     for i, r in claims:
-        if not long_form and small(r):
-            probed.setdefault(r.from_table, []).append((i, r))
-        else:
-            large.append((i, r))
-    if len(probed) > SCANS_OF_THEIR_OWN:
-        large, probed = claims, {}
-    ends = _ends(scan.catalog, claims)
-    limit = bytes_setting(scan.catalog.spark, "spark.sql.autoBroadcastJoinThreshold")
-    frames = [_probed(scan, some, ends) for claims_of in probed.values() for some in _batches(claims_of, size, limit)]
-    if large:
-        at_once = len(large) > 1 if long_form is None else long_form
-        frames.append(_summed(_long_form(scan, large, ends) if at_once else _union([_grouped(scan, i, r, ends) for i, r in large])))
-    return _union(frames)
+        frm = scan.catalog[r.from_table]
+        cells = [F.lit(i).alias("claim"), F.lit(targets[r.to_table, r.to_column]).alias("target"), _key(frm, r.from_column, common).alias("key"), *_placing(ends, r)]
+        tables.setdefault(r.from_table, []).append((cells, _condition(frm, r)))
+    rows = _union([_stacked(scan.catalog[t], scan(scan.catalog[t]), wanted) for t, wanted in tables.items()])
+    return rows.withColumn("n", F.lit(1).cast("bigint"))
+
+
+def _counted_sources(scan: Scan, common: T.DataType | None, claims: Asked, targets: dict[Target, int], ends: dict) -> DataFrame:
+    """(claim, target, key, low, high, n): n rows of a claim's source hold the key. The claims say which source meets which target."""
+    sources = {s: i for i, s in enumerate(dict.fromkeys(r.source for _, r in claims))}
+    tables: dict[str, dict[int, tuple[list[Column], Column | None]]] = {}
+    for _, r in claims:
+        frm, i = scan.catalog[r.from_table], sources[r.source]
+        tables.setdefault(r.from_table, {})[i] = ([F.lit(i).alias("id"), _key(frm, r.from_column, common).alias("key")], _condition(frm, r))
+    rows = _union([_stacked(scan.catalog[t], scan(scan.catalog[t]), list(wanted.values())) for t, wanted in tables.items()])
+    asked = [(sources[r.source], i, targets[r.to_table, r.to_column], *ends.get((r.to_table, r.to_column), (None, None))) for i, r in claims]
+    asked = small_table(scan.catalog.spark, asked, "id int, claim int, target int, low bigint, high bigint")
+    return rows.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(asked), "id").drop("id")
 
 
 _NUMBERS = (
@@ -262,34 +281,56 @@ def orphan_placement(catalog: Catalog, r: Relationship, settings: Settings | Non
     )
 
 
-def orphan_rows(catalog: Catalog, r: Relationship) -> DataFrame:
+def orphan_rows(catalog: Catalog, r: Relationship, spread: bool | None = None) -> DataFrame:
     """
     The from-rows without a match, whole, for the caller alone.
 
-    A small target is broadcast and nothing is shuffled. Against a large one the few values that each hold a share of
-    1 / HOT_SHARE of the rows are counted and looked up first; there are at most HOT_SHARE of them, so their answer is
-    broadcast, their matched rows are dropped where they are read and their orphans are spread over all partitions.
-    The other rows meet the target by value, none of which is large.
+    A target that certainly fits is broadcast and nothing is shuffled. Against another the keys are met first and alone:
+    distinct from-values and target keys, a value on a third of all rows being one. If those without a match are at most
+    FEW_ORPHANS, counted up to that bound when the plan is made, the rows are then fetched where they are read by a
+    broadcast of these values, and no row crosses a shuffle. Of more the rows are dealt by value, those of hot ones
+    spread over all partitions. ``spread`` forces one of the first two ways.
     """
-    frm, on = catalog[r.from_table], _condition(catalog[r.from_table], r)
+    frm, on, common = catalog[r.from_table], _condition(catalog[r.from_table], r), comparison(catalog, r)
     df = frm.df if on is None else frm.df.where(on)
-    target = _target(catalog, r)
-    keyed = df.where(cell(r.from_column).isNotNull()).withColumn("__k", _key(frm, r.from_column, comparison(catalog, r)))
-    if fits_broadcast(target):
-        return keyed.join(F.broadcast(target), F.col("__k") == F.col("t"), "left_anti").drop("__k")
-    rows = keyed.agg(F.count(F.lit(1))).scalar()
-    hot = keyed.groupBy("__k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_SHARE >= rows)
-    keys = target.where("t IS NOT NULL").distinct()
-    answer = hot.join(keys, F.col("__k") == F.col("t"), "left").selectExpr("__k AS __hot", "t IS NULL AS __orphan")
-    known = keyed.join(F.broadcast(answer), F.col("__k") == F.col("__hot"), "left").where("coalesce(__orphan, true)")
-    spread = F.pmod(F.xxhash64(*[cell(c) for c in frm.struct.names if _hashable(frm.type_of(c))]), F.lit(HOT_SPREAD))
+    target = (r.to_table, r.to_column)
+    # The row travels as one value, so its columns may be called anything.
+    row = F.struct(*[cell(c).alias(c) for c in frm.struct.names]).alias("row")
+    rows = df.where(cell(r.from_column).isNotNull()).select(row, _key(frm, r.from_column, common).alias("key"), F.lit(0).alias("target"))
+    keys = _keys_of(catalog, common, {target: 0})
+    if target in broadcast_targets(catalog, {target: common}) if spread is None else not spread:
+        return _looked_up(rows, F.broadcast(keys), common, "left_anti").select("row.*")
+    orphans = _looked_up(rows.select("key", "target").distinct(), keys, common, "left_anti").selectExpr("key AS orphan")
+    if _bounded(common) and orphans.limit(FEW_ORPHANS + 1).count() <= FEW_ORPHANS:
+        return rows.join(F.broadcast(orphans), F.col("key") == F.col("orphan"), "left_semi").select("row.*")
+    return _dealt_orphans(frm, rows, orphans).select("row.*")
+
+
+def _bounded(common: T.DataType | None) -> bool:
+    """Whether a key of this kind is of bounded length."""
+    return common is None or isinstance(common, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)) or (isinstance(common, T.StringType) and not S.keeps_own_equality(common))
+
+
+def _dealt_orphans(frm: Relation, rows: DataFrame, orphans: DataFrame) -> DataFrame:
+    """
+    The rows of very many orphan values, dealt by value.
+
+    The few values that each hold a share of 1 / HOT_SHARE of the rows are counted first; there are at most HOT_SHARE of
+    them, so which of them are orphans is broadcast and their rows are spread over all partitions. Of the other values
+    none is large.
+    """
+    n = rows.agg(F.count(F.lit(1))).scalar()
+    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_SHARE >= n)
+    answer = hot.join(orphans, F.col("key") == F.col("orphan"), "left").selectExpr("key AS hot", "orphan IS NOT NULL AS lost")
+    known = rows.join(F.broadcast(answer), F.col("key") == F.col("hot"), "left").where("coalesce(lost, true)")
+    spread = F.pmod(F.xxhash64(*[F.col("row").getField(c) for c in frm.struct.names if _hashable(frm.type_of(c))]), F.lit(HOT_SPREAD))
     placed = known.withColumns({
-        "__at": F.when(F.col("__hot").isNull(), F.lit(0).cast("bigint")).otherwise(spread),
-        "__cold": F.when(F.col("__hot").isNull(), F.col("__k")),
+        "at": F.when(F.col("hot").isNull(), F.lit(0).cast("bigint")).otherwise(spread),
+        "cold": F.when(F.col("hot").isNull(), F.col("key")),
     })
     # Always 0, but not a constant: the planner would drop a constant from the keys the rows are partitioned by.
-    met = keys.selectExpr("t", "pmod(xxhash64(t), 1L) AS t_at")
-    return placed.join(met, F.expr("__cold = t AND __at = t_at"), "left_anti").drop("__k", "__hot", "__orphan", "__at", "__cold")
+    found = orphans.selectExpr("orphan", "pmod(xxhash64(orphan), 1L) AS place")
+    return placed.join(found, F.expr("cold = orphan AND at = place"), "left").where("hot IS NOT NULL OR orphan IS NOT NULL")
 
 
 def _hashable(dt: T.DataType) -> bool:
@@ -301,9 +342,18 @@ def _may_condition(settings: Settings) -> str:
     return f"visible AND distinct <= {settings.categorical_max_distinct} AND max_length <= {settings.categorical_max_value_length}"
 
 
-def join_hit_rate_by_branch(catalog: Catalog, r: Relationship, discriminator: str, settings: Settings | None = None) -> DataFrame:
+BRANCHES = "branch string, to_table string, total bigint, nulls bigint, hits bigint, orphans bigint, hit double, orphans_above bigint, orphans_below bigint"
+
+
+def join_hit_rate_by_branch(
+    catalog: Catalog, r: Relationship, discriminator: str, settings: Settings | None = None, targets: Mapping[str, Target] | None = None
+) -> DataFrame:
     """
-    A join's numbers for every value of a discriminator in one plan, the values as text.
+    A join's numbers for every value of a discriminator in one plan, the values as text: a polymorphic reference.
+
+    Without ``targets`` all branches go to the claim's target. With them each branch named there goes to its own (table,
+    column), and others are not told. Equal values of a branch are counted first, from one read of the from-table; the
+    targets of all branches are one relation of keys for each kind of comparison. Orphans are placed as for any join.
 
     For a visible categorical column alone, whose few values multiply the distinct keys and not the rows. Of any other
     column no value may be told, so there are no rows.
@@ -312,73 +362,28 @@ def join_hit_rate_by_branch(catalog: Catalog, r: Relationship, discriminator: st
     scan = Scan.of(catalog, settings, [r.from_table])
     frm = catalog[r.from_table]
     if table_profile(catalog, settings, [(r.from_table, discriminator)], scan).where(_may_condition(settings)).isEmpty():
-        return small_table(catalog.spark, [], "branch string, total bigint, nulls bigint, hits bigint, orphans bigint, hit double")
-    branch = as_text(cell(discriminator), frm.type_of(discriminator)).alias("claim")
-    source = scan(frm).select(branch, _key(frm, r.from_column, comparison(catalog, r)).alias("k"))
-    keys = _target(catalog, r).where("t IS NOT NULL").distinct()
-    pairs = source.groupBy("claim", "k").agg(F.count(F.lit(1)).alias("n")).join(keys, F.col("k") == F.col("t"), "left")
-    no_ends = [f"cast(null AS bigint) AS {c}" for c in ("above", "below", "value")]
-    counted = _summed(pairs.selectExpr("claim", "n", "k IS NOT NULL AS present", "t IS NOT NULL AS hit", *no_ends))
-    return counted.selectExpr("claim AS branch", *_NUMBERS[:5])
-
-
-def _long_form(scan: Scan, claims: list[tuple[int, Relationship]], ends: dict) -> DataFrame:
-    """
-    One join per kind of comparison, however many claims there are.
-
-    Every from-table is read once and its claimed columns are stacked as (source, key), counted; every target table is
-    read once and its columns stacked as (target, key), deduplicated. The claims say which source meets which target.
-    """
-    kinds: dict[T.DataType | None, list[tuple[int, Relationship]]] = {}
-    for i, r in claims:
-        kinds.setdefault(comparison(scan.catalog, r), []).append((i, r))
-    return _union([_long_form_of(scan, common, group, ends) for common, group in kinds.items()])
-
-
-def _stacked(relation: Relation, df: DataFrame, common: T.DataType | None, wanted: list[tuple[int, str, Column | None]]) -> DataFrame:
-    """(id, key) of the wanted columns from one read, a conditioned one only where its condition holds."""
-    cells = [(F.struct(F.lit(i).alias("id"), _key(relation, c, common).alias("key")), on) for i, c, on in wanted]
-    kept = [c if on is None else F.when(on, c) for c, on in cells]
-    stack = F.array(*kept)
-    return df.select(F.inline(stack if all(on is None for _, on in cells) else F.array_compact(stack)))
-
-
-def _long_form_of(scan: Scan, common: T.DataType | None, claims: list[tuple[int, Relationship]], ends: dict) -> DataFrame:
-    catalog = scan.catalog
-    sources = {s: i for i, s in enumerate(dict.fromkeys(r.source for _, r in claims))}
-    targets = {t: i for i, t in enumerate(dict.fromkeys((r.to_table, r.to_column) for _, r in claims))}
-    from_columns: dict[str, dict[int, tuple]] = {}
-    for _, r in claims:
-        from_columns.setdefault(r.from_table, {})[sources[r.source]] = (r.from_column, _condition(catalog[r.from_table], r))
-    to_columns: dict[str, dict[int, tuple]] = {}
-    for (table, column), i in targets.items():
-        to_columns.setdefault(table, {})[i] = (column, None)
-
-    left = _union([_stacked(catalog[t], scan(catalog[t]), common, [(i, *c) for i, c in cols.items()]) for t, cols in from_columns.items()])
-    right = _union([_stacked(catalog[t], catalog[t].df, common, [(i, *c) for i, c in cols.items()]) for t, cols in to_columns.items()])
-    counted = left.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"))
-    keys = right.where("key IS NOT NULL").distinct().selectExpr("id AS to_id", "key AS t", "true AS found")
-    asked = small_table(
-        catalog.spark,
-        [(i, sources[r.source], targets[(r.to_table, r.to_column)], catalog[r.from_table].is_integer(r.from_column)) for i, r in claims],
-        "claim int, id int, target int, whole boolean",
-    )
-    met = counted.join(F.broadcast(asked), "id").join(keys, F.expr("key = t AND target = to_id"), "left")
-    placed = [(targets[t], lo, hi) for t, (lo, hi) in ends.items() if t in targets and isinstance(common, T.LongType)]
-
-    def beyond(past) -> Column:
-        out = F.lit(None).cast("bigint")
-        for target, lo, hi in placed:
-            out = F.when(F.col("target") == target, F.when(past(lo, hi), F.col("n")).otherwise(0)).otherwise(out)
-        return out
-
-    readable = common is None or isinstance(common, (T.NumericType, T.StringType))
-    return met.select(
-        "claim", F.expr("key IS NOT NULL AS present"), "n", F.expr("found IS NOT NULL AS hit"),
-        beyond(lambda lo, hi: F.col("key") > hi).alias("above"),
-        beyond(lambda lo, hi: F.col("key") < lo).alias("below"),
-        F.expr("if(whole, try_cast(key AS bigint), null) AS value" if readable else "cast(null AS bigint) AS value"),
+        return small_table(catalog.spark, [], BRANCHES)
+    branch = as_text(cell(discriminator), frm.type_of(discriminator)).alias("branch")
+    named = targets or {None: (r.to_table, r.to_column)}
+    claims = {b: replace(r, to_table=t, to_column=c) for b, (t, c) in named.items()}
+    ends = _ends(catalog, [(0, claim) for claim in claims.values()])
+    kinds: dict[T.DataType | None, list[tuple[str | None, Relationship]]] = {}
+    for b, claim in claims.items():
+        kinds.setdefault(comparison(catalog, claim), []).append((b, claim))
+    frames = []
+    for common, some in kinds.items():
+        numbers = {t: n for n, t in enumerate(dict.fromkeys((c.to_table, c.to_column) for _, c in some))}
+        rows = [(b, numbers[c.to_table, c.to_column], c.to_table, (c.to_table, c.to_column) in ends, *ends.get((c.to_table, c.to_column), (None, None))) for b, c in some]
+        asked = small_table(catalog.spark, rows, "of string, target int, to_table string, placed boolean, low bigint, high bigint")
+        source = scan(frm).select(branch, _key(frm, r.from_column, common).alias("key")).groupBy("branch", "key").agg(F.count(F.lit(1)).alias("n"))
+        here = source.join(F.broadcast(asked), F.col("branch") == F.col("of") if targets else F.lit(True))
+        met = _looked_up(here, _keys_of(catalog, common, numbers), common).withColumn("claim", F.struct("branch", "to_table", F.col("placed").alias("sided")))
+        frames.append(_as_counts(met, common))
+    counted = _union(frames).groupBy("claim.branch", "claim.to_table", "claim.sided").agg(
+        F.expr("sum(if(present, n, 0)) AS total"), F.expr("sum(if(present, 0, n)) AS nulls"), F.expr("sum(if(hit, n, 0)) AS hits"),
+        F.expr("if(sided, sum(above), null) AS orphans_above"), F.expr("if(sided, sum(below), null) AS orphans_below"),
     )
+    return counted.selectExpr("branch", "to_table", *_NUMBERS)
 
 
 # ---- a table of claims ----
@@ -399,15 +404,12 @@ def _unread(catalog: Catalog, r: Relationship) -> str | None:
     return catalog[r.from_table].unread or catalog[r.to_table].unread
 
 
-def measure_relationships(
-    catalog: Catalog, claims: list[Relationship], settings: Settings, conditions: bool = True, long_form: bool | None = None
-) -> DataFrame:
+def measure_relationships(catalog: Catalog, claims: list[Relationship], settings: Settings, conditions: bool = True, spread: bool | None = None) -> DataFrame:
     """
-    A measurement per claim, in the order given. The counts of all claims are summed in one shuffle and fetched, a row per
-    claim: only if one of them could be a coincidence are the keys of other tables read to weigh it.
+    A measurement per claim, in the order given, in one lazy plan; what is found beforehand are the extents of the relations,
+    from the footers of their files.
 
-    ``conditions`` off leaves every conditioned claim unverifiable. ``long_form`` forces one way of joining; by default
-    claims into small targets are probed and the others joined at once.
+    ``conditions`` off leaves every conditioned claim unverifiable. ``spread`` forces one way of joining on all targets.
     """
     spark = catalog.spark
     named = [(i, _spelled(catalog, r)) for i, r in enumerate(claims)]
@@ -417,38 +419,43 @@ def measure_relationships(
     run = [(i, r) for i, r in filled if conditions or r.when_column is None]
     scan = Scan.of(catalog, settings, [r.from_table for _, r in run])
     worth = {i for i, r in run if _worth_weighing(catalog, r)}
+    dense = dense_keys(catalog, settings) if worth else None
+
+    # All extents that this plan asks for, in one job.
+    columns = _words(catalog, {(r.to_table, r.to_column) for _, r in run})
+    sized = extents(catalog, {t: columns.get(t, ()) for _, r in known for t in (r.from_table, r.to_table)})
+    # Rows of a view are those its claim is measured on, where that is the whole of it.
+    told = {r.from_table for _, r in run if r.when_column is None and not scan.is_sampled(catalog[r.from_table])}
+    unsized = sorted({t for _, r in filled for t in (r.from_table, r.to_table) if t not in sized})
+    counted = [t for t in unsized if t not in told or any(r.to_table == t for _, r in filled)]
 
     rows = []
     for i, r in named:
         never = [reasons[i] is None and not catalog[t].populated for t in (r.from_table, r.to_table)]
-        rows.append((i, r.claim_id, r.from_table, r.to_table, r.from_column, r.when_column, reasons[i], *never, i in worth))
+        have = [sized[t].rows if t in sized else None for t in (r.from_table, r.to_table)]
+        rows.append((i, r.claim_id, r.from_table, r.to_table, r.from_column, r.when_column, reasons[i], *never, i in worth, *have))
     asked = small_table(
         spark, rows,
         "position int, claim_id string, from_table string, to_table string, from_column string, when_column string, reason string,"
-        " never_from boolean, never_to boolean, worth boolean",
+        " never_from boolean, never_to boolean, worth boolean, known_from bigint, known_to bigint",
     )
     if run:
-        ran = small_table(spark, [(i, places_orphans(catalog, r)) for i, r in run], "claim int, placed boolean")
-        counts = ran.join(F.broadcast(_counts(scan, run, long_form)), "claim", "left").selectExpr(
-            "claim",
-            *[f"coalesce({c}, 0) AS {c}" for c in ("total", "nulls", "hits")],
-            *[f"if(placed, coalesce({c}, 0), null) AS {c}" for c in ("orphans_above", "orphans_below")],
-            "lo",
-            "hi",
-        )
+        counts = _counts(scan, run, spread).selectExpr("claim", *_NUMBERS, "lo", "hi")
+        asked = asked.join(F.broadcast(counts), F.col("position") == F.col("claim"), "left")
     else:
-        counts = small_table(spark, [], "claim int, total bigint, nulls bigint, hits bigint, orphans_above bigint, orphans_below bigint, lo bigint, hi bigint")
-    counts = kept(counts.selectExpr("claim", *_NUMBERS, "lo", "hi"))
-    strong = {row["claim"] for row in counts.where(F.col("hit") >= settings.join_confirmed).select("claim").collect()}
-
-    sizes = row_counts(catalog, sorted({t for _, r in known for t in (r.from_table, r.to_table)}))
-    from_rows = sizes.selectExpr("table AS from_table", "rows AS from_rows")
-    to_rows = sizes.selectExpr("table AS to_table", "rows AS to_rows")
-    joined = (
-        asked.join(F.broadcast(counts), asked["position"] == counts["claim"], "left")
-        .join(F.broadcast(from_rows), "from_table", "left")
-        .join(F.broadcast(to_rows), "to_table", "left")
-    )
+        asked = asked.selectExpr("*", *[f"cast(null AS bigint) AS {c}" for c in ("claim", "total", "nulls", "hits", "orphans", "orphans_above", "orphans_below", "lo", "hi")], "cast(null AS double) AS hit")
+    if counted:
+        sizes = row_counts(catalog, counted)
+        for side in ("from", "to"):
+            asked = asked.join(F.broadcast(sizes.selectExpr(f"table AS {side}_table", f"rows AS counted_{side}")), f"{side}_table", "left")
+    else:
+        asked = asked.selectExpr("*", "cast(null AS bigint) AS counted_from", "cast(null AS bigint) AS counted_to")
+    sampled = [t for t in {r.from_table for _, r in run} if scan.is_sampled(catalog[t])]
+    whole = F.col("when_column").isNull() & ~F.col("from_table").isin(*sampled) if sampled else F.col("when_column").isNull()
+    joined = asked.withColumns({
+        "from_rows": F.coalesce("known_from", "counted_from", F.when(whole, F.col("total") + F.col("nulls"))),
+        "to_rows": F.coalesce("known_to", "counted_to"),
+    })
     discriminators = {(r.from_table, r.when_column) for _, r in run if r.when_column is not None}
     if discriminators:
         seen = table_profile(catalog, settings, discriminators, scan)
@@ -475,15 +482,15 @@ def measure_relationships(
                  WHEN total = 0 THEN '{S.NO_SOURCE_ROWS}' END AS skipped""",
         f"reason IS NULL AND (never_from OR never_to OR {no_rows} OR ({free} AND coalesce(total = 0, false))) AS empty",
     )
-    if worth & strong:
-        weighed = weak_evidence(measured, dense_keys(catalog, settings))
+    if dense is not None:
+        weighed = weak_evidence(measured, dense)
         judged = f"worth AND skipped IS NULL AND hit >= {settings.join_confirmed}D"
         weights = [f"if({judged}, {c}, null) AS {c}" for c in ("candidates", "also_fits")]
     else:
         weighed, weights = measured, ["cast(null AS bigint) AS candidates", "cast(null AS bigint) AS also_fits"]
     known_columns = ("claim_id", "position", "kind", *numbers, "skipped", "empty")
     complete = weighed.selectExpr(*known_columns, *weights)
-    return complete.selectExpr(*[c if c in complete.columns else f"cast(null AS {t}) AS {c}" for c, t in S.MEASUREMENT_TYPES.items()])
+    return complete.selectExpr(*[c if c in known_columns or c in ("candidates", "also_fits") else f"cast(null AS {t}) AS {c}" for c, t in S.MEASUREMENT_TYPES.items()])
 
 
 def _worth_weighing(catalog: Catalog, r: Relationship) -> bool:
@@ -506,26 +513,20 @@ def dense_keys(catalog: Catalog, settings: Settings) -> DataFrame:
     Integer single-column keys whose rows fill enough of their range, as (position, table, column, rows, lo, hi).
 
     Every key that holds rows is judged, or the first ``weak_evidence_max_candidates`` in catalog order where that is set.
-    The span is a decimal, which holds any bigint key's. One partial row per task and key is shuffled.
+    Counts and ends of Parquet relations come from the footers, when the plan is made; of others from one scan then.
     """
     keys = [
-        (i, r, catalog.primary[r.name][0])
+        (i, r.name, catalog.primary[r.name][0])
         for i, r in enumerate(catalog.relations)
         if r.df is not None and len(catalog.primary.get(r.name, ())) == 1 and r.has(catalog.primary[r.name][0]) and r.is_integer(catalog.primary[r.name][0])
     ]
     out = "position int, table string, column string, rows bigint, lo bigint, hi bigint"
     if not keys or settings.weak_evidence_max_candidates == 0:
         return small_table(catalog.spark, [], out)
-    values = _union([r.df.select(F.lit(i).alias("position"), cell(c).cast("bigint").alias("v")) for i, r, c in keys])
-    ends = values.groupBy("position").agg(F.count(F.lit(1)).alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    names = small_table(catalog.spark, [(i, r.name, c) for i, r, c in keys], "position int, table string, column string")
-    first = ends.where(F.col("lo").isNotNull())
-    if settings.weak_evidence_max_candidates is not None:
-        first = first.orderBy("position").limit(settings.weak_evidence_max_candidates)
-    big = T.DecimalType(20, 0)
-    span = F.col("hi").cast(big) - F.col("lo").cast(big) + F.lit(1)
-    filled = F.col("rows").cast("double") >= F.lit(settings.dense_key_share) * span.cast("double")
-    return first.where(filled).join(F.broadcast(names), "position").select("position", "table", "column", "rows", "lo", "hi")
+    found = extents(catalog, {table: [column] for _, table, column in keys}, views=True)
+    held = [(i, table, column, found[table].rows, *found[table].ends[column]) for i, table, column in keys if found[table].ends[column][0] is not None]
+    judged = held[: settings.weak_evidence_max_candidates]
+    return small_table(catalog.spark, [k for k in judged if k[3] >= settings.dense_key_share * (k[5] - k[4] + 1)], out)
 
 
 def weak_evidence(measured: DataFrame, dense: DataFrame) -> DataFrame:

@@ -10,12 +10,12 @@ from pyspark.sql import types as T
 
 from plumbline import schema as S
 from plumbline.functions.rules import is_categorical
-from plumbline.functions.values import as_text, cell, compact, compact_length
+from plumbline.functions.values import RAW_TEXT_CHARS, WORD, as_text, bit_of, cell, compact, compact_length, word_of
 from plumbline.operators.sampling import Scan, row_hash
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog, Relation, _union
 from plumbline.sources.sizes import bytes_setting, estimated_bytes, is_bare_scan, pilot_row_estimate, row_counts
-from plumbline.sources.small import kept, small_table
+from plumbline.sources.small import small_table
 
 # A file scan below this size is read in one go whatever the number of cores.
 SPLIT_FROM_BYTES = 1 << 20
@@ -31,13 +31,13 @@ def null_rate(non_null: Column, rows: Column) -> Column:
 
 def _cells(scan: Scan, relation: Relation, columns: list[tuple[int, str]], told: bool) -> list[DataFrame]:
     """
-    The cells of a relation's columns before the shuffle, as (cid, l, d, v, y): the column, the value and its year.
+    The cells of a relation's columns before the shuffle, as (cid, l, d, v, bit, y): the column, the value and its year.
 
-    An integer travels as ``l``, a double as ``d`` and anything else as text ``v``, a long text as its stand-in unless the
-    values are ``told``, so that
-    numbers are turned into text once per distinct value and not once per row. A large table is read once for all columns;
-    one too small to fill the cluster with a task per split is read by column, each column's bytes still once. A column
-    whose collation decides equality is always read by itself.
+    An integer is a ``bit`` of its word ``l``, so that close integers are one record for each WORD of them. A double travels
+    as ``d`` and anything else as text ``v``, a long text as its stand-in unless the values are ``told``, so that numbers
+    are turned into text once per distinct value and not once per row. A large table is read once for all columns; one too
+    small to fill the cluster with a task per split is read by column, each column's bytes still once. A column whose
+    collation decides equality is always read by itself.
     """
     df = scan(relation)
     no_long, no_double, no_text = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
@@ -46,14 +46,14 @@ def _cells(scan: Scan, relation: Relation, columns: list[tuple[int, str]], told:
         dt, c = relation.type_of(name), cell(name)
         year = F.year(c) if S.family(dt) == S.TIME else F.lit(None).cast("int")
         if S.is_integer(dt):
-            value = c.cast("bigint"), no_double, no_text
+            value = word_of(c.cast("bigint")), no_double, no_text, bit_of(c.cast("bigint"))
         elif isinstance(dt, T.DoubleType):
             # Grouping takes -0.0 for 0.0, which read differently.
-            value = F.when(c == 0, F.when(c.cast("string") == "-0.0", F.lit(1).cast("bigint"))), c, no_text
+            value = F.when(c == 0, F.when(c.cast("string") == "-0.0", F.lit(1).cast("bigint"))), c, no_text, no_long
         else:
             text = as_text(c, dt)
-            value = no_long, no_double, text if told or S.keeps_own_equality(dt) else compact(text)
-        return [x.alias(a) for x, a in zip((F.lit(cid), *value, year), ("cid", "l", "d", "v", "y"), strict=True)]
+            value = no_long, no_double, text if told or S.keeps_own_equality(dt) else compact(text), no_long
+        return [x.alias(a) for x, a in zip((F.lit(cid), *value, year), ("cid", "l", "d", "v", "bit", "y"), strict=True)]
 
     plain = [one(cid, c) for cid, c in columns if not S.keeps_own_equality(relation.type_of(c))]
     own = [one(cid, c) for cid, c in columns if S.keeps_own_equality(relation.type_of(c))]
@@ -75,22 +75,60 @@ def _worth_splitting(df: DataFrame) -> bool:
 
 
 def _counted(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("cid", "l", "d", "v").agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y"))
+    return cells.groupBy("cid", "l", "d", "v").agg(F.count(F.lit(1)).alias("n"), F.bit_or("bit").alias("bits"), F.max("y").alias("y"))
 
 
 def _distinct_values(scan: Scan, wanted: dict[str, list[tuple[int, str]]], told: bool = False) -> DataFrame:
     """
-    (cid, v, n, y) of every wanted column of every table, in one shuffle: repeated values collapse before it.
+    (cid, v, length, word, bits, n, y) of every wanted column of every table, in one shuffle: repeated values collapse before it.
 
-    ``v`` is the value itself where values are ``told``, else a stand-in of a long text, which only counts and lengths may come from.
+    An integer column has a row for each word of its values, or one without for its nulls, and ``v`` null. Of others ``v`` is
+    the value itself where values are ``told``, else a stand-in of a long text, which only counts may come from.
     """
     raw, grouped = [], []
     for table, columns in wanted.items():
         for frame in _cells(scan, scan.catalog[table], columns, told):
             (grouped if "n" in frame.columns else raw).append(frame)
-    counted = _union(([_counted(_union(raw))] if raw else []) + grouped)
-    number = "if(d IS NULL, cast(l AS string), if(l IS NULL, cast(d AS string), '-0.0'))"
-    return counted.selectExpr("cid", f"coalesce(v, {number}) AS v", "n", "y")
+    number = F.expr("if(l IS NULL, cast(d AS string), if(d IS NULL, null, '-0.0'))")
+
+    def read(groups: DataFrame, length) -> DataFrame:
+        text = F.coalesce("v", number)
+        return groups.select("cid", text.alias("v"), length(text).alias("length"), F.when(F.col("bits").isNotNull(), F.col("l")).alias("word"), "bits", "n", "y")
+
+    frames = [read(_counted(_union(raw)), F.char_length if told else compact_length)] if raw else []
+    return _union(frames + [read(groups, F.char_length) for groups in grouped])
+
+
+def _ends_of_word(word: Column, bits: Column) -> list[Column]:
+    """The lowest and the highest integer whose bit is set."""
+    digits = F.bin(bits)
+    first = F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
+    return [F.shiftleft(word, WORD.bit_length() - 1) + at for at in (first, F.length(digits) - 1)]
+
+
+def _profile(counted: DataFrame) -> DataFrame:
+    """(cid, rows, non_null, distinct, max_length, year_min, year_max) from distinct values. Of integers close to each other the longest is the
+    lowest or the highest."""
+    held = F.col("v").isNotNull() | F.col("bits").isNotNull()
+    longest = F.greatest(*[F.length(end.cast("string")) for end in _ends_of_word(F.col("word"), F.col("bits"))])
+    return counted.groupBy("cid").agg(
+        F.sum("n").alias("rows"),
+        F.sum(F.when(held, F.col("n"))).alias("non_null"),
+        F.coalesce(F.sum(F.coalesce(F.bit_count("bits"), F.when(held, 1))), F.lit(0)).cast("bigint").alias("distinct"),
+        F.max(F.coalesce(longest, F.col("length"))).alias("max_length"),
+        F.min("y").alias("year_min"),
+        F.max("y").alias("year_max"),
+    )
+
+
+def _lists(counted: DataFrame, cids: DataFrame) -> DataFrame:
+    """(cid, values): all values of the columns named by number, sorted. Each has as many as a categorical column may."""
+    places = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda at: F.getbit("bits", at) == 1)
+    whole = F.transform(places, lambda at: (F.shiftleft("word", WORD.bit_length() - 1) + at).cast("string"))
+    values = F.when(F.col("bits").isNotNull(), whole).when(F.col("v").isNotNull(), F.array("v"))
+    # True of every group. It needs the columns that the profile needs, so that both read one exchange.
+    counted = counted.where("n > 0 AND coalesce(y, 0) < 1000000000")
+    return counted.join(F.broadcast(cids), "cid", "left_semi").select("cid", F.explode(values).alias("v")).groupBy("cid").agg(F.sort_array(F.collect_list("v")).alias("values"))
 
 
 def _listed(catalog: Catalog, only: set[tuple[str, str]] | None) -> list[tuple]:
@@ -105,13 +143,16 @@ def _listed(catalog: Catalog, only: set[tuple[str, str]] | None) -> list[tuple]:
     return rows
 
 
-def table_profile(catalog: Catalog, settings: Settings, only: Iterable[tuple[str, str]] | None = None, scan: Scan | None = None) -> DataFrame:
+def table_profile(
+    catalog: Catalog, settings: Settings, only: Iterable[tuple[str, str]] | None = None, scan: Scan | None = None, values: bool = False
+) -> DataFrame:
     """
-    One row per column of every relation, or of the (table, column) pairs asked for.
+    One row per column of every relation, or of the (table, column) pairs asked for; with ``values`` also all values of each
+    categorical column, as text and sorted.
 
     Every relation is scanned once and all columns are counted in one two-level aggregation: equal values of a column
     meet in one group, and the groups are then counted. A value that fills a third of a table is one group of one
-    partial row per task.
+    partial row per task. The values come from the same groups, of the few columns that the counts say are categorical.
     """
     scan = scan or Scan.of(catalog, settings)
     rows = _listed(catalog, None if only is None else set(only))
@@ -121,23 +162,18 @@ def table_profile(catalog: Catalog, settings: Settings, only: Iterable[tuple[str
         if unmeasured is None:
             wanted.setdefault(table, []).append((cid, column))
     if wanted:
-        counted = (
-            _distinct_values(scan, wanted)
-            .groupBy("cid")
-            .agg(
-                F.sum("n").alias("rows"),
-                F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("non_null"),
-                F.count("v").alias("distinct"),
-                F.max(compact_length(F.col("v"))).alias("max_length"),
-                F.min("y").alias("year_min"),
-                F.max("y").alias("year_max"),
-            )
-        )
+        groups = _distinct_values(scan, wanted, told=values and settings.categorical_max_value_length > RAW_TEXT_CHARS)
+        counted = _profile(groups)
     else:
         counted = small_table(catalog.spark, [], "cid int, rows bigint, non_null bigint, distinct bigint, max_length int, year_min int, year_max int")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("rows", "non_null", "distinct", "max_length")}
     categorical = is_categorical(zero["distinct"], zero["non_null"], zero["max_length"], settings)
     joined = listed.join(F.broadcast(counted), "cid", "left").withColumns({**zero, "categorical": categorical})
+    if values:
+        # Again what the profile needs, and true of every column.
+        whole = joined.where("categorical AND rows >= non_null AND coalesce(year_min, 0) <= coalesce(year_max, 0)")
+        lists = _lists(groups, whole.select("cid")) if wanted else small_table(catalog.spark, [], "cid int, values array<string>")
+        joined = joined.join(F.broadcast(lists), "cid", "left")
     visible = F.col("categorical") | F.col("shown")
     return joined.withColumn("visible", visible).select(
         "table", "ordinal", "column", "type", "nullable", "family", "rows", "non_null",
@@ -145,7 +181,7 @@ def table_profile(catalog: Catalog, settings: Settings, only: Iterable[tuple[str
         "distinct", "max_length", "categorical", "visible",
         F.when(~F.col("visible"), F.col("year_min")).alias("year_min"),
         F.when(~F.col("visible"), F.col("year_max")).alias("year_max"),
-        "unmeasured",
+        "unmeasured", *(["values"] if values else []),
     )
 
 
@@ -156,15 +192,14 @@ def describe_table(catalog: Catalog, table: str, settings: Settings) -> DataFram
     """
     some = catalog.only([table])
     relation, scan = some[table], Scan.of(some, settings)
-    profile = kept(table_profile(some, settings, scan=scan))
-    values = value_lists(some, settings, listed_columns(profile, "categorical"), scan).select("column", "values")
+    profile = table_profile(some, settings, scan=scan, values=True)
     sizes = pilot_row_estimate(relation, settings) if settings.sampled and relation.df is not None else row_counts(some).withColumn("source", F.lit("count"))
     facts = some.relations_df().select("name", "kind", "populated", "partitions").join(sizes.withColumnRenamed("table", "name"), "name", "left")
     foreign = ", ".join(f"{c} -> {rt}.{rc}" for t, c, rt, rc in sorted(catalog.foreign) if t == table)
     facts = facts.select("kind", "populated", "partitions", F.col("rows").alias("row_estimate"), F.col("source").alias("estimate_source"))
     columns = profile.drop("rows", "non_null", "family", "max_length", "categorical", "visible", "year_min", "year_max", "table")
     measured = F.col("unmeasured").isNull()
-    told = columns.join(F.broadcast(values), "column", "left").withColumns({c: F.when(measured, F.col(c)) for c in ("null_rate", "distinct")})
+    told = columns.withColumns({c: F.when(measured, F.col(c)) for c in ("null_rate", "distinct")})
     keys = {"primary_key": ", ".join(catalog.primary.get(table, ())), "foreign_keys": foreign}
     placed = told.withColumn("table", F.lit(table)).join(F.broadcast(facts.withColumn("table", F.lit(table))), "table")
     return placed.select(
@@ -195,7 +230,7 @@ def value_lists(catalog: Catalog, settings: Settings, columns: list[tuple[str, s
     for cid, (table, column) in enumerate(columns):
         wanted.setdefault(table, []).append((cid, column))
     listed = small_table(catalog.spark, [(i, t, c) for i, (t, c) in enumerate(columns)], "cid int, table string, column string")
-    lists = _distinct_values(scan, wanted, told=True).where("v IS NOT NULL").groupBy("cid").agg(F.sort_array(F.collect_list("v")).alias("values"))
+    lists = _lists(_distinct_values(scan, wanted, told=True), listed.select("cid"))
     return lists.join(F.broadcast(listed), "cid").select("table", "column", "values")
 
 

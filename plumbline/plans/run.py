@@ -10,7 +10,7 @@ from plumbline.operators.claims import dedupe_relationships, dedupe_suspicions,
 from plumbline.operators.compare import schema_fingerprint
 from plumbline.operators.joins import Relationship, measure_relationships, relationships_of
 from plumbline.operators.problems import Suspicion, measure_suspicions, suspicions_of
-from plumbline.operators.profile import listed_columns, table_profile, value_lists
+from plumbline.operators.profile import table_profile
 from plumbline.operators.report import join_sentence, table_reports
 from plumbline.operators.verdicts import decide
 from plumbline.settings import Settings
@@ -86,6 +86,5 @@ def snapshot_of(catalog: Catalog, relationships: DataFrame, suspicions: DataFram
 def reports(catalog: Catalog, relationships: DataFrame, suspicions: DataFrame, verdicts: DataFrame, settings: Settings) -> DataFrame:
     """(table, report) of every relation of the catalog. The verdicts are measured once, for joins and problems alike."""
     relationships, suspicions, verdicts = kept(relationships), kept(suspicions), kept(verdicts)
-    categorical = listed_columns(table_profile(catalog, settings), "categorical")
-    lists = value_lists(catalog, settings, categorical)
+    lists = table_profile(catalog, settings, values=True).where("values IS NOT NULL").select("table", "column", "values")
     return table_reports(catalog.relations_df(), row_counts(catalog), catalog.keys_df(), relationships, suspicions, verdicts, lists, settings.sampled)

@@ -83,6 +83,7 @@ class Catalog:
         self._called_in_any_case = {name.lower(): r for name, r in called}
         self.keys = [tuple(k) for k in keys]
         self.reveal = frozenset(reveal)
+        self.extents: dict = {}  # what sizes.extents() has found of each relation
 
     @classmethod
     def from_parquet(
@@ -107,7 +108,9 @@ class Catalog:
     def only(self, names: Iterable[str]) -> Catalog:
         """The same keys over the named relations alone."""
         wanted = set(names)
-        return Catalog(self.spark, [r for r in self.relations if r.name in wanted], self.keys, self.reveal)
+        some = Catalog(self.spark, [r for r in self.relations if r.name in wanted], self.keys, self.reveal)
+        some.extents = self.extents
+        return some
 
     def __getitem__(self, name: str) -> Relation:
         return self._by_name[name]
@@ -182,10 +185,10 @@ def declared_keys(keys: DataFrame) -> DataFrame:
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionAll(f)
-    return out
+    """All rows, put together by halves: each step analyses its plan anew, so one by one the cost would grow with the square."""
+    while len(frames) > 1:
+        frames = [a.unionAll(b) for a, b in zip(frames[::2], frames[1::2], strict=False)] + frames[len(frames) // 2 * 2 :]
+    return frames[0]
 
 
 def _open_parquet(spark: SparkSession, path: str, name: str) -> Relation:

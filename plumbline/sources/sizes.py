@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.values import cell
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog, Relation, _union
 from plumbline.sources.small import small_table
@@ -28,8 +32,73 @@ def is_bare_scan(df: DataFrame) -> bool:
 
 
 def bytes_setting(spark: SparkSession, name: str) -> int:
-    """A session setting such as 10MB, in bytes."""
-    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    """A session setting such as 10MB, in bytes; below 0 where it is switched off."""
+    value = spark.conf.get(name)
+    if value.startswith("-"):
+        return -1
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(value)
+
+
+@dataclass(frozen=True)
+class Extent:
+    """How many rows a relation has, and the lowest and highest value of the integer columns asked for (None where all are null)."""
+
+    rows: int
+    ends: dict[str, tuple[int | None, int | None]] = field(default_factory=dict)
+
+
+# Reads Parquet through the reader that answers counts and extremes from the footers.
+_FROM_FOOTERS = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+def extent_rows(wanted: list[tuple[Relation, list[str]]], footers: bool) -> DataFrame:
+    """
+    (i, rows, ends) of numbered relations, ``ends`` an array of (lo, hi), one for each of its integer columns.
+
+    From footers no column is read: the counts and extremes are those the files keep of each row group. Otherwise one
+    row per task and relation is shuffled.
+    """
+    if footers:
+        side = wanted[0][0].df.sparkSession.newSession()
+        for name, value in _FROM_FOOTERS.items():
+            side.conf.set(name, value)
+    frames = []
+    for i, (r, columns) in enumerate(wanted):
+        df = side.read.schema(r.df.schema).parquet(r.files) if footers else r.df
+        ends = [F.struct(F.min(cell(c)).cast("bigint").alias("lo"), F.max(cell(c)).cast("bigint").alias("hi")) for c in columns]
+        none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+        frames.append(df.agg(F.count(F.lit(1)).alias("rows"), (F.array(*ends) if ends else none).alias("ends")).select(F.lit(i).alias("i"), "rows", "ends"))
+    return _union(frames)
+
+
+def extents(catalog: Catalog, wanted: dict[str, Iterable[str]], views: bool = False) -> dict[str, Extent]:
+    """
+    The extent of named relations with the integer columns asked for, found once per catalog.
+
+    Of plain Parquet relations it comes from the footers, in one job for all that are not known yet. Others are left out
+    unless ``views`` asks for them to be scanned. A row of a few numbers per relation is all that reaches the driver.
+    """
+    known = catalog.extents
+    asked = []
+    for name, columns in wanted.items():
+        r, have = catalog[name], known.get(name)
+        if r.df is not None and (r.files is not None or views) and (have is None or not set(columns) <= have.ends.keys()):
+            asked.append((r, sorted({*columns, *(have.ends if have else ())})))
+    for footers in (True, False):
+        some = [(r, columns) for r, columns in asked if (r.files is not None) == footers]
+        if some:
+            for (r, columns), row in zip(some, _extents_of(some, footers), strict=True):
+                known[r.name] = Extent(row["rows"], {c: (e["lo"], e["hi"]) for c, e in zip(columns, row["ends"], strict=True)})
+    return {name: known[name] for name in wanted if name in known}
+
+
+def _extents_of(some: list[tuple[Relation, list[str]]], footers: bool) -> list:
+    try:
+        return sorted(extent_rows(some, footers).collect())
+    except Exception:  # files written without statistics
+        if not footers:
+            raise
+        return sorted(extent_rows(some, False).collect())
 
 
 def row_counts(catalog: Catalog, names: list[str] | None = None) -> DataFrame:

@@ -44,12 +44,14 @@ ORDERS_CUSTOMER = R("orders", "o_custkey", "customer", "c_custkey", basis="state
 PART_CUSTOMER = R("part", "p_partkey", "customer", "c_custkey", confidence=0.6)
 CUSTOMER_SUPPLIER = R("customer", "c_custkey", "supplier", "s_suppkey", confidence=0.3)
 EVENTS_SUPPLIER = R("events", "user_id", "supplier", "s_suppkey", confidence=0.5)
+LINES_ORDERS = R("lineitem", "l_orderkey", "orders", "o_orderkey", basis="stated", confidence=1.0)
+BRANCH_TARGETS = {"click": ("supplier", "s_suppkey"), "purchase": ("part", "p_partkey"), "signup": ("customer", "c_custkey"), "nothing": ("nation", "n_nationkey")}
 CLICKS_SUPPLIER = R("events", "user_id", "supplier", "s_suppkey", "event_type", "click", confidence=0.5)
 TEXT_FALLBACK = R("lineitem", "l_orderkey", "orders", "o_orderpriority", confidence=0.1)
 LINENUMBER = R("lineitem", "l_linenumber", "nation", "n_nationkey", confidence=0.4)
 CLAIMS = [
     ORDERS_CUSTOMER,
-    R("lineitem", "l_orderkey", "orders", "o_orderkey", basis="stated", confidence=1.0),
+    LINES_ORDERS,
     R("labels", "doc_id", "documents", "doc_id", basis="stated", confidence=1.0),
     PART_CUSTOMER,
     R("lineitem", "l_partkey", "customer", "c_custkey", confidence=0.55),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from suite.inputs import (
+    BRANCH_TARGETS,
     CLAIMS,
     CLICKS_SUPPLIER,
     CUSTOMER_SUPPLIER,
@@ -10,6 +11,7 @@ from suite.inputs import (
     EVENTS_SUPPLIER,
     FOREIGN,
     LINENUMBER,
+    LINES_ORDERS,
     ORDERS_CUSTOMER,
     PART_CUSTOMER,
     PRIMARY,
@@ -97,10 +99,16 @@ for name, claim in {
     "join_rejected_customer_supplier": CUSTOMER_SUPPLIER,
     "join_when_click_events_supplier": CLICKS_SUPPLIER,
     "join_text_fallback": TEXT_FALLBACK,
+    "join_keyed_lineitem_orders": LINES_ORDERS,
 }.items():
     ORACLES[name] = hit_rate(claim)
 
 ORACLES["orphan_rows_part_customer"] = "SELECT * FROM part WHERE p_partkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = p_partkey)"
+ORACLES["orphan_rows_lines_customer"] = f"SELECT {', '.join(SAMPLE_KEY)} FROM lineitem WHERE l_partkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = l_partkey)"
+ORACLES["join_by_event_type_targets"] = " UNION ALL ".join(
+    f"SELECT '{branch}' AS branch, '{t}' AS to_table, {RATES} FROM ({counts(Relationship('events', 'user_id', t, c, 'event_type', branch))}) m WHERE total + nulls > 0"
+    for branch, (t, c) in BRANCH_TARGETS.items()
+)
 ORACLES["orphan_placement_events_supplier"] = (
     f"SELECT orphans, orphans_above, orphans_below, orphans - orphans_above - orphans_below AS orphans_inside FROM ({hit_rate(EVENTS_SUPPLIER)}) o"
 )
@@ -273,6 +281,8 @@ ORACLES["describe_part"] = f"""
 SELECT 'part' AS "table", 'table' AS kind, true AS populated, NULL::BIGINT AS partitions, rows AS row_estimate, 'count' AS estimate_source, 'p_partkey' AS primary_key, '' AS foreign_keys,
   p.ordinal::INT AS ordinal, p."column" AS "column", CASE k WHEN 'b' THEN 'bigint' WHEN 'i' THEN 'int' WHEN 'd' THEN 'double' ELSE 'string' END AS type, true AS nullable, null_rate, "distinct", l.values, NULL::VARCHAR AS unmeasured
 FROM ({profiled(['part'])}) p LEFT JOIN ({value_lists(['part'])}) l ON l."column" = p."column\""""
+ORACLES["profile_values_all"] = f"""
+SELECT p."table", p."column", "distinct", l.values FROM ({profiled()}) p JOIN ({value_lists()}) l ON l."table" = p."table" AND l."column" = p."column" WHERE k NOT IN ('s', 'd')"""
 ORACLES["value_lists_lineitem"] = f'SELECT "column", values FROM ({value_lists(["lineitem"])}) l'
 ORACLES["redacted_sample_customer"] = """
 SELECT c_custkey::VARCHAR AS c_custkey, '[hidden]' AS c_name, c_nationkey::VARCHAR AS c_nationkey, '[hidden]' AS c_acctbal, c_mktsegment FROM customer

@@ -14,11 +14,13 @@ from plumbline.plans import check, run
 from plumbline.sources import sizes
 from plumbline.sources.catalog import declared_keys
 from suite.inputs import (
+    BRANCH_TARGETS,
     CLAIMS,
     CLICKS_SUPPLIER,
     CUSTOMER_SUPPLIER,
     EVENTS_SUPPLIER,
     LINENUMBER,
+    LINES_ORDERS,
     ORDERS_CUSTOMER,
     PART_CUSTOMER,
     SETTINGS,
@@ -57,6 +59,7 @@ QUERIES["join_broken_part_customer"] = _hit_rate(PART_CUSTOMER)
 QUERIES["join_rejected_customer_supplier"] = _hit_rate(CUSTOMER_SUPPLIER)
 QUERIES["join_when_click_events_supplier"] = _hit_rate(CLICKS_SUPPLIER)
 QUERIES["join_text_fallback"] = _hit_rate(TEXT_FALLBACK)
+QUERIES["join_keyed_lineitem_orders"] = _hit_rate(LINES_ORDERS)
 
 
 @query
@@ -64,6 +67,12 @@ def orphan_rows_part_customer(spark, sf):
     return joins.orphan_rows(catalog(spark, sf), PART_CUSTOMER)
 
 
+@query
+def orphan_rows_lines_customer(spark, sf):
+    lines = joins.Relationship("lineitem", "l_partkey", "customer", "c_custkey")
+    return joins.orphan_rows(catalog(spark, sf), lines, spread=True).select(*SAMPLE_KEY)
+
+
 @query
 def orphan_placement_events_supplier(spark, sf):
     return joins.orphan_placement(catalog(spark, sf), EVENTS_SUPPLIER)
@@ -71,7 +80,12 @@ def orphan_placement_events_supplier(spark, sf):
 
 @query
 def join_by_event_type(spark, sf):
-    return joins.join_hit_rate_by_branch(catalog(spark, sf), EVENTS_SUPPLIER, "event_type")
+    return joins.join_hit_rate_by_branch(catalog(spark, sf), EVENTS_SUPPLIER, "event_type").select("branch", "total", "nulls", "hits", "orphans", "hit")
+
+
+@query
+def join_by_event_type_targets(spark, sf):
+    return joins.join_hit_rate_by_branch(catalog(spark, sf), EVENTS_SUPPLIER, "event_type", targets=BRANCH_TARGETS)
 
 
 @query
@@ -96,7 +110,7 @@ def measure_claims_all(spark, sf):
 
 @query
 def measure_claims_long_form(spark, sf):
-    return _decided(spark, sf, CLAIMS, long_form=True).select(*VERDICT)
+    return _decided(spark, sf, CLAIMS, spread=True).select(*VERDICT)
 
 
 @query
@@ -116,6 +130,12 @@ def profile_all(spark, sf):
     return profile.table_profile(catalog(spark, sf), SETTINGS).select(*PROFILE)
 
 
+@query
+def profile_values_all(spark, sf):
+    told = profile.table_profile(catalog(spark, sf), SETTINGS, values=True).where("values IS NOT NULL AND family <> 'time'")
+    return told.where("type <> 'double'").select("table", "column", "distinct", F.array_join("values", ", ").alias("values"))
+
+
 @query
 def profile_orders(spark, sf):
     return profile.table_profile(catalog(spark, sf).only(["orders"]), SETTINGS).select(*PROFILE, "max_length", "categorical", "visible")

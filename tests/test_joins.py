@@ -1,26 +1,28 @@
 """Joins against golden numbers, in every way a join can be run."""
 
+import re
+
 import pytest
 from fixtures import QUANTITY, SHOP_JOINS, polymorph, shop
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline import Catalog, Relation, Settings
 from plumbline.operators import joins
 from plumbline.operators.joins import Relationship, dense_keys, measure_relationships, orphan_rows
 from plumbline.operators.verdicts import decide
+from plumbline.sources import sizes
 
-WAYS = ["probed", "grouped", "long form"]
+WAYS = {"by size": None, "broadcast": False, "spread": True}
 
 
 @pytest.fixture(params=WAYS)
-def measured(request, spark, monkeypatch):
+def measured(request, spark):
     """Verdicts by claim id, with the way of joining forced."""
-    if request.param != "probed":
-        monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
 
     def run(catalog, claims, settings=None, **kw):
         s = settings or Settings()
-        frame = measure_relationships(catalog, claims, s, long_form=True if request.param == "long form" else None, **kw)
+        frame = measure_relationships(catalog, claims, s, spread=WAYS[request.param], **kw)
         return {r["claim_id"]: r.asDict() for r in decide(frame, s).collect()}
 
     return run
@@ -152,7 +154,7 @@ def test_types_that_do_not_compare_are_compared_as_text(spark, measured):
     assert all(got[c.claim_id]["orphans_above"] is None for c in claims)
 
 
-def test_orphans_and_a_hot_key(spark, measured):
+def test_orphans_and_a_hot_key(spark, measured, monkeypatch):
     """A third of the rows hold one value, another third are null; both ways of partitioning give the same numbers."""
     facts = spark.range(30_000).selectExpr("CASE id % 3 WHEN 0 THEN 7 WHEN 1 THEN null ELSE id END AS k", "id AS payload")
     keys = spark.range(0, 20_000, 2).selectExpr("id")
@@ -164,15 +166,18 @@ def test_orphans_and_a_hot_key(spark, measured):
         hits = sum(1 for v in values if v < 20_000 and v % 2 == 0)
         above = sum(1 for v in values if v > 19_998)
         assert numbers(row, "total", "nulls", "hits", "orphans_above", "orphans_below") == [20_000, 10_000, hits, above, 0]
-        orphans = orphan_rows(cat, claim)
-        assert orphans.columns == ["k", "payload"]
         wanted = sorted((7 if i % 3 == 0 else i, i) for i in range(30_000) if i % 3 == 0 or (i % 3 == 2 and not (i < 20_000 and i % 2 == 0)))
         assert len(wanted) == 20_000 - hits
-        assert sorted(map(tuple, orphans.collect())) == wanted
+        for few in (0, joins.FEW_ORPHANS):
+            monkeypatch.setattr(joins, "FEW_ORPHANS", few)
+            for spread in WAYS.values():
+                orphans = orphan_rows(cat, claim, spread)
+                assert orphans.columns == ["k", "payload"]
+                assert sorted(map(tuple, orphans.collect())) == wanted
 
 
 def test_hot_rows_are_returned_or_dropped_without_one_task_holding_them(spark, monkeypatch):
-    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(joins, "FEW_ORPHANS", 0)
     facts = spark.range(20_000).selectExpr("CASE id % 3 WHEN 0 THEN 7 WHEN 1 THEN 8 ELSE id END AS k", "id AS payload")
     cat = Catalog(spark, [Relation("facts", facts), Relation("keys", spark.range(0, 20_000, 2).toDF("id"))])
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -194,6 +199,18 @@ def test_branches(spark):
     assert got["post"]["total"] == 300 and got["post"]["hits"] == sum(1 for i in range(1, 301) if 1 + i % 100 <= 40)
 
 
+def test_a_target_for_each_branch(spark):
+    cat = polymorph(spark)
+    claim = Relationship("comments", "commentable_id", "posts", "id")
+    targets = {"post": ("posts", "id"), "photo": ("photos", "id"), "song": ("photos", "id")}
+    got = {r["branch"]: r.asDict() for r in joins.join_hit_rate_by_branch(cat, claim, "commentable_type", targets=targets).collect()}
+    assert got.keys() == {"post", "photo"}
+    assert numbers(got["post"], "to_table", "total", "hits", "orphans_above", "orphans_below") == ["posts", 300, 300, 0, 0]
+    assert numbers(got["photo"], "to_table", "total", "hits", "orphans_above", "orphans_below") == ["photos", 180, 120, 60, 0]
+    as_text = joins.join_hit_rate_by_branch(cat, claim, "commentable_type", targets={"post": ("posts", "id"), "photo": ("comments", "body")})
+    assert {r["branch"]: r["hits"] for r in as_text.collect()} == {"post": 300, "photo": 0}
+
+
 def test_a_hidden_discriminator_tells_nothing(spark):
     cat = shop(spark)
     assert joins.join_hit_rate_by_branch(cat, Relationship("orders", "customer_id", "customers", "id"), "id").count() == 0
@@ -201,10 +218,55 @@ def test_a_hidden_discriminator_tells_nothing(spark):
 
 
 def test_what_may_grow_is_not_broadcast(spark):
+    """Neither what no file counts, as a view, nor what a small file holds many of: delta-encoded, 20 million keys are some 100 KB."""
     few = spark.createDataFrame([(i,) for i in range(10)], "i long")
-    grown = few.selectExpr("explode(sequence(i, i + 1000000)) AS id")
-    assert joins.fits_broadcast(spark.read.parquet("/root/testdata/sf0.001/nation.parquet").select("n_nationkey"))
-    assert not joins.fits_broadcast(grown) and not joins.fits_broadcast(few.groupBy("i").count())
+    views = {"grown": few.selectExpr("explode(sequence(i, i + 1000000)) AS id"), "counted": few.groupBy("i").count()}
+    cat = Catalog(spark, [Relation(n, d) for n, d in views.items()])
+    assert joins.broadcast_targets(cat, {("grown", "id"): T.LongType(), ("counted", "i"): T.LongType()}) == set()
+
+
+def test_a_small_file_of_many_keys_is_not_broadcast(spark, tmp_path):
+    writer = spark.range(20_000_000).selectExpr("id", "id * 1000 AS far", "cast(id AS double) AS number").coalesce(1).write
+    writer.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false").parquet(f"{tmp_path}/keys.parquet")
+    spark.range(10).write.parquet(f"{tmp_path}/facts.parquet")
+    cat = Catalog.from_parquet(spark, str(tmp_path), ["keys", "facts"])
+    assert cat["keys"].df.select("id")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 400_000_000
+    for column in ("id", "far", "number"):
+        common = joins.comparison(cat, Relationship("facts", "id", "keys", column))
+        assert joins.broadcast_targets(cat, {("keys", column): common}) == set()
+        plan = joins.join_hit_rate(cat, Relationship("facts", "id", "keys", column))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("strategy=broadcast") == 1  # of the claims alone
+    assert joins.broadcast_targets(cat, {("facts", "id"): T.LongType(), ("keys", "id"): T.LongType()}) == {("facts", "id")}
+
+
+def test_close_integers_are_a_row_for_each_word_of_them(spark):
+    base = "/root/testdata/sf0.01"
+    cat = Catalog.from_parquet(spark, base, ["lineitem", "orders"], [("orders", "p", 0, "o_orderkey", None, None)])
+    claim = Relationship("lineitem", "l_orderkey", "orders", "o_orderkey")
+    frame = joins.join_hit_rate(cat, claim)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "partial_bit_or" in plan and re.search(r"Exchange hashpartitioning\([^,]*, word", plan)
+    words = joins._keys_of(cat, T.LongType(), {("orders", "o_orderkey"): 0}).count()
+    keys = {r[0] for r in cat["orders"].df.select("o_orderkey").collect()}
+    assert words == len({k // 64 for k in keys}) and words * 60 < len(keys)
+    for spread in WAYS.values():
+        row = joins._counts(joins.Scan.of(cat, Settings()), [(0, claim)], spread).first()
+        lines = [r[0] for r in cat["lineitem"].df.select("l_orderkey").collect()]
+        assert (row["total"], row["hits"]) == (len(lines), sum(k in keys for k in lines))
+
+
+def test_extents_come_from_footers(spark, tmp_path):
+    spark.range(-5, 1000).selectExpr("id", "cast(null AS int) AS nothing", "id % 3 AS day").write.partitionBy("day").parquet(f"{tmp_path}/facts.parquet")
+    spark.range(0).write.parquet(f"{tmp_path}/none.parquet")
+    cat = Catalog.from_parquet(spark, str(tmp_path), ["facts", "none"], [("facts", "p", 0, "id", None, None), ("none", "p", 0, "id", None, None)])
+    frame = sizes.extent_rows([(cat["facts"], ["id"]), (cat["none"], ["id"])], footers=True)
+    assert frame._jdf.queryExecution().executedPlan().toString().count("PushedAggregation: [COUNT(*), MIN(id), MAX(id)]") == 2
+    found = sizes.extents(cat, {"facts": ["id", "nothing", "day"], "none": ["id"]})
+    assert found["facts"] == sizes.Extent(1005, {"day": (-2, 2), "id": (-5, 999), "nothing": (None, None)})
+    assert found["none"] == sizes.Extent(0, {"id": (None, None)})
+    assert [tuple(r) for r in dense_keys(cat, Settings()).collect()] == [(0, "facts", "id", 1005, -5, 999)]
+    claim = Relationship("none", "id", "facts", "id")
+    assert joins._ends(cat, [(0, claim)]) == {("facts", "id"): (-5, 999)}  # known by now
 
 
 def test_only_a_join_that_may_be_a_coincidence_reads_other_keys(spark):
@@ -219,19 +281,32 @@ def test_conditions_of_all_claims_of_a_scan_reach_it(spark):
     assert "EqualTo(event_type,click)" in plan
 
 
-def test_a_large_target_shuffles_counts_and_joins_without_a_second_exchange(spark, monkeypatch):
-    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
-    a, b = spark.range(1000).selectExpr("id % 10 AS k"), spark.range(5).selectExpr("id AS t")
-    cat = Catalog(spark, [Relation("a", a), Relation("b", b)])
-    frame = joins._grouped(joins.Scan.of(cat, Settings()), 0, Relationship("a", "k", "b", "t"), {})
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = frame._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert plan.count("Exchange hashpartitioning") == 2
-    assert plan.index("Join") < plan.index("Exchange")
+def test_claims_of_one_kind_are_one_join_over_one_read_of_each_table(spark):
+    base, tables = "/root/testdata/sf0.001", ["lineitem", "orders", "part", "customer", "nation"]
+    cat = Catalog.from_parquet(spark, base, tables, [("orders", "p", 0, "o_orderkey", None, None)])
+    claims = [Relationship("lineitem", a, b, c) for a in ("l_orderkey", "l_partkey") for b, c in (("orders", "o_orderkey"), ("part", "p_partkey"), ("customer", "c_custkey"))]
+    claims.append(Relationship("customer", "c_nationkey", "nation", "n_nationkey"))
+    for spread in (False, True):
+        plan = joins._counts(joins.Scan.of(cat, Settings()), list(enumerate(claims)), spread)._jdf.queryExecution().executedPlan().toString()
+        plan = plan.split("== Initial Plan ==")[0]
+        assert plan.count("FileScan parquet") == 6 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+        assert plan.count("Join") == (2 if spread else 1)  # one look-up; spread, the sources meet the claims too
+        assert ("SortMergeJoin" in plan) == spread
+
+
+def test_few_orphan_rows_cross_no_shuffle(spark):
+    """Against a large target only keys do; the rows are read where they lie."""
+    base = "/root/testdata/sf0.001"
+    cat = Catalog.from_parquet(spark, base, ["part", "customer"])
+    plan = orphan_rows(cat, Relationship("part", "p_partkey", "customer", "c_custkey"), spread=True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    kept = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert kept and all("row" not in line and "p_name" not in line for line in kept)
+    names = spark.range(20).selectExpr("id AS key", "id AS target", "id AS `to`", "id AS `word`", "id AS `a.b`", "id AS `row`")
+    odd = Catalog(spark, [Relation("odd", names), Relation("few", spark.range(15))])
+    for spread in WAYS.values():
+        got = orphan_rows(odd, Relationship("odd", "a.b", "few", "id"), spread)
+        assert got.columns == names.columns and sorted(r["row"] for r in got.collect()) == [15, 16, 17, 18, 19]
 
 
 def test_a_probed_claim_reads_only_its_columns(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline import Catalog, Relation, Settings
 from plumbline.functions.rules import is_categorical
 from plumbline.operators.joins import Relationship, measure_relationships
-from plumbline.operators.profile import describe_table, listed_columns, redacted_sample, table_profile, value_lists
+from plumbline.operators.profile import _distinct_values, describe_table, listed_columns, redacted_sample, table_profile, value_lists
 from plumbline.operators.problems import inconsistent_groups
 from plumbline.operators.sampling import Scan, bounded_scan, repeatable_sample, sample_cap, sample_or_first, sampled_size
 from plumbline.sources.sizes import partition_estimate, pilot_row_estimate, row_counts
@@ -203,3 +203,40 @@ def test_counts(spark, tmp_path):
 def test_settings_out_of_range_are_refused(wrong):
     with pytest.raises(ValueError):
         Settings(**wrong)
+
+
+def test_integers_at_the_ends_of_their_range(spark):
+    low, high = -(2**63), 2**63 - 1
+    values = [low, low + 1, -1000, -64, -63, -1, 0, 1, 63, 64, 99, 100, high - 1, high, None, 0, high, low]
+    df = spark.createDataFrame([(v, None if v is None else v % 100 - 50) for v in values], "wide bigint, narrow int")
+    cat = Catalog(spark, [Relation("t", df)])
+    got = {r["column"]: r for r in table_profile(cat, Settings(categorical_min_rows_per_value=1), values=True).collect()}
+    known = [v for v in values if v is not None]
+    assert (got["wide"]["rows"], got["wide"]["non_null"], got["wide"]["distinct"], got["wide"]["max_length"]) == (18, 17, 14, 20)
+    assert got["wide"]["values"] == sorted(str(v) for v in set(known))
+    assert got["narrow"]["values"] == sorted({str(v % 100 - 50) for v in known})
+    lists = value_lists(cat, S, [("t", "wide")]).first()
+    assert lists["values"] == got["wide"]["values"]
+
+
+def test_close_integers_shuffle_a_record_for_each_word(spark):
+    base = "/root/testdata/sf0.01"
+    cat = Catalog.from_parquet(spark, base, ["lineitem"])
+    groups = _distinct_values(Scan.of(cat, S), {"lineitem": [(0, "l_orderkey")]})
+    keys = {r[0] for r in cat["lineitem"].df.select("l_orderkey").collect()}
+    assert groups.count() == len({k // 64 for k in keys}) and groups.count() * 50 < len(keys)
+    assert table_profile(cat, S, [("lineitem", "l_orderkey")]).first()["distinct"] == len(keys)
+
+
+def test_values_come_from_the_groups_that_were_counted(spark):
+    cat = Catalog.from_parquet(spark, "/root/testdata/sf0.001", ["orders", "customer"])
+    frame = table_profile(cat, S, values=True)
+    listed = {(r["table"], r["column"]): r["values"] for r in value_lists(cat, S, listed_columns(frame, "categorical")).collect()}
+    assert {(r["table"], r["column"]): r["values"] for r in frame.collect() if r["values"] is not None} == listed
+    frame._jdf.queryExecution().executedPlan().execute().count()
+    final = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 2 and "ReusedExchange" in final
+    long_ones = Settings(categorical_max_value_length=100)
+    texts = spark.range(300).selectExpr("repeat(concat('ä', id % 3), 40) AS t")
+    long_list = table_profile(Catalog(spark, [Relation("long", texts)]), long_ones, values=True).first()
+    assert long_list["values"] == [f"ä{i}" * 40 for i in range(3)]

@@ -21,7 +21,7 @@ def test_three_hundred_joins(spark):
     claims = [Relationship(r.name, "k", "target", "id", basis="stated") for r in facts]
     start = time.time()
     rows = measure_relationships(cat, claims, Settings()).collect()
-    assert time.time() - start < 120
+    assert time.time() - start < 30
     for i, r in enumerate(rows):
         hits = sum(1 for v in range(60) if v % (40 + i % 20) < 50)
         assert (r["claim_id"], r["total"], r["hits"], r["orphans_above"]) == (claims[i].claim_id, 60, hits, 60 - hits)
