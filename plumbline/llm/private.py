@@ -49,9 +49,11 @@ def _wide() -> dict[str, str]:
 CHARACTERS = _wide() | LOOKALIKES | dict.fromkeys(UNSEEN, "")
 _open, _close = r"[\[({<]", r"[\])}>]"
 _word = "|".join([*DIGIT_WORDS, *SIGN_WORDS])
+# Blanks before a bracket are looked at from the first of them alone, else a run of blanks would take the square of its length.
+_blanks = r"(?:(?<!\s)\s+)?"
 _forms = (
-    rf"(?P<at>\s*{_open}\s*(?:at|@)\s*{_close}\s*|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+))"
-    rf"|(?P<dot>\s*{_open}\s*(?:dot|\.)\s*{_close}\s*|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9]))"
+    rf"(?P<at>{_blanks}{_open}\s*(?:at|@)\s*{_close}\s*|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+))"
+    rf"|(?P<dot>{_blanks}{_open}\s*(?:dot|\.)\s*{_close}\s*|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9]))"
     rf"|(?P<word>\b(?:{_word})\b(?:[\s-]+(?=(?:{_word})\b))?)"
 )
 FORMS = re.compile(_forms, re.IGNORECASE)

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -107,3 +108,21 @@ def test_gate_and_transducer_agree():
         assert private.disguised_spans(text, plain) == every, text
         found += len(every)
     assert found > 50
+
+
+@pytest.mark.parametrize("filler", [" ", "\t", "\n ", "[", "[ ", "( at", " dot", "one ", "+1 ", "a at ", "@", "1 "])
+def test_long_texts_of_one_kind_take_no_square(filler):
+    def seconds(n: int) -> float:
+        text = "one at x [at] y" + filler * n + "plus one"
+        began = time.process_time()
+        private.disguised_spans(text, private.plain_spans(text))
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 5 * seconds(50_000) + 0.5
+
+
+def test_forms_after_each_other():
+    text = "joe [at]  (at) mail [dot] [at] x"
+    assert private.rewrite("joe [at] [dot] x")[0] == "joe@.x"
+    assert private.rewrite(text)[0] == "joe@@mail.@x"
