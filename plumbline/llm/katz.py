@@ -30,7 +30,7 @@ from plumbline.llm.common import keep, slices, texts_of, total
 
 ORDER = 2
 MOST_DISCOUNTED = 5
-BLOCK_TOKENS = 9 << 18
+BLOCK_TOKENS = 3 << 19
 BUCKET_BYTES = 1 << 21  # of packed tokens, for each bucket
 LEAST_BUCKETS = 32
 
