@@ -23,6 +23,9 @@ from plumbline.sources.small import small_table
 HOT_SHARE = 1000
 HOT_SPREAD = 100_000
 
+# So many targets are looked up at once: their number has room beside a word in 64 bits.
+TARGETS = 64
+
 # Memory of a broadcast row beside a text, and the longest text a key can be.
 ROW_BYTES = 96
 TEXT_BYTES = 4 * RAW_TEXT_CHARS
@@ -163,10 +166,10 @@ def _stacked(relation: Relation, df: DataFrame, rows: list[tuple[list[Column], C
 
 def _keys_of(catalog: Catalog, common: T.DataType | None, targets: dict[Target, int]) -> DataFrame:
     """
-    The distinct keys of all targets as one relation, every table read once: (to, t), or for integers (to, word, bits).
+    The distinct keys of at most TARGETS targets as one relation, every table read once: (to, t), or for integers (slot, bits).
 
     An integer is a bit of a word of WORD neighbours, so close keys are one row and one shuffled record for each WORD of
-    them, and scattered ones no more than a row each.
+    them, and scattered ones no more than a row each. Word and target share one number, the slot.
     """
     columns: dict[str, list[tuple[list[Column], None]]] = {}
     for (table, column), i in targets.items():
@@ -174,13 +177,17 @@ def _keys_of(catalog: Catalog, common: T.DataType | None, targets: dict[Target,
     keys = _union([_stacked(catalog[t], catalog[t].df, rows) for t, rows in columns.items()]).where("t IS NOT NULL")
     if not isinstance(common, T.LongType):
         return keys.distinct()
-    return keys.select("to", word_of(F.col("t")).alias("word"), bit_of(F.col("t")).alias("bit")).groupBy("to", "word").agg(F.bit_or("bit").alias("bits"))
+    return keys.select(_slot("t", "to").alias("slot"), bit_of(F.col("t")).alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+
+
+def _slot(key: str, target: str) -> Column:
+    return F.shiftleft(word_of(F.col(key)), TARGETS.bit_length() - 1).bitwiseOR(F.col(target).cast("bigint"))
 
 
 def _looked_up(rows: DataFrame, keys: DataFrame, common: T.DataType | None, how: str = "left") -> DataFrame:
     """Rows with (target, key) and whether the target holds the key, as ``hit``; with ``how`` left_anti those it does not hold."""
     if isinstance(common, T.LongType):
-        same, found = (F.col("target") == F.col("to")) & (word_of(F.col("key")) == F.col("word")), F.col("bits").bitwiseAND(bit_of(F.col("key"))) != 0
+        same, found = _slot("key", "target") == F.col("slot"), F.col("bits").bitwiseAND(bit_of(F.col("key"))) != 0
     else:
         same, found = (F.col("target") == F.col("to")) & (F.col("key") == F.col("t")), F.col("t").isNotNull()
     if how == "left_anti":
@@ -192,7 +199,7 @@ def _counts(scan: Scan, claims: Asked, spread: bool | None = None) -> DataFrame:
     """
     One row of counts per claim: total, nulls, hits, orphans above and below where placed, lowest and highest value.
 
-    All claims of one kind of comparison are one join: the claimed columns of each from-table, read once and stacked as
+    All claims of one kind of comparison are one join for each TARGETS targets: the claimed columns of each from-table, read once and stacked as
     (claim, target, key), are looked up in the distinct keys of all targets. Keys that certainly fit are broadcast and
     nothing is shuffled but a row of counts per task. The others meet the from-values by key, after equal values of one
     source have been counted, so that a value on a third of all rows crosses as one row per task. ``spread`` forces one
@@ -208,10 +215,12 @@ def _counts(scan: Scan, claims: Asked, spread: bool | None = None) -> DataFrame:
     for common, group in kinds.items():
         for way, wanted in ((_read_claims, True), (_counted_sources, False)):
             some = [(i, r) for i, r in group if ((r.to_table, r.to_column) in fits) == wanted]
-            if some:
-                numbers = {t: n for n, t in enumerate(dict.fromkeys((r.to_table, r.to_column) for _, r in some))}
+            asked = list(dict.fromkeys((r.to_table, r.to_column) for _, r in some))
+            for first in range(0, len(asked), TARGETS):
+                numbers = {t: n for n, t in enumerate(asked[first : first + TARGETS])}
+                some_of = [(i, r) for i, r in some if (r.to_table, r.to_column) in numbers]
                 keys = _keys_of(catalog, common, numbers)
-                met = _looked_up(way(scan, common, some, numbers, ends), F.broadcast(keys) if wanted else keys, common)
+                met = _looked_up(way(scan, common, some_of, numbers, ends), F.broadcast(keys) if wanted else keys, common)
                 frames.append(_as_counts(met, common))
     # No row of a claim counts anything here, but every claim has one.
     none = small_table(catalog.spark, [(i, (r.to_table, r.to_column) in ends) for i, r in claims], "claim int, placed boolean")
@@ -424,10 +433,10 @@ def measure_relationships(catalog: Catalog, claims: list[Relationship], settings
     # All extents that this plan asks for, in one job.
     columns = _words(catalog, {(r.to_table, r.to_column) for _, r in run})
     sized = extents(catalog, {t: columns.get(t, ()) for _, r in known for t in (r.from_table, r.to_table)})
-    # Rows of a view are those its claim is measured on, where that is the whole of it.
-    told = {r.from_table for _, r in run if r.when_column is None and not scan.is_sampled(catalog[r.from_table])}
-    unsized = sorted({t for _, r in filled for t in (r.from_table, r.to_table) if t not in sized})
-    counted = [t for t in unsized if t not in told or any(r.to_table == t for _, r in filled)]
+    # Rows of a view need no count of their own where a claim is measured on all of them.
+    told = {i for i, r in run if r.when_column is None and not scan.is_sampled(catalog[r.from_table])}
+    asked_of = [r.to_table for _, r in known] + [r.from_table for i, r in known if i not in told]
+    counted = sorted({t for t in asked_of if catalog[t].df is not None and t not in sized})
 
     rows = []
     for i, r in named:

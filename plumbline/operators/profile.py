@@ -14,7 +14,7 @@ from plumbline.functions.values import RAW_TEXT_CHARS, WORD, as_text, bit_of, ce
 from plumbline.operators.sampling import Scan, row_hash
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog, Relation, _union
-from plumbline.sources.sizes import bytes_setting, estimated_bytes, is_bare_scan, pilot_row_estimate, row_counts
+from plumbline.sources.sizes import bytes_setting, estimated_bytes, is_bare_scan
 from plumbline.sources.small import small_table
 
 # A file scan below this size is read in one go whatever the number of cores.
@@ -191,9 +191,9 @@ def describe_table(catalog: Catalog, table: str, settings: Settings) -> DataFram
     distinct values, and the values of a categorical one. No longest value, no years, and no value of any other column.
     """
     some = catalog.only([table])
-    relation, scan = some[table], Scan.of(some, settings)
+    scan = Scan.of(some, settings)
     profile = table_profile(some, settings, scan=scan, values=True)
-    sizes = pilot_row_estimate(relation, settings) if settings.sampled and relation.df is not None else row_counts(some).withColumn("source", F.lit("count"))
+    sizes = scan.sizes_told()
     facts = some.relations_df().select("name", "kind", "populated", "partitions").join(sizes.withColumnRenamed("table", "name"), "name", "left")
     foreign = ", ".join(f"{c} -> {rt}.{rc}" for t, c, rt, rc in sorted(catalog.foreign) if t == table)
     facts = facts.select("kind", "populated", "partitions", F.col("rows").alias("row_estimate"), F.col("source").alias("estimate_source"))

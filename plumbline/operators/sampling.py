@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.values import as_text, cell
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog, Relation
-from plumbline.sources.sizes import sizes
+from plumbline.sources.sizes import row_counts, sizes
+from plumbline.sources.small import small_table
 
 _BUCKETS = 16**8
 SLOT_DIGITS = 3
@@ -41,57 +42,87 @@ def repeatable_sample(df: DataFrame, share: float, seed: int, key: list[str] | N
     return df.where(row_hash(_identity(df, key), seed) < f"{int(share * _BUCKETS):08x}")
 
 
-def sample_cap(df: DataFrame, cap: int, seed: int, key: list[str] | None = None) -> DataFrame:
+def _below(hashed: DataFrame, threshold: str | None) -> DataFrame:
+    return (hashed if threshold is None else hashed.where(F.col("__h") < threshold)).drop("__h")
+
+
+def lowest(df: DataFrame, most: int, seed: int, key: list[str] | None = None, share: float = 1) -> tuple[DataFrame, int]:
     """
-    At most ``cap`` rows, the ones of lowest hash, for a sample sized from an estimate that was far too low.
+    Of about ``share`` of the rows those of lowest hash, at most ``most`` of them, and how many they are.
 
-    Rows of the lowest hashes are counted by their first digits; only those in slots up to the one that holds row number ``cap`` are sorted.
+    The rows are counted by the first digits of their hash, 16 ** SLOT_DIGITS numbers at most. If there are too many, the
+    hashes of the one slot in which row number ``most`` falls are put in order to find the hash at which to stop. The
+    sample itself stays a filter, so it moves no row and the columns read stay pruned. Rows that share the hash at which
+    it would have to stop are left out together.
     """
     hashed = df.withColumn("__h", row_hash(_identity(df, key), seed))
-    slots = hashed.groupBy(F.substring("__h", 1, SLOT_DIGITS).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = slots.withColumn("before", before).where(F.col("before") < cap).agg(F.max("slot")).scalar()
-    return hashed.where(F.substring("__h", 1, SLOT_DIGITS) <= last).orderBy("__h").limit(cap).drop("__h")
+    if share < 1:
+        hashed = hashed.where(F.col("__h") < f"{int(share * _BUCKETS):08x}")
+    slot = F.substring("__h", 1, SLOT_DIGITS)
+    counted = sorted(tuple(r) for r in hashed.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect())
+    found = sum(n for _, n in counted)
+    if found <= most:
+        return hashed.drop("__h"), found
+    before = 0
+    for digits, n in counted:  # noqa: B007
+        if before + n > most:
+            break
+        before += n
+    few = [r[0] for r in hashed.where(slot == digits).select("__h").orderBy("__h").limit(most - before + 1).collect()]
+    return _below(hashed, few[-1]), before + sum(h < few[-1] for h in few)
 
 
-def sample_or_first(df: DataFrame, sample: DataFrame, rows: int) -> DataFrame:
-    """The sample, or the first ``rows`` rows where it came back empty."""
-    none = sample.select(F.lit(1).alias("one")).limit(1).agg(F.count("one")).scalar() == 0
-    return sample.unionAll(df.limit(rows).where(none))
+def sample_cap(df: DataFrame, cap: int, seed: int, key: list[str] | None = None) -> DataFrame:
+    """At most ``cap`` rows, the ones of lowest hash, for a sample sized from an estimate that was far too low."""
+    return lowest(df, cap, seed, key)[0]
 
 
-def sampled_size(estimate: int | None, sample: DataFrame, settings: Settings, random: bool) -> DataFrame:
+@dataclass(frozen=True)
+class Sample:
     """
-    One row (rows, is_count): the size of a table of which ``sample`` was read.
-
-    Rows read at random say nothing of the size. Rows read from the start count the table if they end before the limit;
-    if they do not, the table has at least as many, and an estimate of fewer is none (-1).
+    The rows read of a relation: all of them or the first (``random`` off), or rows picked by hash; ``read`` is their
+    number where it was counted.
     """
-    guess = -1 if estimate is None else estimate
-    read = F.count(F.lit(1))
-    if random:
-        return sample.agg(F.lit(guess).cast("bigint").alias("rows"), F.lit(False).alias("is_count"))
-    ended = read < settings.sample_rows
-    possible = F.when(read <= guess, guess).otherwise(-1)
-    return sample.agg(F.when(ended, read).otherwise(possible).cast("bigint").alias("rows"), ended.alias("is_count"))
 
+    df: DataFrame
+    random: bool = False
+    read: int | None = None
+
+    def size(self, estimate: int | None, settings: Settings) -> tuple[int, bool]:
+        """
+        How many rows the relation has, -1 if unknown, and whether that is a count.
+
+        Rows read at random say nothing of the size. Rows read from the start count the relation if they end before the
+        limit; if they do not, it has at least as many, and an estimate of fewer is none.
+        """
+        guess = -1 if estimate is None else estimate
+        if self.random or self.read is None:
+            return guess, False
+        if self.read < settings.sample_rows:
+            return self.read, True
+        return (guess if self.read <= guess else -1), False
 
-def bounded_scan(relation: Relation, rows: int, settings: Settings, key: list[str] | None = None) -> DataFrame:
+
+def first_rows(df: DataFrame, settings: Settings) -> Sample:
+    """The first ``sample_rows`` rows, counted."""
+    first = df.limit(settings.sample_rows)
+    return Sample(first, False, first.count())
+
+
+def bounded_scan(relation: Relation, rows: int, settings: Settings, key: list[str] | None = None) -> Sample:
     """
     The whole relation when it has at most ``sample_rows`` rows, else a repeatable sample of about that many from all its files.
 
-    The sample is counted once. One above ``sample_rows * sample_oversample``, since the size was estimated too low, is
-    thinned by the same hash; where it is empty the first rows of the relation stand in.
+    The sample is counted once. It never has more than ``sample_rows * sample_oversample`` rows, those of lowest hash, where
+    the size was estimated too low; where it is empty the first rows of the relation stand in.
     """
-    df = relation.df
-    if rows <= settings.sample_rows:
-        return df
-    share = settings.sample_rows / rows
-    sample, cap = repeatable_sample(df, share, settings.sample_seed, key), settings.sample_rows * settings.sample_oversample
-    found = sample.count()
-    if found == 0:
-        return df.limit(settings.sample_rows)
-    return sample if found <= cap else repeatable_sample(df, share * cap / found, settings.sample_seed, key)
+    if 0 <= rows <= settings.sample_rows:
+        return Sample(relation.df)
+    if rows < 0:  # unknown
+        return first_rows(relation.df, settings)
+    cap = int(settings.sample_rows * settings.sample_oversample)
+    sample, found = lowest(relation.df, cap, settings.sample_seed, key, settings.sample_rows / rows)
+    return Sample(sample, True, found) if found else first_rows(relation.df, settings)
 
 
 @dataclass(frozen=True)
@@ -101,19 +132,35 @@ class Scan:
     catalog: Catalog
     settings: Settings
     rows: dict[str, int] | None = None
-    samples: dict[str, DataFrame] = field(default_factory=dict, compare=False)
+    samples: dict[str, Sample] = field(default_factory=dict, compare=False)
 
     @classmethod
     def of(cls, catalog: Catalog, settings: Settings, names: list[str] | None = None) -> Scan:
         return cls(catalog, settings, sizes(catalog, settings, names) if settings.sampled else None)
 
     def is_sampled(self, relation: Relation) -> bool:
-        return self.rows is not None and self.rows.get(relation.name, 0) > self.settings.sample_rows
+        rows = 0 if self.rows is None else self.rows.get(relation.name, 0)
+        return not 0 <= rows <= self.settings.sample_rows
 
-    def __call__(self, relation: Relation) -> DataFrame:
+    def sample(self, relation: Relation) -> Sample:
         if not self.is_sampled(relation):
-            return relation.df
+            return Sample(relation.df)
         if relation.name not in self.samples:
             key = list(self.catalog.primary.get(relation.name, ()))
             self.samples[relation.name] = bounded_scan(relation, self.rows[relation.name], self.settings, key or None)
         return self.samples[relation.name]
+
+    def __call__(self, relation: Relation) -> DataFrame:
+        return self.sample(relation).df
+
+    def sizes_told(self) -> DataFrame:
+        """
+        (table, rows, source) as findings tell them: counted where a relation was read whole, else the size after its sample
+        was read, -1 if unknown; ``source`` is count or pilot, and null of what is neither.
+        """
+        sampled = [r for r in self.catalog.relations if r.df is not None and self.is_sampled(r)]
+        after = [(r.name, *self.sample(r).size(self.rows[r.name], self.settings)) for r in sampled]
+        told = [(name, rows, "count" if counted else "pilot" if rows >= 0 else None) for name, rows, counted in after]
+        whole = [r.name for r in self.catalog.relations if r.df is not None and not self.is_sampled(r)]
+        counts = row_counts(self.catalog, whole).withColumn("source", F.lit("count"))
+        return counts.unionAll(small_table(self.catalog.spark, told, "table string, rows bigint, source string")) if told else counts

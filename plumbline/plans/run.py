@@ -12,10 +12,10 @@ from plumbline.operators.joins import Relationship, measure_relationships, relat
 from plumbline.operators.problems import Suspicion, measure_suspicions, suspicions_of
 from plumbline.operators.profile import table_profile
 from plumbline.operators.report import join_sentence, table_reports
+from plumbline.operators.sampling import Scan
 from plumbline.operators.verdicts import decide
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog
-from plumbline.sources.sizes import row_counts
 from plumbline.sources.small import kept, small_table
 from plumbline.sources.snapshot import Snapshot
 
@@ -86,5 +86,6 @@ def snapshot_of(catalog: Catalog, relationships: DataFrame, suspicions: DataFram
 def reports(catalog: Catalog, relationships: DataFrame, suspicions: DataFrame, verdicts: DataFrame, settings: Settings) -> DataFrame:
     """(table, report) of every relation of the catalog. The verdicts are measured once, for joins and problems alike."""
     relationships, suspicions, verdicts = kept(relationships), kept(suspicions), kept(verdicts)
-    lists = table_profile(catalog, settings, values=True).where("values IS NOT NULL").select("table", "column", "values")
-    return table_reports(catalog.relations_df(), row_counts(catalog), catalog.keys_df(), relationships, suspicions, verdicts, lists, settings.sampled)
+    scan = Scan.of(catalog, settings)
+    lists = table_profile(catalog, settings, scan=scan, values=True).where("values IS NOT NULL").select("table", "column", "values")
+    return table_reports(catalog.relations_df(), scan.sizes_told(), catalog.keys_df(), relationships, suspicions, verdicts, lists, settings.sampled)

@@ -88,7 +88,8 @@ def extents(catalog: Catalog, wanted: dict[str, Iterable[str]], views: bool = Fa
         some = [(r, columns) for r, columns in asked if (r.files is not None) == footers]
         if some:
             for (r, columns), row in zip(some, _extents_of(some, footers), strict=True):
-                known[r.name] = Extent(row["rows"], {c: (e["lo"], e["hi"]) for c, e in zip(columns, row["ends"], strict=True)})
+                # Of files without a row group the pushed count is null.
+                known[r.name] = Extent(row["rows"] or 0, {c: (e["lo"], e["hi"]) for c, e in zip(columns, row["ends"], strict=True)})
     return {name: known[name] for name in wanted if name in known}
 
 
@@ -138,19 +139,46 @@ def partition_estimate(parts: DataFrame) -> DataFrame:
     return agg.select("table", rows.cast("bigint").alias("rows"), F.when(rows >= 0, "partitions").alias("source"))
 
 
+def _files(relation: Relation) -> DataFrame:
+    """(path, bytes, part) of a relation's data files, listed and not opened; ``part`` is the folder of a partition, or the file itself."""
+    spark = relation.df.sparkSession
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(relation.files)
+    path = F.col("_metadata.file_path")
+    return listing.select(path.alias("path"), F.col("_metadata.file_size").alias("bytes"), _part(relation, path).alias("part"))
+
+
+def _part(relation: Relation, path: Column) -> Column:
+    return F.substring_index(path, "/", -1) if not relation.partition_columns else F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+
+
+def _seeded(name: str, settings: Settings) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(settings.sample_seed)), name))
+
+
+def parts_of(relation: Relation, settings: Settings) -> DataFrame:
+    """
+    (table, rows, bytes) of each part of a Parquet relation: a partition, or a file of one that has none.
+
+    ``rows`` is known of a seeded pick of at most ``pilot_files`` parts, which are counted without reading a column, and
+    null of the others, which are listed alone. The picked parts' names, so many at most, reach the driver.
+    """
+    files = _files(relation)
+    parts = files.groupBy("part").agg(F.sum("bytes").alias("bytes"))
+    picked = [r["part"] for r in parts.orderBy(_seeded("part", settings), "part").limit(settings.pilot_files).collect()]
+    at = _part(relation, F.col("_metadata.file_path"))
+    known = relation.df.where(at.isin(picked)).groupBy(at.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    rows = F.when(F.col("part").isin(picked), F.coalesce("rows", F.lit(0)))
+    return parts.join(known, "part", "left").select(F.lit(relation.name).alias("table"), rows.alias("rows"), "bytes")
+
+
 def pilot_files(relation: Relation, settings: Settings) -> tuple[list[str], int, int, int]:
     """
     A seeded pick of at most ``pilot_files`` of a relation's data files: (paths, their bytes, all bytes, all files).
 
     The files are listed, not opened. Only the picked paths and two totals reach the driver.
     """
-    spark = relation.df.sparkSession
-    listing = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(relation.files)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
-    )
-    order = F.md5(F.concat_ws("|", F.lit(str(settings.sample_seed)), "path"))
-    picked = listing.orderBy(order, "path").limit(settings.pilot_files).collect()
+    listing = _files(relation)
+    picked = listing.orderBy(_seeded("path", settings), "path").limit(settings.pilot_files).collect()
     totals = listing.agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("files")).first()
     return [r["path"] for r in picked], sum(r["bytes"] for r in picked), totals["bytes"] or 0, totals["files"]
 
@@ -172,9 +200,16 @@ def pilot_row_estimate(relation: Relation, settings: Settings) -> DataFrame:
     )
 
 
+def row_estimate(relation: Relation, settings: Settings) -> DataFrame:
+    """One row (table, rows, source): of a partitioned dataset by its partitions, else by a pilot."""
+    if relation.files is not None and relation.partition_columns:
+        return partition_estimate(parts_of(relation, settings))
+    return pilot_row_estimate(relation, settings)
+
+
 def sizes(catalog: Catalog, settings: Settings, names: list[str] | None = None) -> dict[str, int]:
-    """Rows per relation as sampling needs them at plan time: one number per table, piloted where files allow."""
+    """Rows per relation as sampling needs them at plan time: one number per table, estimated where files allow, -1 if unknown."""
     wanted = [r for r in catalog.relations if r.df is not None and (names is None or r.name in names)]
     if not wanted:
         return {}
-    return {r["table"]: r["rows"] for r in _union([pilot_row_estimate(r, settings) for r in wanted]).collect()}
+    return {r["table"]: r["rows"] for r in _union([row_estimate(r, settings) for r in wanted]).collect()}

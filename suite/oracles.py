@@ -295,12 +295,10 @@ SIZES = " UNION ALL ".join(f"""SELECT '{t}' AS "table", count(*) AS rows FROM {r
 ORACLES["row_counts"] = SIZES
 # Every table of the test data is one file, so the pilot reads it all.
 ORACLES["pilot_estimate"] = """SELECT 'lineitem' AS "table", count(*) AS rows, 'pilot' AS source FROM lineitem"""
-ORACLES["partition_estimate"] = """
-WITH parts AS (SELECT lang AS tab, CASE WHEN right(source, 1) < '5' THEN count(*) END AS rows, sum(strlen(text))::BIGINT AS bytes
-  FROM documents GROUP BY lang, source),
-p AS (SELECT tab, count(*) AS n, count(rows) AS known, coalesce(sum(rows), 0) AS r, coalesce(sum(bytes) FILTER (WHERE rows IS NOT NULL), 0) AS kb, sum(bytes) AS ab FROM parts GROUP BY tab)
-SELECT tab AS "table", (CASE WHEN n = known THEN r WHEN kb > 0 THEN round(r + (ab - kb) * (r / kb)) ELSE -1 END)::BIGINT AS rows,
-  CASE WHEN n = known OR kb > 0 THEN 'partitions' END AS source FROM p"""
+# So every part of a table is known too.
+ORACLES["partition_estimate"] = " UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", count(*) AS rows, 'partitions' AS source FROM {t}""" for t in ("documents", "lineitem", "orders", "events")
+)
 _KEY = ", ".join(f"{c}::VARCHAR" for c in SAMPLE_KEY)
 SAMPLE = f"SELECT * FROM lineitem WHERE substr(md5(concat_ws('|', '1', {_KEY})), 1, 8) < '{int(0.1 * 16**8):08x}'"
 ORACLES["repeatable_sample_lineitem"] = f"SELECT {', '.join(SAMPLE_KEY)} FROM ({SAMPLE}) s"

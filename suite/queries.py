@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -199,12 +200,9 @@ def pilot_estimate(spark, sf):
 
 @query
 def partition_estimate(spark, sf):
-    parts = (
-        catalog(spark, sf)["documents"].df.groupBy("lang", "source")
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).cast("bigint").alias("bytes"))
-    )
-    known = parts.selectExpr("lang AS table", "if(right(source, 1) < '5', rows, null) AS rows", "bytes")
-    return sizes.partition_estimate(known)
+    cat = catalog(spark, sf)
+    parts = [sizes.parts_of(cat[t], SETTINGS) for t in ("documents", "lineitem", "orders", "events")]
+    return sizes.partition_estimate(reduce(DataFrame.unionAll, parts))
 
 
 def _sample(spark, sf):
@@ -225,8 +223,8 @@ def sample_cap_lineitem(spark, sf):
 def sample_fallback_size(spark, sf):
     orders = catalog(spark, sf)["orders"].df
     settings = Settings(sample_rows=500)
-    filled = sampling.sample_or_first(orders, orders.where("o_orderkey < 0"), settings.sample_rows)
-    return sampling.sampled_size(None, filled, settings, random=False)
+    rows, counted = sampling.first_rows(orders, settings).size(None, settings)
+    return orders.limit(1).select(F.lit(rows).cast("bigint").alias("rows"), F.lit(counted).alias("is_count"))
 
 
 @query

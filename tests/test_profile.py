@@ -1,5 +1,7 @@
 """Profiles, sampling and sizes."""
 
+from hashlib import md5
+
 import pytest
 from fixtures import CANARY, on_disk, polymorph, rows, shop
 from pyspark.sql import functions as F
@@ -9,8 +11,8 @@ from plumbline.functions.rules import is_categorical
 from plumbline.operators.joins import Relationship, measure_relationships
 from plumbline.operators.profile import _distinct_values, describe_table, listed_columns, redacted_sample, table_profile, value_lists
 from plumbline.operators.problems import inconsistent_groups
-from plumbline.operators.sampling import Scan, bounded_scan, repeatable_sample, sample_cap, sample_or_first, sampled_size
-from plumbline.sources.sizes import partition_estimate, pilot_row_estimate, row_counts
+from plumbline.operators.sampling import Sample, Scan, bounded_scan, lowest, repeatable_sample, sample_cap
+from plumbline.sources.sizes import partition_estimate, parts_of, pilot_row_estimate, row_counts, row_estimate, sizes
 
 S = Settings()
 
@@ -121,9 +123,15 @@ def test_a_sample_is_the_same_however_the_data_lies(spark, tmp_path):
     assert 1_700 < n < 2_300 and n == repeatable_sample(spark.read.parquet(path), 0.1, 1).count()
     capped = sample_cap(df, 50, 1, ["id"])
     assert capped.count() == 50 and capped.exceptAll(sample_cap(df.repartition(9), 50, 1, ["id"])).isEmpty()
-    nothing = df.where("id < 0")
-    assert sample_or_first(df, nothing, 10).count() == 10
-    assert sample_or_first(df, df.where("id < 3"), 10).count() == 3
+    order = sorted(range(20_000), key=lambda i: md5(f"1|{i}".encode()).hexdigest()[:8])
+    for most in (1, 4, 5, 50, 777):
+        few, n = lowest(df, most, 1, ["id"])
+        assert n == most and {r["id"] for r in few.collect()} == set(order[:most])
+    few, n = lowest(df, 100, 1, ["id"], share=0.001)
+    assert few.count() == n < 100 and lowest(df, 10**6, 1, ["id"])[1] == 20_000
+    alike = spark.range(500).selectExpr("id % 2 AS v")
+    assert lowest(alike, 300, 1, ["v"])[1] == lowest(alike, 300, 1, ["v"])[0].count() == 250
+    assert lowest(alike, 200, 1, ["v"])[1] == 0
 
 
 def test_long_categorical_values_are_told_as_they_are(spark):
@@ -138,8 +146,15 @@ def test_long_categorical_values_are_told_as_they_are(spark):
 def test_a_sample_of_a_wrong_estimate(spark):
     df = spark.range(20_000).toDF("id")
     s = Settings(sampled=True, sample_rows=100, sample_rows_shown=1, sample_oversample=3)
-    assert 200 < bounded_scan(Relation("t", df), 1_000, s, ["id"]).count() <= 400
-    assert bounded_scan(Relation("t", df), 10**9, s, ["id"]).count() == 100
+    for estimate in (101, 500, 1_000, 6_000, 19_999, 20_000):
+        found = bounded_scan(Relation("t", df), estimate, s, ["id"])
+        assert found.random and found.read == found.df.count() <= 300
+    assert bounded_scan(Relation("t", df), 1_000, s, ["id"]).read == 300
+    for estimate in (10**9, -1):
+        found = bounded_scan(Relation("t", df), estimate, s, ["id"])
+        assert not found.random and found.read == found.df.count() == 100
+    told = Scan(Catalog(spark, [Relation(n, df) for n in "abcd"] + [Relation("e", df.limit(7))]), s, {"a": 20_000, "b": 10**9, "c": -1, "d": 90, "e": 10**9}).sizes_told()
+    assert {tuple(r) for r in told.collect()} == {("a", 20_000, "pilot"), ("b", 10**9, "pilot"), ("c", -1, None), ("d", 20_000, "count"), ("e", 7, "count")}
     with_sizes = Scan(Catalog(spark, [Relation("t", df)]), s, {"t": 20_000})
     assert with_sizes(with_sizes.catalog["t"]) is with_sizes(with_sizes.catalog["t"])
 
@@ -154,7 +169,7 @@ def test_sizes_after_a_sample(spark):
     s = Settings(sample_rows=10, sample_rows_shown=1)
 
     def of(estimate, n, random):
-        return tuple(sampled_size(estimate, spark.range(n), s, random).first())
+        return Sample(spark.range(n), random, n).size(estimate, s)
 
     assert of(500, 10, True) == (500, False)
     assert of(500, 4, False) == (4, True)
@@ -169,6 +184,22 @@ def test_partition_estimates(spark):
     assert got == {"a": (30, "partitions"), "b": (15, "partitions"), "c": (-1, None), "d": (-1, None)}
 
 
+def test_a_partitioned_dataset_is_estimated_by_its_partitions(spark, tmp_path):
+    df = spark.range(30_000).selectExpr("id", "repeat(md5(cast(id AS string)), 3) AS text", "cast(id % 20 AS int) AS day")
+    df.repartition(2).write.partitionBy("day").parquet(f"{tmp_path}/facts.parquet")
+    spark.range(100).write.parquet(f"{tmp_path}/flat.parquet")
+    cat = Catalog.from_parquet(spark, str(tmp_path), ["facts", "flat"])
+    few, all_ = Settings(sampled=True, pilot_files=5), Settings(sampled=True, pilot_files=20)
+    parts = parts_of(cat["facts"], few).collect()
+    assert len(parts) == 20 and sum(r["rows"] is not None for r in parts) == 5 and {r["rows"] for r in parts} == {1500, None}
+    estimate = row_estimate(cat["facts"], few).first()
+    assert estimate["source"] == "partitions" and 29_000 < estimate["rows"] < 31_000
+    assert tuple(row_estimate(cat["facts"], all_).first()) == ("facts", 30_000, "partitions")
+    assert sizes(cat, few)["facts"] == estimate["rows"] and 90 <= sizes(cat, few)["flat"] <= 110
+    assert row_estimate(cat["flat"], few).first()["source"] == "pilot"
+    assert pilot_row_estimate(cat["facts"], all_).first()["rows"] > 20_000  # files in folders are found too
+
+
 def test_a_pilot_opens_a_few_files_and_samples_reach_rare_values(spark, tmp_path):
     path = f"{tmp_path}/big.parquet"
     df = spark.range(60_000).selectExpr("id", "if(id % 20 = 19, 'late', 'early') AS kind", "cast(id % 12 AS int) AS part")
@@ -178,10 +209,10 @@ def test_a_pilot_opens_a_few_files_and_samples_reach_rare_values(spark, tmp_path
     estimate = pilot_row_estimate(big, s)
     assert 48_000 <= estimate.first()["rows"] <= 72_000
     assert estimate.inputFiles() and "file_path" in estimate._jdf.queryExecution().executedPlan().toString()
-    sample = bounded_scan(big, 60_000, s, ["id"])
+    sample = bounded_scan(big, 60_000, s, ["id"]).df
     assert 4_000 < sample.count() < 6_000
     assert sample.where("kind = 'late'").count() > 0
-    assert bounded_scan(big, 4_000, s).count() == 60_000
+    assert bounded_scan(big, 4_000, s).df.count() == 60_000
     cat = Catalog(spark, [big, Relation("small", rows(spark, 1, 40, "i AS id"))], [("big", "p", 0, "id", None, None), ("small", "p", 0, "id", None, None)])
     claim = Relationship("big", "part", "small", "id")
     row = measure_relationships(cat, [claim], s).first()
