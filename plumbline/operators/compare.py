@@ -31,14 +31,14 @@ def schema_diff(before: DataFrame, now: DataFrame) -> DataFrame:
 
 def schema_fingerprint(relations: DataFrame, columns: DataFrame, keys: DataFrame) -> DataFrame:
     """
-    One row: a hash over names, kinds, definitions, columns and keys, which no row count moves.
+    One row: a hash over names, kinds, definitions, comments, columns and keys, which no row count moves.
 
     Lines are hashed per relation and the relations' hashes together, so no row holds a whole schema.
     """
     none = F.lit("")
     lines = [
-        relations.select("name", F.to_json(F.struct(F.lit("r").alias("a"), "kind", F.coalesce("definition", none).alias("d"), "populated", F.col("partitions").isNotNull().alias("partitioned"))).alias("line")),
-        columns.select(F.col("table").alias("name"), F.to_json(F.struct(F.lit("c").alias("a"), "ordinal", "column", "type", "nullable")).alias("line")),
+        relations.select("name", F.to_json(F.struct(F.lit("r").alias("a"), "kind", F.coalesce("definition", none).alias("d"), "populated", F.col("partitions").isNotNull().alias("partitioned"), "comment")).alias("line")),
+        columns.select(F.col("table").alias("name"), F.to_json(F.struct(F.lit("c").alias("a"), "ordinal", "column", "type", "nullable", "comment")).alias("line")),
         keys.select(F.col("table").alias("name"), F.to_json(F.struct(F.lit("k").alias("a"), "kind", "ordinal", "column", F.coalesce("ref_table", none).alias("t"), F.coalesce("ref_column", none).alias("c"))).alias("line")),
     ]
     every = lines[0].unionAll(lines[1]).unionAll(lines[2])

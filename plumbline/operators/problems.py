@@ -15,7 +15,7 @@ from plumbline.operators.profile import listed_columns, table_profile
 from plumbline.operators.sampling import Scan
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog, Relation, _union
-from plumbline.sources.sizes import row_counts
+from plumbline.sources.sizes import extents, row_counts
 from plumbline.sources.small import small_table
 
 _MICROS_PER_DAY = 86_400_000_000
@@ -253,10 +253,13 @@ def measure_suspicions(catalog: Catalog, suspicions: list[Suspicion], settings:
         second = s.tables[1] if s.kind == "duplicate_entity" and len(s.tables) > 1 else None
         rows.append((i, s.claim_id, s.kind, over, s.tables[0], second, why, never_first, never_second, needs_rows, populated, same, has_key))
 
+    # Rows come from the footers where a relation is files, else they are counted in the plan.
+    sized = extents(catalog, {t: () for t in sorted(needing)})
+    rows = [(*row, *[sized[t].rows if t in sized else None for t in row[4:6]]) for row in rows]
     asked = small_table(
         spark, rows,
         "position int, claim_id string, kind string, over string, table string, second string, reason string, never_first boolean,"
-        " never_second boolean, needs_rows boolean, populated int, same_definition int, has_primary_key int",
+        " never_second boolean, needs_rows boolean, populated int, same_definition int, has_primary_key int, known_first bigint, known_second bigint",
     )
     involved = sorted(dead | {t for _, t, _ in values} | {r.name for _, a, b in pairs for r in (a, b)})
     scan = Scan.of(catalog, settings, involved)
@@ -268,14 +271,15 @@ def measure_suspicions(catalog: Catalog, suspicions: list[Suspicion], settings:
         overlaps = _union([duplicate_overlap(scan, a, b, _shared(a, b)).select(F.lit(i).alias("position"), "*") for i, a, b in pairs])
     else:
         overlaps = small_table(spark, [], "position int, " + ", ".join(f"{c} {S.NUMBERS[c]}" for c in _OVERLAP))
-    sizes = row_counts(catalog, sorted(needing))
-    joined = (
-        asked.join(F.broadcast(counted), "table", "left")
-        .join(F.broadcast(checked), "position", "left")
-        .join(F.broadcast(overlaps), "position", "left")
-        .join(F.broadcast(sizes.selectExpr("table", "rows AS first_rows")), "table", "left")
-        .join(F.broadcast(sizes.selectExpr("table AS second", "rows AS second_rows")), "second", "left")
-    )
+    joined = asked.join(F.broadcast(counted), "table", "left").join(F.broadcast(checked), "position", "left").join(F.broadcast(overlaps), "position", "left")
+    unsized = sorted(t for t in needing if t not in sized and catalog[t].df is not None)
+    for place, name in (("first", "table"), ("second", "second")):
+        here = [t for t in unsized if any(row[4 if place == "first" else 5] == t for row in rows)]
+        if here:
+            found = row_counts(catalog, here).selectExpr(f"table AS {name}", f"rows AS counted_{place}")
+            joined = joined.join(F.broadcast(found), name, "left").withColumn(f"{place}_rows", F.coalesce(f"known_{place}", f"counted_{place}"))
+        else:
+            joined = joined.withColumn(f"{place}_rows", F.col(f"known_{place}"))
     no_rows = "needs_rows AND (coalesce(first_rows = 0, false) OR coalesce(second_rows = 0, false))"
     nothing_found = "(kind = 'inconsistent_values' AND coalesce(distinct_values = 0, false)) OR (kind = 'duplicate_entity' AND coalesce(total = 0, false))"
     many = f"kind = 'inconsistent_values' AND distinct_values > {settings.categorical_max_distinct}"

@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 from plumbline import schema as S
 from plumbline.functions.rules import is_categorical
 from plumbline.functions.values import RAW_TEXT_CHARS, WORD, as_text, bit_of, cell, compact, compact_length, word_of
-from plumbline.operators.sampling import Scan, row_hash
+from plumbline.operators.sampling import Scan, row_hash, row_place
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog, Relation, _union
-from plumbline.sources.sizes import bytes_setting, estimated_bytes, is_bare_scan
+from plumbline.sources.sizes import bytes_setting, estimated_bytes, from_files, is_bare_scan
 from plumbline.sources.small import small_table
 
 # A file scan below this size is read in one go whatever the number of cores.
@@ -235,11 +235,33 @@ def value_lists(catalog: Catalog, settings: Settings, columns: list[tuple[str, s
 
 
 def redacted_sample(catalog: Catalog, table: str, settings: Settings, visible: set[str], scan: Scan | None = None) -> DataFrame:
-    """A few rows of a table as text, the same ones every time; a hidden column reads ``[hidden]`` and is never scanned."""
+    """
+    A few rows of a table as text, the same ones every time; a hidden column reads ``[hidden]`` and is never scanned.
+
+    Of files the rows are picked by their place, so no column is read but of the files that hold the few rows shown.
+    Rows from elsewhere are picked by what they show.
+    """
     scan = scan or Scan.of(catalog, settings)
     relation = catalog[table]
     shown = [c for c in relation.struct.names if c in visible]
-    rows = scan(relation).select(*[as_text(cell(c), relation.type_of(c)).alias(c) for c in shown])
-    order = row_hash([F.coalesce(cell(c), F.lit("\x00")) for c in shown], settings.sample_seed)
-    few = rows.orderBy(order, *[cell(c) for c in shown]).limit(settings.sample_rows_shown)
+    df, place = scan(relation), row_place(scan(relation))
+    texts = [as_text(cell(c), relation.type_of(c)).alias(c) for c in shown]
+    if place is None:
+        order = row_hash([F.coalesce(cell(c), F.lit("\x00")) for c in shown], settings.sample_seed)
+        few = df.select(*texts).orderBy(order, *[cell(c) for c in shown]).limit(settings.sample_rows_shown)
+    else:
+        few = df.where(_at(_picked(df, settings))).select(*texts)
     return few.select(*[cell(c) if c in visible else F.lit(S.HIDDEN).alias(c) for c in relation.struct.names])
+
+
+def _picked(df: DataFrame, settings: Settings) -> DataFrame:
+    """(file, row) of the rows of lowest hash by their place: as few as are shown."""
+    file, row = row_place(df)
+    order = row_hash([F.col("_metadata.file_name"), row.cast("string")], settings.sample_seed)
+    return df.select(order.alias("h"), file.alias("file"), row.alias("row")).orderBy("h", "file", "row").limit(settings.sample_rows_shown).select("file", "row")
+
+
+def _at(places: DataFrame) -> Column:
+    """Whether a row lies at one of a few places. Files without any are not opened."""
+    found = [(r["file"], r["row"]) for r in places.collect()]
+    return from_files(sorted({file for file, _ in found})) & F.concat_ws("|", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).isin([f"{file}|{row}" for file, row in found])

@@ -23,16 +23,24 @@ def row_hash(identity: list[Column], seed: int) -> Column:
     return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *identity)), 1, 8)
 
 
-def _identity(df: DataFrame, key: list[str] | None) -> list[Column]:
-    """What tells a row apart: its key, else its place in its file, else its whole content."""
-    if key:
-        return [as_text(cell(c), df.schema[c].dataType) for c in key]
-    place = [F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")]
+def row_place(df: DataFrame) -> tuple[Column, Column] | None:
+    """The file a row lies in and its number there, which no column has to be read for; None where rows come from elsewhere."""
+    place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     try:
         df.select(*place).schema  # noqa: B018 - resolves the names, reads nothing
         return place
     except AnalysisException:
-        return [F.coalesce(as_text(cell(f.name), f.dataType), F.lit("\x00")) for f in df.schema.fields]
+        return None
+
+
+def _identity(df: DataFrame, key: list[str] | None) -> list[Column]:
+    """What tells a row apart: its key, else its place in its file, else its whole content."""
+    if key:
+        return [as_text(cell(c), df.schema[c].dataType) for c in key]
+    place = row_place(df)
+    if place is not None:
+        return [place[0], place[1].cast("string")]
+    return [F.coalesce(as_text(cell(f.name), f.dataType), F.lit("\x00")) for f in df.schema.fields]
 
 
 def repeatable_sample(df: DataFrame, share: float, seed: int, key: list[str] | None = None) -> DataFrame:

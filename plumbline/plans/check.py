@@ -38,11 +38,11 @@ class CheckReport:
 _SHOWS_MORE = {"categorical_max_distinct": 1, "categorical_max_value_length": 1, "categorical_min_rows_per_value": -1}
 
 
-def wider(measuring: Settings, own: Settings) -> bool:
+def shows_more(kept: Settings, own: Settings) -> bool:
     """Whether columns may be categorical under a snapshot's settings that are not under this run's."""
-    steps = {name: direction * (getattr(measuring, name) - getattr(own, name)) for name, direction in _SHOWS_MORE.items()}
+    steps = {name: direction * (getattr(kept, name) - getattr(own, name)) for name, direction in _SHOWS_MORE.items()}
     # Fewer rows can make a column look categorical; a whole table is as many rows as there are.
-    rows = [s.sample_rows if s.sampled else float("inf") for s in (measuring, own)]
+    rows = [s.sample_rows if s.sampled else float("inf") for s in (kept, own)]
     return rows[0] < rows[1] or max(steps.values()) > 0
 
 
@@ -52,9 +52,9 @@ def remeasure(catalog: Catalog, snapshot: Snapshot, settings: Settings) -> DataF
 
     A snapshot can be edited by anyone, so with settings wider than this run's no condition is measured.
     """
-    measuring = settings.with_measured({r["name"]: r["value"] for r in snapshot.settings.collect()})
+    then = settings.with_measured({r["name"]: r["value"] for r in snapshot.settings.collect()})
     rels, sus = relationships_of(snapshot.relationships), suspicions_of(snapshot.suspicions)
-    return decide(measure(catalog, rels, sus, measuring, conditions=not wider(measuring, settings)), measuring)
+    return decide(measure(catalog, rels, sus, then, conditions=not shows_more(then, settings)), then)
 
 
 def check(catalog: Catalog, snapshot: Snapshot, settings: Settings) -> CheckReport:

@@ -84,10 +84,10 @@ SUSPICIONS = fields("kind string, tables array<string>, column string, detail st
 
 # What the catalog knows.
 RELATIONS = fields(
-    "position int, name string, schema string, kind string, definition string, partitions bigint, populated boolean"
+    "position int, name string, schema string, kind string, definition string, partitions bigint, populated boolean, comment string"
 )
 COLUMNS = fields(
-    "table string, ordinal int, column string, type string, nullable boolean, family string, is_integer boolean"
+    "table string, ordinal int, column string, type string, nullable boolean, family string, is_integer boolean, comment string"
 )
 
 # The numbers of a measurement, in the order findings text lists them.

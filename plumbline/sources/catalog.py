@@ -37,6 +37,7 @@ class Relation:
     columns: T.StructType = field(default_factory=T.StructType)
     files: str | None = None
     unread: str | None = None
+    comment: str | None = None
 
     @cached_property
     def struct(self) -> T.StructType:
@@ -155,8 +156,8 @@ class Catalog:
 
     def relations_df(self) -> DataFrame:
         """One row per relation, with the number of partitions of a partitioned one."""
-        rows = [(i, r.name, r.schema, r.kind, r.definition, r.populated) for i, r in enumerate(self.relations)]
-        listed = small_table(self.spark, rows, "position int, name string, schema string, kind string, definition string, populated boolean")
+        rows = [(i, r.name, r.schema, r.kind, r.definition, r.populated, r.comment) for i, r in enumerate(self.relations)]
+        listed = small_table(self.spark, rows, "position int, name string, schema string, kind string, definition string, populated boolean, comment string")
         counted = [
             r.only(*r.partition_columns).distinct().agg(F.lit(r.name).alias("name"), F.count(F.lit(1)).alias("partitions"))
             for r in self.relations
@@ -166,9 +167,9 @@ class Catalog:
         return listed.join(F.broadcast(partitions), "name", "left").select(*S.RELATIONS.names)
 
     def columns_df(self) -> DataFrame:
-        """One row per column, in the relation's order."""
+        """One row per column, in the relation's order, with the comment that a table or a file's schema keeps of it."""
         rows = [
-            (r.name, i, f.name, f.dataType.simpleString(), f.nullable, S.family(f.dataType), S.is_integer(f.dataType))
+            (r.name, i, f.name, f.dataType.simpleString(), f.nullable, S.family(f.dataType), S.is_integer(f.dataType), f.metadata.get("comment"))
             for r in self.relations
             for i, f in enumerate(r.struct.fields)
         ]
@@ -216,4 +217,4 @@ def _open_table(spark: SparkSession, database: str, table) -> Relation:
         parts = () if view else tuple(c.name for c in spark.catalog.listColumns(full) if c.isPartition)
     except Exception as e:
         return Relation(name, None, database, unread=f"could not be read ({type(e).__name__})")
-    return Relation(name, df, database, "view" if view else "table", definition, parts)
+    return Relation(name, df, database, "view" if view else "table", definition, parts, comment=table.description)

@@ -284,9 +284,10 @@ FROM ({profiled(['part'])}) p LEFT JOIN ({value_lists(['part'])}) l ON l."column
 ORACLES["profile_values_all"] = f"""
 SELECT p."table", p."column", "distinct", l.values FROM ({profiled()}) p JOIN ({value_lists()}) l ON l."table" = p."table" AND l."column" = p."column" WHERE k NOT IN ('s', 'd')"""
 ORACLES["value_lists_lineitem"] = f'SELECT "column", values FROM ({value_lists(["lineitem"])}) l'
+# The table is one file, in whose order it is read.
 ORACLES["redacted_sample_customer"] = """
-SELECT c_custkey::VARCHAR AS c_custkey, '[hidden]' AS c_name, c_nationkey::VARCHAR AS c_nationkey, '[hidden]' AS c_acctbal, c_mktsegment FROM customer
-ORDER BY substr(md5(concat_ws('|', '1', c_custkey::VARCHAR, c_nationkey::VARCHAR, c_mktsegment)), 1, 8), 1, 3, 5 LIMIT 15"""
+SELECT c_custkey::VARCHAR AS c_custkey, '[hidden]' AS c_name, c_nationkey::VARCHAR AS c_nationkey, '[hidden]' AS c_acctbal, c_mktsegment
+FROM (SELECT *, row_number() OVER () - 1 AS place FROM customer) c ORDER BY substr(md5('1|customer.parquet|' || place::VARCHAR), 1, 8), place LIMIT 15"""
 
 
 # ---- sizes and samples ----

@@ -10,8 +10,9 @@ from plumbline.functions.text import listed, number, sql_literal
 from plumbline.operators.compare import change_tally, gate, schema_fingerprint
 from plumbline.operators.joins import Relationship
 from plumbline.operators.problems import Suspicion
+from plumbline.operators.profile import describe_table
 from plumbline.operators.report import change_rows, join_lines, problem_lines
-from plumbline.plans.check import CheckReport, check, notes, wider
+from plumbline.plans.check import CheckReport, check, notes, shows_more
 from plumbline.plans.run import measure_join, prepared, relationships_df, reports, snapshot_of, suspicions_df, verify
 from plumbline.sources.snapshot import invalid_settings, read_snapshot, write_snapshot, write_table_reports
 
@@ -134,7 +135,7 @@ def test_wider_settings_switch_conditions_off(spark):
     cat = polymorph(spark)
     guess = Relationship("comments", "commentable_id", "posts", "id", "body", f"{CANARY} comment 1")
     was = kept(cat, [guess], [], Settings(categorical_max_distinct=1000, categorical_min_rows_per_value=1))
-    assert wider(Settings(categorical_max_distinct=1000), Settings()) and not wider(Settings(), Settings())
+    assert shows_more(Settings(categorical_max_distinct=1000), Settings()) and not shows_more(Settings(), Settings())
     assert check(cat, was, Settings()).changes.first()["after"] == "unverifiable"
 
 
@@ -259,3 +260,22 @@ def test_text_helpers(spark):
     assert [of(number(F.lit(v))) for v in (1.0, 0.875, 10.0, 100, 0.0001, 0.0, -2.5)] == ["1", "0.875", "10", "100", "0.0001", "0", "-2.5"]
     assert of(sql_literal(F.lit("it's"))) == "'it''s'" and of(sql_literal(F.lit("a\n\\b"))) == "E'a\\n\\\\b'"
     assert [of(listed(F.array(*[F.lit(x) for x in v]))) for v in ("a", "ab", "abc")] == ["a", "a and b", "a, b, and c"]
+
+
+def test_comments_are_part_of_the_schema(spark, tmp_path):
+    def catalog(note):
+        df = spark.range(3).withMetadata("id", {"comment": note} if note else {})
+        df.write.mode("overwrite").parquet(f"{tmp_path}/{note}/t.parquet")
+        return Catalog.from_parquet(spark, f"{tmp_path}/{note}", ["t"])
+
+    def fingerprint(cat):
+        return schema_fingerprint(cat.relations_df(), cat.columns_df(), cat.keys_df()).first()[0]
+
+    none, one, other = (catalog(n) for n in (None, "the key", "a number"))
+    assert one.columns_df().first()["comment"] == "the key" and none.columns_df().first()["comment"] is None
+    assert len({fingerprint(c) for c in (none, one, other)}) == 3
+    told = Relation("t", spark.range(3).toDF("id"), comment="all things")
+    cat = Catalog(spark, [told])
+    assert cat.relations_df().first()["comment"] == "all things" and fingerprint(cat) not in (fingerprint(Catalog(spark, [Relation("t", told.df)])),)
+    described = describe_table(cat, "t", Settings()).collect()
+    assert "all things" not in str(described)

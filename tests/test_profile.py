@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline import Catalog, Relation, Settings
 from plumbline.functions.rules import is_categorical
 from plumbline.operators.joins import Relationship, measure_relationships
-from plumbline.operators.profile import _distinct_values, describe_table, listed_columns, redacted_sample, table_profile, value_lists
+from plumbline.operators.profile import _distinct_values, _picked, describe_table, listed_columns, redacted_sample, table_profile, value_lists
 from plumbline.operators.problems import inconsistent_groups
 from plumbline.operators.sampling import Sample, Scan, bounded_scan, lowest, repeatable_sample, sample_cap
 from plumbline.sources.sizes import partition_estimate, parts_of, pilot_row_estimate, row_counts, row_estimate, sizes
@@ -69,6 +69,21 @@ def test_value_lists_and_samples_hold_no_hidden_value(spark):
     assert shown == redacted_sample(cat.replace(customers=cat["customers"].df.repartition(7)), "customers", S, visible).collect()
 
 
+def test_sample_rows_are_picked_before_a_column_is_read(spark, tmp_path):
+    df = spark.range(5_000).selectExpr("id", "concat('secret ', id) AS hidden", "cast(id % 3 AS string) AS kind")
+    df.repartition(40).write.parquet(f"{tmp_path}/t.parquet")
+    cat = Catalog.from_parquet(spark, str(tmp_path), ["t"])
+    plan = _picked(cat["t"].df, S)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<_tmp_metadata_row_index:bigint>" in plan and "TakeOrderedAndProject" in plan
+    sample = redacted_sample(cat, "t", S, {"id", "kind"})
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint,kind:string" in plan and "hidden:string" not in plan and len(sample.inputFiles()) <= 40
+    rows_shown = sample.collect()
+    assert len(rows_shown) == 15 and {r["hidden"] for r in rows_shown} == {"[hidden]"} and len({r["id"] for r in rows_shown}) == 15
+    assert sorted(rows_shown) == sorted(redacted_sample(cat, "t", S, {"id", "kind"}).collect())
+    assert sorted(rows_shown) != sorted(redacted_sample(cat, "t", Settings(sample_seed=2), {"id", "kind"}).collect())
+
+
 def test_reveal_shows_a_hidden_column(spark):
     cat = shop(spark)
     got = profiled(Catalog(spark, cat.relations, cat.keys, reveal={"customers.full_name", "default.orders.total_cents"}))
