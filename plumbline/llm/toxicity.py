@@ -2,8 +2,8 @@
 
 Only confirmed toxic texts are labelled examples; all texts together are the unlabelled ones, toxic texts among them. A linear classifier over
 hashed words and word beginnings minimises the risk estimate that the class prior corrects, and turns back where the estimated risk of the
-clean texts would fall below zero. Which words tell the two apart is counted over all texts in Spark; the weights are fitted with numpy on at
-most POSITIVES and about UNLABELLED texts.
+clean texts would fall below zero. Which words tell the two apart is counted over all texts in Spark, at most POSITIVES of them as confirmed;
+the weights are fitted with numpy on those and about UNLABELLED texts, and the bias so that the mean score of the latter is the class prior.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from plumbline.llm.decontaminate import words_of
 
 FEATURE_BITS = 18
 SELECTED = 2048
-LEAST_SUPPORT = 0.01  # of the positives, and 2
-LEAST_PURITY = 0.7
+LEAST_PURITY = 0.35
+CHANCE_BUCKETS = 5  # that say nothing and may yet be taken, as expected
 POSITIVES = 10_000
 UNLABELLED = 20_000
 STEPS = 400
@@ -84,10 +84,14 @@ def _document_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def select(all_: np.ndarray, positive: np.ndarray, prior: float, most: int = SELECTED) -> np.ndarray:
     """Buckets of which, by the class prior, LEAST_PURITY of the texts that hold them are toxic; strongest evidence first. Words that only tell
-    languages or topics apart stay below that."""
+    languages or topics apart stay below that. Where positives are few many buckets reach it by chance, so a bucket must also stand in more
+    positives than, by Chernoff's bound, CHANCE_BUCKETS of all would if they said nothing."""
     n, n_positive = max(1, all_[-1]), max(1, positive[-1])
-    ratio = np.log((positive[:-1] + 0.5) / (n_positive + 1)) - np.log((all_[:-1] + 0.5) / (n + 1))
-    enough = positive[:-1] >= max(2, LEAST_SUPPORT * n_positive)
+    held = positive[:-1].astype(np.float64)
+    ratio = np.log((held + 0.5) / (n_positive + 1)) - np.log((all_[:-1] + 0.5) / (n + 1))
+    expected = np.maximum(all_[:-1] * (n_positive / n), 1e-9)
+    surprise = np.where(held > expected, held * np.log(np.maximum(held, 1) / expected) - held + expected, 0)
+    enough = surprise >= np.log(max(1, np.count_nonzero(held)) / CHANCE_BUCKETS)
     gain = np.where(enough & (np.exp(ratio) * prior >= LEAST_PURITY), positive[:-1] * ratio, 0)
     best = np.argsort(-gain, kind="stable")[:most]
     return best[gain[best] > 0]
@@ -119,6 +123,16 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, columns: int, prior: float
     return w[:-1], float(w[-1])
 
 
+def calibrated(z: np.ndarray, prior: float) -> float:
+    """The bias at which the mean probability of unlabelled texts is the class prior."""
+    low, high = -60.0, 60.0
+    for _ in range(80):
+        bias = (low + high) / 2
+        mean = (1 / (1 + np.exp(-np.clip(z + bias, -60, 60)))).mean() if len(z) else prior
+        low, high = (bias, high) if mean < prior else (low, bias)
+    return (low + high) / 2
+
+
 def score(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", prior: float | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from threshold on) for every row of docs, repeated rows included.
 
@@ -132,7 +146,7 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_
     # At most POSITIVES ids, so the broadcast is bounded.
     ids = known.where(F.col(label) == 1).select(F.col(doc_id).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(POSITIVES)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = rows.join(F.broadcast(ids), rows["doc_id"] == ids["id"], "left").select("text", F.col("id").isNotNull().alias("positive"))
+    marked = rows.join(F.broadcast(ids), rows["doc_id"] == ids["id"], "left").select("text", F.col("id").isNotNull().alias("positive"), F.xxhash64(F.lit(3), "doc_id", "text").alias("h"))
     weights, bias = _learned(marked, min(max(prior or 0.0, 1e-4), 0.9))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -153,19 +167,21 @@ def _learned(marked: DataFrame, prior: float) -> tuple[np.ndarray, float]:
     chosen = np.sort(select(all_, positive, prior))
     if not len(chosen):
         return weights, -np.inf
-    picked = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, UNLABELLED / max(1, int(all_[-1]))))
-    sample = marked.where(F.col("positive") | picked).select("text", "positive", picked.alias("picked"))
+    picked = F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, UNLABELLED / max(1, int(all_[-1]))))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for part in slices(batches):
             at = [np.flatnonzero(np.isin(chosen, features.of(t))) for t in texts_of(part.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), part.column(1), part.column(2)], ["at", "positive", "picked"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), part.column(1), part.column(2), part.column(3)], ["at", "positive", "picked", "h"])
 
-    got = sample.mapInArrow(held, "at array<int>, positive boolean, picked boolean").toArrow()
+    # Rows of one id and text have one hash, however many they are, so the numbers are bounded once more.
+    found = marked.where(F.col("positive") | picked).select("text", "positive", picked.alias("picked"), "h").mapInArrow(held, "at array<int>, positive boolean, picked boolean, h long")
+    one = found.where("positive").orderBy("h").limit(POSITIVES).withColumn("picked", F.lit(False))
+    got = one.unionAll(found.where("picked").orderBy("h").limit(2 * UNLABELLED).withColumn("positive", F.lit(False))).toArrow()
     at = [np.array(x, np.int64) for x in got.column("at").to_pylist()]
     positives, unlabelled = (np.flatnonzero(got.column(c).to_numpy()) for c in ("positive", "picked"))
     rows = [at[i] for i in positives] + [at[i] for i in unlabelled]
-    fitted, bias = fit(rows, np.arange(len(rows)) < len(positives), len(chosen), prior)
+    fitted, _ = fit(rows, np.arange(len(rows)) < len(positives), len(chosen), prior)
     weights[chosen] = fitted
-    return weights, bias
+    return weights, calibrated(np.array([fitted[at[i]].sum() for i in unlabelled]), prior)
