@@ -25,11 +25,11 @@ QUERY_BLOCK = 1024
 
 def integer_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", factor: int = 64) -> DataFrame:
     """id, v: each component x as floor(factor * x), x as double. Rows whose id or vector is null or empty, or whose vector holds null or
-    non-finite components, are left out. Of rows with one id the least vector stays."""
+    non-finite components, are left out. Rows with one id all stay."""
     x = F.col("x")
     good = F.col("id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")))
     rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).where(good)
-    return rows.groupBy("id").agg(F.min("x").alias("x")).select("id", F.transform("x", lambda y: F.floor(y * factor)).alias("v"))
+    return rows.select("id", F.transform("x", lambda y: F.floor(y * factor)).alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -57,7 +57,7 @@ def _local_lists(k: int, slices: int) -> Callable[[pa.Table, pa.Table], pa.Table
         out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(v) and len(q):
             width = v.column("dim")[0].as_py()
-            ids, asks = v.column("id").to_numpy(), q.column("q_id").to_numpy()
+            ids, asks = v.column("row").to_numpy(), q.column("q_row").to_numpy()
             scores = _slices(_matrix(q.column("q_v"), width), _matrix(v.column("v"), width), slices)
             own = asks[:, None] == ids[None]
             chosen = np.zeros(own.shape, bool)
@@ -73,14 +73,15 @@ def _local_lists(k: int, slices: int) -> Callable[[pa.Table, pa.Table], pa.Table
 
 
 def _sufficient(slices: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """query, id, score: entries that reach the uniform threshold in some slice and, resolved, the cutoff."""
+    """query, query_id, id, score: entries that reach the uniform threshold in some slice and, resolved, the cutoff."""
 
     def of(v: pa.Table, q: pa.Table) -> pa.Table:
         empty = np.zeros(0, np.int64)
         if not (len(v) and len(q)):
-            return pa.table({"query": empty, "id": empty, "score": empty})
+            return pa.table({"query": empty, "query_id": empty, "id": empty, "score": empty})
         width = v.column("dim")[0].as_py()
-        ids, asks = v.column("id").to_numpy(), q.column("q_id").to_numpy()
+        rows, asks = v.column("row").to_numpy(), q.column("q_row").to_numpy()
+        ids, query_ids = v.column("id").to_numpy(), q.column("q_id").to_numpy()
         cutoff = q.column("q_cutoff").combine_chunks()
         known = cutoff.is_valid().to_numpy(zero_copy_only=False)
         least = cutoff.fill_null(0).to_numpy()[:, None]
@@ -89,10 +90,10 @@ def _sufficient(slices: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         for part in scores:
             enough |= part * len(scores) >= least
         enough[~known] = True  # fewer than k scores in all
-        row, at = np.nonzero(enough & (asks[:, None] != ids[None]))
+        row, at = np.nonzero(enough & (asks[:, None] != rows[None]))
         total = sum(part[row, at] for part in scores).astype(np.int64)
         reach = (total >= least[row, 0]) | ~known[row]
-        return pa.table({"query": asks[row][reach], "id": ids[at][reach], "score": total[reach]})
+        return pa.table({"query": asks[row][reach], "query_id": query_ids[row][reach], "id": ids[at][reach], "score": total[reach]})
 
     return of
 
@@ -100,23 +101,25 @@ def _sufficient(slices: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, slices: int = SLICES, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query the k largest inner products with other rows, ties to the smaller id.
 
-    vectors is id, v as integer_vectors() gives them; is_query, over id, picks the queries. Vectors are compared with those of equal length
+    vectors is id, v as integer_vectors() gives them; is_query, over id, picks the queries. Every row is compared with every query but itself: of
+    rows with one id each is a vector, and each is a query if it is picked, with its own ranks. Vectors are compared with those of equal length
     only. A query has fewer rows where there are fewer others. An empty table gives no rows. Scores must fit 64-bit integers.
     """
-    rows = keep(vectors.withColumn("dim", F.size("v")), "vectors")
+    # The rows' numbers are written with them, so they hold for all that follows.
+    rows = keep(vectors.withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     sizes = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     blocks, asks = 1 + sizes["n"] // vector_block, 1 + sizes["q"] // query_block
-    block = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int")
+    block = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    held = rows.withColumn("vb", block(blocks, 1)).withColumn("qb", each(asks)).select("dim", "vb", "qb", "id", "v")
+    held = rows.withColumn("vb", block(blocks, 1)).withColumn("qb", each(asks)).select("dim", "vb", "qb", "row", "id", "v")
     queries = rows.where(is_query).withColumn("qb", block(asks, 2))
-    local = _paired(held, queries.withColumn("vb", each(blocks)).select("dim", "vb", "qb", "id", "v"), _local_lists(k, slices), "query long, score long")
+    local = _paired(held, queries.withColumn("vb", each(blocks)).select("dim", "vb", "qb", "row", "id", "v"), _local_lists(k, slices), "query long, score long")
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
     cutoffs = keep(local.withColumn("n", nth).where(F.col("n") <= k).where(F.col("n") == k).select("query", F.col("score").alias("cutoff")), "cutoffs")
 
-    cut = queries.join(cutoffs, queries["id"] == cutoffs["query"], "left").withColumn("vb", each(blocks)).select("dim", "vb", "qb", "id", "v", "cutoff")
-    found = _paired(held, cut, _sufficient(slices), "query long, id long, score long")
+    cut = queries.join(cutoffs, queries["row"] == cutoffs["query"], "left").withColumn("vb", each(blocks)).select("dim", "vb", "qb", "row", "id", "v", "cutoff")
+    found = _paired(held, cut, _sufficient(slices), "query long, query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
