@@ -22,7 +22,7 @@ from plumbline.operators.verdicts import decide
 from plumbline.plans.run import measure
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog
-from plumbline.sources.small import kept, small_table
+from plumbline.sources.small import kept, small_table, together
 from plumbline.sources.snapshot import Snapshot
 
 
@@ -66,11 +66,14 @@ def check(catalog: Catalog, snapshot: Snapshot, settings: Settings) -> CheckRepo
     unmeasured = names.select("claim_id").distinct().join(measured_before, "claim_id", "left_anti")
     missing = missing_names(names, (snapshot.relations, snapshot.columns), (relations, columns), unmeasured)
     own = small_table(catalog.spark, settings.measured_with(), "name string, value double")
+    changes, fingerprint = together(
+        lambda: kept(classify_changes(snapshot.verdicts, after, missing, settings)), schema_fingerprint(relations, columns, keys).first
+    )
     return CheckReport(
-        changes=kept(classify_changes(snapshot.verdicts, after, missing, settings)),
+        changes=changes,
         relations=schema_diff(snapshot.relations, relations),
         settings=settings_diff(snapshot.settings, own),
-        schema_changed=schema_fingerprint(relations, columns, keys).first()["fingerprint"] != snapshot.fingerprint,
+        schema_changed=fingerprint["fingerprint"] != snapshot.fingerprint,
     )
 
 

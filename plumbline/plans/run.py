@@ -16,7 +16,7 @@ from plumbline.operators.sampling import Scan
 from plumbline.operators.verdicts import decide
 from plumbline.settings import Settings
 from plumbline.sources.catalog import Catalog
-from plumbline.sources.small import kept, small_table
+from plumbline.sources.small import kept, small_table, together
 from plumbline.sources.snapshot import Snapshot
 
 
@@ -71,21 +71,22 @@ def measure_join(catalog: Catalog, from_table: str, from_column: str, to_table:
 def snapshot_of(catalog: Catalog, relationships: DataFrame, suspicions: DataFrame, verdicts: DataFrame, settings: Settings) -> Snapshot:
     """What a run leaves for a later one to compare with, measured once here. The claims are those of ``prepared``."""
     relations, columns, keys = catalog.relations_df(), catalog.columns_df(), catalog.keys_df()
+    found = together(lambda: kept(verdicts), lambda: kept(relationships), lambda: kept(suspicions), schema_fingerprint(relations, columns, keys).first)
     return Snapshot(
         settings=small_table(catalog.spark, settings.measured_with(), "name string, value double"),
         relations=relations,
         columns=columns,
         keys=keys,
-        relationships=kept(relationships),
-        suspicions=kept(suspicions),
-        verdicts=kept(verdicts),
-        fingerprint=schema_fingerprint(relations, columns, keys).first()["fingerprint"],
+        relationships=found[1],
+        suspicions=found[2],
+        verdicts=found[0],
+        fingerprint=found[3]["fingerprint"],
     )
 
 
 def reports(catalog: Catalog, relationships: DataFrame, suspicions: DataFrame, verdicts: DataFrame, settings: Settings) -> DataFrame:
     """(table, report) of every relation of the catalog. The verdicts are measured once, for joins and problems alike."""
-    relationships, suspicions, verdicts = kept(relationships), kept(suspicions), kept(verdicts)
     scan = Scan.of(catalog, settings)
     lists = table_profile(catalog, settings, scan=scan, values=True).where("values IS NOT NULL").select("table", "column", "values")
+    relationships, suspicions, verdicts, lists = together(*[lambda df=df: kept(df) for df in (relationships, suspicions, verdicts, lists)])
     return table_reports(catalog.relations_df(), scan.sizes_told(), catalog.keys_df(), relationships, suspicions, verdicts, lists, settings.sampled)

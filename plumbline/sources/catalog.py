@@ -104,7 +104,9 @@ class Catalog:
         """The catalog with other data under some names; None drops a relation, a new name adds a table."""
         kept = [replace(r, df=frames.get(r.name, r.df), files=None if r.name in frames else r.files) for r in self.relations if frames.get(r.name, r) is not None]
         added = [Relation(n, df) for n, df in frames.items() if df is not None and n not in self._by_name]
-        return Catalog(self.spark, kept + added, self.keys, self.reveal)
+        other = Catalog(self.spark, kept + added, self.keys, self.reveal)
+        other.extents = {name: extent for name, extent in self.extents.items() if name not in frames}
+        return other
 
     def only(self, names: Iterable[str]) -> Catalog:
         """The same keys over the named relations alone."""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -29,3 +33,13 @@ def kept(df: DataFrame) -> DataFrame:
     Never for rows of a table. Later steps read the result and do not measure it again.
     """
     return small_table(df.sparkSession, [tuple(row) for row in df.collect()], df.schema)
+
+
+def together(*asked: Callable[[], Any]) -> list[Any]:
+    """
+    The answers of several independent jobs, run at the same time.
+
+    Each is a few rows about claims or a schema, and most of its time is planning and waiting for its last tasks.
+    """
+    with ThreadPoolExecutor(len(asked)) as pool:
+        return [answer.result() for answer in [pool.submit(ask) for ask in asked]]

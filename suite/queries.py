@@ -425,14 +425,16 @@ def _told(cat):
 
 @query
 def join_lines(spark, sf):
-    rels, _, found = _told(catalog(spark, sf))
-    return report.join_lines(rels, found)
+    cat = catalog(spark, sf)
+    rels, _ = run.prepared(cat, run.relationships_df(cat, CLAIMS), run.suspicions_df(cat, []))
+    return report.join_lines(rels, verdicts.decide(run.measure(cat, CLAIMS, [], SETTINGS), SETTINGS))
 
 
 @query
 def problem_lines(spark, sf):
-    _, sus, found = _told(catalog(spark, sf))
-    return report.problem_lines(sus, found)
+    cat = catalog(spark, sf)
+    _, sus = run.prepared(cat, run.relationships_df(cat, []), run.suspicions_df(cat, SUSPICIONS))
+    return report.problem_lines(sus, verdicts.decide(run.measure(cat, [], SUSPICIONS, SETTINGS), SETTINGS))
 
 
 @query
