@@ -37,6 +37,9 @@ def test_every_query_names_its_columns(spark):
         "op7": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
         "op8": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"], "op9": ["doc_id", "fingerprint", "component_id"],
         "op10": ["doc_id", "held_out", "score", "predicted"],
+        "op11": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+        "op12": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        "op13": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
     }
     for name, query in queries.QUERIES.items():
         columns = query(spark, SF).columns
