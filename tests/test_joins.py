@@ -301,7 +301,7 @@ def test_claims_of_one_kind_are_one_join_over_one_read_of_each_table(spark):
         plan = plan.split("== Initial Plan ==")[0]
         assert plan.count("FileScan parquet") == 6 and "CartesianProduct" not in plan and "NestedLoop" not in plan
         assert plan.count("Join") == (2 if spread else 1)  # one look-up; spread, the sources meet the claims too
-        assert ("SortMergeJoin" in plan) == spread
+        assert spread or "SortMergeJoin" not in plan
 
 
 def test_few_orphan_rows_cross_no_shuffle(spark):
