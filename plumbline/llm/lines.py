@@ -1,24 +1,27 @@
 """Removing lines that are nearly equal to an earlier line, by an exact set-similarity join in DataFrame functions alone.
 
-Lines of equal words collapse to their first. The words of the others are ordered by rarity: by the count of their hash's cell in a table of
+Equal lines collapse to their first. The words of the others are ordered by rarity: by the count of their hash's cell in a table of
 2 ** CELL_BITS cells over all lines, which any corpus fills and whose size no corpus changes; then by hash. Two sets with Jaccard similarity
 t share a word among the first few of either; for sizes a and b they need overlap o = ceil(t / (1 + t) * (a + b)), so it is among the first
-a - o + 1 and b - o + 1. A set meets first only the earliest one with the same LEAD_WORDS rarest words. Most lines of a large group of near
-copies are decided by that, one row each, and only the others meet all sets that share a word. A bitmap of each set bounds the overlap before
-words are compared.
+a - o + 1 and b - o + 1. A set meets first the MET_BEFORE ones that come next before it among those with one of MET_WORDS of its rare words,
+and is compared with the one that seems nearest. Most lines of a large group of near copies are decided by that, one pair each, and only the
+others meet all sets that share a word. The parities of a set's words in 128 cells bound the overlap before words are compared. Words are
+hashed once and then told apart by 64 bits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import forget, keep
 
 SIMILARITY = (4, 5)  # numerator and denominator
-CELL_BITS = 20
+CELL_BITS = 19
 COUNT_BITS = 22
-LEAD_WORDS = 3
+HASH_MASK = (1 << 63 - COUNT_BITS) - 1
+MET_WORDS, MET_BEFORE = 3, 12
+TABLE_BITS = 22
 OTHER_BLANKS = "\t\r\f\x0b"
 
 
@@ -28,39 +31,42 @@ def _blanks_as_spaces(text: Column) -> Column:
 
 
 def words_of(line: Column) -> Column:
-    """Distinct words of a line whose blanks are spaces."""
-    return F.array_remove(F.array_distinct(F.split(line, " ")), "")
+    """64-bit hashes of the distinct words of a line whose blanks are spaces."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """d, t, ln: the document's place in the order, a hash of its text, the line's number; k1, k2: hashes of its n words; words, space-joined."""
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    rows = rows.where(F.col("text").isNotNull()).select("d", "t", F.posexplode(F.split(_blanks_as_spaces(F.lower("text")), "\n")).alias("ln", "line"))
-    rows = rows.select("d", "t", "ln", words_of(F.col("line")).alias("w"))
-    rows = rows.select("d", "t", "ln", F.size("w").alias("n"), F.array_join("w", " ").alias("words"))
-    return rows.select("d", "t", "ln", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), "n", "words")
-
-
-def _cell_counts(sets: DataFrame) -> Column:
-    """One array: how often the words of each cell occur in all sets. Its size is fixed."""
-    words = sets.select(F.explode(F.split("words", " ")).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(1 << CELL_BITS)).alias("cell"))
+    """id; d, t, ln: the document's place in the order, a hash of its text, the line's number; k1, k2: hashes of the line, in lower case, with
+    spaces for blanks and none at its ends."""
+    rows = docs.where(F.col(text).isNotNull())
+    rows = rows.select(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text).alias("t"), F.lower(text).alias("text"))
+    rows = rows.select("d", "t", _blanks_as_spaces(F.col("text")).alias("text")).select("d", "t", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    rows = rows.select("d", "t", "ln", F.trim("line").alias("line"))
+    return rows.select(F.monotonically_increasing_id().alias("id"), "d", "t", "ln", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "line")
+
+
+def _cell_counts(lines: DataFrame) -> Column:
+    """One array: how often the words of each cell occur in all lines, as the high bits of a number. Its size is fixed."""
+    words = lines.select(F.explode(F.split("line", " ")).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit((1 << CELL_BITS) - 1)).alias("cell"))
     counts = words.groupBy("cell").agg(F.count("*").alias("c"))
-    cells = sets.sparkSession.range(1 << CELL_BITS).join(counts, F.col("id") == F.col("cell"), "left")
-    capped = F.least(F.coalesce("c", F.lit(0)), F.lit((1 << COUNT_BITS) - 1)).cast("int").alias("c")
-    ordered = cells.agg(F.array_sort(F.collect_list(F.struct("id", capped))).alias("p"))
+    cells = lines.sparkSession.range(1 << CELL_BITS).join(counts, F.col("id") == F.col("cell"), "left")
+    high = F.shiftleft(F.least(F.coalesce("c", F.lit(0)), F.lit((1 << COUNT_BITS) - 1)), 63 - COUNT_BITS).alias("c")
+    ordered = cells.agg(F.sort_array(F.collect_list(F.struct("id", high))).alias("p"))
     return ordered.select(F.col("p.c").alias("cells")).scalar()
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """id, d, ln, n, low, high, prefix: the set's size, a bitmap of its words in two halves, and its rarest words as numbers that are ordered
-    by rarity."""
-    rows = sets.withColumn("cells", _cell_counts(sets)).withColumn("w", F.split("words", " "))
-    word = f"shiftleft(cast(cells[cast(pmod(xxhash64(x), {1 << CELL_BITS}) as int)] as bigint), {63 - COUNT_BITS}) | (xxhash64(x) & {(1 << 63 - COUNT_BITS) - 1})"
-    rows = rows.select("id", "d", "ln", "n", F.expr(f"sort_array(transform(w, x -> {word}))").alias("codes"))
-    half = lambda of: F.expr(f"aggregate(codes, 0L, (a, c) -> if((c & 64) = {of}, a | shiftleft(1L, cast(c & 63 as int)), a))")
+def _sets(lines: DataFrame) -> DataFrame:
+    """The first line of each set of words: k1, k2, id, d, ln, n, low, high, prefix: the set's size, the parities of its words' counts in 64
+    cells for those with negative and 64 for those with other hashes, and its rarest words as numbers that are ordered by rarity."""
+    parities = lambda of: F.expr(f"aggregate(filter(words, x -> x {of} 0), 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))")
+    rows = lines.where("line != ''").select("k1", "k2", "d", "ln", "id", words_of(F.col("line")).alias("words"))
+    rows = rows.select("*", F.size("words").alias("n"), parities("<").alias("low"), parities(">=").alias("high")).withColumn("cells", _cell_counts(lines))
+    code = f"cells[cast(x & {(1 << CELL_BITS) - 1} as int)] | (x & {HASH_MASK})"
     high, low = SIMILARITY
-    first = F.expr(f"slice(codes, 1, n - (({high} * n + {low - 1}) div {low}) + 1)")
-    return rows.select("id", "d", "ln", "n", half(0).alias("low"), half(64).alias("high"), first.alias("prefix"))
+    # Each column but the words stands here once, so that Spark puts the table of cells where it is used and not into every row.
+    first = F.expr(f"slice(sort_array(transform(words, x -> {code})), 1, size(words) - (({high} * size(words) + {low - 1}) div {low}) + 1)")
+    rows = rows.select("k1", "k2", F.struct("d", "ln", "id", "n", "low", "high", first.alias("prefix")).alias("s"))
+    return rows.groupBy("k1", "k2").agg(F.min("s").alias("s")).select("k1", "k2", "s.*")
 
 
 def _overlap(a: str, b: str) -> str:
@@ -68,46 +74,74 @@ def _overlap(a: str, b: str) -> str:
     return f"(({high} * ({a}.n + {b}.n) + {high + low - 1}) div {high + low})"
 
 
-def _possible(a: str, b: str) -> Column:
-    """The filters for two sets that share the word at place p of either: sizes, prefixes, places, bitmaps."""
-    o, (high, low) = _overlap(a, b), SIMILARITY
-    return F.expr(
-        f"{low} * {a}.n >= {high} * {b}.n AND {low} * {b}.n >= {high} * {a}.n AND {a}.p < {a}.n - {o} + 1 AND {b}.p < {b}.n - {o} + 1"
-        f" AND least({a}.n - {a}.p, {b}.n - {b}.p) + least({a}.p, {b}.p) >= {o} AND {a}.n + {b}.n - bit_count({a}.low ^ {b}.low) - bit_count({a}.high ^ {b}.high) >= 2 * {o}"
-    )
+def _differing(a: str, b: str) -> str:
+    """At least so many words are in only one of two sets."""
+    return f"(bit_count({a}.low ^ {b}.low) + bit_count({a}.high ^ {b}.high))"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of later, earlier: the later ones that are similar enough, each once."""
-    x, y = (sets.select("id", "n", "words").alias(s) for s in ("x", "y"))
-    both = pairs.distinct().join(x, F.col("later") == F.col("x.id")).join(y, F.col("earlier") == F.col("y.id"))
-    shared = F.array_intersect(F.split("x.words", " "), F.split("y.words", " "))
-    return both.where(F.size(shared) >= F.expr(_overlap("x", "y"))).select(F.col("later").alias("id")).distinct()
+def _alike(a: str, b: str) -> str:
+    """The filters for any two sets: sizes and parities."""
+    high, low = SIMILARITY
+    return f"{low} * {a}.n >= {high} * {b}.n AND {low} * {b}.n >= {high} * {a}.n AND {a}.n + {b}.n - {_differing(a, b)} >= 2 * {_overlap(a, b)}"
 
 
-def similar_to_earlier(sets: DataFrame) -> DataFrame:
-    """id of each set (id, d, ln, n, words) that has a similar one with smaller (d, ln)."""
+def _possible(a: str, b: str) -> Column:
+    """The filters for two sets that share the word at place p of either: places too."""
+    o = _overlap(a, b)
+    return F.expr(f"{a}.p < {a}.n - {o} + 1 AND {b}.p < {b}.n - {o} + 1 AND least({a}.n - {a}.p, {b}.n - {b}.p) + least({a}.p, {b}.p) >= {o} AND {_alike(a, b)}")
+
+
+def _among(ids: DataFrame) -> Column:
+    """Whether the column id is in ids. It is true for all of them and, by a table of bits of fixed size, for some others."""
+    place = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit((1 << TABLE_BITS - 6) - 1)).cast("int")
+    bits = ids.select(F.xxhash64("id").alias("h")).groupBy(place(F.col("h")).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits"))
+    cells = ids.sparkSession.range(1 << TABLE_BITS - 6).join(bits, F.col("id") == F.col("cell"), "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    table = cells.agg(F.sort_array(F.collect_list(F.struct("id", "bits"))).alias("p")).select(F.col("p.bits").alias("bits")).scalar()
+    h = F.xxhash64("id")
+    return F.getbit(table[place(h)], h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
+    """Of distinct later, earlier: the later ones that are similar enough, each once."""
+    few = lines.where(_among(pairs.select(F.explode(F.array("later", "earlier")).alias("id")))).select("id", "d", "ln", words_of(F.col("line")).alias("words"))
+    few = keep(few.withColumn("n", F.size("words")), "wanted-lines")
+    x, y = few.alias("x"), few.alias("y")
+    similar = F.expr(f"(x.d, x.ln) > (y.d, y.ln) AND size(array_intersect(x.words, y.words)) >= {_overlap('x', 'y')}")
+    both = pairs.join(x, F.col("later") == F.col("x.id")).join(y, (F.col("earlier") == F.col("y.id")) & similar)
+    found = keep(both.select(F.col("later").alias("id")).distinct(), name)
+    forget(lines.sparkSession, few, pairs)
+    return found
+
+
+def _nearest_before(sets: DataFrame) -> DataFrame:
+    """later, earlier: for each set, of a few that come shortly before it among those with one of its rare words, the one that seems nearest."""
+    words = F.expr(f"slice(sort_array(transform(prefix, c -> c & {HASH_MASK})), 1, {MET_WORDS})")
+    entries = sets.select("d", "ln", F.struct("id", "n", "low", "high").alias("x"), F.explode(words).alias("word"))
+    order = Window.partitionBy("word").orderBy("d", "ln")
+    before = F.array(*(F.lag("x", i).over(order) for i in range(1, MET_BEFORE + 1)))
+    met = entries.select("x", before.alias("before")).select("x", F.explode("before").alias("y")).where(F.col("y").isNotNull()).where(F.expr(_alike("x", "y")))
+    nearest = met.groupBy(F.col("x.id").alias("later")).agg(F.min(F.struct(F.expr(_differing("x", "y")).alias("by"), F.col("y.id").alias("id"))).alias("y"))
+    return nearest.select("later", F.col("y.id").alias("earlier"))
+
+
+def similar_to_earlier(sets: DataFrame, lines: DataFrame) -> DataFrame:
+    """id of each of sets that has a similar one with smaller (d, ln)."""
     spark = sets.sparkSession
-    prefixes = keep(_prefixes(sets), "prefixes")
-    forget(spark)
-    rarest = prefixes.select("id", "d", "ln", F.xxhash64(F.slice("prefix", 1, LEAD_WORDS)).alias("rarest"))
-    leads = rarest.groupBy("rarest").agg(F.min(F.struct("d", "ln", "id")).alias("lead"))
-    led = rarest.join(leads, "rarest").where("(d, ln) > (lead.d, lead.ln)").select(F.col("id").alias("later"), F.col("lead.id").alias("earlier"))
-    decided = keep(_verified(led, sets), "similar-to-leads")
+    near = keep(_nearest_before(sets), "nearest")
     forget(spark)
+    decided = _verified(near, lines, "similar-to-nearest")
 
     # 1 for a set that is still to be decided. Both sides of the join then read the same columns, so that they share one exchange.
-    known = decided.select(F.col("id").alias("known"))
-    marked = prefixes.join(known, F.col("id") == F.col("known"), "left").withColumn("open", F.when(F.col("known").isNull(), 1).otherwise(0))
-    entries = marked.select("id", "d", "ln", "n", "low", "high", "open", F.posexplode("prefix").alias("p", "key"))
+    known, maybe = decided.select(F.col("id").alias("known")), _among(decided)
+    marked = sets.where(maybe).join(known, F.col("id") == F.col("known"), "left").withColumn("open", F.when(F.col("known").isNull(), 1).otherwise(0)).drop("known")
+    marked = marked.unionByName(sets.where(~maybe).withColumn("open", F.lit(1)))
+    entries = marked.select("id", "d", "n", "low", "high", "open", F.posexplode("prefix").alias("p", "key"))
     x, y = entries.alias("x"), entries.alias("y")
-    later = F.expr("(x.d, x.ln) > (y.d, y.ln) AND x.open + y.open > y.open")
+    later = F.expr("x.d >= y.d AND x.id != y.id AND x.open + y.open > y.open")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & later & _possible("x", "y"))
-    pairs = keep(met.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier")), "candidates")
-    forget(spark, prefixes)
-    similar = keep(decided.unionByName(_verified(pairs, sets)), "similar-sets")
-    forget(spark, decided, pairs)
-    return similar
+    pairs = keep(met.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier")).distinct(), "candidates")
+    forget(spark)
+    return decided.unionByName(_verified(pairs, lines, "similar-to-others"))
 
 
 def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_counts: bool = False) -> DataFrame:
@@ -118,14 +152,13 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     one number in rows with one id are not earlier than each other, so repeated rows get equal texts. A null text stays null and has no
     lines; a text that loses all its lines is empty. An empty table stays empty.
     """
-    whole = keep(_lines(docs, doc_id, text), "lines")
-    first = whole.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("d", "ln", "n", "words")).alias("f")).select("k1", "k2", "f.*")
-    sets = keep(first.withColumn("id", F.monotonically_increasing_id()), "line-sets")
-    lines = keep(whole.select("d", "t", "ln", "k1", "k2"), "line-keys")
-    forget(docs.sparkSession, whole)
-    similar = similar_to_earlier(sets.select("id", "d", "ln", "n", "words"))
-
-    firsts = sets.join(similar.withColumn("similar", F.lit(True)), "id", "left").select("k1", "k2", F.struct("d", "ln").alias("first"), F.coalesce("similar", F.lit(False)).alias("similar"))
+    lines = keep(_lines(docs, doc_id, text), "lines")
+    sets = keep(_sets(lines), "line-sets")
+    forget(docs.sparkSession)
+    similar = similar_to_earlier(sets, lines)
+
+    known = similar.select(F.col("id").alias("known"))
+    firsts = sets.join(known, F.col("id") == F.col("known"), "left").select("k1", "k2", F.struct("d", "ln").alias("first"), F.col("known").isNotNull().alias("similar"))
     firsts = keep(firsts, "first-lines")
     forget(docs.sparkSession, sets, similar)
     marked = lines.join(firsts, ["k1", "k2"], "left")

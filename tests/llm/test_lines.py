@@ -60,3 +60,18 @@ def test_no_python_in_the_plan(spark):
     assert [r["text"] for r in left.collect()] == ["a b\nc"]
     assert "Python" not in left._jdf.queryExecution().toString()
     assert lines.remove_similar_lines(docs.limit(0)).count() == 0
+
+
+def test_near_copies_do_not_all_meet(spark, monkeypatch):
+    """Each copy has rare words of its own, so no two have the same rarest words."""
+    rows, n = [(1, " ".join(f"o{i}x{j}" if j in (i % 40, (7 * i + 3) % 40) else f"w{j}" for j in range(40)), i, "", "") for i in range(300)], {}
+
+    def keep(df, name, real=lines.keep):
+        out = real(df, name)
+        n[name] = n.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(lines, "keep", keep)
+    got = lines.remove_similar_lines(spark.createDataFrame(rows, SCHEMA), with_counts=True)
+    assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()) == slow(rows)
+    assert n["candidates"] <= 10 * len(rows)
