@@ -6,7 +6,7 @@ t share a word among the first few of either; for sizes a and b they need overla
 a - o + 1 and b - o + 1. A set meets first the MET_BEFORE ones that come next before it among those with one of MET_WORDS of its rare words,
 and is compared with the one that seems nearest. Most lines of a large group of near copies are decided by that, one pair each, and only the
 others meet all sets that share a word. The parities of a set's words in 128 cells bound the overlap before words are compared. Words are
-hashed once and then told apart by 64 bits.
+told apart by 64 bits of hash.
 """
 
 from __future__ import annotations
