@@ -1,7 +1,7 @@
 """Removing lines that are nearly equal to an earlier line, by an exact set-similarity join in DataFrame functions alone.
 
-Equal lines collapse to their first. The words of the others are ordered by rarity: by the count of their hash's cell in a table of
-2 ** CELL_BITS cells over all lines, which any corpus fills and whose size no corpus changes; then by hash. Two sets with Jaccard similarity
+Equal lines collapse to their first. The words of the others are ordered by rarity: by the level of the count of their hash's cell in a table
+of 2 ** CELL_BITS cells over all lines, whose size no corpus changes; then by hash. Two sets with Jaccard similarity
 t share a word among the first few of either; for sizes a and b they need overlap o = ceil(t / (1 + t) * (a + b)), so it is among the first
 a - o + 1 and b - o + 1. A set meets first the MET_BEFORE ones that come next before it among those with one of MET_WORDS of its rare words,
 and is compared with the one that seems nearest. Most lines of a large group of near copies are decided by that, one pair each, and only the
@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import forget, keep
 
 SIMILARITY = (4, 5)  # numerator and denominator
-CELL_BITS = 19
-COUNT_BITS = 22
-HASH_MASK = (1 << 63 - COUNT_BITS) - 1
+CELL_BITS = 20
+LEVEL_BITS, LEVELS_PER_DOUBLING = 7, 4
+HASH_MASK = (1 << 63 - LEVEL_BITS) - 1
 MET_WORDS, MET_BEFORE = 3, 12
+LARGE = 96  # words; the parities of so large sets in 64 cells say too little
 TABLE_BITS = 22
 OTHER_BLANKS = "\t\r\f\x0b"
 
@@ -46,27 +47,31 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _cell_counts(lines: DataFrame) -> Column:
-    """One array: how often the words of each cell occur in all lines, as the high bits of a number. Its size is fixed."""
+    """One array of bytes: how often the words of each cell occur in all lines, as a level of few steps for each doubling. Its size is fixed,
+    and small enough to be looked up quickly."""
     words = lines.select(F.explode(F.split("line", " ")).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit((1 << CELL_BITS) - 1)).alias("cell"))
     counts = words.groupBy("cell").agg(F.count("*").alias("c"))
     cells = lines.sparkSession.range(1 << CELL_BITS).join(counts, F.col("id") == F.col("cell"), "left")
-    high = F.shiftleft(F.least(F.coalesce("c", F.lit(0)), F.lit((1 << COUNT_BITS) - 1)), 63 - COUNT_BITS).alias("c")
-    ordered = cells.agg(F.sort_array(F.collect_list(F.struct("id", high))).alias("p"))
+    level = F.least(F.floor(F.log2(F.coalesce("c", F.lit(0)) + 1) * LEVELS_PER_DOUBLING), F.lit((1 << LEVEL_BITS) - 1)).cast("byte").alias("c")
+    ordered = cells.agg(F.sort_array(F.collect_list(F.struct("id", level))).alias("p"))
     return ordered.select(F.col("p.c").alias("cells")).scalar()
 
 
 def _sets(lines: DataFrame) -> DataFrame:
-    """The first line of each set of words: k1, k2, id, d, ln, n, low, high, prefix: the set's size, the parities of its words' counts in 64
-    cells for those with negative and 64 for those with other hashes, and its rarest words as numbers that are ordered by rarity."""
-    parities = lambda of: F.expr(f"aggregate(filter(words, x -> x {of} 0), 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))")
-    rows = lines.where("line != ''").select("k1", "k2", "d", "ln", "id", words_of(F.col("line")).alias("words"))
-    rows = rows.select("*", F.size("words").alias("n"), parities("<").alias("low"), parities(">=").alias("high")).withColumn("cells", _cell_counts(lines))
-    code = f"cells[cast(x & {(1 << CELL_BITS) - 1} as int)] | (x & {HASH_MASK})"
+    """The first line of each set of words: k1, k2, id, d, ln, n, all, part, prefix: the set's size, the parities of its words' counts in 64
+    cells, for large sets also of those with negative hashes alone, and its rarest words as numbers that are ordered by rarity."""
+    # Equal lines go first, so that the words of each line are hashed, counted and ordered once.
+    rows = lines.where("line != ''").groupBy("k1", "k2").agg(F.min(F.struct("d", "ln", "id", "line")).alias("s"))
+    rows = rows.select("k1", "k2", "s.id", "s.d", "s.ln", words_of(F.col("s.line")).alias("words"))
+    parities = lambda words: f"aggregate({words}, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))"
+    part = F.expr(f"if(size(words) >= {LARGE}, {parities('filter(words, x -> x < 0)')}, 0L)")
+    rows = rows.select("*", F.size("words").alias("n"), F.expr(parities("words")).alias("all"), part.alias("part")).withColumn("cells", _cell_counts(lines))
+    # Spark sorts plain numbers only where it knows that none is null.
+    code = f"shiftleft(coalesce(cells[x & {(1 << CELL_BITS) - 1}], 0L), {63 - LEVEL_BITS}) | (x & {HASH_MASK})"
     high, low = SIMILARITY
     # Each column but the words stands here once, so that Spark puts the table of cells where it is used and not into every row.
     first = F.expr(f"slice(sort_array(transform(words, x -> {code})), 1, size(words) - (({high} * size(words) + {low - 1}) div {low}) + 1)")
-    rows = rows.select("k1", "k2", F.struct("d", "ln", "id", "n", "low", "high", first.alias("prefix")).alias("s"))
-    return rows.groupBy("k1", "k2").agg(F.min("s").alias("s")).select("k1", "k2", "s.*")
+    return rows.select("k1", "k2", "id", "d", "ln", "n", "all", "part", first.alias("prefix"))
 
 
 def _overlap(a: str, b: str) -> str:
@@ -76,19 +81,33 @@ def _overlap(a: str, b: str) -> str:
 
 def _differing(a: str, b: str) -> str:
     """At least so many words are in only one of two sets."""
-    return f"(bit_count({a}.low ^ {b}.low) + bit_count({a}.high ^ {b}.high))"
+    parts = f"bit_count({a}.part ^ {b}.part) + bit_count({a}.all ^ {a}.part ^ {b}.all ^ {b}.part)"
+    return f"if({a}.n >= {LARGE} AND {b}.n >= {LARGE}, {parts}, bit_count({a}.all ^ {b}.all))"
+
+
+def _near(a: str, b: str) -> str:
+    """The filter by parities: with overlap o, a.n + b.n - 2 * o words differ, and (high + low) * o >= high * (a.n + b.n)."""
+    high, low = SIMILARITY
+    return f"{high + low} * {_differing(a, b)} <= {low - high} * ({a}.n + {b}.n)"
 
 
 def _alike(a: str, b: str) -> str:
     """The filters for any two sets: sizes and parities."""
     high, low = SIMILARITY
-    return f"{low} * {a}.n >= {high} * {b}.n AND {low} * {b}.n >= {high} * {a}.n AND {a}.n + {b}.n - {_differing(a, b)} >= 2 * {_overlap(a, b)}"
+    return f"{low} * {a}.n >= {high} * {b}.n AND {low} * {b}.n >= {high} * {a}.n AND {_near(a, b)}"
+
+
+def _most() -> str:
+    """The size of the largest set that may be similar to a set of n words and share none before the one at place p: overlap <= n - p."""
+    high, low = SIMILARITY
+    return f"({high + low} * (n - p)) div {high} - n"
 
 
 def _possible(a: str, b: str) -> Column:
-    """The filters for two sets that share the word at place p of either: places too."""
-    o = _overlap(a, b)
-    return F.expr(f"{a}.p < {a}.n - {o} + 1 AND {b}.p < {b}.n - {o} + 1 AND least({a}.n - {a}.p, {b}.n - {b}.p) + least({a}.p, {b}.p) >= {o} AND {_alike(a, b)}")
+    """The filters for two sets that share the word at place p of either: sizes, as a.most and the absolute b.most give them, places, parities."""
+    high, low = SIMILARITY
+    places = f"{high + low} * (least({a}.n - {a}.p, {b}.n - {b}.p) + least({a}.p, {b}.p)) >= {high} * ({a}.n + {b}.n)"
+    return F.expr(f"{b}.n <= {a}.most AND {a}.n <= abs({b}.most) AND {places} AND {_near(a, b)}")
 
 
 def _among(ids: DataFrame) -> Column:
@@ -101,6 +120,13 @@ def _among(ids: DataFrame) -> Column:
     return F.getbit(table[place(h)], h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
+def _marked(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """sets with similar: whether the id is in ids. Only those that may be are shuffled."""
+    known, maybe = ids.select(F.col("id").alias("known")), _among(ids)
+    marked = sets.where(maybe).join(known, F.col("id") == F.col("known"), "left").withColumn("similar", F.col("known").isNotNull()).drop("known")
+    return marked.unionByName(sets.where(~maybe).withColumn("similar", F.lit(False)))
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
     """Of distinct later, earlier: the later ones that are similar enough, each once."""
     few = lines.where(_among(pairs.select(F.explode(F.array("later", "earlier")).alias("id")))).select("id", "d", "ln", words_of(F.col("line")).alias("words"))
@@ -115,8 +141,8 @@ def _verified(pairs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
 
 def _nearest_before(sets: DataFrame) -> DataFrame:
     """later, earlier: for each set, of a few that come shortly before it among those with one of its rare words, the one that seems nearest."""
-    words = F.expr(f"slice(sort_array(transform(prefix, c -> c & {HASH_MASK})), 1, {MET_WORDS})")
-    entries = sets.select("d", "ln", F.struct("id", "n", "low", "high").alias("x"), F.explode(words).alias("word"))
+    words = F.expr(f"slice(sort_array(transform(prefix, c -> coalesce(c & {HASH_MASK}, 0L))), 1, {MET_WORDS})")
+    entries = sets.select("d", "ln", F.struct("id", "n", "all", "part").alias("x"), F.explode(words).alias("word"))
     order = Window.partitionBy("word").orderBy("d", "ln")
     before = F.array(*(F.lag("x", i).over(order) for i in range(1, MET_BEFORE + 1)))
     met = entries.select("x", before.alias("before")).select("x", F.explode("before").alias("y")).where(F.col("y").isNotNull()).where(F.expr(_alike("x", "y")))
@@ -131,13 +157,12 @@ def similar_to_earlier(sets: DataFrame, lines: DataFrame) -> DataFrame:
     forget(spark)
     decided = _verified(near, lines, "similar-to-nearest")
 
-    # 1 for a set that is still to be decided. Both sides of the join then read the same columns, so that they share one exchange.
-    known, maybe = decided.select(F.col("id").alias("known")), _among(decided)
-    marked = sets.where(maybe).join(known, F.col("id") == F.col("known"), "left").withColumn("open", F.when(F.col("known").isNull(), 1).otherwise(0)).drop("known")
-    marked = marked.unionByName(sets.where(~maybe).withColumn("open", F.lit(1)))
-    entries = marked.select("id", "d", "n", "low", "high", "open", F.posexplode("prefix").alias("p", "key"))
+    # most is negative for a decided set, which then has no earlier one to meet but is met. Both sides of the join read the same columns, so
+    # that they share one exchange.
+    entries = _marked(sets, decided).select("id", "d", "n", "all", "part", "similar", F.posexplode("prefix").alias("p", "key"))
+    entries = entries.select("id", "d", "n", "all", "part", "p", "key", F.expr(f"if(similar, -({_most()}), {_most()})").cast("int").alias("most"))
     x, y = entries.alias("x"), entries.alias("y")
-    later = F.expr("x.d >= y.d AND x.id != y.id AND x.open + y.open > y.open")
+    later = F.expr("x.d >= y.d AND x.id != y.id")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & later & _possible("x", "y"))
     pairs = keep(met.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier")).distinct(), "candidates")
     forget(spark)
@@ -157,20 +182,19 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     forget(docs.sparkSession)
     similar = similar_to_earlier(sets, lines)
 
-    known = similar.select(F.col("id").alias("known"))
-    firsts = sets.join(known, F.col("id") == F.col("known"), "left").select("k1", "k2", F.struct("d", "ln").alias("first"), F.col("known").isNotNull().alias("similar"))
-    firsts = keep(firsts, "first-lines")
-    forget(docs.sparkSession, sets, similar)
-    marked = lines.join(firsts, ["k1", "k2"], "left")
+    firsts = _marked(sets, similar).select("k1", "k2", F.struct("d", "ln").alias("first"), "similar")
+    # The hinted sides have each key once and short rows; the others, which hold many copies or whole texts, need no sorting then.
+    marked = lines.join(firsts.hint("shuffle_hash"), ["k1", "k2"], "left")
     gone = F.coalesce(F.col("similar") | (F.struct("d", "ln") != F.col("first")), F.lit(False))
     # A bit for each line, in order, 64 to a cell: a text of very many lines finds each by its place.
     cells = marked.select("d", "t", "ln", gone.alias("gone")).groupBy("d", "t", F.expr("ln div 64").alias("cell"))
     cells = cells.agg(F.expr("bit_or(if(gone, shiftleft(1L, ln % 64), 0L))").alias("bits"))
     bits = cells.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("cell", "bits"))).alias("cells"))
     bits = keep(bits.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("cells.bits").alias("__bits")).where(F.exists("__bits", lambda b: b != 0)), "line-bits")
+    forget(docs.sparkSession, lines, sets, similar)
 
     keyed = docs.withColumns({"__d1": F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)), "__t1": F.xxhash64(text), "__text": F.col(text)})
-    both = keyed.join(bits, (F.col("__d1") == F.col("__d")) & (F.col("__t1") == F.col("__t")), "left")
+    both = keyed.join(bits.hint("shuffle_hash"), (F.col("__d1") == F.col("__d")) & (F.col("__t1") == F.col("__t")), "left")
     left = F.expr("filter(split(__text, '\n'), (l, i) -> (shiftright(__bits[cast(i div 64 as int)], cast(i % 64 as int)) & 1) = 0)")
     new = F.when(F.col("__bits").isNull(), F.col("__text")).otherwise(F.array_join(left, "\n"))
     columns = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import lines
 
@@ -75,3 +76,35 @@ def test_near_copies_do_not_all_meet(spark, monkeypatch):
     got = lines.remove_similar_lines(spark.createDataFrame(rows, SCHEMA), with_counts=True)
     assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()) == slow(rows)
     assert n["candidates"] <= 10 * len(rows)
+
+
+def test_large_sets_equal_brute_force(spark):
+    """Around the size from which sets have more parities, with similarities on both sides of the limit."""
+    rng = random.Random(3)
+    base = [[f"b{k}w{j}" for j in range(n)] for k, n in enumerate([85, 95, 96, 97, 110, 130])]
+    rows = []
+    for i in range(150):
+        line = list(rng.choice(base))
+        for j in range(rng.choice([0, 3, len(line) // 10, len(line) // 9, len(line) // 9 + 1, len(line) // 5])):
+            line[rng.randrange(len(line))] = f"o{rng.randrange(400)}"
+        rows.append((1, " ".join(line[: rng.choice([len(line), len(line) - 12])]), i, "", ""))
+    got = lines.remove_similar_lines(spark.createDataFrame(rows, SCHEMA), with_counts=True)
+    assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()) == slow(rows)
+
+
+def test_equal_lines_go_before_their_words_are_hashed(spark):
+    docs = spark.createDataFrame([(1, "a b\nb a\nc", 1, "", "")], SCHEMA)
+    plan = lines._sets(lines._lines(docs, "doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("transform(") < plan.index("Aggregate [k1")
+
+
+def test_only_sets_that_may_be_marked_are_shuffled(spark):
+    sets = spark.range(2000).withColumn("d", F.col("id"))
+    got = lines._marked(sets, spark.range(0, 2000, 100))
+    assert {r["id"] for r in got.collect() if r["similar"]} == set(range(0, 2000, 100)) and got.count() == 2000
+
+
+def test_most_is_the_largest_size_that_leaves_the_overlap(spark):
+    rows = spark.createDataFrame([(n, p) for n in range(1, 60) for p in range(n - -(-4 * n // 5) + 1)], "n int, p int")
+    for r in rows.withColumn("most", F.expr(lines._most())).collect():
+        assert r["most"] == max(m for m in range(200) if -(-4 * (r["n"] + m) // 9) <= r["n"] - r["p"])
