@@ -21,7 +21,6 @@ CELL_BITS = 20
 LEVEL_BITS, LEVELS_PER_DOUBLING = 7, 4
 HASH_MASK = (1 << 63 - LEVEL_BITS) - 1
 MET_WORDS, MET_BEFORE = 3, 12
-LARGE = 96  # words; the parities of so large sets in 64 cells say too little
 TABLE_BITS = 22
 OTHER_BLANKS = "\t\r\f\x0b"
 
@@ -59,12 +58,12 @@ def _cell_counts(lines: DataFrame) -> Column:
 
 def _sets(lines: DataFrame) -> DataFrame:
     """The first line of each set of words: k1, k2, id, d, ln, n, all, part, prefix: the set's size, the parities of its words' counts in 64
-    cells, for large sets also of those with negative hashes alone, and its rarest words as numbers that are ordered by rarity."""
+    cells, and of those with negative hashes alone, and its rarest words as numbers that are ordered by rarity."""
     # Equal lines go first, so that the words of each line are hashed, counted and ordered once.
     rows = lines.where("line != ''").groupBy("k1", "k2").agg(F.min(F.struct("d", "ln", "id", "line")).alias("s"))
     rows = rows.select("k1", "k2", "s.id", "s.d", "s.ln", words_of(F.col("s.line")).alias("words"))
     parities = lambda words: f"aggregate({words}, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))"
-    part = F.expr(f"if(size(words) >= {LARGE}, {parities('filter(words, x -> x < 0)')}, 0L)")
+    part = F.expr(parities("filter(words, x -> x < 0)"))
     rows = rows.select("*", F.size("words").alias("n"), F.expr(parities("words")).alias("all"), part.alias("part")).withColumn("cells", _cell_counts(lines))
     # Spark sorts plain numbers only where it knows that none is null.
     code = f"shiftleft(coalesce(cells[x & {(1 << CELL_BITS) - 1}], 0L), {63 - LEVEL_BITS}) | (x & {HASH_MASK})"
@@ -81,8 +80,7 @@ def _overlap(a: str, b: str) -> str:
 
 def _differing(a: str, b: str) -> str:
     """At least so many words are in only one of two sets."""
-    parts = f"bit_count({a}.part ^ {b}.part) + bit_count({a}.all ^ {a}.part ^ {b}.all ^ {b}.part)"
-    return f"if({a}.n >= {LARGE} AND {b}.n >= {LARGE}, {parts}, bit_count({a}.all ^ {b}.all))"
+    return f"(bit_count({a}.part ^ {b}.part) + bit_count({a}.all ^ {a}.part ^ {b}.all ^ {b}.part))"
 
 
 def _near(a: str, b: str) -> str:

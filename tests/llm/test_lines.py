@@ -79,7 +79,7 @@ def test_near_copies_do_not_all_meet(spark, monkeypatch):
 
 
 def test_large_sets_equal_brute_force(spark):
-    """Around the size from which sets have more parities, with similarities on both sides of the limit."""
+    """Of more words than there are cells of parities in a column, with similarities on both sides of the limit."""
     rng = random.Random(3)
     base = [[f"b{k}w{j}" for j in range(n)] for k, n in enumerate([85, 95, 96, 97, 110, 130])]
     rows = []
