@@ -11,6 +11,9 @@ told apart by 64 bits of hash.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +30,8 @@ OTHER_BLANKS = "\t\r\f\x0b"
 
 def _blanks_as_spaces(text: Column) -> Column:
     """Most texts have no blanks but spaces, and finding that out costs less than replacing."""
-    return F.when(text.rlike(f"[{OTHER_BLANKS}]"), F.translate(text, OTHER_BLANKS, " " * len(OTHER_BLANKS))).otherwise(text)
+    other = reduce(or_, [text.contains(blank) for blank in OTHER_BLANKS])
+    return F.when(other, F.translate(text, OTHER_BLANKS, " " * len(OTHER_BLANKS))).otherwise(text)
 
 
 def words_of(line: Column) -> Column:
@@ -101,11 +105,31 @@ def _most() -> str:
     return f"({high + low} * (n - p)) div {high} - n"
 
 
-def _possible(a: str, b: str) -> Column:
-    """The filters for two sets that share the word at place p of either: sizes, as a.most and the absolute b.most give them, places, parities."""
+def _entries(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each rare word of each set: key, id, d, all, part and size, which holds n, the word's place p and similar. First the words at places
+    where a set can still be similar to one of its own size or a larger one, then those where only to smaller ones."""
+    words = sets.select("id", "d", "n", "all", "part", "similar", F.posexplode("prefix").alias("p", "key")).withColumn("most", F.expr(_most()))
+    size = F.expr("shiftleft(cast(n as long), 32) | shiftleft(cast(p as long), 1) | if(similar, 1L, 0L)").alias("size")
+    early, late = words.where("most >= n"), words.where("most < n")
+    return tuple(part.select("key", "all", "part", "id", "d", size) for part in (early, late))
+
+
+def _meetings(x: DataFrame, y: DataFrame) -> DataFrame:
+    """later, earlier: sets that share a word and may be similar, where the smaller one's word is in x and the other's in y. The later one is
+    not known to be similar to an earlier one. Of one size, the one with the smaller id counts as the smaller."""
     high, low = SIMILARITY
-    places = f"{high + low} * (least({a}.n - {a}.p, {b}.n - {b}.p) + least({a}.p, {b}.p)) >= {high} * ({a}.n + {b}.n)"
-    return F.expr(f"{b}.n <= {a}.most AND {a}.n <= abs({b}.most) AND {places} AND {_near(a, b)}")
+    n, p = (lambda a: f"shiftright({a}.size, 32)"), (lambda a: f"shiftright({a}.size & 4294967295L, 1)")
+    both, rest = f"({n('x')} + {n('y')})", (lambda a: f"({n(a)} - {p(a)})")
+    later = lambda a, b: f"(({a}.size & 1L) = 0 AND {a}.d >= {b}.d)"
+    tests = [
+        f"{n('x')} <= {n('y')}", f"{high + low} * {rest('x')} >= {high} * {both}", f"{high + low} * {rest('y')} >= {high} * {both}",
+        f"{high + low} * {_differing('x', 'y')} <= {low - high} * {both}",
+        f"{high + low} * (least({rest('x')}, {rest('y')}) + least({p('x')}, {p('y')})) >= {high} * {both}",
+        f"({n('x')} < {n('y')} OR x.id < y.id)", f"({later('x', 'y')} OR {later('y', 'x')})",
+    ]
+    met = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(" AND ".join(tests)))
+    pair = lambda a, b: F.when(F.expr(later(a, b)), F.struct(F.col(f"{a}.id").alias("later"), F.col(f"{b}.id").alias("earlier")))
+    return met.select(F.explode(F.array(pair("x", "y"), pair("y", "x"))).alias("pair")).where("pair IS NOT NULL").select("pair.later", "pair.earlier")
 
 
 def _among(ids: DataFrame) -> Column:
@@ -155,14 +179,9 @@ def similar_to_earlier(sets: DataFrame, lines: DataFrame) -> DataFrame:
     forget(spark)
     decided = _verified(near, lines, "similar-to-nearest")
 
-    # most is negative for a decided set, which then has no earlier one to meet but is met. Both sides of the join read the same columns, so
-    # that they share one exchange.
-    entries = _marked(sets, decided).select("id", "d", "n", "all", "part", "similar", F.posexplode("prefix").alias("p", "key"))
-    entries = entries.select("id", "d", "n", "all", "part", "p", "key", F.expr(f"if(similar, -({_most()}), {_most()})").cast("int").alias("most"))
-    x, y = entries.alias("x"), entries.alias("y")
-    later = F.expr("x.d >= y.d AND x.id != y.id")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & later & _possible("x", "y"))
-    pairs = keep(met.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier")).distinct(), "candidates")
+    # Of two similar sets that share a word, the smaller one's is always among its early ones.
+    early, late = _entries(_marked(sets, decided))
+    pairs = keep(_meetings(early, early).unionByName(_meetings(early, late)).distinct(), "candidates")
     forget(spark)
     return decided.unionByName(_verified(pairs, lines, "similar-to-others"))
 

@@ -108,3 +108,27 @@ def test_most_is_the_largest_size_that_leaves_the_overlap(spark):
     rows = spark.createDataFrame([(n, p) for n in range(1, 60) for p in range(n - -(-4 * n // 5) + 1)], "n int, p int")
     for r in rows.withColumn("most", F.expr(lines._most())).collect():
         assert r["most"] == max(m for m in range(200) if -(-4 * (r["n"] + m) // 9) <= r["n"] - r["p"])
+
+
+def test_two_late_words_never_meet(spark):
+    """Rows that the join by word shuffles and sorts are six numbers wide, and of two words one is early; still no similar pair is lost."""
+    rng = random.Random(5)
+    base = [f"b{j}" for j in range(60)]
+    texts = [" ".join([f"o{i}x{j}" if rng.random() < 0.06 else w for j, w in enumerate(base)][: rng.randint(48, 60)]) for i in range(60)]
+    found = lines._lines(spark.createDataFrame([(1, text, i // 2, "", "") for i, text in enumerate(texts)], SCHEMA), "doc_id", "text")
+    sets = lines._sets(found).withColumn("similar", F.expr("id % 7 = 0")).localCheckpoint()
+    early, late = lines._entries(sets)
+    assert early.columns == late.columns == ["key", "all", "part", "id", "d", "size"]
+    n_early, n_late = early.count(), late.count()
+    assert 0 < n_early < n_early + n_late == sets.select(F.sum(F.size("prefix"))).first()[0] and n_late > 0.3 * n_early
+    met = {tuple(r) for r in lines._meetings(early, early).unionByName(lines._meetings(early, late)).collect()}
+    words = {r["id"]: (r["d"], frozenset(r["line"].split(" "))) for r in found.collect()}
+    similar = {(a, b) for a, (d, x) in words.items() for b, (e, y) in words.items() if a != b and a % 7 and d >= e and 5 * len(x & y) >= 4 * len(x | y)}
+    assert similar and similar <= met and all(a % 7 and words[a][0] >= words[b][0] for a, b in met)
+
+
+@pytest.mark.parametrize("blank", lines.OTHER_BLANKS)
+def test_other_blanks_are_found_without_a_pattern(spark, blank):
+    blanks = lines._blanks_as_spaces(F.col("t"))
+    rows = spark.createDataFrame([(f"a{blank}é{blank}{blank}b c",), ("a b",), ("",), (None,)], "t string").select(blanks.alias("t"))
+    assert [r["t"] for r in rows.collect()] == ["a é  b c", "a b", "", None] and "RLIKE" not in rows._jdf.queryExecution().toString()
