@@ -116,7 +116,8 @@ def _entries(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _meetings(x: DataFrame, y: DataFrame) -> DataFrame:
     """later, earlier: sets that share a word and may be similar, where the smaller one's word is in x and the other's in y. The later one is
-    not known to be similar to an earlier one. Of one size, the one with the smaller id counts as the smaller."""
+    not known to be similar to an earlier one; in one document, whose lines' numbers are not known here, it can be the earlier one. Of one
+    size, the one with the smaller id counts as the smaller."""
     high, low = SIMILARITY
     n, p = (lambda a: f"shiftright({a}.size, 32)"), (lambda a: f"shiftright({a}.size & 4294967295L, 1)")
     both, rest = f"({n('x')} + {n('y')})", (lambda a: f"({n(a)} - {p(a)})")
@@ -128,8 +129,8 @@ def _meetings(x: DataFrame, y: DataFrame) -> DataFrame:
         f"({n('x')} < {n('y')} OR x.id < y.id)", f"({later('x', 'y')} OR {later('y', 'x')})",
     ]
     met = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(" AND ".join(tests)))
-    pair = lambda a, b: F.when(F.expr(later(a, b)), F.struct(F.col(f"{a}.id").alias("later"), F.col(f"{b}.id").alias("earlier")))
-    return met.select(F.explode(F.array(pair("x", "y"), pair("y", "x"))).alias("pair")).where("pair IS NOT NULL").select("pair.later", "pair.earlier")
+    ordered = F.expr(f"if({later('x', 'y')}, struct(x.id AS later, y.id AS earlier), struct(y.id AS later, x.id AS earlier))")
+    return met.select(ordered.alias("pair")).select("pair.later", "pair.earlier")
 
 
 def _among(ids: DataFrame) -> Column:
@@ -150,13 +151,13 @@ def _marked(sets: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
-    """Of distinct later, earlier: the later ones that are similar enough, each once."""
+    """Of distinct pairs: the ids of those that are similar enough to the other and come after it, each once."""
     few = lines.where(_among(pairs.select(F.explode(F.array("later", "earlier")).alias("id")))).select("id", "d", "ln", words_of(F.col("line")).alias("words"))
     few = keep(few.withColumn("n", F.size("words")), "wanted-lines")
     x, y = few.alias("x"), few.alias("y")
-    similar = F.expr(f"(x.d, x.ln) > (y.d, y.ln) AND size(array_intersect(x.words, y.words)) >= {_overlap('x', 'y')}")
+    similar = F.expr(f"(x.d, x.ln) != (y.d, y.ln) AND size(array_intersect(x.words, y.words)) >= {_overlap('x', 'y')}")
     both = pairs.join(x, F.col("later") == F.col("x.id")).join(y, (F.col("earlier") == F.col("y.id")) & similar)
-    found = keep(both.select(F.col("later").alias("id")).distinct(), name)
+    found = keep(both.select(F.expr("if((x.d, x.ln) > (y.d, y.ln), x.id, y.id)").alias("id")).distinct(), name)
     forget(lines.sparkSession, few, pairs)
     return found
 
@@ -183,7 +184,7 @@ def similar_to_earlier(sets: DataFrame, lines: DataFrame) -> DataFrame:
     early, late = _entries(_marked(sets, decided))
     pairs = keep(_meetings(early, early).unionByName(_meetings(early, late)).distinct(), "candidates")
     forget(spark)
-    return decided.unionByName(_verified(pairs, lines, "similar-to-others"))
+    return decided.unionByName(_verified(pairs, lines, "similar-to-others")).distinct()
 
 
 def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_counts: bool = False) -> DataFrame:

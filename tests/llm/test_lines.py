@@ -124,7 +124,20 @@ def test_two_late_words_never_meet(spark):
     met = {tuple(r) for r in lines._meetings(early, early).unionByName(lines._meetings(early, late)).collect()}
     words = {r["id"]: (r["d"], frozenset(r["line"].split(" "))) for r in found.collect()}
     similar = {(a, b) for a, (d, x) in words.items() for b, (e, y) in words.items() if a != b and a % 7 and d >= e and 5 * len(x & y) >= 4 * len(x | y)}
-    assert similar and similar <= met and all(a % 7 and words[a][0] >= words[b][0] for a, b in met)
+    assert similar and all((a, b) in met or words[a][0] == words[b][0] and (b, a) in met for a, b in similar)
+    assert all(a % 7 and words[a][0] >= words[b][0] for a, b in met)
+
+
+def test_lines_of_one_document_are_told_apart_by_number(spark):
+    """Both ways, and where one of the two has been found similar to yet another line."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(25):
+        base = [[f"g{i}k{k}b{j}" for j in range(30)] for k in range(2)]
+        line = lambda: " ".join(w if rng.random() > 0.06 else f"o{rng.random()}" for w in rng.choice(base)[: rng.randint(27, 30)])
+        rows.append((1, "\n".join(line() for _ in range(rng.randint(3, 20))), i, "", ""))
+    got = lines.remove_similar_lines(spark.createDataFrame(rows, SCHEMA), with_counts=True)
+    assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()) == slow(rows)
 
 
 @pytest.mark.parametrize("blank", lines.OTHER_BLANKS)
